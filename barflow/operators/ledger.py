@@ -56,60 +56,90 @@ def _touched(h: Holding, bar: tuple[float, float, float], rules: Rules):
     return None
 
 
-def holdings(rows: pd.DataFrame, rules: Rules) -> tuple[list[Holding], np.ndarray]:
-    """All positions of one run over its ordered bars, and in which bars one was held.
+def either(x, default):
+    """x as a number, or the default where it is missing."""
+    return default if x is None or x != x else float(x)
+
+
+@dataclass
+class Book:
+    """The position of one run from bar to bar; everything that a stream has to remember between bars.
 
     A signal without price waits for the next bar's open, one with a price acts after its bar. The same side again extends the position by the signal's horizon, the
     other side reverses it, FLAT does nothing, and SHORT does nothing where it is not allowed. Each bar: waiting order, stop or take, then the
-    horizon at the close. What is open after the last bar ends at its close.
+    horizon at the close.
     """
-    slip = rules.slippage_bps / 1e4
-    done: list[Holding] = []
-    inside = np.zeros(len(rows), bool)
+
+    rules: Rules
     own: Holding | None = None
-    waiting = None
-    either = lambda x, default: default if x is None or x != x else float(x)
-
-    def leave(at, price, reason, after=0):
-        nonlocal own
-        own.counts_to = at + after
-        own.exit, own.exit_price, own.reason = at, price * (1 - own.side * slip), reason
-        done.append(own)
-        own = None
-
-    def act(at, price, order, after=0):
-        nonlocal own
-        side = {"LONG": 1, "SHORT": -1}.get(order.signal, 0)
-        if not side or side < 0 and not rules.allow_short:
-            return
-        if own is not None and own.side == side:
-            own.until = own.held + int(order.horizon)
-            return
-        if own is not None:
-            leave(at, price, "reverse", after)
-        own = Holding(side, at, price * (1 + side * slip), int(order.horizon), float(order.edge_bps), either(order.size, rules.size), either(order.stop_bps, rules.stop_bps), either(order.take_bps, rules.take_bps), int(order.horizon), counts_from=at + after)
+    waiting: tuple | None = None
+    inside: bool = False
+
+    def leave(self, at: int, price: float, reason: str, after: int = 0) -> list[Holding]:
+        done, self.own = self.own, None
+        done.counts_to, done.exit, done.reason = at + after, at, reason
+        done.exit_price = price * (1 - done.side * self.rules.slippage_bps / 1e4)
+        return [done]
+
+    def order(self, at: int, price: float, signal: str, horizon: float, edge: float, size, stop, take, after: int = 0) -> list[Holding]:
+        side = {"LONG": 1, "SHORT": -1}.get(signal, 0)
+        if not side or side < 0 and not self.rules.allow_short:
+            return []
+        if self.own is not None and self.own.side == side:
+            self.own.until = self.own.held + int(horizon)
+            return []
+        done = self.leave(at, price, "reverse", after) if self.own is not None else []
+        rules = self.rules
+        fill = price * (1 + side * rules.slippage_bps / 1e4)
+        self.own = Holding(side, at, fill, int(horizon), float(edge), either(size, rules.size), either(stop, rules.stop_bps), either(take, rules.take_bps), int(horizon), counts_from=at + after)
+        return done
+
+    def bar(self, at: int, open_: float, high: float, low: float, close: float) -> list[Holding]:
+        """Positions that this bar ends."""
+        done: list[Holding] = []
+        if self.waiting is not None:
+            done += self.order(at, open_, *self.waiting)
+            self.waiting = None
+        if self.own is not None and (hit := _touched(self.own, (open_, high, low), self.rules)):
+            done += self.leave(at, *hit)
+        self.inside = self.own is not None
+        if self.own is not None:
+            self.own.held += 1
+            if self.own.held >= self.own.until:
+                done += self.leave(at, close, "horizon")
+        return done
+
+    def signal(self, at: int, price, *order) -> list[Holding]:
+        if either(price, None) is None:
+            self.waiting = order
+            return []
+        return self.order(at, float(price), *order, after=1)
+
 
+def holdings(rows: pd.DataFrame, rules: Rules) -> tuple[list[Holding], np.ndarray]:
+    """All positions of one run over its ordered bars, and in which bars one was held. What is open after the last bar ends at its close."""
+    book, done, inside = Book(rules), [], np.zeros(len(rows), bool)
     for at, row in enumerate(rows.itertuples(index=False)):
-        if waiting is not None:
-            act(at, row.open, waiting)
-            waiting = None
-        if own is not None and (hit := _touched(own, (row.open, row.high, row.low), rules)):
-            leave(at, *hit)
-        if own is not None:
-            inside[at] = True
-            own.held += 1
-            if own.held >= own.until:
-                leave(at, row.close, "horizon")
+        done += book.bar(at, row.open, row.high, row.low, row.close)
+        inside[at] = book.inside
         if isinstance(row.signal, str):
-            if either(row.price, None) is None:
-                waiting = row
-            else:
-                act(at, row.price, row, after=1)
-    if own is not None:
-        leave(len(rows) - 1, rows["close"].iloc[-1], "end")
+            done += book.signal(at, row.price, row.signal, row.horizon, row.edge_bps, row.size, row.stop_bps, row.take_bps)
+    if book.own is not None:
+        done += book.leave(len(rows) - 1, rows["close"].iloc[-1], "end")
     return done, inside
 
 
+def money(h: Holding, cash: float, rules: Rules) -> dict | None:
+    """Size, fees and profit of a position opened with ``cash``; None where there is nothing to open it with."""
+    qty = cash * h.size / h.price
+    if cash <= 0 or qty <= 0:
+        return None
+    rate = rules.fee_bps / 1e4
+    entry_fee, exit_fee = qty * h.price * rate, qty * h.exit_price * rate
+    pnl = h.side * qty * (h.exit_price - h.price) - entry_fee - exit_fee
+    return {"qty": qty, "entry_fee": entry_fee, "pnl": pnl, "fees": entry_fee + exit_fee, "ret_bps": pnl / (qty * h.price) * 1e4}
+
+
 def fold(rows: pd.DataFrame, rules: Rules) -> tuple[list[dict], pd.DataFrame]:
     """Trades and equity of one run: the money follows from the holdings one after another; a run without cash left opens nothing more."""
     rows = rows.sort_values("t", kind="stable").reset_index(drop=True)
@@ -117,22 +147,18 @@ def fold(rows: pd.DataFrame, rules: Rules) -> tuple[list[dict], pd.DataFrame]:
     t, close = rows["t"].to_numpy(), rows["close"].to_numpy(float)
     equity = np.full(len(rows), rules.cash)
     cash, trades = rules.cash, []
-    rate = rules.fee_bps / 1e4
     for h in found:
-        qty = cash * h.size / h.price
-        if cash <= 0 or qty <= 0:
+        m = money(h, cash, rules)
+        if m is None:
             inside[h.counts_from : h.exit + 1] = False
             continue
-        entry_fee, exit_fee = qty * h.price * rate, qty * h.exit_price * rate
-        gross = h.side * qty * (h.exit_price - h.price)
         span = slice(h.counts_from, h.counts_to)
-        equity[span] = cash - entry_fee + h.side * qty * (close[span] - h.price)
-        cash += gross - entry_fee - exit_fee
+        equity[span] = cash - m["entry_fee"] + h.side * m["qty"] * (close[span] - h.price)
+        cash += m["pnl"]
         equity[h.counts_to :] = cash
-        pnl = gross - entry_fee - exit_fee
         trades.append({
-            "side": "LONG" if h.side > 0 else "SHORT", "entry_time": t[h.entry], "entry_price": h.price, "exit_time": t[h.exit], "exit_price": h.exit_price, "qty": qty, "pnl": pnl,
-            "fees": entry_fee + exit_fee, "ret_bps": pnl / (qty * h.price) * 1e4, "bars": h.held, "reason": h.reason, "horizon": h.horizon, "edge_bps": h.edge,
+            "side": "LONG" if h.side > 0 else "SHORT", "entry_time": t[h.entry], "entry_price": h.price, "exit_time": t[h.exit], "exit_price": h.exit_price, "qty": m["qty"], "pnl": m["pnl"],
+            "fees": m["fees"], "ret_bps": m["ret_bps"], "bars": h.held, "reason": h.reason, "horizon": h.horizon, "edge_bps": h.edge,
         })
     return trades, pd.DataFrame({"t": t, "equity": equity, "in_market": inside})
 
