@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from barflow.catalog import bars, evaluation, labels, ledgers, market, signals, storage, streams  # noqa: F401
+    from barflow.catalog import bars, evaluation, labels, ledgers, market, models, signals, storage, streams  # noqa: F401
