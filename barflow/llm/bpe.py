@@ -12,9 +12,11 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts over this many characters are encoded in pieces of about this length.
 PIECE_CHARS = 1 << 16
+SLICE_CHARS = 1 << 21
 
 #: A lone space between two characters that are no white space: a match of the pattern always starts at it, since only a run of white space could reach across.
 SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -63,15 +65,44 @@ def encode(text: str | None, encoding: tiktoken.Encoding, pattern: str) -> list[
     return [i for piece in pieces(text, pattern) for i in encoding.encode_ordinary(piece)]
 
 
-def with_tokens(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of ``text`` as ARRAY<INT> in ``out``; null and empty texts give an empty array. Other columns stay as they are."""
+def with_tokens(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of ``text`` as ARRAY<INT> in ``out``, and with ``decoded`` the bytes they decode to as BINARY.
+
+    Null and empty texts give an empty array and no bytes. Other columns stay as they are; columns named as the new ones are replaced. Rows come
+    and go in slices of about SLICE_CHARS characters, since ids take several times the memory of their text.
+    """
+    kept = df.drop(*[c for c in (out, decoded) if c])
+    at = kept.columns.index(text)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
+
+    def run(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
         encoding = load(rank_file, pattern)
-        return pd.Series([np.array(encode(t, encoding, pattern), np.int32) for t in texts])
+        for batch in batches:
+            for rows in _slices(batch, at):
+                ids = [np.array(encode(t, encoding, pattern), np.int32) for t in rows.column(at).to_pylist()]
+                made = [pa.array(ids, pa.list_(pa.int32()))]
+                if decoded:
+                    made.append(pa.array([encoding.decode_bytes(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
-    return df.withColumn(out, ids(F.col(f"`{text}`")))
+
+def _slices(batch, at: int):
+    """Runs of rows with about SLICE_CHARS characters, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def with_decoded(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

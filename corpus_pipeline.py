@@ -29,10 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with their number and the digest of what they decode to."""
-    path = public_tokenizers.path(RANKS)
-    encoded = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.with_decoded(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded="bytes")
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [

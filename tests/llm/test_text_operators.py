@@ -43,6 +43,15 @@ def test_round_trip(spark, texts):
         assert r.digest.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_ids_and_bytes_in_slices(spark, texts, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 9)
+    encoding = bpe.load(RANKS, PATTERN)
+    rows = bpe.with_tokens(frame(spark, texts).withColumnRenamed("count", "ids"), RANKS, PATTERN, decoded="bytes")
+    assert rows.columns == ["doc_id", "text", "ids", "bytes"]
+    for r in rows.collect():
+        assert r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.bytes).decode() == (r.text or "")
+
+
 def test_ids_and_bytes_as_columns(spark, texts):
     df = bpe.with_decoded(bpe.with_tokens(frame(spark, texts), RANKS, PATTERN), RANKS, PATTERN)
     assert df.columns == ["doc_id", "text", "count", "ids", "decoded"]
