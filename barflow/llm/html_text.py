@@ -15,8 +15,10 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
 #: Words in class, id or role that name a part outside the article.
-OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments comment-list respond reply replies cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments comment-list respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
+#: Of these, the words that rule out an article or main element too, and those that name a part of it.
+OUTSIDE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser widget cookie consent newsletter".split())
+OF_ARTICLE = frozenset("header masthead".split())
 SIGMA = 1.0
 
 
@@ -81,16 +83,18 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _names_outside(self, tag, attrs) -> bool:
-        if tag in ("html", "body", *CONTENT):
+        if tag in ("html", "body"):
             return False
+        inside = any(t in CONTENT for t, _, _ in self.open)
         if tag == "header":
-            return not any(t in CONTENT for t, _, _ in self.open)
+            return not inside
+        named = OUTSIDE_ARTICLE if tag in CONTENT else OUTSIDE - OF_ARTICLE if inside else OUTSIDE
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
                 for word in value.lower().replace("_", "-").split():
-                    if word in OUTSIDE or not OUTSIDE.isdisjoint(word.split("-")):
+                    if word in named or not named.isdisjoint(word.split("-")):
                         return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.lower().replace(" ", ""):
                 return True
         return False
 

@@ -261,6 +261,8 @@ PAGES = {
     "comments": ("<body><header><h1>Site</h1></header><main><article><header><h2>Head</h2></header><p>" + "text of it " * 20 + "</p><form><input><label>Mail</label></form><aside>See also</aside><p>End.</p></article>"
                  "<section id=\"comments\"><div class='comment'><p>" + "reader says " * 40 + "</p></div></section></main><div class='cookie-banner'>We use cookies</div>", "Head\n" + ("text of it " * 20).strip() + "\nEnd."),
     "no article": ("<body><div id='nav-menu'><a href=a>x</a></div><div><p>" + "first words here " * 9 + "</p><p>" + "more words here " * 9 + "</p></div><div role=contentinfo>foot</div>", ("first words here " * 9).strip() + "\n" + ("more words here " * 9).strip()),
+    "commented": ("<body><div class='site-notice'>Closed today</div><main><div class='entry-header'><h1>T</h1></div><p>Real text here.</p><p style='display: none'>x</p></main>"
+                  "<article class='comment'><p>" + "a long reader comment " * 30 + "</p></article><div id='disqus_thread'>more</div></body>", "T\nReal text here."),
     "empty": ("", ""), "null": (None, ""), "only markup": ("<html><body><nav>a</nav></body></html>", ""), "cut": ("<article><p>Half a senten", "Half a senten"),
     "bare text": ("just text &lt;3", "just text <3"), "lists": ("<article><p>Items:</p><ul><li>one<li>two</ul><table><tr><td>c1</td><td>c2</td></tr></table><pre>a\n b</pre></article>", "Items:\none\ntwo\nc1\nc2\na b"),
 }
