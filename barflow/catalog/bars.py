@@ -54,7 +54,8 @@ FEATURE_GROUPS = {
     "atr_pct_14": (("atr_pct_14", 0),),
     "rsi_14": (("rsi_14", 0),),
     "macd_hist_pct": (("macd_hist_pct", 0),),
-    "rel_volume": (("rel_volume", 19), ("rel_trades", 19)),
+    "rel_volume": (("rel_volume", 19),),
+    "rel_trades": (("rel_trades", 19),),
 }
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, NUMBERED, W, YEAR_BARS, pick, r, rounded
-from barflow.functions.signals import bucket_upper, log_linear_bucket
+from barflow.functions.signals import bucket_upper
+from barflow.functions.signals import log_linear_bucket as bucket_of
 from barflow.operators import evaluation as E
 from barflow.operators import labels as L
 from barflow.plans.blocks import numbered
@@ -130,11 +131,11 @@ _BUCKET_SQL = f"""WITH {A.SQL_SERVICES}, b AS (SELECT *, CASE WHEN ns < 64 THEN
 
 
 def _buckets(spark, sf_dir):
-    return A.services(spark, sf_dir).withColumn("bucket", log_linear_bucket(F.col("ns")))
+    return A.services(spark, sf_dir).withColumn("bucket", bucket_of(F.col("ns")))
 
 
 @query(f"{_BUCKET_SQL} SELECT seq, ns, CAST(bucket AS INTEGER) AS bucket FROM b")
-def log_linear_bucket_of(spark, sf_dir):
+def log_linear_bucket(spark, sf_dir):
     return _buckets(spark, sf_dir).select("seq", "ns", "bucket")
 
 
@@ -162,7 +163,7 @@ def p50_p99(spark, sf_dir):
     return rows.select("service", r(F.col("p")[0]).alias("p50"), r(F.col("p")[1]).alias("p99"))
 
 
-@query(f"WITH {A.SQL_SERVICES} SELECT service, count(*) AS counter, arg_max(ns, (ts, seq)) AS gauge, sum(ns) AS total FROM services GROUP BY service")
+@query(f"WITH {A.SQL_SERVICES} SELECT service, count(*) AS counter, arg_max(ns, (ts, seq)) AS gauge, CAST(sum(ns) AS BIGINT) AS total FROM services GROUP BY service")
 def service_metrics(spark, sf_dir):
     """Counters add up, gauges keep the last value."""
     return A.services(spark, sf_dir).groupBy("service").agg(F.count("*").alias("counter"), F.max_by("ns", F.struct("ts", "seq")).alias("gauge"), F.sum("ns").alias("total"))

@@ -170,11 +170,22 @@ def renormalise(spark, sf_dir):
 
 
 @query(f"""WITH {A.sql_bars()}, y AS (SELECT symbol, ln(lead(close, 5) OVER ({W}) / close) AS y, ln(close / lag(close, 5) OVER ({W})) AS p FROM bars)
-SELECT symbol, round(stddev_pop(y), 6) + 0.0 AS y_scale, round(stddev_pop(y - p), 6) + 0.0 AS sigma FROM y GROUP BY symbol""")
+SELECT symbol, round(stddev_pop(y), 6) + 0.0 AS y_scale FROM y GROUP BY symbol""")
 def target_scale(spark, sf_dir):
-    """Deviation of the targets, and of what the momentum forecast leaves of them."""
+    """Deviation of the targets."""
+    return pick(_scales(spark, sf_dir), "symbol", "y_scale")
+
+
+@query(f"""WITH {A.sql_bars()}, y AS (SELECT symbol, ln(lead(close, 5) OVER ({W}) / close) AS y, ln(close / lag(close, 5) OVER ({W})) AS p FROM bars)
+SELECT symbol, round(stddev_pop(y - p), 6) + 0.0 AS sigma FROM y GROUP BY symbol""")
+def residual_sigma(spark, sf_dir):
+    """Deviation of what the momentum forecast leaves of the targets."""
+    return pick(_scales(spark, sf_dir), "symbol", "sigma")
+
+
+def _scales(spark, sf_dir):
     rows = L.past_returns(A.bars(spark, sf_dir), (5,)).select("symbol", "open_time", "momentum_5").join(L.forward_returns(A.bars(spark, sf_dir), (5,)).select("symbol", "open_time", "y_5"), ["symbol", "open_time"])
-    return pick(rows.groupBy("symbol").agg(F.stddev_pop("y_5").alias("y_scale"), F.stddev_pop(F.col("y_5") - F.col("momentum_5")).alias("sigma")), "symbol", "y_scale sigma")
+    return rows.groupBy("symbol").agg(F.stddev_pop("y_5").alias("y_scale"), F.stddev_pop(F.col("y_5") - F.col("momentum_5")).alias("sigma"))
 
 
 @query()

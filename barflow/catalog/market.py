@@ -36,9 +36,9 @@ _BOOK_SQL = f"""{A.SQL_BOOKS}, m AS (SELECT *, 0.5::DOUBLE * (bid + ask) AS mid,
   (bid_qty - ask_qty) / (bid_qty + ask_qty) AS obi FROM books)"""
 
 
-@query(f"WITH {_BOOK_SQL} SELECT symbol, update_id, {rounded(_BOOK)} FROM m")
+@query(f"WITH {_BOOK_SQL} SELECT symbol, update_id, {rounded(_BOOK, 9)} FROM m")
 def book_metrics(spark, sf_dir):
-    return pick(M.book_metrics(A.books(spark, sf_dir)), "symbol update_id", _BOOK)
+    return pick(M.book_metrics(A.books(spark, sf_dir)), "symbol update_id", _BOOK, 9)
 
 
 @query(f"""WITH RECURSIVE {_BOOK_SQL}, k AS (SELECT symbol, update_id, obi, row_number() OVER (PARTITION BY symbol ORDER BY update_id) - 1 AS rn FROM m),

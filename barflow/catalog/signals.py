@@ -127,8 +127,8 @@ def advice_normalise(spark, sf_dir):
     return pick(rows, "trade_id action horizon_bars", "confidence size stop_bps take_bps", 4)
 
 
-@query(f"""WITH {A.SQL_TRADES} SELECT trade_id, round(greatest(-1, least(1, price / 100 - 0.3)), 6) + 0.0 AS bias, round(greatest(0, least(1, qty / 8 - 0.2)), 6) + 0.0 AS confidence,
-  round(greatest(-1, least(1, price / 100 - 0.3)) * greatest(0, least(1, qty / 8 - 0.2)), 6) + 0.0 AS weighted, round(greatest(-500, least(500, price * 9 - 100)), 6) + 0.0 AS move, CAST(trade_id % 4 = 0 AS DOUBLE) AS trend_up, CAST(trade_id % 3 = 1 AS DOUBLE) AS short FROM trades""")
+@query(f"""WITH {A.SQL_TRADES} SELECT trade_id, round(greatest(-1, least(1, price / 100 - 0.3)), 9) + 0.0 AS bias, round(greatest(0, least(1, qty / 8 - 0.2)), 9) + 0.0 AS confidence,
+  round(greatest(-1, least(1, price / 100 - 0.3)) * greatest(0, least(1, qty / 8 - 0.2)), 9) + 0.0 AS weighted, round(greatest(-500, least(500, price * 9 - 100)), 9) + 0.0 AS move, CAST(trade_id % 4 = 0 AS DOUBLE) AS trend_up, CAST(trade_id % 3 = 1 AS DOUBLE) AS short FROM trades""")
 def advice_scores(spark, sf_dir):
     regimes, actions = F.array(*map(F.lit, ("trend_up", "range", "other", ""))), F.array(*map(F.lit, ("long", "Short", "wait")))
     text = F.to_json(F.struct(
@@ -136,7 +136,7 @@ def advice_scores(spark, sf_dir):
         F.element_at(regimes, (F.col("trade_id") % 4 + 1).cast("int")).alias("regime"), F.element_at(actions, (F.col("trade_id") % 3 + 1).cast("int")).alias("action"),
     ))
     rows = A.trades(spark, sf_dir).withColumn("s", S.advice_scores(F.try_parse_json(text)))
-    return pick(rows.select("trade_id", *[F.col("s")[i].alias(n) for i, n in ((0, "bias"), (1, "confidence"), (2, "weighted"), (3, "move"), (5, "trend_up"), (10, "short"))]), "trade_id", "bias confidence weighted move trend_up short")
+    return pick(rows.select("trade_id", *[F.col("s")[i].alias(n) for i, n in ((0, "bias"), (1, "confidence"), (2, "weighted"), (3, "move"), (5, "trend_up"), (10, "short"))]), "trade_id", "bias confidence weighted move trend_up short", 9)
 
 
 _RISK = f"""{_ADVICE}, st AS (SELECT *, CAST(trade_id % 3 AS INTEGER) - 1 AS has_pos, CASE trade_id % 4 WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' ELSE 'FLAT' END AS model_signal, trade_id % 5 = 0 AS cool, trade_id % 23 = 0 AS late FROM norm),

@@ -90,6 +90,13 @@ def capture_sink(spark, sf_dir):
     return N.drained(stream, partition_by=["topic", "day"]).groupBy("topic", "day").agg(F.count("*").alias("messages"), F.countDistinct("payload").alias("payloads"))
 
 
+@query(f"WITH {_MESSAGES} SELECT topic, CAST(sent // 3600000 % 24 AS BIGINT) AS hour, seq, payload FROM messages WHERE topic = 'book'")
+def stream_capture(spark, sf_dir):
+    """Raw messages captured by topic and hour; a reader of one topic prunes the other's folders."""
+    stream = replayed(messages(spark, sf_dir), "sent").withColumn("hour", F.floor(F.col("sent") / A.HOUR) % 24)
+    return N.drained(stream, partition_by=["topic", "hour"]).where("topic = 'book'").select("topic", "hour", "seq", "payload")
+
+
 @query(f"WITH {_MESSAGES} SELECT topic, max(seq) AS seq FROM messages WHERE topic = 'trade' GROUP BY topic")
 def stream_source(spark, sf_dir):
     """Replay of retained history, filtered by topic before anything else."""

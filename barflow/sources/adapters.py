@@ -62,10 +62,10 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables as DuckDB common table expressions.
 SQL_TRADES = """trades AS (SELECT event_type AS symbol, event_id AS trade_id, value AS price, CAST(1 + user_id % 10 AS DOUBLE) AS qty,
-  event_id % 2 = 1 AS is_buyer_maker, epoch_ms(ts) AS trade_time FROM events)"""
-SQL_BOOKS = """books AS (SELECT event_type AS symbol, event_id AS update_id, epoch_ms(ts) AS book_time, value AS bid,
+  event_id % 2 = 1 AS is_buyer_maker, epoch_us(ts) // 1000 AS trade_time FROM events)"""
+SQL_BOOKS = """books AS (SELECT event_type AS symbol, event_id AS update_id, epoch_us(ts) // 1000 AS book_time, value AS bid,
   CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 17 AS DOUBLE) AS bid_qty, value * 1.001::DOUBLE AS ask, CAST(1 + user_id % 13 AS DOUBLE) AS ask_qty FROM events)"""
-SQL_SERVICES = "services AS (SELECT event_type AS service, 'm' || (user_id % 3) AS metric, CAST(floor(value * 1000) AS BIGINT) AS ns, epoch_ms(ts) AS ts, event_id AS seq FROM events)"
+SQL_SERVICES = "services AS (SELECT event_type AS service, 'm' || (user_id % 3) AS metric, CAST(floor(value * 1000) AS BIGINT) AS ns, epoch_us(ts) // 1000 AS ts, event_id AS seq FROM events)"
 
 
 def sql_bars(interval: int = HOUR) -> str:
