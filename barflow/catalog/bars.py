@@ -25,8 +25,8 @@ SELECT symbol, count(*) AS bars, round(sum(ln(step)), 6) + 0.0 AS total_log_retu
 def bar_summary(spark, sf_dir):
     """Flagship: events to hourly bars to returns and band scores, one row per symbol."""
     b = blocked(numbered(A.bars(spark, sf_dir)), 20)
-    rows = Blocked.home(b.rows.select("*", F.ln(F.col("close") / F.lag("close").over(b.window)).alias("r1"), F.avg("close").over(b.back(20)).alias("ma"), F.stddev_samp("close").over(b.back(20)).alias("sd")))
-    z = F.when(F.col("rn") >= 19, (F.col("close") - F.col("ma")) / F.col("sd"))
+    rows = Blocked.home(b.rows.select("*", F.ln(F.try_divide(F.col("close"), F.lag("close").over(b.window))).alias("r1"), F.avg("close").over(b.back(20)).alias("ma"), F.stddev_samp("close").over(b.back(20)).alias("sd")))
+    z = F.when(F.col("rn") >= 19, F.try_divide(F.col("close") - F.col("ma"), F.col("sd")))
     return rows.groupBy("symbol").agg(F.count("*").alias("bars"), r(F.sum("r1")).alias("total_log_return"), r(F.max(z)).alias("max_z"), r(F.sum("volume")).alias("volume"))
 
 

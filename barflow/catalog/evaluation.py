@@ -24,7 +24,7 @@ def forecasts_long(spark, sf_dir):
     from barflow.plans.blocks import Blocked, blocked
 
     b = blocked(numbered(A.bars(spark, sf_dir)), max(HORIZONS), max(HORIZONS))
-    pairs = [F.struct(F.lit(h).alias("horizon"), F.ln(F.col("close") / F.lag("close", h).over(b.window)).alias("pred"), F.ln(F.lead("close", h).over(b.window) / F.col("close")).alias("y")) for h in HORIZONS]
+    pairs = [F.struct(F.lit(h).alias("horizon"), F.ln(F.try_divide(F.col("close"), F.lag("close", h).over(b.window))).alias("pred"), F.ln(F.try_divide(F.lead("close", h).over(b.window), F.col("close"))).alias("y")) for h in HORIZONS]
     rows = Blocked.home(b.rows.withColumn("pairs", F.array(*pairs)))
     return rows.select("symbol", "open_time", F.col("rn").alias("place"), F.explode("pairs").alias("x")).select("symbol", "open_time", "place", "x.*")
 
@@ -86,14 +86,14 @@ def linear_trend(spark, sf_dir):
 
 @query(f"WITH {A.sql_bars()} SELECT symbol, round(arg_max(close, open_time) / arg_min(open, open_time) - 1, 6) + 0.0 AS buy_hold FROM bars GROUP BY symbol")
 def buy_hold(spark, sf_dir):
-    rows = A.bars(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "open_time") / F.min_by("open", "open_time") - 1).alias("buy_hold"))
+    rows = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
     return pick(rows, "symbol", "buy_hold")
 
 
 @query(f"""WITH {A.sql_bars()}, t AS (SELECT symbol, arg_max(close, open_time) / arg_min(open, open_time) - 1 AS buy_hold, count(*) AS bars FROM bars GROUP BY symbol)
 SELECT coalesce(symbol, 'ALL') AS symbol, round(avg(buy_hold), 6) + 0.0 AS buy_hold, round(avg(bars), 6) + 0.0 AS bars FROM t GROUP BY ROLLUP (symbol)""")
 def symbol_table_rollup(spark, sf_dir):
-    rows = A.bars(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "open_time") / F.min_by("open", "open_time") - 1).alias("x"), F.count("*").alias("n"))
+    rows = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("x"), F.count("*").alias("n"))
     return rows.rollup("symbol").agg(r(F.avg("x")).alias("buy_hold"), r(F.avg("n")).alias("bars")).withColumn("symbol", F.coalesce("symbol", F.lit("ALL")))
 
 
@@ -106,7 +106,7 @@ def per_symbol_sum(spark, sf_dir):
 @query(f"""WITH {A.sql_bars()}, {NUMBERED}, g AS (SELECT symbol, rn // 100 AS fold, arg_max(close, rn) / arg_min(open, rn) - 1 AS ret FROM numbered GROUP BY ALL)
 SELECT symbol, round(exp(sum(ln(1 + ret))) - 1, 6) + 0.0 AS total, count(*) AS folds FROM g GROUP BY symbol""")
 def compounded_total(spark, sf_dir):
-    folds = numbered(A.bars(spark, sf_dir)).groupBy("symbol", F.floor(F.col("rn") / 100).alias("fold")).agg((F.max_by("close", "rn") / F.min_by("open", "rn") - 1).alias("ret"))
+    folds = numbered(A.bars(spark, sf_dir)).groupBy("symbol", F.floor(F.col("rn") / 100).alias("fold")).agg((F.try_divide(F.max_by("close", "rn"), F.min_by("open", "rn")) - 1).alias("ret"))
     return folds.groupBy("symbol").agg(r(F.exp(F.sum(F.ln(1 + F.col("ret")))) - 1).alias("total"), F.count("*").alias("folds"))
 
 
@@ -226,5 +226,5 @@ def bootstrap_ratio_ci(spark, sf_dir):
     u = F.pmod(F.xxhash64("seq", "b", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
     medians = draws.withColumn("w", weight).where("w > 0").groupBy("b").agg(*[F.expr(f"percentile(CASE WHEN service = '{s}' THEN ns END, 0.5D, CASE WHEN service = '{s}' THEN w ELSE 0 END)").alias(s) for s in ("click", "view")])
-    ratios = medians.select((F.col("click") / F.col("view")).alias("ratio"))
+    ratios = medians.select((F.try_divide("click", "view")).alias("ratio"))
     return ratios.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("median"), F.col("p")[2].alias("high"))

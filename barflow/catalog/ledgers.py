@@ -64,7 +64,7 @@ def recent_trades(spark, sf_dir):
 def compare_runs(spark, sf_dir):
     """Each set of rules beside the plain one and buy-and-hold, by symbol."""
     ends = curves(spark, sf_dir).groupBy("run", "symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("ret"))
-    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "open_time") / F.min_by("open", "open_time") - 1).alias("buy_hold"))
+    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
     plain = ends.where("run = 'plain'").select("symbol", F.col("ret").alias("plain_ret"))
     return pick(ends.where("run <> 'plain'").join(plain, "symbol").join(hold, "symbol"), "run symbol", "ret plain_ret buy_hold")
 
@@ -80,7 +80,7 @@ def mark_to_market(spark, sf_dir):
     days = trades.withColumn("day_", F.explode(F.sequence(F.floor(F.col("entry_time") / A.DAY), F.floor(F.col("exit_time") / A.DAY))))
     rows = curve.join(bars, ["symbol", "t"]).withColumn("day_", day).join(days, ["run", "symbol", "day_"]).where("t >= entry_time AND t <= exit_time")
     sign = F.when(F.col("side") == "LONG", 1).otherwise(-1)
-    return rows.select("run", "symbol", "t", "entry_time", "side", r(sign * (F.col("close") / F.col("entry_price") - 1) * 1e4, 4).alias("unrealised_bps"), r((F.col("equity") / 10_000.0 - 1) * 100, 4).alias("return_pct"))
+    return rows.select("run", "symbol", "t", "entry_time", "side", r(sign * (F.try_divide("close", "entry_price") - 1) * 1e4, 4).alias("unrealised_bps"), r((F.col("equity") / 10_000.0 - 1) * 100, 4).alias("return_pct"))
 
 
 @query()
@@ -96,7 +96,7 @@ def entry_blocks(spark, sf_dir):
     day = Window.partitionBy("run", "symbol", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     start = F.first("equity").over(day)
     rows = rows.withColumn("cooling", F.coalesce(F.max("lost").over(by.rowsBetween(-4, 0)), F.lit(0)) == 1).withColumn("start_", start)
-    hit = (F.col("equity") / F.col("start_") - 1) * 100 <= -3.0
+    hit = (F.try_divide("equity", "start_") - 1) * 100 <= -3.0
     return rows.withColumn("hit_", hit.cast("int")).withColumn("halted", F.max("hit_").over(day) == 1).select("run", "symbol", "t", "cooling", "halted")
 
 

@@ -89,7 +89,7 @@ def run_compare(spark, sf_dir):
     """The run that follows advice beside the model's own and buy-and-hold."""
     agent = B.followed(advised(spark, sf_dir)).groupBy("symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("agent"), F.count("*").alias("calls"))
     model = curves(spark, sf_dir).where("run = 'plain'").groupBy("symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("model"))
-    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "open_time") / F.min_by("open", "open_time") - 1).alias("buy_hold"))
+    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
     return agent.join(model, "symbol").join(hold, "symbol").select("symbol", "calls", r("agent").alias("agent"), r("model").alias("model"), r("buy_hold").alias("buy_hold"))
 
 

@@ -26,7 +26,7 @@ def quality(df: DataFrame, by: list[str]) -> DataFrame:
     """Hit rate over y != 0, and 1 - mse / mean(y^2) against a forecast of zero."""
     rows = df.dropna(subset=DROP_NULLS)
     hit = F.avg(F.when(F.col("y") != 0, (F.signum("pred") == F.signum("y")).cast("double")))
-    return rows.groupBy(*by).agg(hit.alias("hit_rate"), (1 - F.avg(F.pow(F.col("y") - F.col("pred"), 2)) / F.avg(F.col("y") * F.col("y"))).alias("r2_zero"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(hit.alias("hit_rate"), (1 - F.try_divide(F.avg(F.pow(F.col("y") - F.col("pred"), 2)), F.avg(F.col("y") * F.col("y")))).alias("r2_zero"), F.count("*").alias("n"))
 
 
 def positions(threshold_bps: float | F.Column, pred: str = "pred") -> F.Column:
@@ -80,7 +80,7 @@ def equity_path(df: DataFrame, by: list[str], order: str, cash: float) -> DataFr
     w = Window.partitionBy(*by).orderBy(order)
     before = F.lag("equity", 1, cash).over(w)
     peak = F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(cash))
-    return df.withColumn("ret", (F.col("equity") - before) / F.greatest(before, F.lit(1e-12))).withColumn("drawdown", (F.col("equity") - peak) / peak)
+    return df.withColumn("ret", (F.col("equity") - before) / F.greatest(before, F.lit(1e-12))).withColumn("drawdown", F.try_divide(F.col("equity") - peak, peak))
 
 
 def run_summary(trades: DataFrame, equity: DataFrame, by: list[str], cash: float, bars_per_year: float) -> DataFrame:

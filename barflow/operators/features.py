@@ -1,4 +1,4 @@
-"""Causal features of bars, one row of features per bar."""
+"""Causal features of bars, one row of features per bar; a ratio to a price of 0 is null."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def with_shape(df: DataFrame) -> DataFrame:
     """range_pct, body_ratio and taker_imbalance of each bar; a bar without range or volume has 0 for the ratio."""
     span = F.col("high") - F.col("low")
     return (
-        df.withColumn("range_pct", span / F.col("close")).withColumn("body_ratio", safe_div(F.col("close") - F.col("open"), span))
+        df.withColumn("range_pct", F.try_divide(span, F.col("close"))).withColumn("body_ratio", safe_div(F.col("close") - F.col("open"), span))
         .withColumn("taker_imbalance", F.when(F.col("volume") > 0, F.col("taker") / F.col("volume") - 0.5).otherwise(0.0))
     )
 
@@ -30,12 +30,12 @@ def row_features(b: Blocked) -> DataFrame:
     w = b.window
     seen = F.row_number().over(w)
     full = lambda n, x: F.when(seen >= n, x)
-    df = b.rows.withColumn("r1_", F.ln(F.col("close") / F.lag("close", 1).over(w)))
+    df = b.rows.withColumn("r1_", F.ln(F.try_divide(F.col("close"), F.lag("close", 1).over(w))))
     ma20, sd20 = F.avg("close").over(b.back(20)), F.stddev_samp("close").over(b.back(20))
     return df.select(
-        "*", F.col("r1_").alias("ret_1"), F.ln(F.col("close") / F.lag("close", 5).over(w)).alias("ret_5"), F.ln(F.col("close") / F.lag("close", 15).over(w)).alias("ret_15"),
+        "*", F.col("r1_").alias("ret_1"), F.ln(F.try_divide(F.col("close"), F.lag("close", 5).over(w))).alias("ret_5"), F.ln(F.try_divide(F.col("close"), F.lag("close", 15).over(w))).alias("ret_15"),
         full(21, F.stddev_samp("r1_").over(b.back(20))).alias("rvol_20"), full(20, safe_div(F.col("close") - ma20, sd20)).alias("bb_z_20"),
-        full(50, F.col("close") / F.avg("close").over(b.back(50)) - 1).alias("dist_ma_50"),
+        full(50, F.try_divide(F.col("close"), F.avg("close").over(b.back(50))) - 1).alias("dist_ma_50"),
         full(20, F.ln((F.col("volume") + 1e-9) / (F.avg("volume").over(b.back(20)) + 1e-9))).alias("rel_volume"),
         full(20, F.ln((F.col("trades") + 1.0) / (F.avg("trades").over(b.back(20)) + 1.0))).alias("rel_trades"),
         F.lag("close", 1).over(w).alias("prev_close"),
@@ -59,8 +59,8 @@ def with_oscillators(df: DataFrame) -> DataFrame:
     df = recurrences(df, [Recurrence("signal_", F.when(first, 0.0).otherwise(A9 * (F.col("ema12_") - F.col("ema26_"))), 1 - A9)])
     rsi = F.when(F.col("gain_") + F.col("loss_") > 0, 100 * F.col("gain_") / (F.col("gain_") + F.col("loss_"))).otherwise(50.0)
     return (
-        df.withColumn("atr_pct_14", F.col("atr_") / F.col("close")).withColumn("rsi_14", (rsi - 50) / 50)
-        .withColumn("macd_hist_pct", (F.col("ema12_") - F.col("ema26_") - F.col("signal_")) / F.col("close"))
+        df.withColumn("atr_pct_14", F.try_divide(F.col("atr_"), F.col("close"))).withColumn("rsi_14", (rsi - 50) / 50)
+        .withColumn("macd_hist_pct", F.try_divide(F.col("ema12_") - F.col("ema26_") - F.col("signal_"), F.col("close")))
         .drop("ema12_", "ema26_", "gain_", "loss_", "atr_", "signal_")
     )
 
@@ -86,10 +86,10 @@ def features_proto(bars: DataFrame) -> DataFrame:
     prev = F.lag("close", 1).over(w)
     df = b.rows.withColumn("prev_close", prev).withColumn("tr_", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close"))))
     df = df.select(
-        "*", (c / prev - 1).alias("return_1"), (c / F.lag("close", 3).over(w) - 1).alias("return_3"), (c / F.lag("close", 10).over(w) - 1).alias("roc_10"),
-        full(20, 4 * sd20 / ma20).alias("bb_width"), full(14, F.avg("tr_").over(b.back(14)) / c).alias("atr_14_pct"), full(20, (c - ma20) / ma20).alias("dist_ma_20"),
-        full(50, c / F.avg("close").over(b.back(50)) - 1).alias("dist_ma_50"), full(20, F.col("volume") / (F.avg("volume").over(b.back(20)) + 1e-6)).alias("rvol"),
-        full(20, (c - ma20 - 2 * sd20) / (ma20 + 2 * sd20)).alias("dist_to_upper"), full(20, F.when(c > ma20 + 2 * sd20, 1.0).otherwise(0.0)).alias("breakout_"),
+        "*", (F.try_divide(c, prev) - 1).alias("return_1"), (F.try_divide(c, F.lag("close", 3).over(w)) - 1).alias("return_3"), (F.try_divide(c, F.lag("close", 10).over(w)) - 1).alias("roc_10"),
+        full(20, F.try_divide(4 * sd20, ma20)).alias("bb_width"), full(14, F.try_divide(F.avg("tr_").over(b.back(14)), c)).alias("atr_14_pct"), full(20, F.try_divide(c - ma20, ma20)).alias("dist_ma_20"),
+        full(50, F.try_divide(c, F.avg("close").over(b.back(50))) - 1).alias("dist_ma_50"), full(20, F.col("volume") / (F.avg("volume").over(b.back(20)) + 1e-6)).alias("rvol"),
+        full(20, F.try_divide(c - ma20 - 2 * sd20, ma20 + 2 * sd20)).alias("dist_to_upper"), full(20, F.when(c > ma20 + 2 * sd20, 1.0).otherwise(0.0)).alias("breakout_"),
     )
     df = Blocked.home(df)
     move = F.col("close") - F.col("prev_close")
@@ -132,10 +132,10 @@ def extra_features(bars: DataFrame, short: int = 60, middle: int = 240, long: in
     b = blocked(numbered(bars), long + 1)
     w, c = b.window, F.col("close")
     full = lambda n, x: F.when(F.col("rn") >= n - 1, x)
-    df = b.rows.withColumn("r1_", F.ln(c / F.lag("close", 1).over(w))).withColumn("lr_", F.ln(F.col("high") / F.col("low"))).withColumn("lv_", F.ln(F.col("volume") + 1))
+    df = b.rows.withColumn("r1_", F.ln(F.try_divide(c, F.lag("close", 1).over(w)))).withColumn("lr_", F.ln(F.try_divide(F.col("high"), F.col("low")))).withColumn("lv_", F.ln(F.col("volume") + 1))
     rms = lambda n: full(n + 1, F.sqrt(F.avg(F.col("r1_") * F.col("r1_")).over(b.back(n))))
     df = df.select(
-        "*", F.ln(c / F.lag("close", short).over(w)).alias("ret_short"), F.ln(c / F.lag("close", middle).over(w)).alias("ret_middle"), F.ln(c / F.lag("close", long).over(w)).alias("ret_long"),
+        "*", F.ln(F.try_divide(c, F.lag("close", short).over(w))).alias("ret_short"), F.ln(F.try_divide(c, F.lag("close", middle).over(w))).alias("ret_middle"), F.ln(F.try_divide(c, F.lag("close", long).over(w))).alias("ret_long"),
         rms(short).alias("rms_short"), rms(middle).alias("rms_middle"), full(span, F.avg("lr_").over(b.back(span))).alias("mean_range"),
         full(long, F.col("lv_") - F.avg("lv_").over(b.back(long))).alias("volume_level"),
     )

@@ -131,9 +131,9 @@ def holdings(rows: pd.DataFrame, rules: Rules) -> tuple[list[Holding], np.ndarra
 
 def money(h: Holding, cash: float, rules: Rules) -> dict | None:
     """Size, fees and profit of a position opened with ``cash``; None where there is nothing to open it with."""
-    qty = cash * h.size / h.price
-    if cash <= 0 or qty <= 0:
+    if cash <= 0 or h.size <= 0 or h.price <= 0:
         return None
+    qty = cash * h.size / h.price
     rate = rules.fee_bps / 1e4
     entry_fee, exit_fee = qty * h.price * rate, qty * h.exit_price * rate
     pnl = h.side * qty * (h.exit_price - h.price) - entry_fee - exit_fee

@@ -29,7 +29,7 @@ def flow(buckets: DataFrame, short: int = 60, long: int = 300, span: int = 86_40
     ratio = lambda b, s: F.when(b + s > 0, (b - s) / (b + s)).otherwise(0.0)
     out = rows.select(
         "symbol", "sec", "home_", "day_", ratio(over("buy", short), over("sell", short)).alias("flow_short"), ratio(over("buy", long), over("sell", long)).alias("flow_long"),
-        (over("n", short) / float(short)).alias("trade_rate"), (over("notional", long) / (over("buy", long) + over("sell", long))).alias("vwap"),
+        (over("n", short) / float(short)).alias("trade_rate"), F.try_divide(over("notional", long), over("buy", long) + over("sell", long)).alias("vwap"),
     )
     return out.where("home_ = day_").drop("home_", "day_")
 
@@ -58,7 +58,7 @@ def regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30
     """
     b = blocked(numbered(bars), history + vol + 1)
     w, c = b.window, F.col("close")
-    rows = b.rows.withColumn("r1_", F.ln(c / F.lag("close", 1).over(w))).withColumn("d1_", F.abs(c - F.lag("close", 1).over(w)))
+    rows = b.rows.withColumn("r1_", F.ln(F.try_divide(c, F.lag("close", 1).over(w)))).withColumn("d1_", F.abs(c - F.lag("close", 1).over(w)))
     net, moved = c - F.lag("close", path).over(w), F.sum("d1_").over(b.back(path))
     rows = rows.select("*", F.when(F.col("rn") >= vol, F.stddev_samp("r1_").over(b.back(vol)) * F.sqrt(F.lit(float(bars_per_year)))).alias("rv"), net.alias("net_"), F.when(F.col("rn") >= path, F.when(moved > 0, F.abs(net) / moved).otherwise(0.0)).alias("efficiency"))
     past = F.collect_list("rv").over(b.back(history))
@@ -78,10 +78,10 @@ def price_context(bars: DataFrame, spans: dict[str, int], vols: dict[str, int],
     """Returns and (population) volatility in basis points over some numbers of bars, the day's high and low and the place of the close in between (0.5 if flat)."""
     b = blocked(numbered(bars), max([*spans.values(), *vols.values(), day]) + 1)
     w, c = b.window, F.col("close")
-    rows = b.rows.withColumn("r1_", F.ln(c / F.lag("close", 1).over(w)))
+    rows = b.rows.withColumn("r1_", F.ln(F.try_divide(c, F.lag("close", 1).over(w))))
     high, low = F.max("high").over(b.back(day)), F.min("low").over(b.back(day))
     rows = rows.select(
-        "*", *[(F.ln(c / F.lag("close", k).over(w)) * 1e4).alias(f"return_bps_{n}") for n, k in spans.items()],
+        "*", *[(F.ln(F.try_divide(c, F.lag("close", k).over(w))) * 1e4).alias(f"return_bps_{n}") for n, k in spans.items()],
         *[F.when(F.col("rn") >= k, F.stddev_pop("r1_").over(b.back(k)) * 1e4).alias(f"vol_bps_{n}") for n, k in vols.items()],
         high.alias("high_day"), low.alias("low_day"), F.when(high > low, F.round((c - low) / (high - low), 2)).otherwise(0.5).alias("pos_in_day"),
     )

@@ -55,16 +55,32 @@ def _averages(s: dict | None, bar) -> dict:
     }
 
 
-def _features(s: dict, bar) -> list[float]:
+def _ratio(a: float, b: float) -> float | None:
+    return a / b if b else None
+
+
+def _log(a: float, b: float) -> float | None:
+    """ln(a / b), none where a price is 0."""
+    return math.log(a / b) if a > 0 and b > 0 else None
+
+
+def _deviation(close: np.ndarray) -> float | None:
+    """Sample deviation of the one-bar log returns, those to or from a price of 0 left out."""
+    there = (close[1:] > 0) & (close[:-1] > 0)
+    ret = np.log(close[1:][there] / close[:-1][there])
+    return float(ret.std(ddof=1)) if len(ret) > 1 else None
+
+
+def _features(s: dict, bar) -> list[float | None]:
     close, volume, trades = (np.array(x) for x in zip(*s["bars"]))
-    ret = np.diff(np.log(close[-21:]))
+    far = _ratio(close[-1], close[-50:].mean())
     sd20 = close[-20:].std(ddof=1)
     span, both = bar.high - bar.low, s["gain"] + s["loss"]
     rsi = 100 * s["gain"] / both if both > 0 else 50.0
     return [
-        math.log(close[-1] / close[-2]), math.log(close[-1] / close[-6]), math.log(close[-1] / close[-16]), ret.std(ddof=1), (close[-1] - close[-20:].mean()) / sd20 if sd20 > 0 else 0.0,
-        close[-1] / close[-50:].mean() - 1, s["atr"] / close[-1], (rsi - 50) / 50, (s["e12"] - s["e26"] - s["sig"]) / close[-1], math.log((volume[-1] + 1e-9) / (volume[-20:].mean() + 1e-9)),
-        span / close[-1], (bar.close - bar.open) / span if span > 0 else 0.0, bar.taker / bar.volume - 0.5 if bar.volume > 0 else 0.0, math.log((trades[-1] + 1) / (trades[-20:].mean() + 1)),
+        _log(close[-1], close[-2]), _log(close[-1], close[-6]), _log(close[-1], close[-16]), _deviation(close[-21:]), (close[-1] - close[-20:].mean()) / sd20 if sd20 > 0 else 0.0,
+        None if far is None else far - 1, _ratio(s["atr"], close[-1]), (rsi - 50) / 50, _ratio(s["e12"] - s["e26"] - s["sig"], close[-1]), math.log((volume[-1] + 1e-9) / (volume[-20:].mean() + 1e-9)),
+        _ratio(span, close[-1]), (bar.close - bar.open) / span if span > 0 else 0.0, bar.taker / bar.volume - 0.5 if bar.volume > 0 else 0.0, math.log((trades[-1] + 1) / (trades[-20:].mean() + 1)),
     ]
 
 
@@ -103,9 +119,11 @@ def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: i
             closes = np.array(s["closes"])
             rv = None
             if len(closes) > vol:
-                rv = float(np.diff(np.log(closes[-(vol + 1) :])).std(ddof=1) * math.sqrt(bars_per_year))
-                s["rv"] = [*s["rv"][-(history - 1) :], rv]
-            share = float(np.mean(np.array(s["rv"]) <= rv)) if rv is not None and len(s["rv"]) >= enough else 0.5
+                rv = _deviation(closes[-(vol + 1) :])
+                rv = rv if rv is None else rv * math.sqrt(bars_per_year)
+                s["rv"] = [*s["rv"], rv][-history:]
+            past = [x for x in s["rv"] if x is not None]
+            share = float(np.mean(np.array(past) <= rv)) if rv is not None and len(past) >= enough else 0.5
             net, efficiency = 0.0, None
             if len(closes) > path:
                 steps = np.abs(np.diff(closes[-(path + 1) :])).sum()
