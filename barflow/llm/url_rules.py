@@ -62,11 +62,11 @@ def tokens_of(url: str = "url", host: str = "host", path: str = "path") -> F.Col
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_items: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (rule_id, items, confidence, support) whose tokens together speak for blocking.
 
     ``labelled`` has tokens ARRAY<STRING> and blocked BOOLEAN. FP-growth mines token sets at ``min_support``; rules towards the block label are kept
-    with ``min_confidence``, at most ``max_items`` tokens, and only where no shorter rule inside it is as confident. No labelled row gives no rule.
+    with ``min_confidence``, and only where no shorter rule inside it is as confident. No labelled row gives no rule.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
@@ -74,14 +74,21 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_ite
     if rows.isEmpty():
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= max_items))
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
     rules = cut_lineage(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
-    small, inner = rules.alias("a"), rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure")).alias("b")
-    # a shorter rule inside a longer one shares its first token with it, so they meet on a token
-    longer = small.withColumn("token", F.explode("items")).join(inner.withColumn("token", F.col("less")[0]), "token")
-    beaten = longer.where("size(less) < size(items) AND sure >= confidence AND size(array_except(less, items)) = 0").select("items").distinct()
-    kept = rules.join(beaten, "items", "left_anti")
-    return cut_lineage(kept.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support"))
+    # shorter rules first: what beats a rule is itself kept or beaten by a kept one, so each size meets the kept rules only
+    sizes = sorted(r[0] for r in rules.select(F.size("items")).distinct().collect())
+    kept = None
+    for size in sizes:
+        longer = rules.where(F.size("items") == size)
+        if kept is not None:
+            # a shorter rule inside a longer one shares its first token with it, so they meet on a token
+            inner = kept.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.col("items")[0].alias("token"))
+            met = longer.withColumn("token", F.explode("items")).join(inner, "token")
+            beaten = met.where("sure >= confidence AND size(array_except(less, items)) = 0").select("items").distinct()
+            longer = kept.unionByName(longer.join(beaten, "items", "left_anti").select(*kept.columns))
+        kept = cut_lineage(longer)
+    return empty if kept is None else cut_lineage(kept.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support"))
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -104,14 +111,14 @@ def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages``.
 
-    A URL that a rule fits has its verdict. These URLs, with their verdicts as labels, are what FP-growth learns from; a URL that no rule fits is blocked if
-    a mined rule matches its tokens, else allowed. Support counts distinct URLs. Null URLs and URLs without '://' have empty host and path, no rule
+    A URL that a rule fits has its verdict. FP-growth learns from all distinct URLs, those that no rule fits as not blocked, so that support and confidence
+    are shares of all URLs; a URL that no rule fits is blocked if a mined rule matches its tokens, else allowed. Null URLs and URLs without '://' have empty host and path, no rule
     and no token, and are allowed. Repeated URLs keep their rows; columns of ``pages`` called host, path, rule or verdict are replaced.
     """
     plain = pages.select(F.col(f"`{url}`").alias("url_")).distinct()
     parts = plain.withColumn("host_", host_of("url_")).withColumn("path_", path_of("url_"))
     known = cut_lineage(parts.withColumn("found_", fitting_rule(rules, "host_", "path_")).withColumn("tokens", tokens_of("url_", "host_", "path_")))
-    mined = mine(known.where("found_ IS NOT NULL").select("tokens", (F.col("found_.verdict") == "block").alias("blocked")), min_support, min_confidence)
+    mined = mine(known.select("tokens", F.coalesce(F.col("found_.verdict") == "block", F.lit(False)).alias("blocked")), min_support, min_confidence)
     open_ = known.where("found_ IS NULL")
     blocked = match(open_, mined, "url_").select("url_", F.lit("block").alias("verdict_"))
     named = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("found_", fitting_rule(rules))

@@ -154,6 +154,23 @@ def test_mined_rules_match_as_brute_force(spark):
     assert got == expected
 
 
+def test_urls_without_a_rule_speak_against_mined_rules(spark):
+    urls = [f"http://a.net/es/{i}" for i in range(30)] + [f"http://b.net/en/{i}" for i in range(60)] + [f"http://example.com/en/{i}" for i in range(30)]
+    out = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()
+    assert {r.verdict for r in out if r.rule is None} == {"allow"} and sum(r.rule is None for r in out) == 60
+    # nine in ten .shop URLs with cheap in the path are blocked by the policy: the tenth is blocked by what they have in common
+    urls = [f"http://s{i}.shop/es/cheap" for i in range(95)] + [f"http://s{i}.shop/de/cheap" for i in range(5)] + [f"http://t{i}.org/de/x" for i in range(50)]
+    out = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "shop", "/es/")]).collect()
+    assert {(r.host[0], r.verdict) for r in out if r.rule is None} == {("s", "block"), ("t", "allow")}
+
+
+def test_long_rules_are_mined(spark):
+    rows = [(list("abcdef"), True)] * 20 + [([x for x in "abcdef" if x != y], False) for y in "abcdef"] * 10
+    mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.02, 0.9)
+    assert [("".join(r["items"]), r.confidence, r.support) for r in mined.collect()] == [("abcdef", 1.0, 0.25)]
+    assert url_rules.match(spark.createDataFrame([(1, list("abcdefg")), (2, list("abcde"))], "url_ long, tokens array<string>"), mined, "url_").collect()[0].url_ == 1
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 
