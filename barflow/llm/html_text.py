@@ -14,6 +14,8 @@ SKIPPED = frozenset("script style noscript template head title svg math iframe o
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
+#: Parts of the site that a region without a container does not grow across.
+FENCES = frozenset("nav footer header menu".split())
 #: Words in class, id or role that name a part outside the article.
 OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments comment-list respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
 #: Of these, the words that rule out an article or main element too, and those that name a part of it.
@@ -25,10 +27,10 @@ SIGMA = 1.0
 class Line:
     """A block of text with the tags that stood in it."""
 
-    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside")
+    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside", "fence")
 
-    def __init__(self, home: int, outside: bool):
-        self.parts, self.tags, self.chars, self.linked, self.home, self.outside = [], 0, 0, 0, home, outside
+    def __init__(self, home: int, outside: bool, fence: bool):
+        self.parts, self.tags, self.chars, self.linked, self.home, self.outside, self.fence = [], 0, 0, 0, home, outside, fence
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -43,14 +45,14 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int]] = []  # tag, opens an outside part, container
-        self.containers = 0
-        self.outside = 0
-        self.line = Line(0, False)
+        self.parents = [0]  # of each container, the one around it; 0 is the page
+        self.outside = self.fences = 0
+        self.line = Line(0, False, False)
 
     def _break(self) -> None:
         if self.line.parts or self.line.tags:
             self.lines.append(self.line)
-        self.line = Line(self.open[-1][2] if self.open else 0, self.outside > 0)
+        self.line = Line(self.open[-1][2] if self.open else 0, self.outside > 0, self.fences > 0)
 
     def handle_starttag(self, tag, attrs):
         self.line.tags += 1
@@ -68,14 +70,15 @@ class Lines(HTMLParser):
         out = tag in SKIPPED or self._names_outside(tag, attrs)
         home = self.open[-1][2] if self.open else 0
         if tag in CONTENT:
-            self.containers += 1
-            home = self.containers
+            self.parents.append(home)
+            home = len(self.parents) - 1
         if tag in BLOCKS or out:
             self._break()
         self.open.append((tag, out, home))
         self.outside += out
+        self.fences += out and tag in FENCES
         if tag in BLOCKS or out:
-            self.line.home, self.line.outside = home, self.outside > 0
+            self.line.home, self.line.outside, self.line.fence = home, self.outside > 0, self.fences > 0
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -110,8 +113,9 @@ class Lines(HTMLParser):
         self._break()
         for tag, out, _ in self.open[at:]:
             self.outside -= out
+            self.fences -= out and tag in FENCES
         del self.open[at:]
-        self.line.home, self.line.outside = (self.open[-1][2] if self.open else 0), self.outside > 0
+        self.line.home, self.line.outside, self.line.fence = (self.open[-1][2] if self.open else 0), self.outside > 0, self.fences > 0
 
     def _close_paragraph(self) -> None:
         at = self._find("p", ("article", "main", "div", "section", "td", "li", "blockquote", "body", "aside", "nav", "footer", "header", "form"))
@@ -151,13 +155,27 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[width : width + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[width : width + len(ratios)]
 
 
+def _grown(lines: list[Line], at: int, step: int) -> int:
+    """The last line from ``at`` on, in steps, before a fence or a run of two lines that are mostly links; parts outside the article are crossed."""
+    end, links, nxt = at, 0, at + step
+    while 0 <= nxt < len(lines) and not lines[nxt].fence and links < 2:
+        x = lines[nxt]
+        if not x.outside and x.chars:
+            links = links + 1 if 2 * x.linked > x.chars else 0
+            end = end if links else nxt
+        nxt += step
+    return end
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one newline; empty if there are none.
 
     Lines (blocks of text between block-level tags) get the ratio of their characters to their tags, not counting linked text and parts outside the
-    article; the ratios are smoothed, and lines above half of their standard deviation are clusters of content. The content
-    region is the article or main element with the most characters in clusters, whole, else every line from the first to the last cluster.
-    A short page whose lines all fall below the threshold keeps its region too. Malformed markup is read as far as it goes.
+    article; the ratios are smoothed, and lines above half of their standard deviation are clusters of content. A short page whose lines all fall below
+    the threshold keeps its region too. The content region is the outermost article or main element that holds most of the characters in clusters,
+    whole with what is nested in it, and each other outermost one that holds clusters; where all its plain text stands in one nested element, that one.
+    Where none holds most, it is every line from the first to the last cluster, grown over the lines around up to the site's navigation, header or footer
+    or a run of links. Malformed markup is read as far as it goes.
     """
     if not html:
         return ""
@@ -171,16 +189,29 @@ def main_text(html: str | None) -> str:
     content = (level >= max(level.std() / 2, 1e-9)) & (ratios > 0)
     if not content.any():
         content = ratios > 0
-    weight: dict[int, int] = {}
+    parents = parser.parents
+    clustered, plain = [0] * len(parents), [0] * len(parents)
     for x, c in zip(lines, content):
-        if x.home and not x.outside:
-            weight[x.home] = weight.get(x.home, 0) + (x.chars if c else 0)
-    if weight:
-        home = max(weight, key=lambda h: (weight[h], -h))
-        chosen = [x for x in lines if x.home == home and not x.outside]
+        if not x.outside:
+            clustered[x.home] += x.chars if c else 0
+            plain[x.home] += x.chars - x.linked
+    for home in range(len(parents) - 1, 0, -1):  # a container comes after the one around it
+        clustered[parents[home]] += clustered[home]
+        plain[parents[home]] += plain[home]
+    taken = [False] * len(parents)
+    for home in range(1, len(parents)):
+        around = parents[home]
+        if around:
+            taken[home] = taken[around]
+            if taken[around] and plain[home] == plain[around]:
+                taken[around] = False
+        else:
+            taken[home] = clustered[home] > 0
+    if any(not parents[h] and 2 * clustered[h] > clustered[0] for h in range(1, len(parents))):
+        chosen = [x for x in lines if taken[x.home] and not x.outside]
     else:
         at = np.flatnonzero(content)
-        chosen = [x for x in lines[at[0] : at[-1] + 1] if not x.outside] if len(at) else []
+        chosen = [x for x in lines[_grown(lines, at[0], -1) : _grown(lines, at[-1], 1) + 1] if not x.outside] if len(at) else []
     return "\n".join(t for x in chosen if (t := x.text()))
 
 

@@ -274,6 +274,24 @@ def test_main_text(name):
     assert html_text.main_text(html) == text
 
 
+LONG = ("many words of a long paragraph " * 12).strip()
+REGIONS = {
+    "teaser beside the text": (f"<body><nav><a href=a>x</a></nav><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><article class=card><h3>Teaser</h3></article><article> </article></body>", ["T", LONG, LONG], []),
+    "text around an article": (f"<main><h1>Title</h1><p>The lead of it.</p><article><p>{LONG}</p></article><p>The end.</p></main>", ["Title", "The lead of it.", LONG, "The end."], []),
+    "several articles": (f"<body><article><h1>A</h1><p>{LONG}</p></article><article><p>{LONG[:200]}</p></article><article><p>{LONG[:100]}</p></article></body>", ["A", LONG, LONG[:200].strip(), LONG[:100].strip()], []),
+    "skew": ("<body><header>Site</header><div><p>A short lead.</p><p>Then one.</p><p>Then two.</p><p>Then three.</p><div class=ad>Buy</div><p>Then four.</p><p>Then five.</p><p>" + LONG * 60 + "</p><p>One more.</p><p>Two more.</p><p>Three more.</p><p>Four more.</p><p>Closing.</p>"
+             "</div><div><a href=a>Link one</a></div><div><a href=b>Link two</a></div><div>Imprint</div></body>", ["A short lead.", "Then four.", "Four more.", "Closing."], ["Site", "Buy", "Link one", "Imprint"]),
+    "links around": (f"<main><p><a href=a>Back</a></p><article><p>{LONG}</p></article></main>", [LONG], ["Back"]),
+}
+
+
+@pytest.mark.parametrize("name", REGIONS)
+def test_region_is_whole(name):
+    html, kept, left = REGIONS[name]
+    lines = html_text.main_text(html).split("\n")
+    assert [x for x in lines if x in kept] == kept and not [x for x in lines if x in left]
+
+
 def test_main_text_of_rows(spark, sf_dir):
     df = spark.createDataFrame([(1, None, "kept"), (2, PAGES["plain"][0], None)], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in html_text.with_main_text(df).orderBy("page_id").collect()] == [(1, ""), (2, PAGES["plain"][1])]
