@@ -16,9 +16,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTENT = frozenset(("article", "main"))
 #: Parts of the site that a region without a container does not grow across.
 FENCES = frozenset("nav footer header menu".split())
-#: Words in class, id or role that name a part outside the article.
+#: Whole words in class, id or role that name a part outside the article, and compounds that do.
 OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments comment-list respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
-#: Of these, the words that rule out an article or main element too, and those that name a part of it.
+COMPOUNDS = frozenset("ad-slot ad-unit ad-banner ad-box ad-container ad-wrapper ads-banner google-ad adsbygoogle sponsored-content sponsored-post cookie-banner cookie-bar cookie-consent cookie-notice cookie-law cookie-policy-banner consent-banner gdpr-banner gdpr-notice site-notice site-header site-footer site-nav site-navigation page-footer main-nav main-menu main-navigation nav-menu nav-bar nav-links top-nav side-nav primary-menu primary-nav menu-bar top-bar breadcrumb-nav breadcrumb-trail post-navigation page-navigation comment-body comment-form comment-respond comment-section comments-area comments-section user-comments disqus-thread share-bar share-box share-buttons share-links sharing-buttons social-icons social-links social-media social-share related-articles related-content related-links related-posts recommended-articles recommended-posts newsletter-form newsletter-signup subscribe-form login-form search-bar search-box search-form left-sidebar right-sidebar sidebar-widget widget-area modal-dialog popup-overlay skip-link".split())
+#: Words with a plain meaning too; dense prose overrules them, see :meth:`Lines.finish`.
+DOUBTFUL = frozenset("banner header masthead notice notices notification alert share sharing social related recommended search skip promo promotion".split())
+PROSE_CHARS, PROSE_RATIO = 200, 80
+#: Of the words, those that rule out an article or main element too, and those that name a part of it.
 OUTSIDE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser widget cookie consent newsletter".split())
 OF_ARTICLE = frozenset("header masthead".split())
 SIGMA = 1.0
@@ -27,32 +31,51 @@ SIGMA = 1.0
 class Line:
     """A block of text with the tags that stood in it."""
 
-    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside", "fence")
+    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside", "fence", "named")
 
-    def __init__(self, home: int, outside: bool, fence: bool):
-        self.parts, self.tags, self.chars, self.linked, self.home, self.outside, self.fence = [], 0, 0, 0, home, outside, fence
+    def __init__(self, home: int, outside: bool, fence: bool, named: int):
+        self.parts, self.tags, self.chars, self.linked, self.home, self.outside, self.fence, self.named = [], 0, 0, 0, home, outside, fence, named
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
+class Named:
+    """A part that its class, id or role calls outside the article, until what it holds says otherwise; ``around`` is the number of the next one around it."""
+
+    __slots__ = ("around", "sure", "doubtful", "lifted")
+
+    def __init__(self, around: int, words: set[str]):
+        self.around, self.lifted = around, False
+        self.sure, self.doubtful = any(not OUTSIDE_ARTICLE.isdisjoint(w.split("-")) for w in words), words <= DOUBTFUL
+
+
 class Lines(HTMLParser):
-    """Turns parser events into lines; each knows its content container and whether it stands in a part outside the article."""
+    """Turns parser events into lines; each knows its content container and whether it stands in a part outside the article.
+
+    Elements that never hold text and hidden ones are left out at once; named parts keep their text until the page has been read.
+    """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, opens an outside part, container
+        self.open: list[tuple[str, int, int, int]] = []  # tag, opens an outside part (1) or a named one (2), container, innermost named part
         self.parents = [0]  # of each container, the one around it; 0 is the page
         self.outside = self.fences = 0
-        self.line = Line(0, False, False)
+        self.named: list[Named] = [Named(0, set())]  # 0 is the page
+        self.line = Line(0, False, False, 0)
 
     def _break(self) -> None:
         if self.line.parts or self.line.tags:
             self.lines.append(self.line)
-        self.line = Line(self.open[-1][2] if self.open else 0, self.outside > 0, self.fences > 0)
+        self.line = Line(0, False, False, 0)
+        self._place()
+
+    def _place(self) -> None:
+        _, _, self.line.home, self.line.named = self.open[-1] if self.open else ("", 0, 0, 0)
+        self.line.outside, self.line.fence = self.outside > 0, self.fences > 0
 
     def handle_starttag(self, tag, attrs):
         self.line.tags += 1
@@ -63,43 +86,62 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self._break()
             return
-        if tag in BLOCKS and any(t == "p" for t, _, _ in self.open[-8:]):
+        if tag in BLOCKS and any(t == "p" for t, *_ in self.open[-8:]):
             self._close_paragraph()
         if tag == "li" and (at := self._find("li", ("ul", "ol"))) is not None:
             self._pop(at)
-        out = tag in SKIPPED or self._names_outside(tag, attrs)
-        home = self.open[-1][2] if self.open else 0
+        _, _, home, named = self.open[-1] if self.open else ("", 0, 0, 0)
+        words = self._words_outside(tag, attrs)
+        out = 1 if tag in SKIPPED or words is None else 2 if words else 0
         if tag in CONTENT:
             self.parents.append(home)
             home = len(self.parents) - 1
+            if not out and not self.outside:
+                self._lift(named, tag)
         if tag in BLOCKS or out:
             self._break()
-        self.open.append((tag, out, home))
-        self.outside += out
-        self.fences += out and tag in FENCES
+        if out == 2:
+            self.named.append(Named(named, words))
+            named = len(self.named) - 1
+        self.open.append((tag, out, home, named))
+        self.outside += out == 1
+        self.fences += out == 1 and tag in FENCES
         if tag in BLOCKS or out:
-            self.line.home, self.line.outside, self.line.fence = home, self.outside > 0, self.fences > 0
+            self._place()
+
+    def _lift(self, named: int, tag: str) -> None:
+        """A part with an article or main element in it is layout, not outside; comments, teasers and the like have articles of their own."""
+        while named:
+            part = self.named[named]
+            if part.sure and tag != "main":
+                return
+            if part.lifted:
+                return
+            part.lifted = True
+            named = part.around
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _names_outside(self, tag, attrs) -> bool:
+    def _words_outside(self, tag, attrs) -> set[str] | None:
+        """The words that name a part outside the article; None for what is never shown as text of it."""
+        found: set[str] = set()
         if tag in ("html", "body"):
-            return False
-        inside = any(t in CONTENT for t, _, _ in self.open)
+            return found
+        inside = any(t in CONTENT for t, *_ in self.open)
         if tag == "header":
-            return not inside
-        named = OUTSIDE_ARTICLE if tag in CONTENT else OUTSIDE - OF_ARTICLE if inside else OUTSIDE
+            return found if inside else None
+        listed = OUTSIDE_ARTICLE if tag in CONTENT else OUTSIDE - OF_ARTICLE if inside else OUTSIDE
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
                 for word in value.lower().replace("_", "-").split():
-                    if word in named or not named.isdisjoint(word.split("-")):
-                        return True
+                    if word in listed or word in COMPOUNDS and (tag not in CONTENT or not OUTSIDE_ARTICLE.isdisjoint(word.split("-"))):
+                        found.add(word)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.lower().replace(" ", ""):
-                return True
-        return False
+                return None
+        return found
 
     def _find(self, tag, stop=()):
         for at in range(len(self.open) - 1, -1, -1):
@@ -111,11 +153,11 @@ class Lines(HTMLParser):
 
     def _pop(self, at) -> None:
         self._break()
-        for tag, out, _ in self.open[at:]:
-            self.outside -= out
-            self.fences -= out and tag in FENCES
+        for tag, out, *_ in self.open[at:]:
+            self.outside -= out == 1
+            self.fences -= out == 1 and tag in FENCES
         del self.open[at:]
-        self.line.home, self.line.outside, self.line.fence = (self.open[-1][2] if self.open else 0), self.outside > 0, self.fences > 0
+        self._place()
 
     def _close_paragraph(self) -> None:
         at = self._find("p", ("article", "main", "div", "section", "td", "li", "blockquote", "body", "aside", "nav", "footer", "header", "form"))
@@ -127,8 +169,8 @@ class Lines(HTMLParser):
         at = self._find(tag)
         if at is None:
             return
-        if tag not in BLOCKS and not any(out for _, out, _ in self.open[at:]):
-            if all(t not in BLOCKS for t, _, _ in self.open[at:]):
+        if tag not in BLOCKS and not any(out for _, out, *_ in self.open[at:]):
+            if all(t not in BLOCKS for t, *_ in self.open[at:]):
                 del self.open[at:]  # inline: the line goes on
             return
         self._pop(at)
@@ -139,12 +181,24 @@ class Lines(HTMLParser):
         self.line.parts.append(data)
         n = len(data) - data.count(" ")
         self.line.chars += n
-        if any(t == "a" for t, _, _ in self.open[-3:]):
+        if any(t == "a" for t, *_ in self.open[-3:]):
             self.line.linked += n
 
     def finish(self) -> list[Line]:
+        """All lines. A part with doubtful names only is lifted where its lines are dense prose: PROSE_CHARS and more, PROSE_RATIO of them a tag."""
         self.close()
         self._break()
+        plain, tags = [0] * len(self.named), [0] * len(self.named)
+        for x in self.lines:
+            plain[x.named] += x.chars - x.linked
+            tags[x.named] += x.tags if x.chars else 0
+        outside = [False] * len(self.named)
+        for at in range(1, len(self.named)):
+            part = self.named[at]
+            prose = part.doubtful and plain[at] >= PROSE_CHARS and plain[at] >= PROSE_RATIO * max(1, tags[at])
+            outside[at] = outside[part.around] or not (part.lifted or prose)
+        for x in self.lines:
+            x.outside = x.outside or outside[x.named]
         return self.lines
 
 

@@ -292,6 +292,25 @@ def test_region_is_whole(name):
     assert [x for x in lines if x in kept] == kept and not [x for x in lines if x in left]
 
 
+NAMES = [
+    *[f"<body><div {w}><article><p>{LONG}</p><p>{{}}</p></article></div></body>" for w in ("class='content with-sidebar'", "id=page class=no-sidebar", "class=has-banner", "class=sidebar", "id=header", "class='search menu'")],
+    *[f"<article><p>{LONG}</p><div class='{w}'><p>{{}}</p></div></article>" for w in ("share-price", "search-results", "related-work", "social-science", "notice-period")],
+    f"<article><p>Short.</p><div class=notice><p>{LONG} {{}}</p></div></article>", f"<div class=related><main><p>{LONG}</p><p>{{}}</p></main></div>",
+]
+
+
+@pytest.mark.parametrize("html", NAMES)
+def test_names_of_layout_and_subjects_stay(html):
+    assert html_text.main_text(html.format("kept to the last word")).endswith("kept to the last word")
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-banner", "comments", "comment-body", "site-notice", "share_buttons", "related-posts", "notice"])
+def test_named_parts_are_left_out(name):
+    part = f"<div class='{name}'><p>left <a href=x>out</a></p></div>"
+    assert html_text.main_text(f"<article><p>{LONG}</p>{part}<p>End.</p></article>") == LONG + "\nEnd."
+    assert html_text.main_text(f"<body>{part}<div class=comments><article><p>{LONG}</p></article></div><main><p>{LONG}</p><p>End.</p></main></body>") == LONG + "\nEnd."
+
+
 def test_main_text_of_rows(spark, sf_dir):
     df = spark.createDataFrame([(1, None, "kept"), (2, PAGES["plain"][0], None)], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in html_text.with_main_text(df).orderBy("page_id").collect()] == [(1, ""), (2, PAGES["plain"][1])]
