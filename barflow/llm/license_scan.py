@@ -13,6 +13,7 @@ SPAN = 16
 STEP = 8
 BANDS = 4
 CONTAINED = 0.8
+HIT = "array<struct<license:string,containment:double,first_word:int,places:int>>"
 
 #: Notices and grants of public licenses, worded as published.
 TEMPLATES = {
@@ -32,6 +33,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Notices of fewer than WORDS words, found as whole word sequences only.
+PHRASES = {"All rights reserved": "All rights reserved."}
+
 _MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 63) - 1) | 1 for i in range(BANDS)]
 
 
@@ -75,7 +79,7 @@ def index_templates(spark: SparkSession, templates: dict[str, str]) -> list[dict
 
     A template of fewer than SPAN shingles is retrieved by windows of one shingle, whose MinHash is the shingle in every band; a longer one by
     windows of SPAN at every offset, so that an unchanged stretch of SPAN + STEP shingles holds a window of the document that also is one of the template.
-    A template under five words raises ValueError.
+    A template under five words raises ValueError: it is a phrase, see :func:`scan`.
     """
     short = [name for name, text in templates.items() if len(re.findall(r"[^\W_]+", text)) < WORDS]
     if short:
@@ -86,22 +90,54 @@ def index_templates(spark: SparkSession, templates: dict[str, str]) -> list[dict
     return [r.asDict() | {"shingles": list(dict.fromkeys(r["ordered"]))} for r in sorted(made)]
 
 
+def index_phrases(spark: SparkSession, phrases: dict[str, str]) -> list[dict]:
+    """Number of words and hash of the whole word sequence of each phrase, gathered to the driver. A phrase without words raises ValueError."""
+    if not phrases:
+        return []
+    rows = spark.createDataFrame(list(phrases.items()), "name string, text string")
+    made = rows.select("name", let(word_hashes(F.col("text")), lambda h: F.struct(F.size(h).alias("words"), h.alias("hashes"))).alias("p")).select("name", "p.words", "p.hashes").collect()
+    if empty := [r["name"] for r in made if not r["words"]]:
+        raise ValueError(f"phrases without words: {empty}")
+    return [r.asDict() for r in sorted(made)]
+
+
+def _said(hashed: F.Column, phrase: dict) -> F.Column:
+    """Row of a phrase for a text with these word hashes; null where its words do not stand in a row."""
+    own = phrase["hashes"]
+    starts = F.filter(
+        F.transform(hashed, lambda x, i: F.when(x == own[0], F.when(_all(F.get(hashed, i + k) == own[k] for k in range(1, len(own))), i))), lambda i: i.isNotNull()
+    )
+    row = lambda at: F.when(F.size(at) > 0, F.struct(F.lit(phrase["name"]).alias("license"), F.lit(1.0).alias("containment"), F.get(at, F.lit(0)).alias("first_word"), F.size(at).alias("places")))
+    return F.when(F.array_contains(hashed, own[0]), let(starts, row))
+
+
+def _all(tests) -> F.Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
 def _literal(values: list[int]) -> F.Column:
     """One constant for a whole list: an array of thousands of constants takes the optimizer seconds."""
     return F.from_json(F.lit(str(values)), "array<bigint>")
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
+def scan(
+    df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", contained: float = CONTAINED, phrases: dict[str, str] | None = None
+) -> DataFrame:
     """One row (id, license, containment, first_word, places) for each row of ``df`` and template that its text contains.
 
     containment is the largest share of the template's distinct shingles within one stretch of the text, a quarter longer than the template at either end;
     first_word the place of the first stretch that reaches ``contained``, counted in words from 0; places how many starts of such stretches there are.
 
     Short templates are always retrieved. For a long one, a window that overlaps a template window with Jaccard likeness j is missed with probability
-    (1 - j)^4: 0.2 % at 0.8, and a copy has a window for every eight shingles. Null and empty texts and those under five words contain nothing.
+    (1 - j)^4: 0.2 % at 0.8, and a copy has a window for every eight shingles. Null and empty texts contain nothing, those under five words no template.
+    ``phrases`` are notices of any number of words that count only as their whole word sequence, with containment 1; texts under five words have them too.
     Null and repeated ids keep their rows. Texts are scanned whole; rows are never shuffled. Other columns are not looked at.
     """
     index = index_templates(df.sparkSession, TEMPLATES if templates is None else templates)
+    said = index_phrases(df.sparkSession, phrases or {})
     long_ = [t for t in index if len(t["ordered"]) >= SPAN]
     short = [t for t in index if len(t["ordered"]) < SPAN]
     all_keys, all_shingles = (_literal(sorted({k for t in part for k in t[name]})) for part, name in ((long_, "keys"), (short, "shingles")))
@@ -119,8 +155,14 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
         retrieved = lambda keys: F.when(F.arrays_overlap(keys, all_keys) | F.arrays_overlap(sh, all_shingles), found(sh, keys))
         return let(F.array_distinct(window_keys(sh, STEP)), retrieved)
 
+    def rows_of(h: F.Column) -> F.Column:
+        own = let(shingles_of(h), hits)
+        if not said:
+            return own
+        return F.concat(F.coalesce(own, F.array().cast(HIT)), F.filter(F.array(*[_said(h, p) for p in said]).cast(HIT), lambda r: r.isNotNull()))
+
     # an outer explode: Spark would push the test for hits of a plain one below, and make the hits twice
-    rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.explode_outer(let(word_hashes(F.col(f"`{text}`")), lambda h: let(shingles_of(h), hits))).alias("hit_"))
+    rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.explode_outer(let(word_hashes(F.col(f"`{text}`")), rows_of)).alias("hit_"))
     return rows.where("hit_ IS NOT NULL").select(id_col, "hit_.*")
 
 

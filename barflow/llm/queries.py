@@ -65,7 +65,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), phrases=license_scan.PHRASES)
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,20 @@ def test_license_scan(spark, texts):
     assert license_scan.scan(frame(spark, [])).collect() == []
 
 
+def test_phrases(spark, sf_dir):
+    texts = ["All rights reserved", "(c) 2020. ALL  RIGHTS\nRESERVED! all rights reserved", "all rights are reserved", "All rights", None, "", "x " * 30 + "all all rights reserved. Released under the MIT License."]
+    got = sorted((r.doc_id, r.license, r.containment, r.first_word, r.places) for r in license_scan.scan(frame(spark, texts), phrases=license_scan.PHRASES).collect())
+    assert got == [(0, "All rights reserved", 1.0, 0, 1), (1, "All rights reserved", 1.0, 2, 2), (6, "All rights reserved", 1.0, 31, 1), (6, "MIT notice", 1.0, 34, 1)]
+    with pytest.raises(ValueError):
+        license_scan.scan(frame(spark, []), phrases={"none": "..."})
+    from barflow.llm import queries
+
+    found = {r.doc_id for r in queries.op7_license_scan(spark, "/root/testdata/sf0.01").where("license = 'All rights reserved'").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    expected = {r.doc_id for r in docs if " all rights reserved " in " " + " ".join(regex.findall(r"[\p{L}\p{N}]+", (r.text or "").lower())) + " "}
+    assert found == expected and expected
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 PAGES = {
