@@ -246,3 +246,17 @@ def test_frames_that_do_not_parse(spark):
     frames = spark.createDataFrame([("nonsense",), ('{"stream": "x@aggTrade", "data": {"s": "X", "p": "oops", "q": "2", "T": 7, "m": true}}',), ('{"stream": "x@kline_1m", "data": {"k": {"s": "X", "t": 1, "c": "5", "v": "1", "x": false}}}',), (None,)], "raw string")
     got = R.decode(frames).collect()
     assert [(r.kind, r.symbol, r.place, r.price, r.qty, r.flag) for r in got] == [("trade", "X", 7, None, 2.0, True)]
+
+
+def test_sweep_tries_the_whole_grid(spark, sf_dir, monkeypatch):
+    from barflow.catalog import ledgers
+
+    grid, trades = [], ledger.trades
+
+    def seen(rows, configs):
+        grid.append({tuple(r[0].split("|")) for r in rows.select("run").distinct().collect()})
+        return trades(rows, configs)
+
+    monkeypatch.setattr(ledgers.G, "trades", seen)
+    ledgers.ledger_sweep(spark, sf_dir)
+    assert {int(q) for *_, q in grid[0]} == set(range(7)) and len(grid[0]) == 2 * 2 * 7 * len({h for _, _, h, _ in grid[0]})
