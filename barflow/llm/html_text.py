@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that never hold text of an article, those that start a new line, and those without an end tag.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object embed canvas audio video map select option textarea button input form nav footer aside menu dialog datalist fieldset".split())
+SKIPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe object embed canvas audio video map select option textarea button input nav footer aside menu dialog datalist fieldset".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements without a place in BLOCKS that end the line around them where they are left out; others are left out of the middle of it.
+APART = frozenset("nav footer aside menu dialog head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
 #: Parts of the site that a region without a container does not grow across.
@@ -25,16 +27,18 @@ PROSE_CHARS, PROSE_RATIO = 200, 80
 #: Of the words, those that rule out an article or main element too, and those that name a part of it.
 OUTSIDE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser widget cookie consent newsletter".split())
 OF_ARTICLE = frozenset("header masthead".split())
+#: What stands for the name of a form that is not within an article: some sites put the whole page in one.
+PAGE_FORM = "<form>"
 SIGMA = 1.0
 
 
 class Line:
     """A block of text with the tags that stood in it."""
 
-    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside", "fence", "named")
+    __slots__ = ("parts", "tags", "chars", "linked", "home", "outside", "fence", "named", "title")
 
     def __init__(self, home: int, outside: bool, fence: bool, named: int):
-        self.parts, self.tags, self.chars, self.linked, self.home, self.outside, self.fence, self.named = [], 0, 0, 0, home, outside, fence, named
+        self.parts, self.tags, self.chars, self.linked, self.home, self.outside, self.fence, self.named, self.title = [], 0, 0, 0, home, outside, fence, named, False
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -47,7 +51,7 @@ class Named:
 
     def __init__(self, around: int, words: set[str]):
         self.around, self.lifted = around, False
-        self.sure, self.doubtful = any(not OUTSIDE_ARTICLE.isdisjoint(w.split("-")) for w in words), words <= DOUBTFUL
+        self.sure, self.doubtful = any(not OUTSIDE_ARTICLE.isdisjoint(w.split("-")) for w in words), words <= DOUBTFUL | {PAGE_FORM}
 
 
 class Lines(HTMLParser):
@@ -75,7 +79,7 @@ class Lines(HTMLParser):
 
     def _place(self) -> None:
         _, _, self.line.home, self.line.named = self.open[-1] if self.open else ("", 0, 0, 0)
-        self.line.outside, self.line.fence = self.outside > 0, self.fences > 0
+        self.line.outside, self.line.fence, self.line.title = self.outside > 0, self.fences > 0, any(t == "h1" for t, *_ in self.open[-3:])
 
     def handle_starttag(self, tag, attrs):
         self.line.tags += 1
@@ -98,7 +102,8 @@ class Lines(HTMLParser):
             home = len(self.parents) - 1
             if not out and not self.outside:
                 self._lift(named, tag)
-        if tag in BLOCKS or out:
+        parts = tag in BLOCKS or tag in APART or out == 2
+        if parts:
             self._break()
         if out == 2:
             self.named.append(Named(named, words))
@@ -106,7 +111,7 @@ class Lines(HTMLParser):
         self.open.append((tag, out, home, named))
         self.outside += out == 1
         self.fences += out == 1 and tag in FENCES
-        if tag in BLOCKS or out:
+        if parts:
             self._place()
 
     def _lift(self, named: int, tag: str) -> None:
@@ -131,6 +136,10 @@ class Lines(HTMLParser):
         if tag in ("html", "body"):
             return found
         inside = any(t in CONTENT for t, *_ in self.open)
+        if tag == "form":
+            if inside:
+                return None
+            found.add(PAGE_FORM)
         if tag == "header":
             return found if inside else None
         listed = OUTSIDE_ARTICLE if tag in CONTENT else OUTSIDE - OF_ARTICLE if inside else OUTSIDE
@@ -169,11 +178,11 @@ class Lines(HTMLParser):
         at = self._find(tag)
         if at is None:
             return
-        if tag not in BLOCKS and not any(out for _, out, *_ in self.open[at:]):
-            if all(t not in BLOCKS for t, *_ in self.open[at:]):
-                del self.open[at:]  # inline: the line goes on
-            return
-        self._pop(at)
+        if not any(t in BLOCKS or t in APART or out == 2 for t, out, *_ in self.open[at:]):
+            self.outside -= sum(out == 1 for _, out, *_ in self.open[at:])
+            del self.open[at:]  # inline: the line goes on
+        elif tag in BLOCKS or any(out for _, out, *_ in self.open[at:]):
+            self._pop(at)
 
     def handle_data(self, data):
         if self.outside:
@@ -229,7 +238,8 @@ def main_text(html: str | None) -> str:
     the threshold keeps its region too. The content region is the outermost article or main element that holds most of the characters in clusters,
     whole with what is nested in it, and each other outermost one that holds clusters; where all its plain text stands in one nested element, that one.
     Where none holds most, it is every line from the first to the last cluster, grown over the lines around up to the site's navigation, header or footer
-    or a run of links. Malformed markup is read as far as it goes.
+    or a run of links, with the page's h1 where a run of links parts it from its text. Forms are left out, but for one around the page: one that is not
+    within an article and holds an article or main element, or dense prose. Malformed markup is read as far as it goes.
     """
     if not html:
         return ""
@@ -265,7 +275,8 @@ def main_text(html: str | None) -> str:
         chosen = [x for x in lines if taken[x.home] and not x.outside]
     else:
         at = np.flatnonzero(content)
-        chosen = [x for x in lines[_grown(lines, at[0], -1) : _grown(lines, at[-1], 1) + 1] if not x.outside] if len(at) else []
+        start, end = (_grown(lines, at[0], -1), _grown(lines, at[-1], 1) + 1) if len(at) else (0, 0)
+        chosen = [x for i, x in enumerate(lines[:end]) if not x.outside and (i >= start or x.title and not x.fence)]
     return "\n".join(t for x in chosen if (t := x.text()))
 
 

@@ -325,6 +325,86 @@ def test_named_parts_are_left_out(name):
     assert html_text.main_text(f"<body>{part}<div class=comments><article><p>{LONG}</p></article></div><main><p>{LONG}</p><p>End.</p></main></body>") == LONG + "\nEnd."
 
 
+FORMS = {
+    "around the page": (f"<body><form id=page><h1>T</h1><p>{LONG}</p><input name=x></form></body>", "T\n" + LONG),
+    "around an article": (f"<body><form><nav>menu</nav><article><h1>T</h1><p>{LONG}</p></article><button>Go</button></form></body>", "T\n" + LONG),
+    "beside it": (f"<body><form><label>Mail</label><input></form><div><p>{LONG}</p></div><form class=search-form><p>{LONG}</p></form></body>", LONG),
+    "inside it": (f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article>", LONG),
+    "formula": (f"<article><p>{LONG} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>\\x</annotation></math> holds</p></article>", LONG + " where x=2 holds"),
+    "quote": (f"<article><p>{LONG}</p><article class=quote><p>quoted words</p></article></article>", LONG + "\nquoted words"),
+    "title above links": (f"<body><h1>T</h1><ul><li><a href=a>1</a><li><a href=b>2</a><li><a href=c>3</a></ul><p>{LONG}</p><p>End.</p></body>", f"T\n{LONG}\nEnd."),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_forms_formulas_and_titles(name):
+    html, text = FORMS[name]
+    assert html_text.main_text(html) == text
+
+
+def random_page(rng):
+    """Blocks (article number or 0, text, whether it is a link), and their page."""
+    blocks, html, article = [], "<body>", 0
+    for _ in range(rng.randrange(1, 6)):
+        own = 0
+        if rng.random() < 0.5:
+            article += 1
+            own = article
+            html += "<article>"
+        kind = rng.random()
+        for _ in range(rng.randrange(0, 9)):
+            link = rng.random() < (0.9 if kind < 0.4 else 0.1)
+            text = "x" * rng.choice([1, 3, 9, 30] if link or rng.random() < 0.4 else [80, 200, 900]) + str(len(blocks))
+            blocks.append((own, text, link))
+            html += f"<div><a href=a>{text}</a></div>" if link else f"<p>{text}</p>"
+        html += "</article>" if own else ""
+    return blocks, html
+
+
+def plain_region(blocks, flat=False):
+    """The content region by its definition: an end tag a paragraph, three tags a link."""
+    import math
+
+    ratios = [0.0 if link else float(len(text)) for _, text, link in blocks]
+    if flat:
+        ratios = [1.0] * len(blocks)
+    weight = lambda d: math.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+    level = [sum(weight(i - j) * r for j, r in enumerate(ratios)) / sum(weight(i - j) for j in range(len(ratios))) for i in range(len(ratios))]
+    mean = sum(level) / max(1, len(level))
+    threshold = max(math.sqrt(sum((x - mean) ** 2 for x in level) / max(1, len(level))) / 2, 1e-9)
+    content = [x >= threshold and r > 0 for x, r in zip(level, ratios)]
+    if not any(content):
+        content = [r > 0 for r in ratios]
+    if not any(content):
+        return []
+    inside = {}
+    for (own, text, _), c in zip(blocks, content):
+        inside[own] = inside.get(own, 0) + (len(text) if c else 0)
+    if any(own and 2 * n > sum(inside.values()) for own, n in inside.items()):
+        return [text for own, text, _ in blocks if own and inside[own]]
+    links = [link for *_, link in blocks]
+    low, high = content.index(True), len(content) - 1 - content[::-1].index(True)
+    runs = [i for i in range(len(links) - 1) if links[i] and links[i + 1]]
+    first = max([i + 2 for i in runs if i + 1 < low], default=0)
+    last = min([i - 1 for i in runs if i > high], default=len(links) - 1)
+    first = min([i for i in range(first, low) if not links[i]], default=low)
+    last = max([i for i in range(high + 1, last + 1) if not links[i]], default=high)
+    return [text for _, text, _ in blocks[first : last + 1]]
+
+
+def test_clusters_decide_the_region(monkeypatch):
+    rng = random.Random(12)
+    pages = [random_page(rng) for _ in range(600)]
+    for blocks, html in pages:
+        assert html_text.main_text(html).split("\n") == (plain_region(blocks) or [""])
+    moved = [any(own for own, *_ in blocks) for blocks, _ in pages if plain_region(blocks) != plain_region(blocks, flat=True)]
+    assert sum(moved) > 50 and sum(not x for x in moved) > 5  # pages with article elements and without
+    listing = "<article>" + "<div><a href=a>a link to another page</a></div>" * 60 + "</article>"
+    assert html_text.main_text(f"<body>{listing}<div><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG}\n{LONG}"
+    monkeypatch.setattr(html_text, "smoothed", lambda x: np.ones(len(x)))
+    assert any(html_text.main_text(html).split("\n") != (plain_region(blocks) or [""]) for blocks, html in pages)
+
+
 def test_main_text_of_rows(spark, sf_dir):
     df = spark.createDataFrame([(1, None, "kept"), (2, PAGES["plain"][0], None)], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in html_text.with_main_text(df).orderBy("page_id").collect()] == [(1, ""), (2, PAGES["plain"][1])]
