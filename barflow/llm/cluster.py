@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,26 @@ from pyspark.sql import functions as F
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made only where that is unset.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session, which has one machine only, gets a temporary one;
+    a cluster raises RuntimeError, as its executors would write to folders of their own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="barflow-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many underscores as it takes to clash with no column of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

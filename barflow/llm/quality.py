@@ -144,11 +144,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Fit on labelled documents that are not held out.
 
     At most ``max_rows`` labelled ids are taken, those with the smallest hash, and only their statistics come to the driver. Null labels and
-    ids do not count; an id labelled more than once has the rounded mean of its labels; of documents that share an id one counts.
+    ids do not count; an id labelled more than once has the rounded mean of its labels; of documents that share an id one counts. Only the id, text and
+    label columns are looked at, so others may have any name. No labelled row gives a forest that says one half.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id_")).agg(F.round(F.avg(label)).cast("int").alias("label_"))
+    given = labels.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{label}`").alias("label_")).where(F.col("label_").isNotNull() & F.col("id_").isNotNull() & ~held_out("id_"))
+    known = given.groupBy("id_").agg(F.round(F.avg("label_")).cast("int").alias("label_"))
     taken = known.orderBy(F.xxhash64("id_"), "id_").limit(max_rows)
-    rows = docs.join(F.broadcast(taken), F.col(id_col) == F.col("id_")).select("id_", "label_", statistics_udf(F.col(f"`{text}`")).alias("x_"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text}`").alias("text_"))
+    rows = texts.join(F.broadcast(taken), "id_").select("id_", "label_", statistics_udf("text_").alias("x_"))
     got = sorted((r["id_"], r["label_"], r["x_"]) for r in rows.groupBy("id_", "label_").agg(F.min("x_").alias("x_")).collect())
     x = np.array([r[2] for r in got], float).reshape(len(got), len(STATISTICS))
     return fit(x, np.array([r[1] for r in got], float), **settings)

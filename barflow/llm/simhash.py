@@ -54,7 +54,7 @@ def fingerprint_udf(texts: pd.Series) -> pd.Series:
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Add the SimHash of ``text`` as a BIGINT holding the unsigned value's bits."""
-    return df.withColumn(out, fingerprint_udf(F.col(text)))
+    return df.withColumn(out, fingerprint_udf(F.col(f"`{text}`")))
 
 
 def as_hex(column) -> F.Column:
@@ -205,7 +205,7 @@ def near_links(prints: DataFrame, column: str = "fingerprint", radius: int = 4,
 
 def _classes(df: DataFrame, id_col: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
     """Rows as (id_, print_), and for each fingerprint its component's root and smallest id."""
-    prints = cut_lineage(df.select(F.col(id_col).alias("id_"), fingerprint_udf(F.col(text)).alias("print_")))
+    prints = cut_lineage(df.select(F.col(f"`{id_col}`").alias("id_"), fingerprint_udf(F.col(f"`{text}`")).alias("print_")))
     nodes = prints.groupBy("print_").agg(F.min("id_").alias("low_"))
     found = connected_components(near_links(prints, "print_", radius))
     rooted = nodes.join(found.withColumnRenamed("node", "print_"), "print_", "left").withColumn("root_", F.coalesce("component", "print_"))
@@ -228,19 +228,21 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays, with all its columns.
 
     A row without an id stays only where no row of its component has one (the smallest fingerprint of these). Of rows that share
-    id and fingerprint one stays, that with the smallest text.
+    id and fingerprint one stays, that with the smallest text. Other columns may have any name.
     """
+    names, df = df.columns, df.toDF(*[f"c{i}_" for i in range(len(df.columns))])
+    id_col, text = (f"c{names.index(c)}_" for c in (id_col, text))
     prints, named = _classes(df, id_col, text, radius)
     first = F.min(F.struct(F.col("id_").isNull().alias("absent"), "id_", "print_")).alias("first")
     leaders = cut_lineage(prints.join(named, "print_").groupBy("root_").agg(first).select("first.id_", "first.print_"))
-    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col("id_"))
-    led = df.join(leaders.select("id_"), same_id, "left_semi")
+    same_id = F.col(id_col).eqNullSafe(F.col("id_"))
+    led = df.join(leaders.select("id_").distinct(), same_id, "left_semi")
     repeated = cut_lineage(prints.join(leaders.select("id_").distinct(), prints["id_"].eqNullSafe(leaders["id_"]), "left_semi").groupBy("id_").count().where("count > 1").select("id_"))
     if repeated.isEmpty():
-        return led
-    names = [F.col(f"`{c}`") for c in df.columns]
+        return led.toDF(*names)
+    columns = [F.col(c) for c in df.columns]
     several = with_fingerprint(led.join(repeated, same_id, "left_semi"), text, "print__")
     both = same_id & (F.col("print__") == F.col("print_"))
-    chosen = several.join(leaders, both, "left_semi").groupBy(f"`{id_col}`", "print__").agg(F.min_by(F.struct(*names), F.col(f"`{text}`")).alias("row__"), F.first(F.struct(*names)).alias("any__"))
+    chosen = several.join(leaders, both, "left_semi").groupBy(id_col, "print__").agg(F.min_by(F.struct(*columns), text).alias("row__"), F.first(F.struct(*columns)).alias("any__"))
     row = F.coalesce("row__", "any__")
-    return led.join(repeated, same_id, "left_anti").unionByName(chosen.select(row.alias("row__")).select("row__.*"))
+    return led.join(repeated, same_id, "left_anti").unionByName(chosen.select(row.alias("row__")).select("row__.*")).toDF(*names)

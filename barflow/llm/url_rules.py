@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.cluster import cut_lineage
+from barflow.llm.cluster import cut_lineage, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "label=block"
@@ -65,30 +65,56 @@ def tokens_of(url: str = "url", host: str = "host", path: str = "path") -> F.Col
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (rule_id, items, confidence, support) whose tokens together speak for blocking.
 
-    ``labelled`` has tokens ARRAY<STRING> and blocked BOOLEAN. FP-growth mines token sets at ``min_support``; rules towards the block label are kept
-    with ``min_confidence``, and only where no shorter rule inside it is as confident. No labelled row gives no rule.
+    ``labelled`` has tokens ARRAY<STRING> and blocked BOOLEAN (null: not blocked); other columns are not looked at. A rule is kept with ``min_support``
+    of all rows blocked and having its tokens, with ``min_confidence``, and only where no shorter rule inside it is as confident. No labelled row gives no rule.
+
+    FP-growth is given no more than can make such a rule, since n tokens that stand together make 2^n sets. Tokens that always occur together are
+    one item, and a rule with it asks for all of them. Tokens too rare among blocked rows take part in no rule. Rules of one item come from
+    counts; an item that is always blocked, or that every row has, makes no longer rule better and is mined no further.
     """
     spark = labelled.sparkSession
-    rows = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
+    rows = labelled.select(F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: x.isNotNull()))).alias("tokens"), F.coalesce("blocked", F.lit(False)).cast("int").alias("hit"))
+    lists = cut_lineage(rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).withColumn("list", F.monotonically_increasing_id()))
+    total = lists.agg(F.sum("n")).first()[0]
     empty = spark.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
-    if rows.isEmpty():
+    if not total:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
-    rules = cut_lineage(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
+    # tokens of the same lists have the same sums of two hashes of these; 64 bits each
+    marks = [F.expr(f"bit_xor(xxhash64(list, {i}))").alias(f"mark{i}") for i in (1, 2)]
+    tokens = lists.select("list", "n", "hits", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), *marks)
+    often = tokens.where(F.col("hits") >= F.lit(min_support * total * (1 - 1e-12)))
+    items = cut_lineage(often.groupBy("n", "hits", "mark1", "mark2").agg(F.array_sort(F.collect_list("token")).alias("tokens")))
+    rated = lambda hits, n: (hits / n).cast("double")
+    single = items.select(F.col("tokens").alias("items"), F.array(F.col("tokens")[0]).alias("parts"), rated(F.col("hits"), F.col("n")).alias("confidence"), (F.col("hits") / total).alias("support"))
+    open_ = items.where((F.col("hits") < F.col("n")) & (F.col("n") < total)).select(F.col("tokens")[0].alias("item"), F.explode("tokens").alias("token"))
+    heads = open_.where("item = token").select("item")
+    met = lists.select("list", "n", "hits", F.explode("tokens").alias("item")).join(heads, "item").groupBy("list", "n", "hits").agg(F.collect_list("item").alias("items"))
+    longer = met.where(F.size("items") > 1)
+    told = longer.select(F.col("items").alias("i"), F.explode(F.array_repeat(F.lit(0), (F.col("n") - F.col("hits")).cast("int")))).select(F.col("i").alias("items"))
+    hits = longer.select(F.col("items").alias("i"), F.explode(F.array_repeat(F.lit(0), F.col("hits").cast("int")))).select(F.concat("i", F.array(F.lit(BLOCKED))).alias("items"))
+    baskets = cut_lineage(told.unionByName(hits))
+    number = baskets.count()
+    rules = single
+    if number:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total * (1 - 1e-12) / number), minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") > 1))
+        sets = cut_lineage(found.select(F.xxhash64(F.array_sort("antecedent")).alias("set"), F.array_sort("antecedent").alias("parts"), "confidence", (F.col("support") * number / total).alias("support")))
+        whole = sets.select("set", "parts", "confidence", "support", F.explode("parts").alias("item")).join(open_, "item").groupBy("set", "parts", "confidence", "support").agg(F.array_sort(F.collect_list("token")).alias("items"))
+        rules = single.unionByName(whole.select(*single.columns))
+    rules = cut_lineage(rules.where(F.col("confidence") >= min_confidence))
     # shorter rules first: what beats a rule is itself kept or beaten by a kept one, so each size meets the kept rules only
-    sizes = sorted(r[0] for r in rules.select(F.size("items")).distinct().collect())
+    sizes = sorted(r[0] for r in rules.select(F.size("parts")).distinct().collect())
     kept = None
     for size in sizes:
-        longer = rules.where(F.size("items") == size)
+        longer = rules.where(F.size("parts") == size)
         if kept is not None:
-            # a shorter rule inside a longer one shares its first token with it, so they meet on a token
-            inner = kept.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.col("items")[0].alias("token"))
-            met = longer.withColumn("token", F.explode("items")).join(inner, "token")
-            beaten = met.where("sure >= confidence AND size(array_except(less, items)) = 0").select("items").distinct()
-            longer = kept.unionByName(longer.join(beaten, "items", "left_anti").select(*kept.columns))
+            # a shorter rule inside a longer one shares its first item with it, so they meet on an item
+            inner = kept.select(F.col("parts").alias("less"), F.col("confidence").alias("sure"), F.col("parts")[0].alias("item"))
+            met = longer.withColumn("item", F.explode("parts")).join(inner, "item")
+            beaten = met.where("sure >= confidence AND size(array_except(less, parts)) = 0").select("parts").distinct()
+            longer = kept.unionByName(longer.join(beaten, "parts", "left_anti").select(*kept.columns))
         kept = cut_lineage(longer)
-    return empty if kept is None else cut_lineage(kept.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support"))
+    return empty if kept is None else kept.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support")
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -112,16 +138,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     """Add host, path, rule and verdict to every row of ``pages``.
 
     A URL that a rule fits has its verdict. FP-growth learns from all distinct URLs, those that no rule fits as not blocked, so that support and confidence
-    are shares of all URLs; a URL that no rule fits is blocked if a mined rule matches its tokens, else allowed. Null URLs and URLs without '://' have empty host and path, no rule
-    and no token, and are allowed. Repeated URLs keep their rows; columns of ``pages`` called host, path, rule or verdict are replaced.
+    are shares of all URLs; a URL that no rule fits is blocked if a mined rule matches its tokens, else allowed. Null URLs and URLs without '://' have empty host
+    and path, no rule and no token, and are allowed. Repeated URLs keep their rows; columns of ``pages`` called host, path, rule or verdict are replaced, others
+    may have any name.
     """
     plain = pages.select(F.col(f"`{url}`").alias("url_")).distinct()
     parts = plain.withColumn("host_", host_of("url_")).withColumn("path_", path_of("url_"))
     known = cut_lineage(parts.withColumn("found_", fitting_rule(rules, "host_", "path_")).withColumn("tokens", tokens_of("url_", "host_", "path_")))
     mined = mine(known.select("tokens", F.coalesce(F.col("found_.verdict") == "block", F.lit(False)).alias("blocked")), min_support, min_confidence)
-    open_ = known.where("found_ IS NULL")
-    blocked = match(open_, mined, "url_").select("url_", F.lit("block").alias("verdict_"))
-    named = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("found_", fitting_rule(rules))
-    joined = named.join(blocked, F.col(f"`{url}`") == F.col("url_"), "left")
-    verdict = F.coalesce("found_.verdict", "verdict_", F.lit("allow"))
-    return joined.withColumn("rule", F.col("found_.rule")).withColumn("verdict", verdict).drop("found_", "url_", "verdict_")
+    fit, key, mark = (unused(pages, x) for x in ("found_", "url_", "verdict_"))
+    blocked = match(known.where("found_ IS NULL"), mined, "url_").select(F.col("url_").alias(key), F.lit("block").alias(mark))
+    named = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]).withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn(fit, fitting_rule(rules))
+    joined = named.join(blocked, F.col(f"`{url}`") == F.col(key), "left")
+    verdict = F.coalesce(f"{fit}.verdict", mark, F.lit("allow"))
+    return joined.withColumn("rule", F.col(f"{fit}.rule")).withColumn("verdict", verdict).drop(fit, key, mark)

@@ -154,6 +154,71 @@ def test_mined_rules_match_as_brute_force(spark):
     assert got == expected
 
 
+def plain_rules(rows, support, confidence):
+    """All rules by trying every frequent set of items: tokens of the same rows are one item; without those that hold a rule as confident."""
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in set(tokens or []) - {None}:
+            where.setdefault(t, set()).add(i)
+    groups = {}
+    for t, at in where.items():
+        groups.setdefault(frozenset(at), []).append(t)
+    hit = {i for i, (_, b) in enumerate(rows) if b}
+    items, sets, out = sorted(groups, key=lambda g: min(groups[g])), [((), frozenset(range(len(rows))))], []
+    while sets:
+        sets = [((*parts, g), at & g) for parts, at in sets for g in items[items.index(parts[-1]) + 1 if parts else 0 :] if len(at & g & hit) >= max(1, support * len(rows))]
+        found = [(parts, len(at & hit) / len(at), len(at & hit) / len(rows)) for parts, at in sets if len(at & hit) / len(at) >= confidence]
+        out += [r for r in found if not any(set(less) < set(r[0]) and sure >= r[1] for less, sure, _ in out)]
+    return sorted((sorted(t for g in parts for t in groups[g]), c, s) for parts, c, s in out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rules_are_those_of_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        tokens = {t for t, p in zip("abcdef", (0.9, 0.5, 0.4, 0.3, 0.2, 0.5)) if rng.random() < p}
+        tokens |= {"x", "y", "z"} if "b" in tokens else set()
+        rows.append((sorted(tokens) + ["w"], ("c" in tokens and "d" in tokens and rng.random() < 0.9) or {"b", "e"} <= tokens or rng.random() < 0.05))
+    rows += [(None, True), ([], None), ([None, "a", "a"], False)]
+    mined = url_rules.mine(spark.createDataFrame([(*r, 1) for r in rows], "tokens array<string>, blocked boolean, items int"), 0.02, 0.8).collect()
+    got = sorted((list(r["items"]), r.confidence, r.support) for r in mined)
+    expected = plain_rules(rows, 0.02, 0.8)
+    assert [g[0] for g in got] == [e[0] for e in expected] and len(got) > 1
+    for g, e in zip(got, expected):
+        assert g[1:] == pytest.approx(e[1:])
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_shared_parameters_are_one_item(spark, copies):
+    query = "&".join(f"utm{i}=1" for i in range(30))
+    urls = [f"http://h{i % 7}.shop/{'es' if i % 3 else 'de'}/x{i}" + (f"?{query}" if i % 5 == 0 else "") for i in range(100 * copies)]
+    out = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "shop", "/es/")]).collect()
+    assert len(out) == len(urls)
+    assert all((r.verdict == "block") == ("/es/" in r.url) for r in out)
+
+
+def test_verdicts_without_a_rule_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    urls = list(dict.fromkeys(f"http://{rng.choice('abc')}.{rng.choice(['shop', 'org', 'net'])}/{rng.choice(['es', 'de', 'fr'])}/{rng.choice(['cheap', 'news', 'x'])}/{i % 40}" for i in range(700)))
+    policy = [("block", "shop", "/es/"), ("block", "shop", "/fr/"), ("allow", "org", "/"), ("block", "net", "/es/cheap")]
+    rows = [(i, u, "x", "y", "z", "w") for i, u in enumerate(urls + urls[:50] + [None])]
+    df = spark.createDataFrame(rows, "page_id long, url string, url_ string, found_ string, verdict_ string, RULE string")
+    made = url_rules.judge(df, policy, min_confidence=0.5)
+    assert set(made.columns) == {"page_id", "url", "url_", "found_", "verdict_", "host", "path", "rule", "verdict"}
+    out = made.collect()
+    assert sorted(r.page_id for r in out) == list(range(len(rows))) and all((r.url_, r.found_, r.verdict_) == ("x", "y", "z") for r in out)
+    parts = spark.createDataFrame([(u,) for u in [*urls, None]], "url string").withColumn("host", url_rules.host_of()).withColumn("path", url_rules.path_of())
+    tokens = {r.url: r.tokens for r in parts.withColumn("tokens", url_rules.tokens_of()).collect()}
+    ruled = {r.url: r.rule for r in out}
+    verdict = {h + p: v for v, h, p in policy}
+    rules = plain_rules([(tokens[u], verdict.get(ruled[u]) == "block") for u in tokens], 0.01, 0.5)
+    free = [r for r in out if r.rule is None]
+    assert {r.verdict for r in free} == {"allow", "block"}
+    for r in free:
+        assert (r.verdict == "block") == any(set(items) <= set(tokens[r.url]) for items, *_ in rules)
+
+
 def test_urls_without_a_rule_speak_against_mined_rules(spark):
     urls = [f"http://a.net/es/{i}" for i in range(30)] + [f"http://b.net/en/{i}" for i in range(60)] + [f"http://example.com/en/{i}" for i in range(30)]
     out = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()
