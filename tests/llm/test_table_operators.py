@@ -244,7 +244,7 @@ def plain_links(vectors, cosine):
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
     unit = [np.array(v, float) / np.abs(np.array(v, float)).max() if o else None for v, o in zip(vectors, ok)]
     unit = [u / np.linalg.norm(u) if u is not None else None for u in unit]
-    near = [[i != j and ok[i] and ok[j] and float(unit[i] @ unit[j]) >= cosine for j in range(n)] for i in range(n)]
+    near = [[i != j and ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= cosine for j in range(n)] for i in range(n)]
     label = list(range(n))
     changed = True
     while changed:
@@ -256,15 +256,18 @@ def plain_links(vectors, cosine):
     return [sum(r) for r in near], label
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, split", [(2048, 8192), (3, 8192), (3, 5)])
+def test_vectors_against_brute_force(spark, monkeypatch, block, split):
     monkeypatch.setattr(vector_lsh, "BLOCK", block)
+    monkeypatch.setattr(vector_lsh, "SPLIT", split)
+    monkeypatch.setattr(vector_lsh, "LOOKED_AT", 1)
     rng = np.random.default_rng(6)
     vectors = []
     for _ in range(25):
         base = rng.normal(size=16)
         vectors += [(base + rng.normal(size=16) * s).tolist() for s in (0, 0.02, 0.05, 0.2)]
     vectors += [vectors[0], vectors[0], [0.0] * 16, None, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, (np.array(vectors[4]) * 1e300).tolist(), (np.array(vectors[4]) * 1e-300).tolist()]
+    vectors += [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [2.0, -1.0, 0.0], [1.0, 0.0], [0.999, 0.001], [5.0], [-5.0]]
     ids = [(len(vectors) - i) * 10 for i in range(len(vectors))]
     df = spark.createDataFrame([(i, v, "x") for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>, n_links string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_lsh.near_duplicates(df, recall=0.99999).collect()}
@@ -274,11 +277,28 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
         assert got[id_] == (links[i], component, id_ == component)
 
 
+def test_one_bucket_of_near_copies_is_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vector_lsh, "BLOCK", 16)
+    monkeypatch.setattr(vector_lsh, "SPLIT", 40)
+    monkeypatch.setattr(vector_lsh, "LOOKED_AT", 2)
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=12)
+    vectors = [(hot + rng.normal(size=12) * rng.choice([0.01, 0.15])).tolist() for _ in range(300)] + rng.normal(size=(200, 12)).tolist()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_lsh.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), recall=0.999999).collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(500, dtype=bool)
+    assert [got[i][0] for i in range(500)] == near.sum(axis=1).tolist()
+    reach = np.arange(500)
+    for _ in range(500):
+        reach = np.minimum(reach, np.where(near, reach[None, :], 500).min(axis=1))
+    assert [got[i][1] for i in range(500)] == reach.tolist()
+
+
 def test_vector_ids_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
-    rows = [(None, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.99, 0.01]), (3, [0.0, 1.0]), (5, [1.0, 2.0, 3.0]), (None, None)]
+    rows = [(None, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.99, 0.01]), (3, [0.0, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.0]), (None, None)]
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vector_lsh.near_duplicates(spark.createDataFrame(rows, schema), recall=0.9999).collect()))
-    assert got == [(0, 0, 0, False), (0, 2, 7, False), (3, 0, 3, True), (5, 0, 5, True), (7, 2, 7, True), (7, 2, 7, True)]
+    assert got == [(0, 0, 0, False), (0, 2, 7, False), (3, 0, 3, True), (5, 1, 5, True), (6, 1, 5, False), (7, 2, 7, True), (7, 2, 7, True)]
     assert vector_lsh.near_duplicates(spark.createDataFrame([], schema)).collect() == []
     assert vector_lsh.near_duplicates(spark.createDataFrame([(1, None)], schema)).collect()[0].kept
 
