@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,11 @@ SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
 VISIBLE = regex.compile(r"\S")
 
 
+def located(file: str | Callable[[], str]) -> str:
+    """The path of a vocabulary file: as it is, or by a function that an executor calls, whose files may lie elsewhere than the driver's."""
+    return file() if callable(file) else file
+
+
 @lru_cache(maxsize=4)
 def load(rank_file: str, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file (base64 token, blank, rank on each line), without special tokens."""
@@ -65,7 +71,7 @@ def encode(text: str | None, encoding: tiktoken.Encoding, pattern: str) -> list[
     return [i for piece in pieces(text, pattern) for i in encoding.encode_ordinary(piece)]
 
 
-def with_tokens(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+def with_tokens(df: DataFrame, rank_file: str | Callable[[], str], pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the ids of ``text`` as ARRAY<INT> in ``out``, and with ``decoded`` the bytes they decode to as BINARY.
 
     Null and empty texts give an empty array and no bytes. Other columns stay as they are; columns named as the new ones are replaced. Rows come
@@ -80,7 +86,7 @@ def with_tokens(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        encoding = load(rank_file, pattern)
+        encoding = load(located(rank_file), pattern)
         for batch in batches:
             for rows in _slices(batch, at):
                 ids = [np.array(encode(t, encoding, pattern), np.int32) for t in rows.column(at).to_pylist()]
@@ -105,25 +111,25 @@ def _slices(batch, at: int):
         start = stop
 
 
-def with_decoded(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def with_decoded(df: DataFrame, rank_file: str | Callable[[], str], pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the raw bytes of an ARRAY<INT> of ids as BINARY in ``out``; null stays null. An id cut out of its text can leave bytes that are no
     whole UTF-8, hence no string. An unknown id raises KeyError."""
 
     @F.pandas_udf("binary")
     def decoded(batches: pd.Series) -> pd.Series:
-        encoding = load(rank_file, pattern)
+        encoding = load(located(rank_file), pattern)
         return pd.Series([None if x is None else encoding.decode_bytes(list(x)) for x in batches])
 
     return df.withColumn(out, decoded(F.col(f"`{ids}`")))
 
 
-def round_trip_digests(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "digest") -> DataFrame:
+def round_trip_digests(df: DataFrame, rank_file: str | Callable[[], str], pattern: str, text: str = "text", out: str = "digest") -> DataFrame:
     """Add STRUCT<n_tokens, ids_sha256, decoded_sha256>: encode and decode each text within the task and keep only the digests, so that ids never
     enter a row. ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over the decoded bytes; both in lower-case hex."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        encoding = load(rank_file, pattern)
+        encoding = load(located(rank_file), pattern)
         name = _decimal(encoding.n_vocab)
         rows = []
         for t in texts:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "digest.*")
+    return bpe.round_trip_digests(docs, partial(public_tokenizers.path, RANKS), public_tokenizers.PATTERN).select("doc_id", "digest.*")
 
 
 def op5_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def op5_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.with_token_count(docs, public_tokenizers.path(MODEL))
+    counted = token_counts.with_token_count(docs, partial(public_tokenizers.path, MODEL))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations, islice
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ SHINGLE_WORDS = 4
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 HASHES_AT_ONCE = 1 << 16
 VARIANTS_AT_ONCE = 1 << 21
+#: Rows of a task, and bits by which large buckets are cut at a time.
+TASK_ROWS, DEEPER_BITS = 2_000_000, 8
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -153,6 +156,71 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = next_
 
 
+def _balls(bits: int, radius: int) -> int:
+    """Number of ways to flip up to ``radius`` of ``bits`` bits."""
+    return sum(comb(bits, r) for r in range(radius + 1))
+
+
+def _spread(batches, bits: int, half: int):
+    """Each fingerprint beside every bucket, of top bits, that one of its variants falls in."""
+    import pyarrow as pa
+
+    step = max(1, 1_000_000 // _balls(bits, half))
+    for batch in batches:
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            bucket, who = _prefixes(part.view(np.uint64), bits, half)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part[who])], names=["bucket", "print"])
+
+
+def _around(batches, bits: int, half: int):
+    """The buckets within ``half`` flips of each given one."""
+    import pyarrow as pa
+
+    for batch in batches:
+        own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(own), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(_prefixes(own[at : at + 1000] << np.uint64(BITS - bits), bits, half)[0])], names=["bucket"])
+
+
+def _deepen(batches, before: int, bits: int, half: int):
+    """Fingerprints of buckets of ``before`` top bits beside those of ``bits`` bits that their variants fall in, with the flips that are left."""
+    import pyarrow as pa
+
+    more = bits - before
+    for batch in batches:
+        bucket, own = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        left = half - np.bitwise_count((own >> np.uint64(BITS - before)) ^ bucket).astype(np.int64)
+        tail = (own >> np.uint64(BITS - bits)) & np.uint64((1 << more) - 1)
+        for flips in range(half + 1):
+            masks = np.array([sum(1 << b for b in c) for r in range(flips + 1) for c in combinations(range(more), r)], np.uint64)
+            who = np.flatnonzero(left == flips)
+            for at in range(0, len(who), 10_000):
+                w = who[at : at + 10_000]
+                deeper = (bucket[w] << np.uint64(more))[:, None] | (tail[w][:, None] ^ masks)
+                yield pa.RecordBatch.from_arrays([pa.array(deeper.ravel().view(np.int64)), pa.array(np.repeat(own[w], len(masks)).view(np.int64))], names=["bucket", "print"])
+
+
+def _meet(batches, bits: int, radius: int):
+    """A spanning set of links of each bucket."""
+    import pyarrow as pa
+
+    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not got:
+        return
+    buckets, owners = (np.concatenate(x) for x in zip(*got))
+    order = np.argsort(buckets, kind="stable")
+    buckets, owners = buckets[order].view(np.uint64), owners[order].view(np.uint64)
+    ends = np.flatnonzero(np.r_[buckets[1:] != buckets[:-1], True]) + 1
+    start = 0
+    for end in ends:
+        u, v = spanning_links(np.sort(owners[start:end]), int(buckets[start]), bits, radius)
+        start = end
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+
 def near_links(prints: DataFrame, column: str = "fingerprint", radius: int = 4, variants_per_bucket: int = 1 << 20) -> DataFrame:
     """Links (u, v) that join all fingerprints of ``prints`` within ``radius`` bits into the right components.
 
@@ -160,47 +228,35 @@ def near_links(prints: DataFrame, column: str = "fingerprint", radius: int = 4,
     these; two that share one are within the radius. A variant travels as its owner plus the bucket of its top bits: owners
     go to each bucket that one of their variants falls in (1 + k + k(k-1)/2 rows for k bits and two flips) and the bucket
     expands the rest, so that the shuffle carries dozens of rows for each fingerprint instead of two thousand. k follows
-    the number of fingerprints, so buckets stay of one size.
+    the number of fingerprints, so buckets stay of one size. Where families of fingerprints share their top bits, the buckets
+    around those bits go on with DEEPER_BITS more bits, again and again, so none is one task's; nulls have no part.
     """
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4: variants with more than two flips are not made")
     half = radius // 2
-    distinct = cut_lineage(prints.select(F.col(column).alias("print")).where("print IS NOT NULL").distinct())
-    total = distinct.count()
-    per_print = sum(len(list(combinations(range(BITS), r))) for r in range(half + 1))
-    bits = max(8, min(30, int(np.ceil(np.log2(max(1, total * per_print / variants_per_bucket))))))
-    copies = sum(len(list(combinations(range(bits), r))) for r in range(half + 1))
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * copies // 2_000_000))
-
-    def spread(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            step = max(1, 1_000_000 // copies)
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                bucket, who = _prefixes(part.view(np.uint64), bits, half)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part[who])], names=["bucket", "print"])
-
-    def meet(batches):
-        import pyarrow as pa
-
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not got:
-            return
-        buckets, owners = (np.concatenate(x) for x in zip(*got))
-        order = np.argsort(buckets, kind="stable")
-        buckets, owners = buckets[order], owners[order].view(np.uint64)
-        ends = np.flatnonzero(np.r_[buckets[1:] != buckets[:-1], True]) + 1
-        start = 0
-        for end in ends:
-            u, v = spanning_links(np.sort(owners[start:end]), int(buckets[start]), bits, radius)
-            start = end
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    return distinct.mapInArrow(spread, "bucket long, print long").repartition(parts, "bucket").mapInArrow(meet, "u long, v long")
+    distinct = cut_lineage(prints.select(F.col(f"`{column}`").alias("print")).where("print IS NOT NULL").distinct())
+    least, total = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count()
+    tasks = lambda rows: max(least, -(-rows // TASK_ROWS))
+    bits = max(8, min(30, int(np.ceil(np.log2(max(1, total * _balls(BITS, half) / variants_per_bucket))))))
+    # a bucket holds the fingerprints whose own top bits are within half the radius of it: away from crowded ones it is of usual size
+    usual = max(1, 8 * variants_per_bucket // _balls(BITS, half))
+    own = F.shiftrightunsigned("print", BITS - bits).alias("own")
+    crowded = cut_lineage(distinct.groupBy(own).count().where(F.col("count") > usual).select("own"))
+    wide = None if crowded.isEmpty() else crowded.mapInArrow(partial(_around, bits=bits, half=half), "bucket long").distinct()
+    placed = distinct.repartition(tasks(total * _balls(bits, half))).mapInArrow(partial(_spread, bits=bits, half=half), "bucket long, print long")
+    rows, links = total * _balls(bits, half), None
+    while True:
+        cold = placed if wide is None else placed.join(wide, "bucket", "left_anti")
+        met = cold.repartition(tasks(rows), "bucket").mapInArrow(partial(_meet, bits=bits, radius=radius), "u long, v long")
+        links = met if links is None else links.unionByName(met)
+        if wide is None:
+            return links
+        hot, before, bits = cut_lineage(placed.join(wide, "bucket", "left_semi").select("bucket", "print")), bits, min(BITS, bits + DEEPER_BITS)
+        spread = hot.repartition(tasks(hot.count() * _balls(bits - before, half)))
+        placed = cut_lineage(spread.mapInArrow(partial(_deepen, before=before, bits=bits, half=half), "bucket long, print long"))
+        rows = placed.count()
+        wide = cut_lineage(placed.groupBy("bucket").count().where(F.col("count") > usual * _balls(bits, half)).select("bucket"))
+        wide = None if bits == BITS or wide.isEmpty() else wide
 
 
 def _classes(df: DataFrame, id_col: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +264,9 @@ def _classes(df: DataFrame, id_col: str, text: str, radius: int) -> tuple[DataFr
     prints = cut_lineage(df.select(F.col(f"`{id_col}`").alias("id_"), fingerprint_udf(F.col(f"`{text}`")).alias("print_")))
     nodes = prints.groupBy("print_").agg(F.min("id_").alias("low_"))
     found = connected_components(near_links(prints, "print_", radius))
-    rooted = nodes.join(found.withColumnRenamed("node", "print_"), "print_", "left").withColumn("root_", F.coalesce("component", "print_"))
-    lowest = rooted.groupBy("root_").agg(F.min("low_").alias("component_id"))
+    rooted = cut_lineage(nodes.join(found.withColumnRenamed("node", "print_"), "print_", "left").select("print_", "low_", F.coalesce("component", "print_").alias("root_")))
+    # written first: Spark splits a root with many fingerprints only between plain shuffles
+    lowest = cut_lineage(rooted.groupBy("root_").agg(F.min("low_").alias("component_id")))
     return prints, cut_lineage(rooted.join(lowest, "root_").select("print_", "root_", "component_id"))
 
 

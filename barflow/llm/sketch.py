@@ -14,8 +14,7 @@ from pyspark.sql.window import Window
 K = 128
 WORDS = 5
 BLOCK_BYTES = 1 << 20
-PARTITION_BYTES = 16 << 20
-MOST_PARTITIONS = 20_000
+RANGES_PER_SPLIT, MOST_RANGES = 4, 200_000
 
 #: Odd multipliers of the rolling hash and of the final mixing.
 BASE, STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -173,24 +172,17 @@ def beside_next(df: DataFrame, id_col: str, text: str, each, schema: str) -> Dat
 
     ``each`` takes an iterator of (id, text, next text) and yields tuples of ``schema``. Ids come in order with nulls first, equal ids in order
     of their texts; a lone row is its own next. Null texts pass as empty. Rows go once to a range of ids; the first id of each range is sent to the
-    range before it as well, so no second shuffle has to find a neighbour. The bounds are ids from a quantile summary, as many as
-    the bytes ask for (at most MOST_PARTITIONS).
+    range before it as well, so no second shuffle has to find a neighbour. The ids alone are dealt to ranges first, whose smallest ids are the
+    bounds; there are RANGES_PER_SPLIT ranges for each part of ``df`` (at most MOST_RANGES).
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_"))
-    size = rows.agg(F.sum(F.octet_length("text_")).alias("bytes"), F.count("*").alias("rows"), F.count("id_").alias("named"), F.min("id_").alias("first")).first()
-    parts = int(min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // PARTITION_BYTES, 1)))
-    found = rows.agg(F.percentile_approx("id_", [i / parts for i in range(parts)], 20 * parts).alias("at")).first()["at"]
-    rough = np.unique(np.array(found if found is not None else [], np.int64))
-
-    @F.pandas_udf("int")
-    def rough_place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(rough, ids.to_numpy(np.int64), side="right").astype(np.int32))
-
-    # the summary holds ids as doubles: the smallest id of each range is looked up, so that every bound is an id
-    lowest = rows.where("id_ IS NOT NULL").groupBy(rough_place("id_").alias("place_")).agg(F.min("id_").alias("low_")).collect()
-    bounds = np.array(sorted(r["low_"] for r in lowest)[1:], np.int64)
-    first = None if size["named"] < size["rows"] else size["first"]
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES_PER_SPLIT * df.rdd.getNumPartitions()))
+    ranges = df.select(F.col(f"`{id_col}`").cast("long").alias("id_")).repartitionByRange(parts, "id_").groupBy(F.spark_partition_id().alias("range_"))
+    lowest = ranges.agg(F.min("id_").alias("low_"), F.count_if(F.col("id_").isNull()).alias("absent_")).collect()
+    lows = sorted(r["low_"] for r in lowest if r["low_"] is not None)
+    bounds = np.array(lows[1:], np.int64)
+    first = None if not lows or any(r["absent_"] for r in lowest) else lows[0]
 
     @F.pandas_udf("array<int>")
     def places(ids: pd.Series, absent: pd.Series) -> pd.Series:

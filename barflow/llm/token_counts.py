@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -11,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.bpe import located
+
 #: The pattern that byte-level tokenizers of this family split text by before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -134,12 +137,12 @@ def counter(model_file: str) -> Counter:
     return Counter(model_file)
 
 
-def with_token_count(df: DataFrame, model_file: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+def with_token_count(df: DataFrame, model_file: str | Callable[[], str], text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Add the number of tokens of ``text`` as BIGINT; null and empty texts have 0. Other columns stay as they are."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        of = counter(model_file).text
+        of = counter(located(model_file)).text
         return pd.Series([of(t) for t in texts], dtype="int64")
 
     return df.withColumn(out, count(F.col(f"`{text}`")))

@@ -74,6 +74,44 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, cut):
     assert label.tolist() == expected
 
 
+@pytest.mark.parametrize("per_bucket, radius", [(16, 4), (1 << 12, 4), (16, 2)])
+def test_families_of_like_top_bits_go_deeper(spark, per_bucket, radius):
+    rng = random.Random(per_bucket)
+    family = rng.getrandbits(64)
+    prints = {family ^ rng.getrandbits(14) for _ in range(60)} | {family ^ (1 << b) ^ (rng.getrandbits(10) << 3) for b in (63, 60, 40, 35)} | {rng.getrandbits(64) for _ in range(60)}
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in list(prints)}
+    prints = sorted(prints)
+    signed = [p - (p >> 63 << 64) for p in prints]
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed] + [(None,)], "fingerprint long"), radius=radius, variants_per_bucket=per_bucket).collect()
+    label = {p: p for p in signed}
+    for _ in signed:
+        for r in links:
+            label[r.u] = label[r.v] = min(label[r.u], label[r.v])
+    groups = {}
+    for p in signed:
+        groups.setdefault(label[p], set()).add(p)
+    expected = {}
+    near = {i: [j for j in range(len(prints)) if (prints[i] ^ prints[j]).bit_count() <= radius] for i in range(len(prints))}
+    seen = {}
+    for i in range(len(prints)):
+        stack = [i]
+        while stack:
+            at = stack.pop()
+            if seen.setdefault(at, i) == i and at not in expected.setdefault(i, set()):
+                expected[i].add(at)
+                stack += near[at]
+    whole = sorted(sorted(signed[j] for j in g) for i, g in expected.items() if seen[i] == i)
+    assert sorted(map(sorted, groups.values())) == whole
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [(1, "some words of a text here", "x", 2, "y"), (2, "some words of a text here", "x", 3, "y"), (2, "other things are said in this one", None, 4, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ string, print_ long, `a.b` string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    assert len(simhash.near_duplicates(df).collect()) == 3
+
+
 def test_components_with_nulls_ties_and_clashing_columns(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(5, base, "x"), (3, base, None), (9, base + " more", "y"), (7, "quite another text of some words", "z"), (None, base, "n"), (8, None, "e"), (2, "", "e"), (7, "quite another text of some words", "again"), (11, "a " * 30_000, "long"), (None, "lonely text without any id at all", "u")]

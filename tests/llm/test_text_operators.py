@@ -207,6 +207,79 @@ def test_quality_on_held_out_rows(spark):
     assert len(rows) > 500 and right > 0.95
 
 
+def test_columns_of_other_names(spark):
+    docs = spark.createDataFrame([(i, "words " * i, "x", 1, "y") for i in range(1, 9)], "doc_id long, text string, id_ string, label_ long, text_ string")
+    labels = spark.createDataFrame([(i, i % 2, 9) for i in range(1, 9)], "doc_id long, quality int, id_ int")
+    assert len(quality.with_score(docs, quality.fit_on(docs, labels)).collect()) == 8
+
+
+def plain_statistics(text):
+    """The same values word by word and byte by byte."""
+    import zlib
+
+    text = text or ""
+    data, words = text.encode(), text.split()
+    n, m = max(1, len(data)), max(1, len(words))
+    share = lambda test: sum(map(test, data)) / n
+    marks, symbols = b".,;:'\"()-", b"#$%&*+/<=>@[\\]^_`{}~"
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    lines = [x for x in text.split("\n") if x]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return dict(
+        log_chars=np.log(1 + len(text)), log_words=np.log(1 + len(words)), chars_per_word=len(text) / m, longest_word=max(lengths), word_spread=(sum((x - mean) ** 2 for x in lengths) / len(lengths)) ** 0.5,
+        distinct_words=len(set(words)) / m, top_word=max((words.count(w) for w in set(words)), default=0) / m, function_words=sum(w.lower().strip(".,") in quality.FUNCTION_WORDS for w in words) / m,
+        capital_words=sum(w[0].isupper() for w in words) / m, shouted_words=sum(len(w) > 1 and w.isupper() for w in words) / m,
+        upper=share(lambda b: 65 <= b <= 90), digits=share(lambda b: 48 <= b <= 57), marks=share(lambda b: b in marks), pipes=share(lambda b: b == 124), bangs=share(lambda b: b in b"!?"), symbols=share(lambda b: b in symbols),
+        blanks=share(lambda b: 9 <= b <= 13 or b == 32), controls=share(lambda b: b < 9 or 14 <= b < 32 or b == 127), wide=share(lambda b: b > 127),
+        log_lines=np.log(1 + len(lines)), chars_per_line=len(text) / max(1, len(lines)), repeated_lines=1 - len(set(lines)) / max(1, len(lines)), longest_line=max(map(len, lines), default=0) / max(1, len(text)),
+        words_per_sentence=len(words) / max(1, sum(c in ".!?" for c in text)), repeated_triples=1 - len(set(triples)) / len(triples) if triples else 0.0,
+        packed=sum(len(zlib.compress(data[i : i + quality.PACK_BYTES], 1)) for i in range(0, len(data), quality.PACK_BYTES)) / n,
+        marked_words=sum(w[-1] in "#$%&*!|?@~^=+<>{}[]\\/_" for w in words) / m, doubled_words=sum(a == b for a, b in zip(words, words[1:])) / m, short_words=sum(x <= 2 for x in lengths) / len(lengths),
+    )
+
+
+def test_statistics_are_those_of_brute_force(texts):
+    for t in [*texts, "WORD word word! a|b\n\nline\nline\x07 Été ÉTÉ? #x_ {y} the of 1 22"]:
+        expected = plain_statistics(t)
+        assert list(expected) == quality.STATISTICS
+        assert quality.statistics(t) == pytest.approx([float(x) for x in expected.values()], rel=1e-9, abs=1e-12)
+
+
+def test_a_tree_is_that_of_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=60) * 0.3 > 0.4).astype(float)
+    forest = quality.fit(x, y, trees=2, depth=2, rate=0.3, bins=64, least=0.5, l2=1.0)
+    margin = np.full(60, np.log((y.sum() + 0.5) / 61 / (1 - (y.sum() + 0.5) / 61)))
+
+    def value(g, h):
+        return g * g / (h + 1.0)
+
+    def grown(rows, g, h, depth):
+        """Leaves of the best splits at the values themselves."""
+        if not depth:
+            return [(rows, -0.3 * g[rows].sum() / (h[rows].sum() + 1.0))]
+        best = (1e-9, None)
+        for j in range(3):
+            for cut in np.unique(x[:, j])[:-1]:
+                low, high = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                if h[low].sum() >= 0.5 and h[high].sum() >= 0.5:
+                    gain = value(g[low].sum(), h[low].sum()) + value(g[high].sum(), h[high].sum()) - value(g[rows].sum(), h[rows].sum())
+                    best = max(best, (gain, (low, high)), key=lambda b: round(b[0], 9))
+        if best[1] is None:
+            return grown(rows, g, h, 0)
+        return [leaf for side in best[1] for leaf in grown(side, g, h, depth - 1)]
+
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        step = np.zeros(60)
+        for rows, leaf in grown(np.arange(60), p - y, p * (1 - p), 2):
+            step[rows] = leaf
+        margin = margin + step
+    assert np.allclose(forest.score(x), 1 / (1 + np.exp(-margin)))
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (4, 0), (5, 1)], "doc_id long, quality int")
     docs = frame(spark, ODD_TEXTS)
