@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import bpe, mixing, quality, simhash
-from barflow.llm.cluster import cut_lineage
+from barflow.llm.cluster import cut_lineage, unused
 from barflow.llm.queries import ACCEPT, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, RANKS, source_domain
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on the labelled rows of ``docs``."""
     forest = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, forest, out="score_").where(F.col("score_") >= ACCEPT).select(*docs.columns)
+    score = unused(docs, "score_")
+    return quality.with_score(docs, forest, out=score).where(F.col(score) >= ACCEPT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with their number and the digest of what they decode to."""
-    encoded = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded="bytes")
+    encoded = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), partial(public_tokenizers.path, RANKS), public_tokenizers.PATTERN, decoded="bytes")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
