@@ -130,11 +130,11 @@ def asof_book_state(spark, sf_dir):
     return both.select("symbol", "update_id", "trade_id", r("price").alias("price"), "open_time", r("close").alias("close"))
 
 
-@query(f"""WITH {A.sql_bars()}, n AS (SELECT symbol, open_time, row_number() OVER ({W}) - 1 AS rn FROM bars), t AS (SELECT symbol, trade_id, trade_time FROM trades WHERE trade_id % 10 = 0)
+@query(f"""WITH {A.sql_bars()}, n AS (SELECT symbol, open_time, row_number() OVER ({W}) - 1 AS rn FROM bars), t AS (SELECT symbol, trade_id, trade_time FROM trades)
 SELECT t.symbol, t.trade_id, n.rn AS bar FROM t ASOF LEFT JOIN n ON t.symbol = n.symbol AND t.trade_time >= n.open_time""")
 def asof_searchsorted(spark, sf_dir):
     """Number of the bar that an arbitrary time falls in (the last that opened by then)."""
-    picked = A.trades(spark, sf_dir).where("trade_id % 10 = 0").select("symbol", "trade_id", "trade_time")
+    picked = A.trades(spark, sf_dir).select("symbol", "trade_id", "trade_time")
     return M.asof(picked, numbered(A.bars(spark, sf_dir)), "trade_time", "open_time", ["rn"]).select("symbol", "trade_id", F.col("rn").alias("bar"))
 
 
@@ -166,11 +166,12 @@ def join_forecast_bar(spark, sf_dir):
     return pick(bars.select("symbol", "open_time").join(preds, ["symbol", "open_time"], "left"), "symbol open_time", "pred")
 
 
-_TIMES = f"""WITH {A.sql_bars()}, asked AS (SELECT symbol, trade_time - trade_time % 1800000 AS open_time FROM trades WHERE trade_id % 7 = 0)"""
+_TIMES = f"""WITH {A.sql_bars()}, {A.SQL_BOOKS}, asked AS (SELECT symbol, book_time - book_time % {2 * A.HOUR} AS open_time FROM books)"""
 
 
 def _asked(spark, sf_dir):
-    return A.trades(spark, sf_dir).where("trade_id % 7 = 0").select("symbol", (F.col("trade_time") - F.col("trade_time") % 1_800_000).alias("open_time"))
+    """The even hours in which a symbol has a quote."""
+    return A.books(spark, sf_dir).select("symbol", (F.col("book_time") - F.col("book_time") % (2 * A.HOUR)).alias("open_time"))
 
 
 @query(f"{_TIMES} SELECT symbol, open_time, close FROM bars b WHERE EXISTS (SELECT 1 FROM asked a WHERE a.symbol = b.symbol AND a.open_time = b.open_time)")

@@ -81,12 +81,13 @@ def latest_per_key(spark, sf_dir):
     return decided(spark, sf_dir).groupBy("symbol").agg(F.max_by("signal", "open_time").alias("signal"), F.max("open_time").alias("open_time"))
 
 
-@query(f"""WITH {_FORECAST}, {A.SQL_BOOKS}, f AS (SELECT symbol, arg_max(signal, open_time) AS signal FROM decided GROUP BY symbol), b AS (SELECT symbol, arg_max(bid, (book_time, update_id)) AS bid FROM books WHERE symbol <> 'click' GROUP BY symbol)
-SELECT symbol, signal, bid FROM f FULL JOIN b USING (symbol)""")
+@query(f"""WITH {_FORECAST}, {A.SQL_BOOKS}, f AS (SELECT symbol, arg_max(signal, open_time) AS signal FROM decided GROUP BY symbol), q AS (SELECT symbol || CASE WHEN update_id % 2 = 0 THEN '' ELSE '-alt' END AS symbol, bid, book_time, update_id FROM books),
+ b AS (SELECT symbol, arg_max(bid, (book_time, update_id)) AS bid FROM q GROUP BY symbol) SELECT symbol, signal, bid FROM f FULL JOIN b USING (symbol)""")
 def snapshot_pair(spark, sf_dir):
-    """Latest forecast and latest quote in one row; the quotes of one symbol are missing, so that the outer side shows."""
+    """Latest forecast and latest quote in one row; quotes with odd numbers are of a second listing, which has no forecast, so that the outer side shows."""
     f = decided(spark, sf_dir).groupBy("symbol").agg(F.max_by("signal", "open_time").alias("signal"))
-    b = A.books(spark, sf_dir).where("symbol <> 'click'").groupBy("symbol").agg(F.max_by("bid", F.struct("book_time", "update_id")).alias("bid"))
+    listing = F.concat("symbol", F.when(F.col("update_id") % 2 == 0, "").otherwise("-alt"))
+    b = A.books(spark, sf_dir).withColumn("symbol", listing).groupBy("symbol").agg(F.max_by("bid", F.struct("book_time", "update_id")).alias("bid"))
     return f.join(b, "symbol", "full").select("symbol", "signal", "bid")
 
 

@@ -9,6 +9,7 @@ from barflow.catalog import query
 from barflow.catalog.common import W, r
 from barflow.sources import adapters as A
 from barflow.sources import frames as R
+from barflow.streaming.runner import shared_folder
 
 
 def frames(spark, sf_dir):
@@ -30,11 +31,10 @@ def messages(spark, sf_dir):
     return t.unionByName(b)
 
 
-@query(f"WITH {_MESSAGES} SELECT topic, seq, payload FROM messages WHERE sent // 3600000 < 473700")
+@query(f"WITH {_MESSAGES} SELECT topic, seq, payload FROM messages")
 def replay_read(spark, sf_dir):
-    """Messages of the first hours in order of hour and sequence."""
-    hour = F.floor(F.col("sent") / A.HOUR)
-    return messages(spark, sf_dir).where(hour < 473_700).orderBy(hour, "topic", "seq").select("topic", "seq", "payload")
+    """The whole log in order of hour, topic and sequence."""
+    return messages(spark, sf_dir).orderBy(F.floor(F.col("sent") / A.HOUR), "topic", "seq").select("topic", "seq", "payload")
 
 
 @query(f"WITH {_MESSAGES} SELECT topic, sent // 86400000 AS day, count(*) AS messages, CAST(sum(strlen(payload)) AS BIGINT) AS payload_bytes, CAST(sum(strlen(payload) + 3) AS BIGINT) AS framed_bytes FROM messages GROUP BY ALL")
@@ -80,11 +80,13 @@ def sort_unique(spark, sf_dir):
 
 @query(f"WITH {A.sql_bars()} SELECT symbol, open_time, close, open_time % {2 * A.HOUR} = 0 AS cached FROM bars")
 def bars_incremental(spark, sf_dir):
-    """The cached half of the bars and whatever a full load has beside it."""
+    """A table with every other hour of the bars, brought up to date by a full load: only what it lacks is written."""
     bars = A.bars(spark, sf_dir).select("symbol", "open_time", "close")
-    cached = bars.where(F.col("open_time") % (2 * A.HOUR) == 0)
-    missing = bars.join(cached.select("symbol", "open_time"), ["symbol", "open_time"], "left_anti")
-    return cached.withColumn("cached", F.lit(True)).unionByName(missing.withColumn("cached", F.lit(False)))
+    cached = F.col("open_time") % (2 * A.HOUR) == 0
+    table = shared_folder(spark) + "/bars"
+    R.upsert(table, bars.where(cached).withColumn("cached", F.lit(True)))
+    R.upsert(table, bars.withColumn("cached", F.lit(False)))
+    return spark.read.parquet(table).select("symbol", "open_time", "close", "cached")
 
 
 @query("""SELECT 'l_quantity' AS name, 0 AS decimals UNION ALL SELECT 'l_extendedprice', CASE WHEN (SELECT bool_and(round_even(l_extendedprice, 0) = l_extendedprice) FROM lineitem) THEN 0

@@ -15,11 +15,11 @@ from barflow.streaming import runner as N
 from barflow.streaming import scoring as C
 from barflow.streaming import stateful as P
 
-PARTS = 3
+PARTS = 6
 
 
 def replayed(df, order, parts=PARTS):
-    return N.source(df.sparkSession, N.staged(df, order, parts), df.schema, 1)
+    return N.source(df.sparkSession, N.staged(df, order, parts), df.schema, N.FILES_PER_TRIGGER)
 
 
 @query(f"WITH RECURSIVE {FEATURES_SQL} SELECT symbol, open_time, valid, " + ", ".join(f"round(CASE WHEN valid THEN {c} END, 6) + 0.0 AS {c}" for c in X.FEATURES) + " FROM features")
@@ -90,18 +90,23 @@ def capture_sink(spark, sf_dir):
     return N.drained(stream, partition_by=["topic", "day"]).groupBy("topic", "day").agg(F.count("*").alias("messages"), F.countDistinct("payload").alias("payloads"))
 
 
-@query(f"WITH {_MESSAGES} SELECT topic, CAST(sent // 3600000 % 24 AS BIGINT) AS hour, seq, payload FROM messages WHERE topic = 'book'")
+@query(f"WITH {_MESSAGES} SELECT topic, CAST(sent // 3600000 % 24 AS BIGINT) AS hour, seq, payload FROM messages")
 def stream_capture(spark, sf_dir):
-    """Raw messages captured by topic and hour; a reader of one topic prunes the other's folders."""
+    """Raw messages captured by topic and hour, so that a reader of one topic prunes the other's folders; here both are read back."""
     stream = replayed(messages(spark, sf_dir), "sent").withColumn("hour", F.floor(F.col("sent") / A.HOUR) % 24)
-    return N.drained(stream, partition_by=["topic", "hour"]).where("topic = 'book'").select("topic", "hour", "seq", "payload")
+    return N.drained(stream, partition_by=["topic", "hour"]).select("topic", "hour", "seq", "payload")
 
 
-@query(f"WITH {_MESSAGES} SELECT topic, max(seq) AS seq FROM messages WHERE topic = 'trade' GROUP BY topic")
+@query(f"WITH {_MESSAGES}, c AS (SELECT (max(sent) + min(sent)) // 2 AS cut FROM messages) SELECT mode, topic, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT 'replay' AS mode, * FROM messages UNION ALL SELECT 'now', messages.* FROM messages, c WHERE sent > cut) GROUP BY ALL")
 def stream_source(spark, sf_dir):
-    """Replay of retained history, filtered by topic before anything else."""
-    stream = replayed(messages(spark, sf_dir), "sent").where("topic = 'trade'")
-    return N.drained(stream).groupBy("topic").agg(F.max("seq").alias("seq"))
+    """A replay of all that is retained beside a subscription that begins now, when half of the time has passed: it gets only what comes later."""
+    rows = messages(spark, sf_dir)
+    cut = rows.agg(F.floor((F.max("sent") + F.min("sent")) / 2).alias("cut")).first()["cut"]
+    path = N.staged(rows.where(F.col("sent") <= cut), "sent", 2)
+    late = N.subscribed(spark, path, rows.schema)
+    N.staged(rows.where(F.col("sent") > cut), "sent", 2, path)
+    count = lambda df, mode: df.groupBy(F.lit(mode).alias("mode"), "topic").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return count(N.drained(N.source(spark, path, rows.schema, N.FILES_PER_TRIGGER)), "replay").unionByName(count(late(), "now"))
 
 
 @query(f"WITH {A.SQL_BOOKS} SELECT symbol, max(update_id) AS update_id, arg_max(bid, update_id) AS bid FROM books GROUP BY symbol")

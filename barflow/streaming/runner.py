@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.plans.lineage import shared_root
+
+#: Rows of a staged file, and files of a micro-batch: more rows make more micro-batches, not larger ones.
+ROWS_PER_FILE, FILES_PER_TRIGGER = 1_000_000, 1
+TICK_MS = 1000
+KEPT_VERSIONS = 3
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, else a temporary one (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="barflow-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, see :func:`barflow.plans.lineage.shared_root`."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -23,21 +29,44 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def staged(df: DataFrame, order: str, parts: int) -> str:
-    """Write ``df`` as ``parts`` appends in ascending ranges of ``order``, so that a stream with one file a trigger replays it in several micro-batches, in order.
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a folder, and its data files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, [x for x in system.listStatus(folder) if not x.getPath().getName().startswith(("_", "."))] if system.exists(folder) else []
+
 
-    Files are taken by their time; ranges are therefore written one after another.
+def staged(df: DataFrame, order: str, parts: int, path: str | None = None) -> str:
+    """Write ``df`` as files of ascending ranges of ``order``, ``parts`` of them or one for each ROWS_PER_FILE rows, which a stream replays in order.
+
+    ``df`` is computed once and written by parallel tasks. A stream takes files by their time, so the files are then dated in the order of their
+    ranges, later than what stands at ``path`` already. Rows of equal ``order`` share a file; an empty ``df`` leaves one without rows.
     """
-    path = shared_folder(df.sparkSession) + "/staged"
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    bounds = [None, *(cuts or []), None]
-    for low, high in zip(bounds, bounds[1:]):
-        rows = df if low is None else df.where(F.col(order) > low)
-        rows = rows if high is None else rows.where(F.col(order) <= high)
-        rows.coalesce(1).write.mode("append").parquet(path)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    path = path or f"{folder}/staged"
+    df.write.parquet(f"{folder}/whole")
+    whole = spark.read.schema(df.schema).parquet(f"{folder}/whole")
+    system, before = _files(spark, path)
+    known = {str(x.getPath()) for x in before}
+    whole.repartitionByRange(max(parts, -(-whole.count() // ROWS_PER_FILE)), order).write.mode("append").parquet(path)
+    start = max([spark._jvm.java.lang.System.currentTimeMillis(), *(x.getModificationTime() + TICK_MS for x in before)])
+    for i, name in enumerate(sorted(n for x in _files(spark, path)[1] if (n := str(x.getPath())) not in known)):
+        system.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), start + i * TICK_MS, -1)
     return path
 
 
+def subscribed(spark: SparkSession, path: str, schema) -> Callable[[], DataFrame]:
+    """Subscribe to a Parquet folder from now on: what stands there already is left out. The result drains what has come since."""
+    since = max((x.getModificationTime() for x in _files(spark, path)[1]), default=-1)
+
+    def late() -> DataFrame:
+        fresh = source(spark, path, schema, FILES_PER_TRIGGER).where(F.unix_millis("_metadata.file_modification_time") > since)
+        return drained(fresh.select(*schema.names))
+
+    return late
+
+
 def drained(stream: DataFrame, mode: str = "append", partition_by: list[str] | None = None) -> DataFrame:
     """Run a stream until its source is used up, into Parquet with a checkpoint, and read the result. A broken run resumes from the checkpoint without doubles."""
     spark = stream.sparkSession
@@ -50,14 +79,20 @@ def drained(stream: DataFrame, mode: str = "append", partition_by: list[str] | N
 
 
 def serve_latest(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> None:
-    """Keep only the newest row of each key at ``path``: slow readers never see a backlog. Each micro-batch writes a new version folder, so a reader's files stay."""
+    """Keep only the newest row of each key at ``path``: slow readers never see a backlog.
+
+    Each micro-batch adds its newest rows to the last version, a table of one row a key, and writes a new version folder, so a reader's files stay while
+    KEPT_VERSIONS newer ones are written; older ones are deleted.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
         newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), order).alias("x")).select(key, "x.*")
         before = f"{path}/version={number - 1}"
-        both = batch if number == 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(before))
+        both = newest(batch) if number == 0 else newest(batch).unionByName(spark.read.schema(stream.schema).parquet(before).select(key, *[c for c in stream.columns if c != key]))
         newest(both).write.mode("overwrite").parquet(f"{path}/version={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - KEPT_VERSIONS}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
