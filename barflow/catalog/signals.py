@@ -8,6 +8,7 @@ from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, W, pick, r
 from barflow.functions import signals as S
 from barflow.operators import labels as L
+from barflow.plans.once import with_once
 from barflow.sources import adapters as A
 
 SIGMA = (0.5, 1.0, 1.5)
@@ -113,12 +114,12 @@ def advice_texts(spark, sf_dir):
 
 
 def normalised(spark, sf_dir):
-    return advice_texts(spark, sf_dir).withColumn("advice", S.parse_advice(F.col("text"))).withColumn("a", S.normalise_advice(F.col("advice")))
+    return with_once(advice_texts(spark, sf_dir), "a", S.normalise_advice(S.parse_advice(F.col("text")))).drop("text")
 
 
 @query(f"WITH {A.SQL_TRADES} SELECT trade_id, trade_id % 17 <> 0 AS parsed, CASE WHEN trade_id % 17 <> 0 THEN symbol END AS reason FROM trades")
 def advice_parse(spark, sf_dir):
-    rows = advice_texts(spark, sf_dir).withColumn("advice", S.parse_advice(F.col("text")))
+    rows = with_once(advice_texts(spark, sf_dir), "advice", S.parse_advice(F.col("text")))
     return rows.select("trade_id", F.col("advice").isNotNull().alias("parsed"), F.try_variant_get("advice", "$.reason", "string").alias("reason"))
 
 
@@ -136,7 +137,7 @@ def advice_scores(spark, sf_dir):
         (F.col("price") / 100 - 0.3).alias("bias"), (F.col("qty") / 8 - 0.2).alias("confidence"), (F.col("price") * 9 - 100).alias("expected_move_bps"),
         F.element_at(regimes, (F.col("trade_id") % 4 + 1).cast("int")).alias("regime"), F.element_at(actions, (F.col("trade_id") % 3 + 1).cast("int")).alias("action"),
     ))
-    rows = A.trades(spark, sf_dir).withColumn("s", S.advice_scores(F.try_parse_json(text)))
+    rows = with_once(A.trades(spark, sf_dir), "s", S.advice_scores(F.try_parse_json(text)))
     return pick(rows.select("trade_id", *[F.col("s")[i].alias(n) for i, n in ((0, "bias"), (1, "confidence"), (2, "weighted"), (3, "move"), (5, "trend_up"), (10, "short"))]), "trade_id", "bias confidence weighted move trend_up short", 9)
 
 
@@ -153,7 +154,7 @@ def judged(spark, sf_dir, late_after_ms=None):
     signal = F.when(F.col("trade_id") % 4 == 0, "LONG").when(F.col("trade_id") % 4 == 1, "SHORT").otherwise("FLAT")
     rows = rows.select(
         "trade_id", "symbol", "a", (F.col("trade_id") % 3 - 1).cast("int").alias("has_pos"), signal.alias("model_signal"), F.lit(5).alias("model_horizon"),
-        F.when(F.col("trade_id") % 5 == 0, F.array(F.lit("cool-down after loss"))).otherwise(F.array().cast("array<string>")).alias("blocked"),
+        F.when(F.col("trade_id") % 5 == 0, F.array(F.lit("cooling"))).otherwise(F.array().cast("array<string>")).alias("blocked"),
         F.col("trade_time").alias("bar_time"), (F.col("trade_time") + F.when(F.col("trade_id") % 23 == 0, 4 * A.MINUTE).otherwise(A.MINUTE)).alias("decided_at"),
     )
     return S.risk_decide(rows, late_after_ms=late_after_ms)

@@ -5,34 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.plans.once import let, with_once
 
+BODY = "map<string,string>"
 
-def route(frames: DataFrame, raw: str = "raw") -> DataFrame:
-    """stream and the body still as text: frames are told apart by their stream's name before any body is read."""
-    return frames.withColumn("stream", F.get_json_object(raw, "$.stream")).withColumn("data", F.get_json_object(raw, "$.data"))
 
+def route(frames: DataFrame, raw: str = "raw") -> DataFrame:
+    """stream and the body as a map from field to text: each frame is parsed once."""
+    return with_once(frames, "frame_", F.from_json(raw, f"stream string, data {BODY}")).select("*", "frame_.*").drop("frame_")
 
 
 def decode(frames: DataFrame, raw: str = "raw") -> DataFrame:
     """kind, symbol, place (update id, trade time or open time), price, qty, flag of book, trade and closed bar frames; other frames and bars that are still open are dropped.
 
-    Works on batches and streams alike. A number that does not parse is null.
+    Works on batches and streams alike. A frame's text is parsed once, and a bar's inner object once more. A number that does not parse is null.
     """
-    routed = route(frames, raw)
-    field = lambda path: F.get_json_object("data", f"$.{path}")
-    number = lambda path: field(path).try_cast("double")
-    stream = F.col("stream")
-    kind = F.when(stream.endswith("@bookTicker"), "book").when(stream.endswith("@aggTrade"), "trade").when(stream.contains("@kline_"), "bar")
-    known = routed.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    bar = F.col("kind") == "bar"
-    decoded = known.select(
-        "kind", F.when(bar, field("k.s")).otherwise(field("s")).alias("symbol"),
-        F.when(bar, field("k.t")).when(F.col("kind") == "trade", field("T")).otherwise(field("u")).try_cast("long").alias("place"),
-        F.when(bar, number("k.c")).when(F.col("kind") == "trade", number("p")).otherwise(number("b")).alias("price"),
-        F.when(bar, number("k.v")).when(F.col("kind") == "trade", number("q")).otherwise(number("B")).alias("qty"),
-        F.when(bar, field("k.x")).when(F.col("kind") == "trade", field("m")).try_cast("boolean").alias("flag"),
-    )
-    return decoded.where(~bar | F.coalesce("flag", F.lit(False)))
+
+    def kind_of(frame: F.Column) -> F.Column:
+        stream = frame["stream"]
+        return F.when(stream.endswith("@bookTicker"), "book").when(stream.endswith("@aggTrade"), "trade").when(stream.contains("@kline_"), "bar")
+
+    def fields(kind: F.Column, body: F.Column) -> F.Column:
+        named = lambda book, trade, bar: F.when(kind == "bar", body[bar]).when(kind == "trade", body[trade]).otherwise(body[book])
+        flag = F.when(kind == "bar", body["x"]).when(kind == "trade", body["m"])
+        return F.struct(
+            kind.alias("kind"), body["s"].alias("symbol"), named("u", "T", "t").try_cast("long").alias("place"), named("b", "p", "c").try_cast("double").alias("price"),
+            named("B", "q", "v").try_cast("double").alias("qty"), flag.try_cast("boolean").alias("flag"),
+        )
+
+    def read(frame: F.Column) -> F.Column:
+        body = F.when(kind_of(frame) == "bar", F.from_json(frame["data"]["k"], BODY)).otherwise(frame["data"])
+        return F.when(kind_of(frame).isNotNull(), let(body, lambda b: fields(kind_of(frame), b)))
+
+    rows = with_once(frames, "x_", let(F.from_json(raw, f"stream string, data {BODY}"), read))
+    return rows.where("x_ IS NOT NULL AND (x_.kind <> 'bar' OR x_.flag)").select("x_.*")
 
 
 def frames_of(trades: DataFrame, books: DataFrame, bars: DataFrame) -> DataFrame:
