@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.plans.blocks import Blocked, Recurrence, blocked, numbered, recurrences
+from barflow.plans.blocks import Blocked, Recurrence, blocked, memory, numbered, recurrences
 
 WARMUP = 64
 FEATURES = ("ret_1", "ret_5", "ret_15", "rvol_20", "bb_z_20", "dist_ma_50", "atr_pct_14", "rsi_14", "macd_hist_pct", "rel_volume", "range_pct", "body_ratio", "taker_imbalance", "rel_trades")
@@ -42,33 +44,61 @@ def row_features(b: Blocked) -> DataFrame:
     ).drop("r1_")
 
 
-def with_oscillators(df: DataFrame) -> DataFrame:
-    """Wilder ATR and RSI and the MACD histogram of numbered rows that have prev_close.
+@dataclass(frozen=True)
+class Average:
+    """An exponential average of ``of``: it starts with its row number ``seed``, before which it is 0; without a seed it starts from 0."""
 
-    Seeds: averages start at the first close, ATR at the first range, gain and loss at the second bar's move, the MACD signal at 0.
-    """
-    first, second = F.col("rn") == 0, F.col("rn") == 1
+    name: str
+    of: str
+    weight: float
+    seed: int | None = None
+
+    def after(self, before: float, x: float, row: int) -> float:
+        """The value with row number ``row``, whose input is ``x``."""
+        return (1 - self.weight) * before + (x if row == self.seed else self.weight * x)
+
+    def recurrence(self, x: F.Column) -> Recurrence:
+        """The same over numbered rows."""
+        weighted = self.weight * x
+        return Recurrence(f"{self.name}_", weighted if self.seed is None else F.when(F.col("rn") == self.seed, x).otherwise(weighted), 1 - self.weight)
+
+
+#: What RSI, ATR and MACD keep from row to row, in batches and streams alike; spread is ema12 - ema26.
+AVERAGES = (
+    Average("ema12", "close", A12, 0), Average("ema26", "close", A26, 0), Average("gain", "rise", W14, 1), Average("loss", "fall", W14, 1), Average("atr", "reach", W14, 0), Average("signal", "spread", A9),
+)
+HALO = memory(*[1 - a.weight for a in AVERAGES])
+
+
+def with_averages(b: Blocked) -> Blocked:
+    """The averages as columns of blocked rows that have prev_close; the first row has no move and reaches over its own range."""
     move = F.coalesce(F.col("close") - F.col("prev_close"), F.lit(0.0))
-    true_range = F.coalesce(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close"))), F.col("high") - F.col("low"))
-    seeded = lambda x, a, at: F.when(at, x).otherwise(a * x)
-    df = recurrences(df, [
-        Recurrence("ema12_", seeded(F.col("close"), A12, first), 1 - A12), Recurrence("ema26_", seeded(F.col("close"), A26, first), 1 - A26),
-        Recurrence("gain_", seeded(F.greatest(move, F.lit(0.0)), W14, second), 1 - W14), Recurrence("loss_", seeded(F.greatest(-move, F.lit(0.0)), W14, second), 1 - W14),
-        Recurrence("atr_", seeded(true_range, W14, first), 1 - W14),
-    ])
-    df = recurrences(df, [Recurrence("signal_", F.when(first, 0.0).otherwise(A9 * (F.col("ema12_") - F.col("ema26_"))), 1 - A9)])
-    rsi = F.when(F.col("gain_") + F.col("loss_") > 0, 100 * F.col("gain_") / (F.col("gain_") + F.col("loss_"))).otherwise(50.0)
-    return (
-        df.withColumn("atr_pct_14", F.try_divide(F.col("atr_"), F.col("close"))).withColumn("rsi_14", (rsi - 50) / 50)
-        .withColumn("macd_hist_pct", F.try_divide(F.col("ema12_") - F.col("ema26_") - F.col("signal_"), F.col("close")))
-        .drop("ema12_", "ema26_", "gain_", "loss_", "atr_", "signal_")
-    )
+    inputs = {
+        "close": F.col("close"), "rise": F.greatest(move, F.lit(0.0)), "fall": F.greatest(-move, F.lit(0.0)),
+        "reach": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close"))), "spread": F.col("ema12_") - F.col("ema26_"),
+    }
+    own = [a for a in AVERAGES if a.of != "spread"]
+    b = recurrences(b, [a.recurrence(inputs[a.of]) for a in own])
+    return recurrences(b, [a.recurrence(inputs[a.of]) for a in AVERAGES if a not in own])
+
+
+def with_oscillators(b: Blocked) -> DataFrame:
+    """atr_pct_14, rsi_14 and macd_hist_pct of each block's own rows."""
+    df = Blocked.home(with_averages(b).rows)
+    both = F.col("gain_") + F.col("loss_")
+    rsi = F.when(both > 0, 100 * F.col("gain_") / both).otherwise(50.0)
+    return df.withColumns({
+        "atr_pct_14": F.try_divide(F.col("atr_"), F.col("close")), "rsi_14": (rsi - 50) / 50, "macd_hist_pct": F.try_divide(F.col("ema12_") - F.col("ema26_") - F.col("signal_"), F.col("close")),
+    }).drop(*[f"{a.name}_" for a in AVERAGES])
 
 
 def features_14(bars: DataFrame) -> DataFrame:
-    """All fourteen features with rn and valid, which is true from the 64th bar of a symbol on; the columns of ``bars`` stay."""
-    b = blocked(numbered(bars), WARMUP)
-    rows = with_oscillators(Blocked.home(row_features(Blocked(with_shape(b.rows), b.window))))
+    """All fourteen features with rn and valid, which is true from the 64th bar of a symbol on; the columns of ``bars`` stay.
+
+    Numbering aside, everything is done within one shuffle into blocks whose halo outlasts the memory of the averages.
+    """
+    b = blocked(numbered(bars), max(WARMUP, HALO))
+    rows = with_oscillators(Blocked(row_features(Blocked(with_shape(b.rows), b.window)), b.window))
     return rows.withColumn("valid", F.col("rn") >= WARMUP - 1).drop("prev_close")
 
 
@@ -79,7 +109,7 @@ def masked(df: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
 
 def features_proto(bars: DataFrame) -> DataFrame:
     """The prototype's features: simple returns, band width, mean-range ATR, distances, relative volume, bias-corrected RSI, raw MACD histogram, breakout."""
-    b = blocked(numbered(bars), 51)
+    b = blocked(numbered(bars), max(51, HALO))
     w, c = b.window, F.col("close")
     full = lambda n, x: F.when(F.col("rn") >= n - 1, x)
     ma20, sd20 = F.avg("close").over(b.back(20)), F.stddev_samp("close").over(b.back(20))
@@ -91,20 +121,16 @@ def features_proto(bars: DataFrame) -> DataFrame:
         full(50, F.try_divide(c, F.avg("close").over(b.back(50))) - 1).alias("dist_ma_50"), full(20, F.col("volume") / (F.avg("volume").over(b.back(20)) + 1e-6)).alias("rvol"),
         full(20, F.try_divide(c - ma20 - 2 * sd20, ma20 + 2 * sd20)).alias("dist_to_upper"), full(20, F.when(c > ma20 + 2 * sd20, 1.0).otherwise(0.0)).alias("breakout_"),
     )
-    df = Blocked.home(df)
     move = F.col("close") - F.col("prev_close")
-    keep = 1 - W14
     # a bias-corrected average is one recurrence over another that counts the weights
-    some = F.when(F.col("rn") >= 1, 1.0).otherwise(0.0)
-    df = recurrences(df, [
-        Recurrence("up_", F.coalesce(F.greatest(move, F.lit(0.0)), F.lit(0.0)), keep), Recurrence("down_", F.coalesce(F.greatest(-move, F.lit(0.0)), F.lit(0.0)), keep), Recurrence("mass_", some, keep),
-        Recurrence("ema12_", F.when(F.col("rn") == 0, c).otherwise(A12 * c), 1 - A12), Recurrence("ema26_", F.when(F.col("rn") == 0, c).otherwise(A26 * c), 1 - A26),
-    ])
-    df = recurrences(df, [Recurrence("signal_", F.when(F.col("rn") == 0, 0.0).otherwise(A9 * (F.col("ema12_") - F.col("ema26_"))), 1 - A9)])
+    up, down, mass = (F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(0.0)) for x in (move, -move, F.when(F.col("rn") >= 1, 1.0)))
+    lines = [a for a in AVERAGES if a.of in ("close", "spread")]
+    made = recurrences(Blocked(df, w), [*[Recurrence(n, x, 1 - W14) for n, x in (("up_", up), ("down_", down), ("mass_", mass))], *[a.recurrence(c) for a in lines if a.of == "close"]])
+    df = Blocked.home(recurrences(made, [a.recurrence(F.col("ema12_") - F.col("ema26_")) for a in lines if a.of == "spread"]).rows)
     strength = (F.col("up_") / F.col("mass_")) / (F.col("down_") / F.col("mass_") + 1e-10)
     rsi = F.when(F.col("rn") >= 1, (100 - 100 / (1 + strength)) / 100)
     out = df.withColumn("rsi_14", rsi).withColumn("macd_hist", F.col("ema12_") - F.col("ema26_") - F.col("signal_")).withColumn("pump_signal", F.col("breakout_") * F.col("rvol"))
-    return out.drop("prev_close", "tr_", "breakout_", "up_", "down_", "mass_", "ema12_", "ema26_", "signal_")
+    return out.drop("prev_close", "tr_", "breakout_", "up_", "down_", "mass_", *[f"{a.name}_" for a in lines])
 
 
 PROTO = ("return_1", "return_3", "roc_10", "bb_width", "atr_14_pct", "dist_ma_20", "dist_ma_50", "rvol", "rsi_14", "macd_hist", "dist_to_upper", "pump_signal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.plans.blocks import Blocked, Recurrence, blocked, numbered, recurrences
+from barflow.plans.blocks import Blocked, Recurrence, blocked, memory, numbered, recurrences
 
 
 def second_buckets(trades: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def book_metrics(books: DataFrame) -> DataFrame:
 
 def obi_ewma(books: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Exponential average of the imbalance in update order, from 0."""
-    rows = numbered(book_metrics(books), order="update_id", span=1 << 20)
-    return recurrences(rows, [Recurrence("obi_ewma", alpha * F.col("obi"), 1 - alpha)])
+    b = blocked(numbered(book_metrics(books), order="update_id", span=1 << 20), memory(1 - alpha), order="update_id")
+    return Blocked.home(recurrences(b, [Recurrence("obi_ewma", alpha * F.col("obi"), 1 - alpha)]).rows)
 
 
 def regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30, history: int = 1440, enough: int = 100) -> DataFrame:

@@ -66,24 +66,30 @@ class Recurrence:
     decay: float
 
 
-def recurrences(df: DataFrame, specs: list[Recurrence], key: str = "symbol", rows: int = SCAN_ROWS) -> DataFrame:
-    """Add each recurrence as a column, by a two-pass blocked scan over numbered rows.
+def memory(*decays: float, rows: int = SCAN_ROWS) -> int:
+    """Rows after which recurrences of these decays keep less than MOST_REMEMBERED of a value, in whole scan blocks: the halo that :func:`recurrences` needs."""
+    return -(-int(np.ceil(np.log(MOST_REMEMBERED) / np.log(max(decays)))) // rows) * rows
 
-    Within a block the value is decay^j * sum(input_i * decay^-i), a running sum; a block's last value reaches later blocks with decay^rows for each
-    block between, and is dropped once that factor is under 1e-18. Blocks are spread by (key, block), in both passes. A null input counts as 0.
+
+def recurrences(b: Blocked, specs: list[Recurrence], key: str = "symbol", rows: int = SCAN_ROWS) -> Blocked:
+    """Add each recurrence as a column of numbered rows, within the blocks that are there: no further shuffle.
+
+    A scan block of ``rows`` rows has decay^j * sum(input_i * decay^-i), a running sum; the last value of an earlier scan block reaches it with
+    decay^rows for each block between, until that is under MOST_REMEMBERED. The halo behind must be :func:`memory` of the decays, so that what the
+    block's first rows lack is forgotten by its own. A null input counts as 0.
     """
-    scan = df.withColumn("at_", F.floor(F.col("rn") / rows)).withColumn("j_", F.col("rn") % rows)
-    upto = Window.partitionBy(key, "at_").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    for s in specs:
-        scaled = F.coalesce(s.input, F.lit(0.0)) * F.pow(F.lit(s.decay), -F.col("j_"))
-        scan = scan.withColumn(f"local_{s.name}", F.pow(F.lit(s.decay), F.col("j_")) * F.sum(scaled).over(upto))
-    ends = scan.groupBy(F.col(key).alias("key_"), F.col("at_").alias("from_")).agg(*[F.max_by(f"local_{s.name}", "rn").alias(f"end_{s.name}") for s in specs])
-    reach = max(int(np.ceil(np.log(MOST_REMEMBERED) / (rows * np.log(s.decay)))) + 1 for s in specs)
-    later = ends.withColumn("k_", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("to_", F.col("from_") + F.col("k_"))
-    carried = later.groupBy("key_", "to_").agg(*[F.sum(F.col(f"end_{s.name}") * F.pow(F.lit(s.decay), (F.col("k_") - 1) * rows)).alias(f"carry_{s.name}") for s in specs])
-    joined = scan.join(carried, (F.col(key) == F.col("key_")) & (F.col("at_") == F.col("to_")), "left")
-    for s in specs:
-        value = F.col(f"local_{s.name}") + F.coalesce(f"carry_{s.name}", F.lit(0.0)) * F.pow(F.lit(s.decay), F.col("j_") + 1)
-        joined = joined.withColumn(s.name, value)
-    extra = [f"{p}_{s.name}" for s in specs for p in ("local", "carry")]
-    return joined.drop("at_", "j_", "key_", "to_", *extra)
+    scan = b.rows.withColumn("at_", F.floor(F.col("rn") / rows)).withColumn("j_", F.col("rn") % rows)
+    upto = Window.partitionBy(key, "block_", "at_").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = {s.name: F.coalesce(s.input, F.lit(0.0)) * F.pow(F.lit(s.decay), -F.col("j_")) for s in specs}
+    scan = scan.withColumns({f"local_{s.name}": F.pow(F.lit(s.decay), F.col("j_")) * F.sum(scaled[s.name]).over(upto) for s in specs})
+
+    def carried(s: Recurrence) -> F.Column:
+        end = F.when(F.col("j_") == rows - 1, F.col(f"local_{s.name}"))
+        total = F.lit(0.0)
+        for k in range(1, memory(s.decay, rows=rows) // rows + 1):
+            earlier = Window.partitionBy(key, "block_").orderBy("at_").rangeBetween(-k, -k)
+            total = total + F.coalesce(F.sum(end).over(earlier), F.lit(0.0)) * s.decay ** ((k - 1) * rows)
+        return total
+
+    scan = scan.withColumns({s.name: F.col(f"local_{s.name}") + carried(s) * F.pow(F.lit(s.decay), F.col("j_") + 1) for s in specs})
+    return Blocked(scan.drop("at_", "j_", *[f"local_{s.name}" for s in specs]), b.window)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable
 from dataclasses import asdict
 
 import numpy as np
@@ -12,24 +13,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.operators.features import A9, A12, A26, FEATURES, W14, WARMUP
+from barflow.operators.features import AVERAGES, FEATURES, WARMUP
 from barflow.operators.ledger import Book, Holding, Rules, money
 
-KEEP = 64
 
-
-def keyed(stream: DataFrame, key: str, order: list[str], fold: Callable[[dict | None, Iterator], tuple[dict, list[tuple]]], schema: str) -> DataFrame:
+def keyed(stream: DataFrame, key: str, order: list[str], fold: Callable[[dict | None, pd.DataFrame], tuple[dict, Iterable[tuple]]], schema: str) -> DataFrame:
     """Run ``fold`` over each key's new rows in ``order``; its state is kept as JSON between micro-batches.
 
-    Rows of one micro-batch come unordered, so they are sorted here; a row older than the state is for the fold to judge.
+    Rows of one micro-batch come unordered, so they are sorted here, and a micro-batch is bounded by its files; a row older than the state is for the
+    fold to judge.
     """
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(keys, frames, state):
         held = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        held, out = fold(held, rows.itertuples(index=False))
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        held, out = fold(held, rows)
         state.update((json.dumps(held),))
         yield pd.DataFrame([(keys[0], *x) for x in out], columns=names)
 
@@ -39,66 +39,104 @@ def keyed(stream: DataFrame, key: str, order: list[str], fold: Callable[[dict |
 # --- bars ---------------------------------------------------------------------------------------
 
 
-def _averages(s: dict | None, bar) -> dict:
-    """The exponential averages after one more bar."""
-    if s is None:
-        return {"n": 1, "last": int(bar.open_time), "close": bar.close, "e12": bar.close, "e26": bar.close, "sig": 0.0, "gain": 0.0, "loss": 0.0, "atr": bar.high - bar.low, "bars": [], "gaps": 0, "late": 0}
-    move = bar.close - s["close"]
-    up, down = max(move, 0.0), max(-move, 0.0)
-    toward = lambda old, new, a: old + a * (new - old)
-    e12, e26 = toward(s["e12"], bar.close, A12), toward(s["e26"], bar.close, A26)
-    reach = max(bar.high - bar.low, abs(bar.high - s["close"]), abs(bar.low - s["close"]))
-    first = s["n"] == 1
-    return s | {
-        "n": s["n"] + 1, "last": int(bar.open_time), "close": bar.close, "e12": e12, "e26": e26, "sig": toward(s["sig"], e12 - e26, A9),
-        "gain": up if first else toward(s["gain"], up, W14), "loss": down if first else toward(s["loss"], down, W14), "atr": toward(s["atr"], reach, W14),
-    }
+def _fresh(rows: pd.DataFrame, time: str, last: int | None) -> np.ndarray:
+    """Which of the sorted rows are newer than ``last`` and than every row before them."""
+    at = rows[time].to_numpy(np.int64)
+    newest = np.maximum.accumulate(np.r_[-(2**62) if last is None else last, at])[:-1]
+    return at > newest
+
+
+def _quotient(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(len(a), np.nan), where=where)
+
+
+def _log_ratio(close: np.ndarray, lag: int) -> np.ndarray:
+    """ln(close / close ``lag`` rows before); NaN where a price is 0 and at the start."""
+    out = np.full(len(close), np.nan)
+    if len(close) > lag:
+        now, then = close[lag:], close[:-lag]
+        out[lag:] = np.log(_quotient(now, then, (now > 0) & (then > 0)))
+    return out
+
+
+def _over(x: np.ndarray, n: int, measure: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``measure`` of the last ``n`` rows at each row, NaN while there are fewer."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = measure(np.lib.stride_tricks.sliding_window_view(x, n))
+    return out
+
+
+def _deviation(windows: np.ndarray) -> np.ndarray:
+    """Sample deviation along the last axis without its NaN; NaN where fewer than two are left."""
+    n = np.isfinite(windows).sum(axis=-1)
+    mean = np.nansum(windows, axis=-1) / np.maximum(n, 1)
+    square = np.nansum((windows - mean[:, None]) ** 2, axis=-1)
+    return np.sqrt(_quotient(square, np.maximum(n - 1, 1).astype(float), n > 1))
 
 
-def _ratio(a: float, b: float) -> float | None:
-    return a / b if b else None
+def _exact_deviation(windows: np.ndarray) -> np.ndarray:
+    return windows.std(axis=-1, ddof=1)
 
 
-def _log(a: float, b: float) -> float | None:
-    """ln(a / b), none where a price is 0."""
-    return math.log(a / b) if a > 0 and b > 0 else None
+def _mean(windows: np.ndarray) -> np.ndarray:
+    return windows.mean(axis=-1)
 
 
-def _deviation(close: np.ndarray) -> float | None:
-    """Sample deviation of the one-bar log returns, those to or from a price of 0 left out."""
-    there = (close[1:] > 0) & (close[:-1] > 0)
-    ret = np.log(close[1:][there] / close[:-1][there])
-    return float(ret.std(ddof=1)) if len(ret) > 1 else None
+def _averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The exponential averages after each row, from the list that batches use; ``state`` (n, close, means) is brought up to date."""
+    means, out = state["means"], {a.name: np.empty(len(rows)) for a in AVERAGES}
+    for i, (high, low, close) in enumerate(zip(rows["high"], rows["low"], rows["close"])):
+        before = close if state["close"] is None else state["close"]
+        inputs = {"close": close, "rise": max(close - before, 0.0), "fall": max(before - close, 0.0), "reach": high - low if state["close"] is None else max(high - low, abs(high - before), abs(low - before))}
+        for a in AVERAGES:
+            x = means["ema12"] - means["ema26"] if a.of == "spread" else inputs[a.of]
+            out[a.name][i] = means[a.name] = float(a.after(means.get(a.name, 0.0), x, state["n"]))
+        state["n"], state["close"] = state["n"] + 1, float(close)
+    return out
 
 
-def _features(s: dict, bar) -> list[float | None]:
-    close, volume, trades = (np.array(x) for x in zip(*s["bars"]))
-    far = _ratio(close[-1], close[-50:].mean())
-    sd20 = close[-20:].std(ddof=1)
-    span, both = bar.high - bar.low, s["gain"] + s["loss"]
-    rsi = 100 * s["gain"] / both if both > 0 else 50.0
-    return [
-        _log(close[-1], close[-2]), _log(close[-1], close[-6]), _log(close[-1], close[-16]), _deviation(close[-21:]), (close[-1] - close[-20:].mean()) / sd20 if sd20 > 0 else 0.0,
-        None if far is None else far - 1, _ratio(s["atr"], close[-1]), (rsi - 50) / 50, _ratio(s["e12"] - s["e26"] - s["sig"], close[-1]), math.log((volume[-1] + 1e-9) / (volume[-20:].mean() + 1e-9)),
-        _ratio(span, close[-1]), (bar.close - bar.open) / span if span > 0 else 0.0, bar.taker / bar.volume - 0.5 if bar.volume > 0 else 0.0, math.log((trades[-1] + 1) / (trades[-20:].mean() + 1)),
-    ]
+def _look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> np.ndarray:
+    """The features of ``rows``, whose WARMUP - 1 rows before are ``kept``; one line for each row."""
+    close, volume, trades = np.array([*map(tuple, kept), *zip(rows["close"], rows["volume"], rows["trades"])], float).T
+    own = slice(len(kept), None)
+    price, ma20, sd20 = close[own], _over(close, 20, _mean)[own], _over(close, 20, _exact_deviation)[own]
+    span, paid = (rows["high"] - rows["low"]).to_numpy(float), rows["volume"].to_numpy(float)
+    both, there = mean["gain"] + mean["loss"], price != 0
+    values = {
+        **{f"ret_{k}": _log_ratio(close, k)[own] for k in (1, 5, 15)}, "rvol_20": _over(_log_ratio(close, 1), 20, _deviation)[own],
+        "bb_z_20": np.where(sd20 > 0, _quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": _quotient(price, far := _over(close, 50, _mean)[own], far != 0) - 1,
+        "atr_pct_14": _quotient(mean["atr"], price, there), "rsi_14": (np.where(both > 0, 100 * _quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
+        "macd_hist_pct": _quotient(mean["ema12"] - mean["ema26"] - mean["signal"], price, there),
+        "rel_volume": np.log((volume[own] + 1e-9) / (_over(volume, 20, _mean)[own] + 1e-9)), "rel_trades": np.log((trades[own] + 1) / (_over(trades, 20, _mean)[own] + 1)),
+        "range_pct": _quotient(span, price, there), "body_ratio": np.where(span > 0, _quotient((rows["close"] - rows["open"]).to_numpy(float), span, span > 0), 0.0),
+        "taker_imbalance": np.where(paid > 0, _quotient(rows["taker"].to_numpy(float), paid, paid > 0) - 0.5, 0.0),
+    }
+    return np.stack([values[c] for c in FEATURES], axis=1)
+
+
+def _plain(values: np.ndarray) -> list[float | None]:
+    return [None if x != x else float(x) for x in values]
 
 
 def stream_features(bars: DataFrame, interval: int) -> DataFrame:
     """The fourteen features of each closed bar as it comes, equal to the batch result; a bar no later than the last one is dropped, gaps are counted, not repaired."""
 
     def fold(s, rows):
-        out = []
-        for bar in rows:
-            if s is not None and bar.open_time <= s["last"]:
-                s["late"] += 1
-                continue
-            gap = s is not None and bar.open_time != s["last"] + interval
-            s = _averages(s, bar)
-            s["gaps"] += bool(gap)
-            s["bars"] = [*s["bars"][-(KEEP - 1) :], (float(bar.close), float(bar.volume), float(bar.trades))]
-            values = _features(s, bar) if s["n"] >= WARMUP else [None] * len(FEATURES)
-            out.append((int(bar.open_time), s["n"] >= WARMUP, s["gaps"], s["late"], *values))
+        s = s or {"n": 0, "close": None, "means": {}, "kept": [], "last": None, "gaps": 0, "late": 0}
+        fresh = _fresh(rows, "open_time", s["last"])
+        late = s["late"] + np.cumsum(~fresh)[fresh]
+        s["late"] += int((~fresh).sum())
+        rows = rows[fresh]
+        if not len(rows):
+            return s, []
+        at = rows["open_time"].to_numpy(np.int64)
+        gaps = s["gaps"] + np.cumsum(np.diff(at, prepend=at[0] - interval if s["last"] is None else s["last"]) != interval)
+        valid = s["n"] + np.arange(1, len(rows) + 1) >= WARMUP
+        values = _look_back(s["kept"], rows, _averaged(s, rows))
+        s["kept"] = [*s["kept"], *zip(rows["close"].astype(float), rows["volume"].astype(float), rows["trades"].astype(float))][-(WARMUP - 1) :]
+        s["last"], s["gaps"] = int(at[-1]), int(gaps[-1])
+        out = [(int(t), bool(v), int(g), int(d), *(_plain(x) if v else [None] * len(FEATURES))) for t, v, g, d, x in zip(at, valid, gaps, late, values)]
         return s, out
 
     schema = "symbol string, open_time long, valid boolean, gaps long, late long, " + ", ".join(f"{c} double" for c in FEATURES)
@@ -106,32 +144,27 @@ def stream_features(bars: DataFrame, interval: int) -> DataFrame:
 
 
 def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30, history: int = 1440, enough: int = 100) -> DataFrame:
-    """Volatility and trend regimes, updated on bar close only."""
+    """Volatility and trend regimes, updated on bar close only. The state is the closes that the next bar looks back on; a micro-batch is worked on as a whole."""
 
     def fold(s, rows):
-        s = s or {"closes": [], "rv": [], "last": -(2**62)}
-        out = []
-        for bar in rows:
-            if bar.open_time <= s["last"]:
-                continue
-            s["last"] = int(bar.open_time)
-            s["closes"] = [*s["closes"][-max(vol, path) :], float(bar.close)]
-            closes = np.array(s["closes"])
-            rv = None
-            if len(closes) > vol:
-                rv = _deviation(closes[-(vol + 1) :])
-                rv = rv if rv is None else rv * math.sqrt(bars_per_year)
-                s["rv"] = [*s["rv"], rv][-history:]
-            past = [x for x in s["rv"] if x is not None]
-            share = float(np.mean(np.array(past) <= rv)) if rv is not None and len(past) >= enough else 0.5
-            net, efficiency = 0.0, None
-            if len(closes) > path:
-                steps = np.abs(np.diff(closes[-(path + 1) :])).sum()
-                net = closes[-1] - closes[-(path + 1)]
-                efficiency = float(abs(net) / steps) if steps > 0 else 0.0
-            trend = "RANGE" if efficiency is None or efficiency <= 0.3 else "TREND_UP" if net > 0 else "TREND_DOWN"
-            out.append((int(bar.open_time), rv, "HIGH" if share > 0.8 else "LOW" if share < 0.2 else "NORMAL", efficiency, trend))
-        return s, out
+        s = s or {"closes": [], "last": None}
+        rows = rows[_fresh(rows, "open_time", s["last"])]
+        if not len(rows):
+            return s, []
+        closes = np.array([*s["closes"], *rows["close"]], float)
+        own = slice(len(s["closes"]), None)
+        rv = _over(_log_ratio(closes, 1), vol, _deviation) * math.sqrt(bars_per_year)
+        rv[:vol] = np.nan  # the first close has no return
+        past = pd.Series(rv).rolling(history, min_periods=1)
+        share = np.where(past.count() >= enough, past.rank(method="max", pct=True), np.nan)
+        steps = np.abs(np.diff(closes, prepend=closes[0]))
+        moved, net = _over(steps, path, lambda w: w.sum(axis=-1)), closes - np.r_[np.full(min(path, len(closes)), np.nan), closes[:-path]]
+        efficiency = np.where(moved > 0, _quotient(np.abs(net), moved, moved > 0), 0.0)
+        efficiency[:path] = np.nan
+        volatility = np.select([share > 0.8, share < 0.2], ["HIGH", "LOW"], "NORMAL")
+        trend = np.where(efficiency > 0.3, np.where(net > 0, "TREND_UP", "TREND_DOWN"), "RANGE")
+        s = {"closes": closes[-(history + vol) :].tolist(), "last": int(rows["open_time"].iloc[-1])}
+        return s, zip(rows["open_time"].tolist(), _plain(rv[own]), volatility[own].tolist(), _plain(efficiency[own]), trend[own].tolist())
 
     return keyed(bars, "symbol", ["open_time"], fold, "symbol string, open_time long, rv double, vol_regime string, efficiency double, trend_regime string")
 
@@ -145,7 +178,7 @@ def stream_obi(books: DataFrame, alpha: float = 0.05) -> DataFrame:
     def fold(s, rows):
         s = s or {"ewma": 0.0, "last": -(2**62)}
         out = []
-        for b in rows:
+        for b in rows.itertuples(index=False):
             if b.update_id <= s["last"]:
                 continue
             total = b.bid_qty + b.ask_qty
@@ -165,17 +198,19 @@ def stream_snapshots(tagged: DataFrame, every_ms: int, short_s: int, long_s: int
 
     def fold(s, rows):
         s = s or {"book": None, "trades": [], "due": -(2**62)}
+        s["trades"] = deque(s["trades"])
         out = []
-        for m in rows:
+        for m in rows.itertuples(index=False):
             now = int(m.sent)
             if m.kind == "book":
                 s["book"] = [float(m.bid), float(m.ask), float(m.bid_qty), float(m.ask_qty)]
             elif m.kind == "trade":
                 s["trades"].append([now // 1000, float(m.price), float(m.qty), bool(m.is_buyer_maker)])
+            sec = now // 1000
+            while s["trades"] and s["trades"][0][0] <= sec - long_s:
+                s["trades"].popleft()
             if s["book"] is None or now < s["due"] and m.kind != "bar":
                 continue
-            sec = now // 1000
-            s["trades"] = [t for t in s["trades"] if t[0] > sec - long_s]
             s["due"] = now + every_ms
             bid, ask, bq, aq = s["book"]
             near = [t for t in s["trades"] if t[0] > sec - short_s]
@@ -184,6 +219,7 @@ def stream_snapshots(tagged: DataFrame, every_ms: int, short_s: int, long_s: int
             volume, notional = sum(t[2] for t in s["trades"]), sum(t[1] * t[2] for t in s["trades"])
             mid = (bid + ask) / 2
             out.append((now, m.kind, mid, (bq - aq) / (bq + aq) if bq + aq > 0 else 0.0, (all_ - 2 * sold) / all_ if all_ > 0 else 0.0, len(near) / short_s, notional / volume if volume > 0 else mid))
+        s["trades"] = list(s["trades"])
         return s, out
 
     return keyed(tagged, "symbol", ["sent", "kind"], fold, "symbol string, sent long, kind string, mid double, obi double, flow double, trade_rate double, vwap double")
@@ -210,7 +246,7 @@ def stream_ledger(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
         s = s or {"n": 0, "cash": rules.cash, "own": None, "waiting": None, "times": {}, "last": -(2**62)}
         book = Book(rules, Holding(**s["own"]) if s["own"] else None, tuple(s["waiting"]) if s["waiting"] else None)
         out = []
-        for row in rows:
+        for row in rows.itertuples(index=False):
             if row.t <= s["last"]:
                 continue
             s["last"], at = int(row.t), s["n"]

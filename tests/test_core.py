@@ -14,7 +14,7 @@ from barflow.operators import agent, ledger
 from barflow.operators import features as X
 from barflow.operators import labels as L
 from barflow.operators import micro as M
-from barflow.plans.blocks import Blocked, Recurrence, blocked, numbered, recurrences
+from barflow.plans.blocks import Blocked, Recurrence, blocked, memory, numbered, recurrences
 from barflow.sources import frames as R
 from barflow.sources import sinks
 
@@ -54,7 +54,10 @@ def test_numbers_and_blocks(spark, bars):
 
 @pytest.mark.parametrize("decay", [0.8, 12 / 14, 0.95])
 def test_recurrence(spark, bars, decay):
-    got = recurrences(numbered(bars), [Recurrence("h", F.col("close"), decay), Recurrence("g", -F.col("volume"), 0.9)], rows=32).where("symbol = 'S'").orderBy("rn").collect()
+    b = blocked(numbered(bars), memory(decay, 0.9, rows=32), rows=64)
+    made = Blocked.home(recurrences(b, [Recurrence("h", F.col("close"), decay), Recurrence("g", -F.col("volume"), 0.9)], rows=32).rows)
+    got = made.where("symbol = 'S'").orderBy("rn").collect()
+    assert len(got) == 700
     h = g = 0.0
     for r in got:
         h, g = decay * h + r.close, 0.9 * g - r.volume
