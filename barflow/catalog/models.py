@@ -81,7 +81,10 @@ def advised(spark, sf_dir):
 
 @query()
 def ask_gate(spark, sf_dir):
-    return B.followed(advised(spark, sf_dir)).groupBy("symbol", "reason", "action").agg(F.count("*").alias("n"))
+    """Calls by reason and what came of them, where the model has a veto and in free mode."""
+    rows = checkpointed(advised(spark, sf_dir))
+    modes = [B.followed(rows, B.Gate(veto=veto)).withColumn("mode", F.lit(mode)) for mode, veto in (("veto", True), ("free", False))]
+    return modes[0].unionByName(modes[1]).groupBy("mode", "symbol", "reason", "action").agg(F.count("*").alias("n"))
 
 
 @query()

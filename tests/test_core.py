@@ -200,6 +200,15 @@ def test_losses_cool_down_and_halt():
     assert (out["t"] // 60_000).max() <= 3
 
 
+def test_free_mode_scans_and_needs_no_model(spark):
+    out = agent.follow(advice_rows(60, "HOLD", signal="FLAT"), agent.Gate(veto=False), FLAT)
+    assert set(out["reason"]) == {"scan"} and out["t"].div(60_000).astype(int).tolist() == [0, 15, 30, 45]
+    assert agent.follow(advice_rows(60, "HOLD", signal="FLAT"), agent.Gate(), FLAT).empty
+    assert agent.follow(advice_rows(60, "HOLD", signal="FLAT"), agent.Gate(veto=False, ask_on_flat=False), FLAT).empty
+    out = agent.follow(advice_rows(3, "OPEN_SHORT", signal="FLAT"), agent.Gate(veto=False), FLAT)
+    assert out["action"].tolist() == ["OPEN_SHORT"]
+
+
 def test_gate_on_spark(spark):
     rows = spark.createDataFrame(advice_rows(30, "OPEN_SHORT", signal="SHORT"))
     assert agent.followed(rows).where("action = 'OPEN_SHORT'").count() > 0
