@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import FEATURES_SQL, M15, NUMBERED, W, back, pick, r, rounded
 from barflow.operators import features as X
 from barflow.plans.blocks import Blocked, blocked, numbered
+from barflow.plans.running import running
 from barflow.sources import adapters as A
 
 FLAG = "symbol open_time"
@@ -147,8 +147,8 @@ def dedupe_bars(spark, sf_dir):
     """Bars in arrival order (every fifth arrives seven hours late): late and repeated ones are dropped."""
     hour = F.floor(F.col("open_time") / A.HOUR)
     arrived = A.bars(spark, sf_dir).withColumn("arrival", hour + F.when(hour % 5 == 0, 7).otherwise(0))
-    w = Window.partitionBy("symbol").orderBy("arrival", "open_time").rowsBetween(Window.unboundedPreceding, -1)
-    return arrived.withColumn("last_open", F.max("open_time").over(w)).where("last_open IS NULL OR open_time > last_open").select("symbol", "open_time", "close")
+    seen = running(arrived, ["symbol"], ["arrival", "open_time"], F.floor(F.col("arrival") / 24), "last_open", F.col("open_time"), "max", before=True)
+    return seen.where("last_open IS NULL OR open_time > last_open").select("symbol", "open_time", "close")
 
 
 @query(f"""WITH {A.sql_bars(M15)} SELECT symbol, open_time, coalesce(open_time - lag(open_time) OVER ({W}) <> {M15}, false) AS gap,

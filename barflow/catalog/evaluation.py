@@ -12,6 +12,7 @@ from barflow.functions.signals import log_linear_bucket as bucket_of
 from barflow.operators import evaluation as E
 from barflow.operators import labels as L
 from barflow.plans.blocks import numbered
+from barflow.plans.running import quantiles
 from barflow.sources import adapters as A
 
 BY = ["symbol", "horizon"]
@@ -68,7 +69,8 @@ def threshold_strategy(spark, sf_dir):
 @query(f"WITH {_LONG_SQL} SELECT symbol, horizon, round(quantile_cont(abs(pred), 0.9), 6) + 0.0 AS threshold FROM scored GROUP BY ALL")
 def quantile_threshold(spark, sf_dir):
     rows = forecasts_long(spark, sf_dir).dropna(subset=["pred", "y"])
-    return pick(rows.groupBy(*BY).agg(F.percentile(F.abs("pred"), 0.9).alias("threshold")), "symbol horizon", "threshold")
+    found = quantiles(rows.withColumn("size", F.abs("pred")), BY, "size", [0.9])
+    return pick(found.withColumn("threshold", F.col("quantiles")[0]), "symbol horizon", "threshold")
 
 
 @query(f"""WITH {_LONG_SQL}, d AS (SELECT *, y - lag(y) OVER (PARTITION BY symbol, horizon ORDER BY open_time) AS dy, pred - lag(pred) OVER (PARTITION BY symbol, horizon ORDER BY open_time) AS dp FROM scored)
@@ -159,8 +161,8 @@ def latency_percentile(spark, sf_dir):
 
 @query(f"WITH {A.SQL_SERVICES} SELECT service, round(quantile_cont(ns, 0.5), 6) + 0.0 AS p50, round(quantile_cont(ns, 0.99), 6) + 0.0 AS p99 FROM services GROUP BY service")
 def p50_p99(spark, sf_dir):
-    rows = A.services(spark, sf_dir).groupBy("service").agg(F.percentile("ns", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
-    return rows.select("service", r(F.col("p")[0]).alias("p50"), r(F.col("p")[1]).alias("p99"))
+    rows = quantiles(A.services(spark, sf_dir), ["service"], "ns", [0.5, 0.99])
+    return rows.select("service", r(F.col("quantiles")[0]).alias("p50"), r(F.col("quantiles")[1]).alias("p99"))
 
 
 @query(f"WITH {A.SQL_SERVICES} SELECT service, count(*) AS counter, arg_max(ns, (ts, seq)) AS gauge, CAST(sum(ns) AS BIGINT) AS total FROM services GROUP BY service")
@@ -197,7 +199,7 @@ _CONFIG_SQL = f"""WITH {_LONG_SQL}, o AS (SELECT unnest([false, true]) AS long_o
 def _configs(spark, sf_dir):
     scored = forecasts_long(spark, sf_dir).dropna(subset=["pred", "y"])
     qs = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
-    cut = scored.groupBy(*BY).agg(F.percentile(F.abs("pred"), F.array(*[F.lit(q) for q in qs])).alias("t_"))
+    cut = quantiles(scored.withColumn("size", F.abs("pred")), BY, "size", list(qs)).withColumnRenamed("quantiles", "t_")
     grid_ = cut.select(*BY, F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("t_").alias("threshold"))).alias("x")).select(*BY, "x.*").withColumn("long_only", F.explode(F.array(F.lit(False), F.lit(True))))
     pos = F.when(F.col("pred") > F.col("threshold"), 1.0).when((F.col("pred") < -F.col("threshold")) & ~F.col("long_only"), -1.0).otherwise(0.0)
     rows = scored.join(grid_, BY).withColumn("pos", pos)
@@ -221,10 +223,6 @@ def topk_config(spark, sf_dir):
 
 @query()
 def bootstrap_ratio_ci(spark, sf_dir):
-    """Ratio of two services' median latency with a bootstrap interval: 200 seeded Poisson resamples, each an aggregate over weighted rows."""
-    draws = A.services(spark, sf_dir).where(F.col("service").isin("click", "view")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    u = F.pmod(F.xxhash64("seq", "b", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    medians = draws.withColumn("w", weight).where("w > 0").groupBy("b").agg(*[F.expr(f"percentile(CASE WHEN service = '{s}' THEN ns END, 0.5D, CASE WHEN service = '{s}' THEN w ELSE 0 END)").alias(s) for s in ("click", "view")])
-    ratios = medians.select((F.try_divide("click", "view")).alias("ratio"))
-    return ratios.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("median"), F.col("p")[2].alias("high"))
+    """Median latency of each service against the clicks', with the interval of 2,000 resamples."""
+    found = E.bootstrap_ratio(A.services(spark, sf_dir), "service", "ns", "click")
+    return pick(found, "service", "ratio low high")

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.operators.micro import asof
+from barflow.plans.blocks import BLOCK_ROWS, Blocked, blocked, numbered
+from barflow.plans.running import counted, quantiles, running
+
 DROP_NULLS = ["pred", "y"]
 
 
 def _ranked(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Average rank of a value in its group, from counts of distinct values: a running sum over values, with ties aggregated before."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("ties_"))
-    upto = F.sum("ties_").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn(f"rank_{column}", upto - (F.col("ties_") - 1) / 2).drop("ties_")
+    """Average rank of a value in its group, from counts of distinct values: ties are aggregated before the running sum."""
+    return counted(df, by, column).withColumn(f"rank_{column}", F.col("upto") - (F.col("n") - 1) / 2).drop("n", "upto")
+
+
+def _in_blocks(df: DataFrame, by: list[str], order: str, behind: int) -> Blocked:
+    """Rows of each group, numbered by ``order`` (BIGINT, unique in the group), in blocks."""
+    return blocked(numbered(df.withColumn("group_", F.struct(*by)), "group_", order), behind, key="group_", order=order)
 
 
 def spearman(df: DataFrame, by: list[str]) -> DataFrame:
@@ -61,9 +70,9 @@ def threshold_strategy(df: DataFrame, by: list[str], threshold: float, cost_bps:
 
 def error_metrics(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """MAE, RMSE, MAPE in percent over y != 0, and how often the first differences of pred and y have one sign."""
-    w = Window.partitionBy(*by).orderBy(order)
+    b = _in_blocks(df.dropna(subset=DROP_NULLS), by, order, 1)
     e = F.col("y") - F.col("pred")
-    rows = df.dropna(subset=DROP_NULLS).withColumn("dy_", F.col("y") - F.lag("y").over(w)).withColumn("dp_", F.col("pred") - F.lag("pred").over(w))
+    rows = Blocked.home(b.rows.withColumns({"dy_": F.col("y") - F.lag("y").over(b.window), "dp_": F.col("pred") - F.lag("pred").over(b.window)}))
     same = F.when(F.col("dy_").isNotNull(), (F.signum("dy_") == F.signum("dp_")).cast("double"))
     return rows.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y")))).alias("mape_") , F.avg(same).alias("direction"),
@@ -77,10 +86,49 @@ def trend(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def equity_path(df: DataFrame, by: list[str], order: str, cash: float) -> DataFrame:
     """ret: equity against the row before, the first against ``cash``; drawdown from the highest equity so far, ``cash`` included."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.lag("equity", 1, cash).over(w)
-    peak = F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(cash))
-    return df.withColumn("ret", (F.col("equity") - before) / F.greatest(before, F.lit(1e-12))).withColumn("drawdown", F.try_divide(F.col("equity") - peak, peak))
+    b = _in_blocks(df, by, order, 1)
+    rows = Blocked.home(b.rows.withColumn("before_equity", F.coalesce(F.lag("equity", 1).over(b.window), F.lit(cash))))
+    rows = running(rows, ["group_"], [order], F.floor(F.col("rn") / BLOCK_ROWS), "peak_equity", F.col("equity"), "max")
+    before, peak = F.col("before_equity"), F.greatest("peak_equity", F.lit(cash))
+    made = {"ret": (F.col("equity") - before) / F.greatest(before, F.lit(1e-12)), "drawdown": F.try_divide(F.col("equity") - peak, peak)}
+    return rows.withColumns(made).select(*df.columns, *made)
+
+
+def bootstrap_medians(df: DataFrame, by: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, draw, median): medians of ``draws`` resamples of each group, drawn with replacement, without making a resample.
+
+    The places of a resample of n rows are n uniform draws, and the m-th smallest of these is beta distributed: its place is drawn from Beta(m, n + 1 - m) and
+    looked up in the sorted values. With even n the next smallest follows from a further beta draw. Nulls do not count; a group costs two draws a resample
+    however many rows it has.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n_"))
+
+    @F.pandas_udf("array<long>")
+    def places(n: pd.Series, group: pd.Series, draw: pd.Series) -> pd.Series:
+        out = []
+        for size, g, d in zip(n.tolist(), group.tolist(), draw.tolist()):
+            rng = np.random.default_rng([seed, g & (2**63 - 1), d])
+            middle = (size + 1) // 2
+            low = rng.beta(middle, size + 1 - middle)
+            both = [low] if size % 2 else [low, low + (1 - low) * rng.beta(1, size - middle)]
+            out.append([min(size - 1, int(x * size)) for x in both])
+        return pd.Series(out)
+
+    drawn = sizes.select(by, "n_", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    asked = drawn.select(by, "draw", F.explode(places("n_", F.xxhash64(by), "draw")).alias("place_"))
+    ranks = counted(df, [by], value).select(by, (F.col("upto") - F.col("n")).alias("from_"), F.col(value).cast("double").alias("median"))
+    return asof(asked, ranks, "place_", "from_", ["median"], key=by, span=1 << 20).groupBy(by, "draw").agg(F.avg("median").alias("median"))
+
+
+def bootstrap_ratio(df: DataFrame, by: str, value: str, base: str, share: float = 0.95, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """The ratio of each group's median to that of the group ``base``, with its bootstrap interval."""
+    point = quantiles(df, [by], value, [0.5]).select(by, F.col("quantiles")[0].alias("middle_"))
+    ratio = point.crossJoin(F.broadcast(point.where(F.col(by) == base).select(F.col("middle_").alias("base_")))).select(F.col(by).alias("group_"), F.try_divide("middle_", "base_").alias("ratio"))
+    made = bootstrap_medians(df, by, value, draws, seed)
+    beside = made.where(F.col(by) == base).select("draw", F.col("median").alias("base_"))
+    ratios = made.where(F.col(by) != base).join(beside, "draw").select(by, F.try_divide("median", "base_").alias("drawn_"))
+    ends = quantiles(ratios, [by], "drawn_", [(1 - share) / 2, (1 + share) / 2])
+    return ends.join(ratio, F.col(by) == F.col("group_")).select(by, "ratio", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
 
 
 def run_summary(trades: DataFrame, equity: DataFrame, by: list[str], cash: float, bars_per_year: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.plans.blocks import Blocked, blocked, numbered
+from barflow.plans.running import quantiles
 
 
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
@@ -129,8 +130,8 @@ def minmax(df: DataFrame, train: DataFrame, names: list[str], key: str = "symbol
 
 
 def time_quantile_split(rows: DataFrame, share: float, embargo_ms: int) -> DataFrame:
-    """train before the time quantile, test after it plus the embargo; the exact quantile is one aggregate row."""
-    cut = rows.agg(F.percentile("open_time", share).alias("cut_"))
+    """train before the exact time quantile, test after it plus the embargo."""
+    cut = quantiles(rows, [], "open_time", [share]).select(F.col("quantiles")[0].alias("cut_"))
     split = F.when(F.col("open_time") < F.col("cut_"), "train").when(F.col("open_time") >= F.col("cut_") + embargo_ms, "test")
     return rows.crossJoin(F.broadcast(cut)).withColumn("split", split).where("split IS NOT NULL").drop("cut_")
 
