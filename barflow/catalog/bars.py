@@ -8,6 +8,7 @@ from barflow.catalog import query
 from barflow.catalog.common import FEATURES_SQL, M15, NUMBERED, W, back, pick, r, rounded
 from barflow.operators import features as X
 from barflow.plans.blocks import Blocked, blocked, numbered
+from barflow.plans.lineage import checkpointed
 from barflow.plans.running import running
 from barflow.sources import adapters as A
 
@@ -160,12 +161,20 @@ def gap_flags(spark, sf_dir):
     return rows.select("symbol", "open_time", F.coalesce(F.col("step") != M15, F.lit(False)).alias("gap"), F.coalesce(F.floor(F.col("step") / M15) - 1, F.lit(0)).cast("long").alias("missing"))
 
 
-@query(f"""WITH {A.sql_bars(M15)}, g AS (SELECT symbol, open_time, lead(open_time) OVER ({W}) AS next_open FROM bars)
+@query(f"""WITH {A.sql_bars(M15)}, span AS (SELECT min(open_time) - min(open_time) % {A.DAY} AS lo, max(open_time) + {M15} AS hi FROM bars), ends AS (SELECT symbol, min(open_time) AS head, max(open_time) AS tail FROM bars GROUP BY symbol),
+g AS (SELECT symbol, open_time, lead(open_time) OVER ({W}) AS next_open FROM bars UNION ALL SELECT symbol, lo - {M15}, head FROM ends, span UNION ALL SELECT symbol, tail, hi FROM ends, span)
 SELECT symbol, open_time + {M15} AS start_time, next_open - 1 AS end_time, (next_open - open_time) // {M15} - 1 AS bars FROM g WHERE next_open - open_time > {M15}""")
 def missing_ranges(spark, sf_dir):
-    b = blocked(numbered(A.bars(spark, sf_dir, M15)), 0, 1)
-    rows = Blocked.home(b.rows.withColumn("next_open", F.lead("open_time").over(b.window))).where(F.col("next_open") - F.col("open_time") > M15)
-    return rows.select("symbol", (F.col("open_time") + M15).alias("start_time"), (F.col("next_open") - 1).alias("end_time"), (F.floor((F.col("next_open") - F.col("open_time")) / M15) - 1).cast("long").alias("bars"))
+    """What a load of the days up to the newest bar would have to fetch: before a symbol's first bar, between its bars, after its last one."""
+    bars = A.bars(spark, sf_dir, M15)
+    b = blocked(numbered(bars), 0, 1)
+    inner = Blocked.home(b.rows.withColumn("next_open", F.lead("open_time").over(b.window))).select("symbol", "open_time", "next_open")
+    ends = checkpointed(bars.groupBy("symbol").agg(F.min("open_time").alias("head"), F.max("open_time").alias("tail")))
+    span = ends.agg((F.min("head") - F.min("head") % A.DAY).alias("lo"), (F.max("tail") + M15).alias("hi"))
+    outer = F.explode(F.array(F.struct((F.col("lo") - M15).alias("open_time"), F.col("head").alias("next_open")), F.struct(F.col("tail").alias("open_time"), F.col("hi").alias("next_open")))).alias("x")
+    gaps = inner.unionByName(ends.crossJoin(F.broadcast(span)).select("symbol", outer).select("symbol", "x.*"))
+    missing = F.floor((F.col("next_open") - F.col("open_time")) / M15) - 1
+    return gaps.where(F.col("next_open") - F.col("open_time") > M15).select("symbol", (F.col("open_time") + M15).alias("start_time"), (F.col("next_open") - 1).alias("end_time"), missing.cast("long").alias("bars"))
 
 
 @query(f"""WITH {A.sql_bars()}, s AS (SELECT symbol, min(open_time) AS lo, max(open_time) + {A.HOUR} AS hi FROM bars GROUP BY symbol), x AS (SELECT symbol, hi, unnest(range(lo, hi, {100 * A.HOUR})) AS start_time FROM s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
-from barflow.catalog.common import FEATURES_SQL, HORIZONS, NUMBERED, W, pick, rounded
+from barflow.catalog.common import FEATURES_SQL, HORIZONS, NUMBERED, W, pick, r, rounded
 from barflow.operators import features as X
 from barflow.operators import labels as L
 from barflow.plans.blocks import numbered
@@ -188,9 +188,11 @@ def _scales(spark, sf_dir):
     return rows.groupBy("symbol").agg(F.stddev_pop("y_5").alias("y_scale"), F.stddev_pop(F.col("y_5") - F.col("momentum_5")).alias("sigma"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FEATURES_SQL}, v AS (SELECT symbol, open_time, ret_1, rsi_14, row_number() OVER ({W}) - 1 AS place FROM features WHERE valid)
+SELECT s.symbol, s.open_time, CAST(x.place - s.place + {LOOKBACK - 1} AS INTEGER) AS pos, round(x.ret_1, 6) + 0.0 AS ret_1, round(x.rsi_14, 6) + 0.0 AS rsi_14 FROM v s JOIN v x ON x.symbol = s.symbol AND x.place BETWEEN s.place - {LOOKBACK - 1} AND s.place WHERE s.place >= {LOOKBACK - 1}""")
 def window_vectors(spark, sf_dir):
-    """The last 16 rows of two features of each valid sample; arrays of arrays, checked in tests."""
+    """The input window of each valid sample, an array of arrays, taken apart into its positions."""
     rows = X.features_14(A.bars(spark, sf_dir)).where("valid")
-    renumbered = numbered(rows.drop("rn"))
-    return L.window_vectors(renumbered, ["ret_1", "rsi_14"], 16).select("symbol", "open_time", "window")
+    windows = L.window_vectors(numbered(rows.drop("rn")), ["ret_1", "rsi_14"], LOOKBACK)
+    lines = windows.select("symbol", "open_time", F.posexplode("window").alias("pos", "x"))
+    return lines.select("symbol", "open_time", "pos", r(F.col("x")[0]).alias("ret_1"), r(F.col("x")[1]).alias("rsi_14"))

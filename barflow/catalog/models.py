@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import r
-from barflow.catalog.ledgers import curves, ledger, runs
+from barflow.catalog.ledgers import _sql, curves, ledger, runs
 from barflow.catalog.signals import normalised
 from barflow.operators import agent as B
 from barflow.operators import evaluation as E
@@ -104,13 +104,13 @@ def decision_log_sink(spark, sf_dir):
     return spark.read.schema(decisions.schema).json(folder)
 
 
-@query()
+@query(_sql("SELECT run, symbol, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M') AS time, round(equity, 4) + 0.0 AS equity FROM curve"))
 def report_sinks(spark, sf_dir):
     """The equity report as written and read again."""
     folder = shared_folder(spark)
     trades, equity = ledger(spark, sf_dir), curves(spark, sf_dir)
     sinks.write_report(trades, equity, E.run_summary(trades, equity, ["run", "symbol"], 10_000.0, 8760.0), folder)
-    return sinks.read_report(spark, folder)[1].select("run", "symbol", F.col("time").cast("string").alias("time"), "equity")
+    return sinks.read_report(spark, folder)[1].select("run", "symbol", "time", "equity")
 
 
 @query()
@@ -122,7 +122,7 @@ def artifact_report(spark, sf_dir):
     return scores.withColumn("version", F.substring(F.sha2(F.concat_ws("|", "split", "n", F.lit(str(round(scale, 9)))), 256), 1, 12)).withColumn("sigma", F.lit(left))
 
 
-@query()
+@query(f"WITH {A.sql_bars()} SELECT symbol, count(*) AS bars, max(open_time) AS last_open FROM bars GROUP BY symbol")
 def artifact_write(spark, sf_dir):
     folder = shared_folder(spark) + "/report"
     counts = numbered(A.bars(spark, sf_dir)).groupBy("symbol").agg(F.count("*").alias("bars"), F.max("open_time").alias("last_open"))

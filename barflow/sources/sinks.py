@@ -34,5 +34,6 @@ def write_artifact(df: DataFrame, path: str) -> None:
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What :func:`write_report` wrote."""
-    csv = spark.read.option("header", True).option("inferSchema", True)
-    return csv.csv(f"{path}/trades"), csv.csv(f"{path}/equity"), spark.read.json(f"{path}/summary")
+    csv = spark.read.option("header", True)
+    curve = csv.schema("run string, symbol string, time string, equity double").csv(f"{path}/equity")
+    return csv.option("inferSchema", True).csv(f"{path}/trades"), curve, spark.read.json(f"{path}/summary")
