@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.bars import X
-from barflow.catalog.common import FEATURES_SQL, YEAR_BARS, pick, r
+from barflow.catalog.common import FEATURES_SQL, HORIZONS, W, YEAR_BARS, back, pick, r, rounded
 from barflow.catalog.ledgers import _sql, runs
 from barflow.catalog.market import _BOOK_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
+from barflow.operators.labels import ratio_split
+from barflow.operators.learning import fit_window_model
+from barflow.plans.blocks import numbered
+from barflow.plans.lineage import checkpointed
 from barflow.sources import adapters as A
 from barflow.streaming import runner as N
 from barflow.streaming import scoring as C
@@ -118,44 +122,78 @@ def conflate_latest(spark, sf_dir):
     return N.latest_version(spark, f"{folder}/table").select("symbol", "update_id", "bid")
 
 
-def _model(spark, folder, version, weight, inputs=("ret_1", "rsi_14")):
-    C.write_model(spark, folder, version, list(inputs), [0.0, 0.0], [1.0, 0.5], [weight, 0.1], 0.01)
+LOOKBACK = 128
 
 
-def windows(spark, sf_dir):
-    from barflow.operators.labels import window_vectors
-    from barflow.plans.blocks import numbered
-
+def scored_rows(spark, sf_dir):
+    """Valid feature rows with their place and part, as models are fitted on them and score them."""
     rows = X.features_14(A.bars(spark, sf_dir)).where("valid").drop("rn")
-    return window_vectors(numbered(rows), ["ret_1", "rsi_14"], 4).select("symbol", "open_time", "window")
+    return checkpointed(ratio_split(numbered(rows)).select("symbol", "open_time", "close", "rn", "split", *X.FEATURES))
+
+
+def _score_sql() -> str:
+    """The fit and the scores of fit_window_model and score: one slope an input and horizon."""
+    names, each = X.FEATURES, lambda f: ", ".join(f(c) for c in X.FEATURES)
+    expected = {h: " + ".join(f"m_{c} * (s_{h}_{c} / scale_{h} / {len(names)})" for c in names) for h in HORIZONS}
+    slopes = ", ".join(f"coalesce(regr_slope(y_{h}, m_{c}), 0) AS s_{h}_{c}" for h in HORIZONS for c in names)
+    exps, sigmas = [f"exp_{h}" for h in HORIZONS], [f"sigma_{h}" for h in HORIZONS]
+    zs = [f"abs({e}) / greatest({s}, 1e-12)" for e, s in zip(exps, sigmas)]
+    return f"""WITH RECURSIVE {FEATURES_SQL}, v AS (SELECT symbol, open_time, close, {', '.join(names)}, row_number() OVER ({W}) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n FROM features WHERE valid),
+ parted AS (SELECT * EXCLUDE ({', '.join(names)}), {each(lambda c: f'coalesce({c}, 0) AS {c}')}, CASE WHEN place < floor(n * 0.65::DOUBLE) THEN 'train' WHEN place < floor(n * (0.65::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM v),
+ stats AS (SELECT {each(lambda c: f'avg({c}) AS mean_{c}, stddev_pop({c}) + 1e-12 AS std_{c}')} FROM parted WHERE split = 'train'),
+ zs AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'greatest(-5.0, least(5.0, ({c} - mean_{c}) / std_{c})) AS z_{c}')} FROM parted, stats),
+ ms AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'avg(z_{c}) OVER {back(LOOKBACK)} AS m_{c}')}, {', '.join(f'ln(lead(close, {h}) OVER ({W}) / close) AS y_{h}' for h in HORIZONS)} FROM zs),
+ known AS (SELECT * FROM ms WHERE place >= {LOOKBACK - 1}), fitted AS (SELECT {', '.join(f'stddev_pop(y_{h}) AS scale_{h}' for h in HORIZONS)}, {slopes} FROM known WHERE split = 'train'),
+ made AS (SELECT symbol, open_time, close, split, {', '.join(f'y_{h}' for h in HORIZONS)}, {', '.join(f'({e}) * scale_{h} AS exp_{h}' for h, e in expected.items())} FROM known, fitted),
+ spread AS (SELECT {', '.join(f'stddev_pop(y_{h} - exp_{h}) AS sigma_{h}' for h in HORIZONS)} FROM made WHERE split = 'val'),
+ best AS (SELECT *, {', '.join(f'{z} AS z{i}' for i, z in enumerate(zs))} FROM made, spread),
+ scores AS (SELECT symbol, open_time, close, {', '.join(exps)}, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS j, CASE j WHEN 0 THEN {exps[0]} WHEN 1 THEN {exps[1]} ELSE {exps[2]} END * 1e4 AS edge_bps FROM best)"""
+
+
+_SCORES = f"""{_score_sql()} SELECT symbol, open_time, {rounded([f'exp_{h}' for h in HORIZONS])}, round(close * exp(exp_{HORIZONS[0]}), 6) + 0.0 AS price, CASE WHEN edge_bps > 8 THEN 'LONG' WHEN edge_bps < -8 THEN 'SHORT' ELSE 'FLAT' END AS signal,
+ CAST({list(HORIZONS)}[j + 1] AS INTEGER) AS horizon, round(edge_bps, 3) + 0.0 AS edge_bps FROM scores"""
+
 
+def _scores(df):
+    """Forecast rows with their arrays taken apart."""
+    parts = [r(F.col("exp")[i]).alias(f"exp_{h}") for i, h in enumerate(HORIZONS)]
+    return df.select("symbol", "open_time", *parts, r(F.col("exp_price")[0]).alias("price"), "signal", "horizon", r("edge_bps", 3).alias("edge_bps"))
 
-_SCORE = f"""WITH RECURSIVE {FEATURES_SQL}, z AS (SELECT symbol, open_time, greatest(-5, least(5, ret_1)) * 0.3::DOUBLE + greatest(-5, least(5, rsi_14 / 0.5)) * 0.1::DOUBLE AS x, count(*) OVER w AS n FROM features WHERE valid WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
- a AS (SELECT symbol, open_time, n, avg(x) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) * 0.01::DOUBLE AS exp FROM z) SELECT symbol, open_time, round(exp, 6) + 0.0 AS exp FROM a WHERE n = 4"""
 
+def _fitted(rows):
+    return fit_window_model(rows, list(X.FEATURES), HORIZONS, LOOKBACK)
 
-@query(_SCORE)
+
+def _streamed(spark, rows, folder):
+    C.stream_scores(replayed(rows.drop("rn", "split"), "open_time"), f"{folder}/models", list(X.FEATURES), f"{folder}/out", f"{folder}/tail", f"{folder}/state", LOOKBACK)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(_SCORES)
 def stream_score(spark, sf_dir):
-    folder = N.shared_folder(spark)
-    _model(spark, f"{folder}/models", 1, 0.3)
-    C.stream_scores(replayed(windows(spark, sf_dir), "open_time"), f"{folder}/models", ["ret_1", "rsi_14"], f"{folder}/out", f"{folder}/state")
-    return pick(spark.read.parquet(f"{folder}/out"), "symbol open_time", "exp")
+    """Forecasts of each bar as it comes, from windows of 128 rows and 14 features that span micro-batches."""
+    folder, rows = N.shared_folder(spark), scored_rows(spark, sf_dir)
+    C.write_model(spark, f"{folder}/models", 1, _fitted(rows))
+    return _scores(_streamed(spark, rows, folder))
 
 
-@query(_SCORE)
+@query(_SCORES)
 def batch_score(spark, sf_dir):
-    return pick(C.score(windows(spark, sf_dir), {"mean": [0.0, 0.0], "std": [1.0, 0.5], "weights": [0.3, 0.1], "scale": 0.01, "version": 1}), "symbol open_time", "exp")
+    """Forecasts of every bar with a full window, by the fitted model."""
+    rows = scored_rows(spark, sf_dir)
+    return _scores(C.score(rows, _fitted(rows)))
 
 
-@query(_SCORE.replace("SELECT symbol, open_time, round(exp, 6) + 0.0 AS exp FROM a WHERE n = 4", "SELECT 2 AS model_version, count(*) AS n, round(sum(exp), 6) + 0.0 AS total FROM a WHERE n = 4"))
+@query(f"{_score_sql()} SELECT 2 AS model_version, count(*) AS n, {', '.join(f'round(sum(exp_{h}), 5) + 0.0 AS total_{h}' for h in HORIZONS)} FROM scores HAVING count(*) > 0")
 def model_refresh(spark, sf_dir):
     """A newer compatible model and a newer one with other inputs: the stream takes the former."""
-    folder = N.shared_folder(spark)
-    _model(spark, f"{folder}/models", 1, 0.9)
-    _model(spark, f"{folder}/models", 2, 0.3)
-    _model(spark, f"{folder}/models", 3, 0.5, ("ret_5", "rsi_14"))
-    C.stream_scores(replayed(windows(spark, sf_dir), "open_time"), f"{folder}/models", ["ret_1", "rsi_14"], f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").groupBy("model_version").agg(F.count("*").alias("n"), r(F.sum("exp")).alias("total"))
+    folder, rows = N.shared_folder(spark), scored_rows(spark, sf_dir)
+    model = _fitted(rows)
+    C.write_model(spark, f"{folder}/models", 1, model | {"scale": [9.0] * len(HORIZONS)})
+    C.write_model(spark, f"{folder}/models", 2, model)
+    C.write_model(spark, f"{folder}/models", 3, model | {"inputs": ["ret_5", *X.FEATURES[1:]]})
+    out = _streamed(spark, rows, folder)
+    return out.groupBy("model_version").agg(F.count("*").alias("n"), *[r(F.sum(F.col("exp")[i]), 5).alias(f"total_{h}") for i, h in enumerate(HORIZONS)])
 
 
 @query(f"WITH {A.SQL_TRADES}, s AS (SELECT count(*) AS rows, CAST(sum(CAST(is_buyer_maker AS INTEGER)) AS BIGINT) AS sales FROM trades) SELECT rows, sales FROM s")

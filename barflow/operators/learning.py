@@ -12,6 +12,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.plans.blocks import Blocked, blocked
+from barflow.plans.lineage import checkpointed
+
 INPUTS = ["ret_1", "ret_5", "rsi_14", "bb_z_20", "rel_volume", "range_pct"]
 
 
@@ -60,6 +63,30 @@ def expected_moves(model, rows: DataFrame, size: float, names: list[str] | None
     return out.withColumn("pred", (2 * vector_to_array("probability")[1] - 1) * size).drop("raw_", "inputs", "side_", "probability", "rawPrediction")
 
 
+def fit_window_model(rows: DataFrame, names: list[str], horizons: tuple[int, ...], lookback: int) -> dict:
+    """A linear model of the window's mean z-scores, fitted on training rows by one slope an input and horizon; its deviation is taken on validation rows.
+
+    ``rows``: numbered bars with close, split and the inputs. Three passes, each an aggregate of one row; a constant input has weight 0.
+    """
+    train, val = F.col("split") == "train", F.col("split") == "val"
+    filled = {c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)) for c in names}
+    stats = rows.where(train).agg(*[F.avg(x).alias(f"mean_{c}") for c, x in filled.items()], *[F.stddev_pop(x).alias(f"std_{c}") for c, x in filled.items()]).first()
+    mean, std = [stats[f"mean_{c}"] or 0.0 for c in names], [(stats[f"std_{c}"] or 0.0) + 1e-12 for c in names]
+    b = blocked(rows, lookback - 1, max(horizons))
+    z = {c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (x - m) / d)) for (c, x), m, d in zip(filled.items(), mean, std)}
+    made = b.rows.withColumns({f"z_{c}": x for c, x in z.items()})
+    means = [F.avg(f"z_{c}").over(b.back(lookback)).alias(f"m_{c}") for c in names]
+    targets = [F.ln(F.try_divide(F.lead("close", h).over(b.window), F.col("close"))).alias(f"y_{h}") for h in horizons]
+    known = checkpointed(Blocked.home(made.select("rn", "split", "home_", "block_", *means, *targets)).where(F.col("rn") >= lookback - 1))
+    slopes = [F.regr_slope(f"y_{h}", f"m_{c}").alias(f"s_{h}_{c}") for h in horizons for c in names]
+    fitted = known.where(train).agg(*[F.stddev_pop(f"y_{h}").alias(f"scale_{h}") for h in horizons], *slopes).first()
+    scale = [fitted[f"scale_{h}"] or 1.0 for h in horizons]
+    weights = [[(fitted[f"s_{h}_{c}"] or 0.0) / d / len(names) for c in names] for h, d in zip(horizons, scale)]
+    expected = [reduce(lambda a, x: a + x, [F.col(f"m_{c}") * w for c, w in zip(names, row)]) * d for row, d in zip(weights, scale)]
+    left = known.where(val).agg(*[F.stddev_pop(F.col(f"y_{h}") - e).alias(f"left_{h}") for h, e in zip(horizons, expected)]).first()
+    return {"inputs": list(names), "lookback": lookback, "horizons": list(horizons), "mean": mean, "std": std, "weights": weights, "scale": scale, "sigma": [left[f"left_{h}"] or 1.0 for h in horizons]}
+
+
 def principal_components(rows: DataFrame, vector: str, train: F.Column, k: int = 8):
     """Components fitted on the training rows' centred vectors, applied to all rows: (rows with components, explained shares).
 

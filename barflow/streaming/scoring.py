@@ -1,18 +1,27 @@
-"""Scoring closed bars with a versioned linear model."""
+"""Scoring closed bars with versioned models over windows of raw features."""
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.signals import decide_signal, expected_prices
+from barflow.plans.blocks import blocked, numbered
+from barflow.sources.frames import last_n
 
-def write_model(spark: SparkSession, path: str, version: int, inputs: list[str], mean: list[float], std: list[float], weights: list[float], scale: float) -> None:
-    """Add a version to the model table; older ones stay, so running streams and late readers keep theirs."""
-    body = json.dumps({"inputs": inputs, "mean": mean, "std": std, "weights": weights, "scale": scale})
-    spark.createDataFrame([(version, body)], "version int, body string").coalesce(1).write.mode("append").parquet(path)
+CLIP = 5.0
+
+
+def write_model(spark: SparkSession, path: str, version: int, model: dict) -> None:
+    """Add a version to the model table; older ones stay, so running streams and late readers keep theirs.
+
+    A model has inputs, lookback, horizons, mean and std (one an input), weights (a row a horizon, a column an input), scale and sigma (one a horizon).
+    """
+    spark.createDataFrame([(version, json.dumps(model))], "version int, body string").coalesce(1).write.mode("append").parquet(path)
 
 
 def latest_model(spark: SparkSession, path: str, inputs: list[str]) -> dict | None:
@@ -22,36 +31,54 @@ def latest_model(spark: SparkSession, path: str, inputs: list[str]) -> dict | No
     return None if best is None else json.loads(best["body"]) | {"version": best["version"]}
 
 
-def score(rows: DataFrame, model: dict, lookback: int = 4) -> DataFrame:
-    """Add exp (a log return) and model version to rows with a ``window`` of at least ``lookback`` raw feature vectors: clipped z-scores, averaged over the window, times the weights.
+def window_scores(raw: np.ndarray, model: dict) -> np.ndarray:
+    """Log returns expected after each row that ends a full window of ``raw`` (a row a bar, a column an input): rows - lookback + 1 by horizons.
 
-    Raw features stand in the window, so a new model needs no inverse of the old scaling.
+    Missing values count as 0 before the clipped z-scores are taken; the weights see their mean over the window.
     """
-    import numpy as np
-
     mean, std, weights, scale = (np.array(model[k], float) for k in ("mean", "std", "weights", "scale"))
+    z = np.clip((np.nan_to_num(raw) - mean) / std, -CLIP, CLIP)
+    return np.lib.stride_tricks.sliding_window_view(z, model["lookback"], axis=0).mean(axis=-1) @ weights.T * scale
 
-    @F.pandas_udf("double")
-    def apply(windows: pd.Series) -> pd.Series:
-        out = []
-        for w in windows:
-            if w is None or len(w) < lookback:
-                out.append(None)
-                continue
-            x = np.stack([np.asarray(v, float) for v in w])[-lookback:]
-            z = np.clip((np.nan_to_num(x) - mean) / std, -5, 5)
-            out.append(float(z.mean(axis=0) @ weights * scale))
-        return pd.Series(out, dtype="float64")
 
-    return rows.withColumn("exp", apply("window")).withColumn("model_version", F.lit(model["version"]))
+def score(rows: DataFrame, model: dict) -> DataFrame:
+    """(symbol, open_time, close, exp, exp_price, signal, horizon, edge_bps, model_version) of the rows that end a full window, with all horizons in exp and exp_price.
 
+    ``rows``: symbol, open_time, close and the model's inputs, raw: a new model needs no inverse of an old scaling. Windows are views within blocks of a
+    symbol that take along the rows before them, so no window is ever a row and no symbol a task.
+    """
+    inputs, back = model["inputs"], model["lookback"] - 1
 
-def stream_scores(rows: DataFrame, model_path: str, inputs: list[str], out: str, checkpoint: str) -> None:
-    """Score a stream of windows; every micro-batch reads the newest compatible model, so a new version takes effect without a restart."""
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rn")
+        own = block.iloc[back:]
+        made = list(window_scores(block[inputs].to_numpy(float), model)) if len(own) else []
+        return pd.DataFrame({"symbol": own["symbol"], "open_time": own["open_time"], "close": own["close"], "exp": pd.Series(made, own.index, object), "own": own["home_"] == own["block_"]})
+
+    kept = rows.select("symbol", "open_time", "close", *[F.col(c).cast("double").alias(c) for c in inputs])
+    b = blocked(numbered(kept), back)
+    made = b.rows.groupBy("symbol", "block_").applyInPandas(each, "symbol string, open_time long, close double, exp array<double>, own boolean").where("own")
+    sigma, horizons = F.array(*map(F.lit, model["sigma"])), F.array(*map(F.lit, model["horizons"]))
+    decided = made.withColumn("d_", decide_signal(F.col("exp"), sigma, horizons, 8.0))
+    return decided.select("symbol", "open_time", "close", "exp", expected_prices(F.col("close"), F.col("exp")).alias("exp_price"), "d_.*", F.lit(model.get("version")).cast("int").alias("model_version"))
+
+
+def stream_scores(rows: DataFrame, model_path: str, inputs: list[str], out: str, state: str, checkpoint: str, lookback: int) -> None:
+    """Score a stream of feature rows; every micro-batch reads the newest compatible model, so a new version takes effect without a restart.
+
+    The last ``lookback`` - 1 raw rows of each symbol are kept between micro-batches, as a version of the ``state`` folder for each; a broken
+    micro-batch is done again from the version before it.
+    """
+    spark = rows.sparkSession
+    columns = ["symbol", "open_time", "close", *inputs]
 
     def each(batch: DataFrame, number: int) -> None:
-        model = latest_model(batch.sparkSession, model_path, inputs)
+        fresh = batch.select(*columns)
+        before = spark.read.schema(fresh.schema).parquet(f"{state}/batch={number - 1}") if number else fresh.limit(0)
+        both = before.unionByName(fresh)
+        model = latest_model(spark, model_path, inputs)
         if model is not None:
-            score(batch, model).drop("window").write.mode("overwrite").parquet(f"{out}/batch={number}")
+            score(both, model).join(before.select("symbol", "open_time"), ["symbol", "open_time"], "left_anti").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last_n(both, "symbol", ["open_time"], lookback - 1).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
