@@ -24,7 +24,7 @@ def kline_project(spark, sf_dir):
   count(*) OVER {back(20)} AS n FROM bars)
 SELECT symbol, count(*) AS bars, round(sum(ln(step)), 6) + 0.0 AS total_log_return, round(max(CASE WHEN n = 20 THEN (close - ma) / sd END), 6) + 0.0 AS max_z, round(sum(volume), 6) + 0.0 AS volume FROM b GROUP BY symbol""")
 def bar_summary(spark, sf_dir):
-    """Flagship: events to hourly bars to returns and band scores, one row per symbol."""
+    """Flagship: events to minute bars to returns and band scores, one row per symbol."""
     b = blocked(numbered(A.bars(spark, sf_dir)), 20)
     rows = Blocked.home(b.rows.select("*", F.ln(F.try_divide(F.col("close"), F.lag("close").over(b.window))).alias("r1"), F.avg("close").over(b.back(20)).alias("ma"), F.stddev_samp("close").over(b.back(20)).alias("sd")))
     z = F.when(F.col("rn") >= 19, F.try_divide(F.col("close") - F.col("ma"), F.col("sd")))
@@ -116,9 +116,9 @@ e AS (SELECT *, ln(close / lag(close, {s}) OVER ({W})) AS ret_short, ln(close /
 SELECT symbol, open_time, {rounded(_EXTRA)} FROM f"""
 
 
-@query(_extra_sql(12, 48, 96, 30))
+@query(_extra_sql(60, 240, 1440, 30))
 def extra_features(spark, sf_dir):
-    return pick(X.extra_features(A.bars(spark, sf_dir), 12, 48, 96, 30), FLAG, _EXTRA)
+    return pick(X.extra_features(A.bars(spark, sf_dir), 60, 240, 1440, 30), FLAG, _EXTRA)
 
 
 @query(f"""WITH {A.sql_bars()}, c AS (SELECT *, (open_time // 3600000) % 24 AS hour, (open_time // 86400000 + 4) % 7 AS dow FROM bars)
@@ -177,13 +177,13 @@ def missing_ranges(spark, sf_dir):
     return gaps.where(F.col("next_open") - F.col("open_time") > M15).select("symbol", (F.col("open_time") + M15).alias("start_time"), (F.col("next_open") - 1).alias("end_time"), missing.cast("long").alias("bars"))
 
 
-@query(f"""WITH {A.sql_bars()}, s AS (SELECT symbol, min(open_time) AS lo, max(open_time) + {A.HOUR} AS hi FROM bars GROUP BY symbol), x AS (SELECT symbol, hi, unnest(range(lo, hi, {100 * A.HOUR})) AS start_time FROM s)
-SELECT symbol, start_time, least(start_time + {100 * A.HOUR}, hi) - 1 AS end_time FROM x""")
+@query(f"""WITH {A.sql_bars()}, s AS (SELECT symbol, min(open_time) AS lo, max(open_time) + {A.MINUTE} AS hi FROM bars GROUP BY symbol), x AS (SELECT symbol, hi, unnest(range(lo, hi, {1000 * A.MINUTE})) AS start_time FROM s)
+SELECT symbol, start_time, least(start_time + {1000 * A.MINUTE}, hi) - 1 AS end_time FROM x""")
 def backfill_plan(spark, sf_dir):
-    """Requests of at most 100 bars that cover each symbol's span."""
-    span = A.bars(spark, sf_dir).groupBy("symbol").agg(F.min("open_time").alias("lo"), (F.max("open_time") + A.HOUR).alias("hi"))
-    cut = span.withColumn("start_time", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(100 * A.HOUR))))
-    return cut.select("symbol", "start_time", (F.least(F.col("start_time") + 100 * A.HOUR, F.col("hi")) - 1).alias("end_time"))
+    """Requests of at most 1,000 bars that cover each symbol's span."""
+    span = A.bars(spark, sf_dir).groupBy("symbol").agg(F.min("open_time").alias("lo"), (F.max("open_time") + A.MINUTE).alias("hi"))
+    cut = span.withColumn("start_time", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(1000 * A.MINUTE))))
+    return cut.select("symbol", "start_time", (F.least(F.col("start_time") + 1000 * A.MINUTE, F.col("hi")) - 1).alias("end_time"))
 
 
 @query(f"""WITH {A.sql_bars()}, n AS (SELECT max(close_time) AS now FROM bars), k AS (SELECT *, row_number() OVER ({W}) AS seen FROM bars)

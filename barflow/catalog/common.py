@@ -9,7 +9,7 @@ from barflow.sources import adapters as A
 
 M15 = 15 * A.MINUTE
 HORIZONS = (1, 5, 15)
-YEAR_BARS = 8760.0
+YEAR_BARS = 525_600.0
 
 
 def r(column, digits: int = 6) -> F.Column:
@@ -33,8 +33,10 @@ def back(n: int) -> str:
 
 
 NUMBERED = f"numbered AS (SELECT *, row_number() OVER ({W}) - 1 AS rn FROM bars)"
-#: Fourteen features; the recurrences run row by row.
-FEATURES_SQL = f"""{A.sql_bars()}, {NUMBERED},
+
+def features_sql(interval: int = A.MINUTE) -> str:
+    """Fourteen features; the recurrences run row by row."""
+    return f"""{A.sql_bars(interval)}, {NUMBERED},
 steps AS (SELECT symbol, rn, open_time, close AS c, close AS e12, close AS e26, 0.0::DOUBLE AS sig, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss, high - low AS atr FROM numbered WHERE rn = 0
   UNION ALL
   SELECT n.symbol, n.rn, n.open_time, n.close, s.e12 + (n.close - s.e12) * (2.0::DOUBLE / 13), s.e26 + (n.close - s.e26) * (2.0::DOUBLE / 27),
@@ -52,3 +54,6 @@ features AS (SELECT w.symbol, w.open_time, w.close_time, w.open, w.high, w.low,
   ln((volume + 1e-9) / (v20 + 1e-9)) AS rel_volume, (high - low) / close AS range_pct, CASE WHEN high > low THEN (close - open) / (high - low) ELSE 0 END AS body_ratio,
   CASE WHEN volume > 0 THEN taker / volume - 0.5 ELSE 0 END AS taker_imbalance, ln((trades + 1.0) / (n20 + 1.0)) AS rel_trades
   FROM wide w JOIN steps s USING (symbol, rn))"""
+
+
+FEATURES_SQL = features_sql()

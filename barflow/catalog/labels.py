@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
-from barflow.catalog.common import FEATURES_SQL, HORIZONS, NUMBERED, W, pick, r, rounded
+from barflow.catalog.common import FEATURES_SQL, HORIZONS, NUMBERED, W, features_sql, pick, r, rounded
 from barflow.operators import features as X
 from barflow.operators import labels as L
 from barflow.plans.blocks import numbered
+from barflow.plans.lineage import checkpointed
 from barflow.sources import adapters as A
 
 LOOKBACK, EMBARGO = 32, 15
@@ -62,6 +63,8 @@ def price_path(spark, sf_dir):
     return pick(joined.withColumn("price", F.col("start_") * F.exp(F.col("own_") + F.col("before_"))), "symbol open_time", "price", 4)
 
 
+#: Samples must not span a gap. The trades here leave gaps in any minute series, so samples and what is fitted on them are hourly.
+HOURLY_SQL = features_sql(A.HOUR)
 _ELIGIBLE = f"""gapped AS (SELECT *, CAST(coalesce(open_time - lag(open_time) OVER ({W}) <> {A.HOUR}, false) AS INTEGER) AS gap, CAST(NOT valid AS INTEGER) AS bad FROM features),
  spans AS (SELECT *, sum(bad) OVER ({W} ROWS BETWEEN {LOOKBACK - 1} PRECEDING AND CURRENT ROW) AS bads, sum(gap) OVER ({W} ROWS BETWEEN {LOOKBACK - 2} PRECEDING AND {max(HORIZONS)} FOLLOWING) AS gaps,
    lead(rn, {max(HORIZONS)}) OVER ({W}) AS last FROM gapped),
@@ -69,10 +72,10 @@ _ELIGIBLE = f"""gapped AS (SELECT *, CAST(coalesce(open_time - lag(open_time) OV
 
 
 def _eligible(spark, sf_dir):
-    return L.eligible(X.features_14(A.bars(spark, sf_dir)), A.HOUR, LOOKBACK, max(HORIZONS))
+    return L.eligible(X.features_14(A.bars(spark, sf_dir, A.HOUR)), A.HOUR, LOOKBACK, max(HORIZONS))
 
 
-@query(f"WITH RECURSIVE {FEATURES_SQL}, {_ELIGIBLE} SELECT symbol, open_time, rn FROM eligible")
+@query(f"WITH RECURSIVE {HOURLY_SQL}, {_ELIGIBLE} SELECT symbol, open_time, rn FROM eligible")
 def eligible_samples(spark, sf_dir):
     return _eligible(spark, sf_dir).select("symbol", "open_time", "rn")
 
@@ -87,12 +90,12 @@ def _split(spark, sf_dir):
     return L.chrono_split(_eligible(spark, sf_dir).select("symbol", "open_time", "rn"), EMBARGO)
 
 
-@query(f"WITH RECURSIVE {FEATURES_SQL}, {_ELIGIBLE}, {_SPLIT} SELECT symbol, open_time, rn, split FROM split")
+@query(f"WITH RECURSIVE {HOURLY_SQL}, {_ELIGIBLE}, {_SPLIT} SELECT symbol, open_time, rn, split FROM split")
 def chrono_split(spark, sf_dir):
     return _split(spark, sf_dir).select("symbol", "open_time", "rn", "split")
 
 
-@query(f"WITH RECURSIVE {FEATURES_SQL}, {_ELIGIBLE}, {_SPLIT} SELECT symbol, count(*) AS shared FROM (SELECT symbol, rn FROM split WHERE split = 'train' INTERSECT SELECT symbol, rn FROM split WHERE split = 'test') GROUP BY symbol")
+@query(f"WITH RECURSIVE {HOURLY_SQL}, {_ELIGIBLE}, {_SPLIT} SELECT symbol, count(*) AS shared FROM (SELECT symbol, rn FROM split WHERE split = 'train' INTERSECT SELECT symbol, rn FROM split WHERE split = 'test') GROUP BY symbol")
 def intersect_check(spark, sf_dir):
     """Samples both in train and test: none."""
     rows = _split(spark, sf_dir)
@@ -126,7 +129,7 @@ _NORMAL = f"""train AS (SELECT symbol, rn FROM split WHERE split = 'train'), mar
 
 
 def _stats(spark, sf_dir):
-    rows = X.features_14(A.bars(spark, sf_dir))
+    rows = checkpointed(X.features_14(A.bars(spark, sf_dir, A.HOUR)))
     samples = L.eligible(rows, A.HOUR, LOOKBACK, max(HORIZONS)).select("symbol", "open_time", "rn")
     return rows, L.normaliser(rows, L.chrono_split(samples, EMBARGO).where("split = 'train'"), STATS, LOOKBACK)
 
@@ -134,12 +137,12 @@ def _stats(spark, sf_dir):
 _STAT_NAMES = [f"{p}_{c}" for c in STATS for p in ("mean", "std")]
 
 
-@query(f"WITH RECURSIVE {FEATURES_SQL}, {_ELIGIBLE}, {_SPLIT}, {_NORMAL} SELECT symbol, rows, {rounded(_STAT_NAMES)} FROM stats")
+@query(f"WITH RECURSIVE {HOURLY_SQL}, {_ELIGIBLE}, {_SPLIT}, {_NORMAL} SELECT symbol, rows, {rounded(_STAT_NAMES)} FROM stats")
 def fit_normaliser(spark, sf_dir):
     return pick(_stats(spark, sf_dir)[1], "symbol rows", _STAT_NAMES)
 
 
-@query(f"WITH RECURSIVE {FEATURES_SQL}, {_ELIGIBLE}, {_SPLIT}, {_NORMAL} SELECT symbol, open_time, " + ", ".join(f"round(greatest(-5.0, least(5.0, (coalesce({c}, 0) - mean_{c}) / std_{c})), 6) + 0.0 AS z_{c}" for c in STATS) + " FROM features JOIN stats USING (symbol)")
+@query(f"WITH RECURSIVE {HOURLY_SQL}, {_ELIGIBLE}, {_SPLIT}, {_NORMAL} SELECT symbol, open_time, " + ", ".join(f"round(greatest(-5.0, least(5.0, (coalesce({c}, 0) - mean_{c}) / std_{c})), 6) + 0.0 AS z_{c}" for c in STATS) + " FROM features JOIN stats USING (symbol)")
 def zscore_clip(spark, sf_dir):
     rows, stats = _stats(spark, sf_dir)
     return pick(L.zscore_clip(rows, stats, STATS), "symbol open_time", [f"z_{c}" for c in STATS])
@@ -189,10 +192,12 @@ def _scales(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {FEATURES_SQL}, v AS (SELECT symbol, open_time, ret_1, rsi_14, row_number() OVER ({W}) - 1 AS place FROM features WHERE valid)
-SELECT s.symbol, s.open_time, CAST(x.place - s.place + {LOOKBACK - 1} AS INTEGER) AS pos, round(x.ret_1, 6) + 0.0 AS ret_1, round(x.rsi_14, 6) + 0.0 AS rsi_14 FROM v s JOIN v x ON x.symbol = s.symbol AND x.place BETWEEN s.place - {LOOKBACK - 1} AND s.place WHERE s.place >= {LOOKBACK - 1}""")
+SELECT s.symbol, s.open_time, CAST(count(*) AS INTEGER) AS lines, round(arg_min(x.ret_1, x.place), 6) + 0.0 AS first_ret, round(arg_max(x.rsi_14, x.place), 6) + 0.0 AS last_rsi, round(sum((x.place - s.place + {LOOKBACK}) * x.ret_1), 5) + 0.0 AS ret_line, round(sum((x.place - s.place + {LOOKBACK}) * x.rsi_14), 5) + 0.0 AS rsi_line
+FROM v s JOIN v x ON x.symbol = s.symbol AND x.place BETWEEN s.place - {LOOKBACK - 1} AND s.place WHERE s.place >= {LOOKBACK - 1} GROUP BY s.symbol, s.open_time""")
 def window_vectors(spark, sf_dir):
-    """The input window of each valid sample, an array of arrays, taken apart into its positions."""
+    """The input window of each valid sample, an array of arrays: its length, two of its values, and its columns summed with the line's number as weight."""
     rows = X.features_14(A.bars(spark, sf_dir)).where("valid")
     windows = L.window_vectors(numbered(rows.drop("rn")), ["ret_1", "rsi_14"], LOOKBACK)
-    lines = windows.select("symbol", "open_time", F.posexplode("window").alias("pos", "x"))
-    return lines.select("symbol", "open_time", "pos", r(F.col("x")[0]).alias("ret_1"), r(F.col("x")[1]).alias("rsi_14"))
+    line = lambda k: F.aggregate(F.transform("window", lambda x, i: (i + 1) * x[k]), F.lit(0.0), lambda a, x: a + x)
+    first, last = F.col("window")[0], F.element_at("window", -1)
+    return windows.select("symbol", "open_time", F.size("window").alias("lines"), r(first[0]).alias("first_ret"), r(last[1]).alias("last_rsi"), r(line(0), 5).alias("ret_line"), r(line(1), 5).alias("rsi_line"))

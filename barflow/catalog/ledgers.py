@@ -182,7 +182,7 @@ def ledger_sweep(spark, sf_dir):
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"momentum_{h}").alias("pred")) for h in HORIZONS])).alias("x")
     long_ = parts.select("symbol", F.col("open_time").alias("t"), "open", "high", "low", "close", "part", pairs).select("*", "x.*").drop("x")
     qs = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
-    cuts = quantiles(long_.where("part = 'val'").withColumn("size_", F.abs("pred")), ["symbol", "horizon"], "size_", list(qs)).withColumnRenamed("quantiles", "c_")
+    cuts = quantiles(long_.where("part = 'val'").withColumn("strength", F.abs("pred")), ["symbol", "horizon"], "strength", list(qs)).withColumnRenamed("quantiles", "c_")
     grid = cuts.select("symbol", "horizon", F.posexplode("c_").alias("q", "limit_")).withColumn("kind", F.explode(F.array(F.lit("plain"), F.lit("long"))))
     rows = long_.join(grid, ["symbol", "horizon"])
     signal = F.when(F.col("pred") > F.col("limit_"), "LONG").when(F.col("pred") < -F.col("limit_"), "SHORT")

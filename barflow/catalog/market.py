@@ -51,12 +51,12 @@ def obi_ewma(spark, sf_dir):
 
 _REGIME = f"""{A.sql_bars()}, {NUMBERED}, s AS (SELECT *, ln(close / lag(close) OVER ({W})) AS r1, abs(close - lag(close) OVER ({W})) AS d1, close - lag(close, 30) OVER ({W}) AS net FROM numbered),
  v AS (SELECT *, CASE WHEN rn >= 60 THEN stddev_samp(r1) OVER {back(60)} * sqrt({YEAR_BARS}::DOUBLE) END AS rv, sum(d1) OVER {back(30)} AS moved FROM s),
- p AS (SELECT *, list(rv) FILTER (rv IS NOT NULL) OVER {back(240)} AS past, CASE WHEN rn >= 30 THEN CASE WHEN moved > 0 THEN abs(net) / moved ELSE 0 END END AS efficiency FROM v),
+ p AS (SELECT *, list(rv) FILTER (rv IS NOT NULL) OVER {back(1440)} AS past, CASE WHEN rn >= 30 THEN CASE WHEN moved > 0 THEN abs(net) / moved ELSE 0 END END AS efficiency FROM v),
  regimes AS (SELECT *, CASE WHEN len(past) >= 100 AND rv IS NOT NULL THEN len(list_filter(past, lambda x: x <= rv)) / CAST(len(past) AS DOUBLE) END AS share FROM p)"""
 
 
 def _regimes(spark, sf_dir):
-    return M.regimes(A.bars(spark, sf_dir), YEAR_BARS, history=240)
+    return M.regimes(A.bars(spark, sf_dir), YEAR_BARS)
 
 
 @query(f"WITH {_REGIME} SELECT symbol, open_time, round(rv, 6) + 0.0 AS rv FROM regimes")
@@ -76,20 +76,20 @@ def trend_regime(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {FEATURES_SQL} SELECT symbol, open_time, CASE WHEN rsi_14 * 50 + 50 > 55 THEN 'OVERBOUGHT' WHEN rsi_14 * 50 + 50 < 45 THEN 'OVERSOLD' ELSE 'NEUTRAL' END AS momentum_state FROM features")
 def momentum_state(spark, sf_dir):
-    """With bounds of 55 and 45: the hourly series here seldom leave 30 to 70."""
+    """With bounds of 55 and 45: the series here seldom leave 30 to 70."""
     rsi = F.col("rsi_14") * 50 + 50
     state = F.when(rsi > 55, "OVERBOUGHT").when(rsi < 45, "OVERSOLD").otherwise("NEUTRAL")
     return X.features_14(A.bars(spark, sf_dir)).select("symbol", "open_time", state.alias("momentum_state"))
 
 
 _CONTEXT = ("return_bps_1h", "return_bps_4h", "return_bps_24h", "vol_bps_24h", "high_day", "low_day", "pos_in_day")
-_CONTEXT_SQL = f"""WITH {A.sql_bars()}, {NUMBERED}, a AS (SELECT *, ln(close / lag(close) OVER ({W})) AS r1 FROM numbered), c AS (SELECT symbol, open_time, close, ln(close / lag(close, 1) OVER ({W})) * 1e4 AS return_bps_1h,
-  ln(close / lag(close, 4) OVER ({W})) * 1e4 AS return_bps_4h, ln(close / lag(close, 24) OVER ({W})) * 1e4 AS return_bps_24h, CASE WHEN rn >= 24 THEN stddev_pop(r1) OVER {back(24)} * 1e4 END AS vol_bps_24h,
-  max(high) OVER {back(24)} AS high_day, min(low) OVER {back(24)} AS low_day FROM a), d AS (SELECT *, CASE WHEN high_day > low_day THEN round((close - low_day) / (high_day - low_day), 2) ELSE 0.5 END AS pos_in_day FROM c)"""
+_CONTEXT_SQL = f"""WITH {A.sql_bars()}, {NUMBERED}, a AS (SELECT *, ln(close / lag(close) OVER ({W})) AS r1 FROM numbered), c AS (SELECT symbol, open_time, close, ln(close / lag(close, 60) OVER ({W})) * 1e4 AS return_bps_1h,
+  ln(close / lag(close, 240) OVER ({W})) * 1e4 AS return_bps_4h, ln(close / lag(close, 1440) OVER ({W})) * 1e4 AS return_bps_24h, CASE WHEN rn >= 1440 THEN stddev_pop(r1) OVER {back(1440)} * 1e4 END AS vol_bps_24h,
+  max(high) OVER {back(1440)} AS high_day, min(low) OVER {back(1440)} AS low_day FROM a), d AS (SELECT *, CASE WHEN high_day > low_day THEN round((close - low_day) / (high_day - low_day), 2) ELSE 0.5 END AS pos_in_day FROM c)"""
 
 
 def _context(spark, sf_dir):
-    return M.price_context(A.bars(spark, sf_dir), {"1h": 1, "4h": 4, "24h": 24}, {"24h": 24}, 24)
+    return M.price_context(A.bars(spark, sf_dir), {"1h": 60, "4h": 240, "24h": 1440}, {"24h": 1440}, 1440)
 
 
 @query(f"{_CONTEXT_SQL} SELECT symbol, open_time, {rounded(_CONTEXT[:-1], 4)} FROM d")

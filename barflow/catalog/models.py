@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
-from barflow.catalog.common import r
+from barflow.catalog.common import YEAR_BARS, r
 from barflow.catalog.ledgers import _sql, curves, ledger, runs
 from barflow.catalog.signals import normalised
 from barflow.operators import agent as B
@@ -109,7 +109,7 @@ def report_sinks(spark, sf_dir):
     """The equity report as written and read again."""
     folder = shared_folder(spark)
     trades, equity = ledger(spark, sf_dir), curves(spark, sf_dir)
-    sinks.write_report(trades, equity, E.run_summary(trades, equity, ["run", "symbol"], 10_000.0, 8760.0), folder)
+    sinks.write_report(trades, equity, E.run_summary(trades, equity, ["run", "symbol"], 10_000.0, YEAR_BARS), folder)
     return sinks.read_report(spark, folder)[1].select("run", "symbol", "time", "equity")
 
 

@@ -29,15 +29,15 @@ def replayed(df, order, parts=PARTS):
 @query(f"WITH RECURSIVE {FEATURES_SQL} SELECT symbol, open_time, valid, " + ", ".join(f"round(CASE WHEN valid THEN {c} END, 6) + 0.0 AS {c}" for c in X.FEATURES) + " FROM features")
 def stream_features(spark, sf_dir):
     """Must equal the batch features."""
-    out = N.drained(P.stream_features(replayed(A.bars(spark, sf_dir), "open_time"), A.HOUR))
+    out = N.drained(P.stream_features(replayed(A.bars(spark, sf_dir), "open_time"), A.MINUTE))
     return pick(out, "symbol open_time valid", X.FEATURES)
 
 
-@query(f"WITH {A.sql_bars()}, g AS (SELECT *, CAST(coalesce(open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) <> {A.HOUR}, false) AS INTEGER) AS gap FROM bars) SELECT symbol, count(*) AS bars, CAST(sum(gap) AS BIGINT) AS gaps FROM g GROUP BY symbol")
+@query(f"WITH {A.sql_bars()}, g AS (SELECT *, CAST(coalesce(open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) <> {A.MINUTE}, false) AS INTEGER) AS gap FROM bars) SELECT symbol, count(*) AS bars, CAST(sum(gap) AS BIGINT) AS gaps FROM g GROUP BY symbol")
 def stream_dedupe_gap(spark, sf_dir):
     """Every bar is sent twice in a micro-batch; repeats are dropped and gaps counted."""
     bars = A.bars(spark, sf_dir)
-    out = N.drained(P.stream_features(replayed(bars.unionByName(bars), "open_time"), A.HOUR))
+    out = N.drained(P.stream_features(replayed(bars.unionByName(bars), "open_time"), A.MINUTE))
     return out.groupBy("symbol").agg(F.count("*").alias("bars"), F.max("gaps").alias("gaps"))
 
 
@@ -46,7 +46,7 @@ def stream_warm_start(spark, sf_dir):
     """History is replayed to warm the state; only the last two days are emitted, with the features of a stream that never stopped."""
     bars = A.bars(spark, sf_dir)
     since = bars.groupBy("symbol").agg((F.max("open_time") - 48 * A.HOUR).alias("since"))
-    out = N.drained(P.stream_features(replayed(bars, "open_time"), A.HOUR))
+    out = N.drained(P.stream_features(replayed(bars, "open_time"), A.MINUTE))
     return pick(out.join(since, "symbol").where("valid AND open_time > since"), "symbol open_time", "rsi_14")
 
 
@@ -57,7 +57,7 @@ def stream_obi(spark, sf_dir):
 
 @query(f"WITH {_REGIME} SELECT symbol, open_time, round(rv, 6) + 0.0 AS rv, CASE WHEN share > 0.8 THEN 'HIGH' WHEN share < 0.2 THEN 'LOW' ELSE 'NORMAL' END AS vol_regime, round(efficiency, 6) + 0.0 AS efficiency, CASE WHEN efficiency > 0.3 THEN CASE WHEN net > 0 THEN 'TREND_UP' ELSE 'TREND_DOWN' END ELSE 'RANGE' END AS trend_regime FROM regimes")
 def stream_regimes(spark, sf_dir):
-    out = N.drained(P.stream_regimes(replayed(A.bars(spark, sf_dir), "open_time"), YEAR_BARS, history=240))
+    out = N.drained(P.stream_regimes(replayed(A.bars(spark, sf_dir), "open_time"), YEAR_BARS))
     return out.select("symbol", "open_time", r("rv").alias("rv"), "vol_regime", r("efficiency").alias("efficiency"), "trend_regime")
 
 

@@ -45,7 +45,7 @@ def counted(df: DataFrame, by: list[str], column: str) -> DataFrame:
 def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
     """One row a group with quantiles ARRAY<DOUBLE>, linear between the two nearest rows, exact whatever the group's size."""
     ranks = counted(df, by, column)
-    sizes = ranks.groupBy(*[F.col(c).alias(f"key{i}_") for i, c in enumerate(by)]).agg(F.sum("n").alias("size_"))
+    sizes = ranks.groupBy(*[F.col(c).alias(f"key{i}_") for i, c in enumerate(by)]).agg(F.sum("n").alias("group_rows_"))
     same = [F.col(c).eqNullSafe(F.col(f"key{i}_")) for i, c in enumerate(by)]
     placed = ranks.join(sizes, same) if by else ranks.crossJoin(F.broadcast(sizes))
 
@@ -53,7 +53,7 @@ def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) ->
         return F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col(column).cast("double")))
 
     def share(q: float) -> tuple[Column, Column, Column]:
-        exact = (F.col("size_") - 1) * F.lit(float(q))
+        exact = (F.col("group_rows_") - 1) * F.lit(float(q))
         return at(F.floor(exact)), at(F.ceil(exact)), F.max(exact - F.floor(exact))
 
     parts = {f"{n}{i}_": x for i, q in enumerate(shares) for n, x in zip(("low", "high", "rest"), share(q))}

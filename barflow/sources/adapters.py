@@ -48,7 +48,7 @@ def bars_of(trade_rows: DataFrame, interval: int) -> DataFrame:
     return grouped.withColumn("close_time", F.col("open_time") + interval - 1)
 
 
-def bars(spark: SparkSession, sf_dir: str, interval: int = HOUR) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, interval: int = MINUTE) -> DataFrame:
     return bars_of(trades(spark, sf_dir), interval)
 
 
@@ -68,7 +68,7 @@ SQL_BOOKS = """books AS (SELECT event_type AS symbol, event_id AS update_id, epo
 SQL_SERVICES = "services AS (SELECT event_type AS service, 'm' || (user_id % 3) AS metric, CAST(floor(value * 1000) AS BIGINT) AS ns, epoch_us(ts) // 1000 AS ts, event_id AS seq FROM events)"
 
 
-def sql_bars(interval: int = HOUR) -> str:
+def sql_bars(interval: int = MINUTE) -> str:
     return f"""{SQL_TRADES},
 bars AS (SELECT symbol, trade_time - trade_time % {interval} AS open_time, arg_min(price, (trade_time, trade_id)) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, (trade_time, trade_id)) AS close, sum(qty) AS volume, count(*) AS trades, sum(CASE WHEN NOT is_buyer_maker THEN qty ELSE 0 END) AS taker,

@@ -42,13 +42,13 @@ def decode(frames: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def frames_of(trades: DataFrame, books: DataFrame, bars: DataFrame) -> DataFrame:
-    """The frames that an exchange would send for these tables; each third bar comes as an open one, and a frame of an unknown stream is among them."""
+    """The frames that an exchange would send for these tables; the bars of each third hour come as open ones, and a frame of an unknown stream is among them."""
     text = lambda c: F.col(c).cast("string")
     lower = F.lower("symbol")
     wrap = lambda name, body: F.to_json(F.struct(F.concat(lower, F.lit(name)).alias("stream"), body.alias("data")))
     book = books.select(wrap("@bookTicker", F.struct(text("update_id").alias("u"), F.col("symbol").alias("s"), text("bid").alias("b"), text("bid_qty").alias("B"), text("ask").alias("a"), text("ask_qty").alias("A"))).alias("raw"))
     trade = trades.select(wrap("@aggTrade", F.struct(F.col("symbol").alias("s"), text("price").alias("p"), text("qty").alias("q"), F.col("is_buyer_maker").alias("m"), F.col("trade_time").alias("T"), F.col("trade_time").alias("E"))).alias("raw"))
-    closed = F.col("open_time") / 3_600_000 % 3 != 0
+    closed = F.floor(F.col("open_time") / 3_600_000) % 3 != 0
     k = F.struct(F.col("open_time").alias("t"), F.col("close_time").alias("T"), F.col("symbol").alias("s"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"), text("volume").alias("v"), F.col("trades").alias("n"), text("taker").alias("V"), closed.alias("x"))
     bar = bars.select(wrap("@kline_1h", F.struct(F.col("close_time").alias("E"), k.alias("k"))).alias("raw"))
     other = trades.where("trade_id % 50 = 0").select(wrap("@depth", F.struct(F.col("symbol").alias("s"))).alias("raw"))
