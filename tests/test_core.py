@@ -272,3 +272,153 @@ def test_sweep_tries_the_whole_grid(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ledgers.G, "trades", seen)
     ledgers.ledger_sweep(spark, sf_dir)
     assert {int(q) for *_, q in grid[0]} == set(range(7)) and len(grid[0]) == 2 * 2 * 7 * len({h for _, _, h, _ in grid[0]})
+
+
+# --- ranks, quantiles, resamples ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("span", [1_000_000, 7])
+def test_ranks_and_quantiles(spark, monkeypatch, span):
+    from barflow.operators import evaluation as E
+    from barflow.plans import running as Q
+
+    monkeypatch.setattr(Q, "ROWS_PER_SPAN", span)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, round(rng.gauss(0, 1), 1)]), rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: r.quantiles for r in Q.quantiles(df, ["g"], "x", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    for g in ("a", "b", None):
+        values = [x for k, x, _ in rows if k == g and x is not None]
+        assert got[g] == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 0.99, 1.0]).tolist())
+    assert Q.quantiles(df, [], "y", [0.3]).first().quantiles == pytest.approx([np.quantile([r[2] for r in rows], 0.3)])
+    scored = E.spearman(df.where("g = 'a'").withColumnsRenamed({"x": "pred"}), ["g"]).first()
+    a = pd.DataFrame([r for r in rows if r[0] == "a" and r[1] is not None], columns=["g", "x", "y"])
+    assert scored.ic == pytest.approx(np.corrcoef(a["x"].rank(), a["y"].rank())[0, 1]) and scored.n == len(a)
+    seen = Q.running(df.where("g = 'a'").withColumn("k", F.monotonically_increasing_id()), ["g"], ["k"], F.floor(F.col("k") / 1000), "top", F.col("y"), "max", before=True).orderBy("k").collect()
+    assert [r.top for r in seen] == [max((q.y for q in seen[:i]), default=None) for i in range(len(seen))]
+
+
+def test_bootstrap_draws_what_resampling_gives(spark):
+    from barflow.operators import evaluation as E
+
+    rng = np.random.default_rng(1)
+    values = {"base": rng.exponential(100, 41).round(), "other": rng.exponential(50, 60).round()}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("base", None)], "g string, v double")
+    made = E.bootstrap_medians(df, "g", "v", draws=1500, seed=4).toPandas()
+    for g, vs in values.items():
+        plain = np.median(rng.choice(vs, (6000, len(vs))), axis=1)
+        drawn = made.loc[made["g"] == g, "median"]
+        assert len(drawn) == 1500 and np.allclose(np.quantile(drawn, [0.1, 0.25, 0.5, 0.75, 0.9]), np.quantile(plain, [0.1, 0.25, 0.5, 0.75, 0.9]), rtol=0.08)
+    row = E.bootstrap_ratio(df, "g", "v", "base", draws=1500).first()
+    ratios = np.median(rng.choice(values["other"], (4000, 60)), axis=1) / np.median(rng.choice(values["base"], (4000, 41)), axis=1)
+    assert row.g == "other" and row.ratio == pytest.approx(np.median(values["other"]) / np.median(values["base"]))
+    assert (row.low, row.high) == (pytest.approx(np.quantile(ratios, 0.025), rel=0.12), pytest.approx(np.quantile(ratios, 0.975), rel=0.12))
+
+
+# --- streams, models ------------------------------------------------------------------------------
+
+
+def test_staged_files_replay_in_order(spark):
+    from barflow.streaming import runner as N
+
+    rows = spark.range(500).select((499 - F.col("id")).alias("k")).repartition(5)
+    path = N.staged(rows, "k", 7)
+    seen = []
+    stream = N.source(spark, path, rows.schema, 1)
+    stream.writeStream.foreachBatch(lambda df, i: seen.append([r.k for r in df.collect()])).trigger(availableNow=True).option("checkpointLocation", N.shared_folder(spark)).start().awaitTermination()
+    assert len(seen) == 7 and all(max(a) < min(b) for a, b in zip(seen, seen[1:])) and sorted(x for b in seen for x in b) == list(range(500))
+    late = N.subscribed(spark, path, rows.schema)
+    N.staged(spark.range(500, 530).withColumnRenamed("id", "k"), "k", 2, path)
+    assert sorted(r.k for r in late().collect()) == list(range(500, 530))
+    assert N.drained(N.source(spark, N.staged(rows.limit(0), "k", 3), rows.schema, 1)).count() == 0
+
+
+def test_snapshots_are_those_of_a_plain_scan(spark):
+    from barflow.catalog.streams import tagged
+    from barflow.streaming import runner as N
+    from barflow.streaming import stateful as P
+
+    rows = tagged(spark, "/root/testdata/sf0.001").where("symbol = 'view'")
+    got = sorted((r.sent, r.kind, round(r.obi, 9), round(r.flow, 9), round(r.vwap, 6)) for r in N.drained(P.stream_snapshots(N.source(spark, N.staged(rows, "sent", 3), rows.schema, 1), 3_600_000, 3600, 18_000)).collect())
+    held, due, expected, book = [], -1, [], None
+    for m in sorted(rows.collect(), key=lambda m: (m.sent, m.kind)):
+        book = m if m.kind == "book" else book
+        held += [m] if m.kind == "trade" else []
+        if book is None or m.sent < due and m.kind != "bar":
+            continue
+        due = m.sent + 3_600_000
+        wide = [t for t in held if t.sent // 1000 > m.sent // 1000 - 18_000]
+        near = [t for t in wide if t.sent // 1000 > m.sent // 1000 - 3600]
+        total, sold = sum(t.qty for t in near), sum(t.qty for t in near if t.is_buyer_maker)
+        volume = sum(t.qty for t in wide)
+        vwap = sum(t.price * t.qty for t in wide) / volume if volume else (book.bid + book.ask) / 2
+        expected.append((m.sent, m.kind, round((book.bid_qty - book.ask_qty) / (book.bid_qty + book.ask_qty), 9), round((total - 2 * sold) / total if total else 0.0, 9), round(vwap, 6)))
+    assert len(got) == len(expected) > 50
+    for g, e in zip(got, sorted(expected)):
+        assert g[:2] == e[:2] and g[2:] == pytest.approx(e[2:])
+
+
+def test_components_are_those_of_numpy(spark):
+    from barflow.operators import learning
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "vec_id long, v array<double>")
+    out, shares = learning.principal_components(df, "v", F.col("vec_id") < 40, 2)
+    centred = x - x[:40].mean(axis=0)
+    values, axes = np.linalg.eigh(np.cov(centred[:40].T))
+    expected = centred @ axes[:, ::-1][:, :2]
+    got = np.array([r.components for r in out.orderBy("vec_id").collect()])
+    assert got.shape == (60, 2) and np.allclose(np.abs(got), np.abs(expected)) and shares == pytest.approx((values[::-1][:2] / values.sum()).tolist())
+
+
+def test_window_model_scores_as_a_plain_loop(spark, monkeypatch):
+    from barflow.operators.learning import fit_window_model
+    from barflow.plans import blocks
+    from barflow.streaming import scoring as C
+
+    monkeypatch.setattr(blocks.blocked, "__defaults__", (0, "symbol", "open_time", 50))  # several blocks
+    rng = np.random.default_rng(5)
+    rows = [(s, i * 60_000, float(np.exp(0.01 * rng.normal() + 3)), None if i % 31 == 0 else float(rng.normal()), float(rng.normal() * 3), i, "train" if i < 120 else "val") for s in "ab" for i in range(170)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, close double, f double, g double, rn long, split string")
+    model = fit_window_model(df, ["f", "g"], (1, 3), 8)
+    assert model["mean"] == pytest.approx([np.mean([r[k] or 0 for r in rows if r[6] == "train"]) for k in (3, 4)]) and len(model["weights"]) == 2
+    got = {(r.symbol, r.open_time): r for r in C.score(df, model | {"version": 4}).collect()}
+    assert len(got) == 2 * (170 - 7)
+    for s in "ab":
+        own = [r for r in rows if r[0] == s]
+        for i in range(7, 170):
+            z = [np.mean([np.clip(((r[k] or 0) - m) / d, -5, 5) for r in own[i - 7 : i + 1]]) for k, m, d in ((3, model["mean"][0], model["std"][0]), (4, model["mean"][1], model["std"][1]))]
+            exp = [sum(a * b for a, b in zip(z, w)) * c for w, c in zip(model["weights"], model["scale"])]
+            assert got[s, i * 60_000].exp == pytest.approx(exp) and got[s, i * 60_000].model_version == 4
+    assert C.score(df.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize("fit", ["fit_forecaster", "fit_gbt_reg", "fit_gbt_cls"])
+def test_fits_find_a_plain_relation(spark, fit):
+    from barflow.operators import learning
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        x = rng.normal(size=2)
+        rows.append(("S", i, "train" if i < 400 else "val" if i < 500 else "test", *map(float, x), float(0.002 * x[0] + 0.0002 * rng.normal())))
+    df = spark.createDataFrame(rows, "symbol string, open_time long, split string, a double, b double, y double")
+    made = getattr(learning, fit)(df, "y", ["a", "b"])
+    out = (learning.expected_moves if fit == "fit_gbt_cls" else learning.predicted)(made[0], df, made[1], ["a", "b"]).where("split = 'test'").toPandas()
+    assert len(out) == 100 and np.corrcoef(out["pred"], out["y"])[0, 1] > 0.8 and (np.sign(out["pred"]) == np.sign(out["y"])).mean() > 0.8
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from barflow.plans import lineage
+
+    made = []
+    context = SimpleNamespace(master="local[4]", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    assert lineage.shared_root(session) == made[0]
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        context.master = master
+        with pytest.raises(RuntimeError):
+            lineage.shared_root(session)
