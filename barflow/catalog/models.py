@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import YEAR_BARS, r
 from barflow.catalog.ledgers import _sql, curves, ledger, runs
-from barflow.catalog.signals import normalised
+from barflow.catalog.signals import advice_texts, normalised
+from barflow.functions import signals as S
 from barflow.operators import agent as B
 from barflow.operators import evaluation as E
 from barflow.operators import features as X
@@ -16,6 +20,8 @@ from barflow.operators import learning as M
 from barflow.operators.micro import asof
 from barflow.plans.blocks import numbered
 from barflow.plans.lineage import checkpointed
+from barflow.plans.once import with_once
+from barflow.plans.running import quantiles
 from barflow.sources import adapters as A
 from barflow.sources import sinks
 from barflow.streaming.runner import shared_folder
@@ -52,17 +58,34 @@ def fit_gbt_cls(spark, sf_dir):
     return _scores(M.expected_moves(model, rows, size))
 
 
+SCORES, COMPONENTS, SEEDS, COMPARED_TREES = 12, 8, (0, 1, 2), 20
+
+
+def enriched(spark, sf_dir):
+    """Samples beside the scores of the last advice at or before their opening and the components of an embedding, one for each sample by its place."""
+    rows = samples(spark, sf_dir)
+    advice = with_once(advice_texts(spark, sf_dir), "s", S.advice_scores(S.parse_advice(F.col("text")))).where("s IS NOT NULL").select("symbol", "trade_time", *[F.col("s")[i].alias(f"score_{i}") for i in range(SCORES)])
+    beside = asof(rows, advice, "open_time", "trade_time", [f"score_{i}" for i in range(SCORES)]).drop("trade_time_asof").dropna(subset=["score_0"])
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id IS NOT NULL")
+    made, _ = M.principal_components(vectors, "embedding", F.col("vec_id") % 10 < 7, COMPONENTS)
+    parts = numbered(made.withColumn("all_", F.lit(1)), "all_", "vec_id").select("rn", *[F.col("components")[i].alias(f"component_{i}") for i in range(COMPONENTS)])
+    many = parts.agg(F.count("*").alias("many_"))
+    return checkpointed(beside.crossJoin(F.broadcast(many)).withColumn("rn", F.pmod(F.xxhash64("symbol", "open_time"), "many_")).join(parts, "rn").drop("rn", "many_"))
+
+
 @query()
 def feature_set_compare(spark, sf_dir):
-    """Test scores of three feature sets, each an average over two seeds."""
-    rows = samples(spark, sf_dir)
-    sets = {"returns": ["ret_1", "ret_5", "ret_15"], "bands": ["bb_z_20", "dist_ma_50", "rsi_14"], "volume": ["rel_volume", "rel_trades", "taker_imbalance"]}
-    out = None
-    for name, columns in sets.items():
-        part = checkpointed(M.averaged(rows, "y_5", columns, (1, 2)).where("split = 'test'").withColumn("set", F.lit(name)))
-        scored = E.threshold_strategy(part, ["set"], 0.05, 10).join(E.quality(part, ["set"]).select("set", "r2_zero"), "set")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """Test scores of four sets of inputs, each the mean of three seeds: rank correlation, hits, and trades beyond the training part's 70 % quantile."""
+    rows = enriched(spark, sf_dir)
+    scores, components = [f"score_{i}" for i in range(SCORES)], [f"component_{i}" for i in range(COMPONENTS)]
+    base = list(X.FEATURES)
+    sets = {"features": base, "features, scores": base + scores, "features, scores, embedding": base + scores + components, "scores, embedding": scores + components}
+    made = reduce(DataFrame.unionByName, [M.averaged(rows, "y_5", columns, SEEDS, COMPARED_TREES).withColumn("set", F.lit(name)) for name, columns in sets.items()])
+    made = checkpointed(made)
+    limits = quantiles(made.where("split = 'train'").withColumn("strength", F.abs("pred")), ["set"], "strength", [0.7]).select("set", F.col("quantiles")[0].alias("limit_"))
+    test = made.where("split = 'test'").join(F.broadcast(limits), "set")
+    traded = E.threshold_strategy(test, ["set"], F.col("limit_"), 10)
+    return traded.join(E.quality(test, ["set"]).select("set", "r2_zero", "n"), "set").join(E.spearman(test, ["set"]).select("set", "ic"), "set")
 
 
 @query()

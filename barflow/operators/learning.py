@@ -12,10 +12,13 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.operators.features import FEATURES
 from barflow.plans.blocks import Blocked, blocked
 from barflow.plans.lineage import checkpointed
 
-INPUTS = ["ret_1", "ret_5", "rsi_14", "bb_z_20", "rel_volume", "range_pct"]
+INPUTS = list(FEATURES)
+#: Boosting goes on until the validation rows gain no more, for this many trees at most.
+MAX_TREES, TREE_DEPTH = 2000, 4
 
 
 def assembled(names: list[str]) -> list:
@@ -36,20 +39,20 @@ def fit_forecaster(rows: DataFrame, target: str, names: list[str] | None = None,
     return model, scale, left
 
 
-def fit_gbt_reg(rows: DataFrame, target: str, names: list[str] | None = None, max_iter: int = 5, seed: int = 3):
+def fit_gbt_reg(rows: DataFrame, target: str, names: list[str] | None = None, max_iter: int = MAX_TREES, seed: int = 3):
     """Boosted regression trees that stop on the validation rows."""
     known, scale = scaled_target(rows.dropna(subset=[target, *(names or INPUTS)]), target)
     marked = known.where("split IN ('train', 'val')").withColumn("held_", F.col("split") == "val")
-    trees = GBTRegressor(featuresCol="inputs", maxIter=max_iter, maxDepth=3, seed=seed, validationIndicatorCol="held_", predictionCol="pred_")
+    trees = GBTRegressor(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, validationIndicatorCol="held_", predictionCol="pred_")
     return Pipeline(stages=[*assembled(names or INPUTS), trees]).fit(marked), scale
 
 
-def fit_gbt_cls(rows: DataFrame, target: str, names: list[str] | None = None, max_iter: int = 5, seed: int = 3):
+def fit_gbt_cls(rows: DataFrame, target: str, names: list[str] | None = None, max_iter: int = MAX_TREES, seed: int = 3):
     """Boosted trees for the target's sign, weighted by its size; (model, mean size), from which the expected move is (2p - 1) times the mean size."""
     known, scale = scaled_target(rows.dropna(subset=[target, *(names or INPUTS)]), target)
     marked = known.where("split IN ('train', 'val')").withColumn("held_", F.col("split") == "val").withColumn("label", (F.col(target) > 0).cast("double")).withColumn("weight_", F.abs(target) / scale)
     size = marked.where("split = 'train'").agg(F.avg(F.abs(target))).first()[0] or 0.0
-    trees = GBTClassifier(featuresCol="inputs", maxIter=max_iter, maxDepth=3, seed=seed, weightCol="weight_", validationIndicatorCol="held_", predictionCol="side_")
+    trees = GBTClassifier(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, weightCol="weight_", validationIndicatorCol="held_", predictionCol="side_")
     return Pipeline(stages=[*assembled(names or INPUTS), trees]).fit(marked), float(size)
 
 
@@ -99,8 +102,8 @@ def principal_components(rows: DataFrame, vector: str, train: F.Column, k: int =
     return model.transform(centred).withColumn("components", vector_to_array("p_")).drop("v_", "c_", "p_", "train_"), model.explainedVariance.toArray().tolist()
 
 
-def averaged(rows: DataFrame, target: str, names: list[str], seeds: tuple[int, ...]) -> DataFrame:
+def averaged(rows: DataFrame, target: str, names: list[str], seeds: tuple[int, ...], max_iter: int = MAX_TREES) -> DataFrame:
     """Mean prediction of one boosted model for each seed."""
-    fitted = [fit_gbt_reg(rows, target, names, seed=s) for s in seeds]
+    fitted = [fit_gbt_reg(rows, target, names, max_iter, s) for s in seeds]
     parts = [predicted(m, rows, scale, names).select("symbol", "open_time", "split", F.col(target).alias("y"), F.col("pred")) for m, scale in fitted]
     return reduce(DataFrame.unionByName, parts).groupBy("symbol", "open_time", "split").agg(F.first("y").alias("y"), F.avg("pred").alias("pred"))
