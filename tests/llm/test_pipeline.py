@@ -1,5 +1,7 @@
 """The pipeline's stages against brute-force versions on a small fixture."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 import tiktoken  # noqa: F401
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barflow.llm import quality, queries, simhash
+from test_table_operators import plain_mix
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +52,12 @@ def test_mixing_stage(spark, stages):
     kept = stages[3].groupBy("doc_id").count()
     assert kept.agg(F.max("count")).first()[0] <= queries.MIX_EPOCHS
     assert stages[3].select("doc_id").subtract(stages[2].select("doc_id")).isEmpty()
+    rows = [(r.doc_id, r.text, r.lang, r.source, None) for r in stages[2].collect()]
+    number = lambda s: int(s[3:]) if s and s.startswith("src") and s[3:].isdigit() else None
+    domain = lambda s: "other" if number(s) is None else next(d for d, end in (("web", 10), ("books", 14), ("code", 17), ("reference", 10**9)) if number(s) < end)
+    total = sum(len((r[1] or "").encode().split()) for r in rows)
+    expected = Counter(r[0] for r in plain_mix(spark, rows, domain, queries.MIX_WEIGHTS, total, queries.MIX_EPOCHS, queries.MIX_SEED))
+    assert Counter(r.doc_id for r in stages[3].collect()) == expected
 
 
 def test_encoding_stage(stages):
@@ -65,4 +74,12 @@ def test_encoding_stage(stages):
 
 
 def test_run_has_the_rows_of_its_stages(spark, sf_dir, stages):
-    assert corpus_pipeline.run(spark, sf_dir).count() == stages[4].count()
+    key = lambda df: sorted((r.doc_id, r.n_tokens, r.decoded_sha256, tuple(r.ids)) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, sf_dir)) == key(stages[4])
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("score_", F.lit("s")).withColumn("id_", F.lit(1)).withColumn("label_", F.lit(None).cast("string"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and kept.where("score_ <> 's' OR id_ <> 1 OR label_ IS NOT NULL").isEmpty() and not kept.isEmpty()
