@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.plans.blocks import Blocked, Recurrence, blocked, memory, numbered, recurrences
+from barflow.plans.rolling import deviation, log_ratio, over, quotient, total
 
 
 def second_buckets(trades: DataFrame) -> DataFrame:
@@ -50,24 +53,35 @@ def obi_ewma(books: DataFrame, alpha: float = 0.05) -> DataFrame:
     return Blocked.home(recurrences(b, [Recurrence("obi_ewma", alpha * F.col("obi"), 1 - alpha)]).rows)
 
 
+def regimes_of(closes: np.ndarray, bars_per_year: float, vol: int, path: int, history: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rv, vol_regime, efficiency and trend_regime at each of a series' closes; NaN for what has no full window yet."""
+    rv = over(log_ratio(closes, 1), vol, deviation) * np.sqrt(bars_per_year)
+    rv[:vol] = np.nan  # the first close has no return
+    past = pd.Series(rv).rolling(history, min_periods=1)
+    share = np.where(past.count() >= enough, past.rank(method="max", pct=True), np.nan)
+    moved, net = over(np.abs(np.diff(closes, prepend=closes[:1])), path, total), np.full(len(closes), np.nan)
+    net[path:] = closes[path:] - closes[:-path]
+    efficiency = np.where(moved > 0, quotient(np.abs(net), moved, moved > 0), 0.0)
+    efficiency[:path] = np.nan
+    volatility = np.select([share > 0.8, share < 0.2], ["HIGH", "LOW"], "NORMAL")
+    return rv, volatility, efficiency, np.where(efficiency > 0.3, np.where(net > 0, "TREND_UP", "TREND_DOWN"), "RANGE")
+
+
 def regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30, history: int = 1440, enough: int = 100) -> DataFrame:
-    """rv (annualised), vol_regime, efficiency, trend_regime of each bar.
+    """(symbol, open_time, close, rv, vol_regime, efficiency, trend_regime) of each bar, rv annualised.
 
     The regime of volatility is the share of the last ``history`` values at or below the current one: HIGH over 0.8, LOW under 0.2, NORMAL else and
-    while there are fewer than ``enough``.
+    while there are fewer than ``enough``. Ranks are rolled within blocks that take along the rows they look back on, so no row carries its history.
     """
-    b = blocked(numbered(bars), history + vol + 1)
-    w, c = b.window, F.col("close")
-    rows = b.rows.withColumn("r1_", F.ln(F.try_divide(c, F.lag("close", 1).over(w)))).withColumn("d1_", F.abs(c - F.lag("close", 1).over(w)))
-    net, moved = c - F.lag("close", path).over(w), F.sum("d1_").over(b.back(path))
-    rows = rows.select("*", F.when(F.col("rn") >= vol, F.stddev_samp("r1_").over(b.back(vol)) * F.sqrt(F.lit(float(bars_per_year)))).alias("rv"), net.alias("net_"), F.when(F.col("rn") >= path, F.when(moved > 0, F.abs(net) / moved).otherwise(0.0)).alias("efficiency"))
-    past = F.collect_list("rv").over(b.back(history))
-    rows = Blocked.home(rows.withColumn("past_", past))
-    share = F.size(F.filter("past_", lambda x: x <= F.col("rv"))) / F.size("past_")
-    rows = rows.withColumn("share_", F.when((F.size("past_") >= enough) & F.col("rv").isNotNull(), share))
-    volatility = F.when(F.col("share_") > 0.8, "HIGH").when(F.col("share_") < 0.2, "LOW").otherwise("NORMAL")
-    direction = F.when(F.col("efficiency") > 0.3, F.when(F.col("net_") > 0, "TREND_UP").otherwise("TREND_DOWN")).otherwise("RANGE")
-    return rows.withColumn("vol_regime", volatility).withColumn("trend_regime", direction).drop("r1_", "d1_", "net_", "past_", "share_")
+
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rn", ignore_index=True)
+        made = dict(zip(("rv", "vol_regime", "efficiency", "trend_regime"), regimes_of(block["close"].to_numpy(float), bars_per_year, vol, path, history, enough)))
+        return block[["symbol", "open_time", "close"]].assign(**made)[block["home_"] == block["block_"]]
+
+    b = blocked(numbered(bars.select("symbol", "open_time", "close")), history + vol)
+    rows = b.rows.groupBy("symbol", "block_").applyInPandas(each, "symbol string, open_time long, close double, rv double, vol_regime string, efficiency double, trend_regime string")
+    return rows.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("rv", "efficiency")})
 
 
 def momentum_state(rsi: F.Column) -> F.Column:

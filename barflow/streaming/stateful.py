@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from barflow.operators.features import AVERAGES, FEATURES, WARMUP
 from barflow.operators.ledger import Book, Holding, Rules, money
+from barflow.operators.micro import regimes_of
+from barflow.plans.rolling import deviation, exact_deviation, log_ratio, over, quotient
+from barflow.plans.rolling import mean as mean_of
 
 
 def keyed(stream: DataFrame, key: str, order: list[str], fold: Callable[[dict | None, pd.DataFrame], tuple[dict, Iterable[tuple]]], schema: str) -> DataFrame:
@@ -46,43 +49,6 @@ def _fresh(rows: pd.DataFrame, time: str, last: int | None) -> np.ndarray:
     return at > newest
 
 
-def _quotient(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.full(len(a), np.nan), where=where)
-
-
-def _log_ratio(close: np.ndarray, lag: int) -> np.ndarray:
-    """ln(close / close ``lag`` rows before); NaN where a price is 0 and at the start."""
-    out = np.full(len(close), np.nan)
-    if len(close) > lag:
-        now, then = close[lag:], close[:-lag]
-        out[lag:] = np.log(_quotient(now, then, (now > 0) & (then > 0)))
-    return out
-
-
-def _over(x: np.ndarray, n: int, measure: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """``measure`` of the last ``n`` rows at each row, NaN while there are fewer."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1 :] = measure(np.lib.stride_tricks.sliding_window_view(x, n))
-    return out
-
-
-def _deviation(windows: np.ndarray) -> np.ndarray:
-    """Sample deviation along the last axis without its NaN; NaN where fewer than two are left."""
-    n = np.isfinite(windows).sum(axis=-1)
-    mean = np.nansum(windows, axis=-1) / np.maximum(n, 1)
-    square = np.nansum((windows - mean[:, None]) ** 2, axis=-1)
-    return np.sqrt(_quotient(square, np.maximum(n - 1, 1).astype(float), n > 1))
-
-
-def _exact_deviation(windows: np.ndarray) -> np.ndarray:
-    return windows.std(axis=-1, ddof=1)
-
-
-def _mean(windows: np.ndarray) -> np.ndarray:
-    return windows.mean(axis=-1)
-
-
 def _averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """The exponential averages after each row, from the list that batches use; ``state`` (n, close, means) is brought up to date."""
     means, out = state["means"], {a.name: np.empty(len(rows)) for a in AVERAGES}
@@ -100,17 +66,17 @@ def _look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> n
     """The features of ``rows``, whose WARMUP - 1 rows before are ``kept``; one line for each row."""
     close, volume, trades = np.array([*map(tuple, kept), *zip(rows["close"], rows["volume"], rows["trades"])], float).T
     own = slice(len(kept), None)
-    price, ma20, sd20 = close[own], _over(close, 20, _mean)[own], _over(close, 20, _exact_deviation)[own]
+    price, ma20, sd20 = close[own], over(close, 20, mean_of)[own], over(close, 20, exact_deviation)[own]
     span, paid = (rows["high"] - rows["low"]).to_numpy(float), rows["volume"].to_numpy(float)
     both, there = mean["gain"] + mean["loss"], price != 0
     values = {
-        **{f"ret_{k}": _log_ratio(close, k)[own] for k in (1, 5, 15)}, "rvol_20": _over(_log_ratio(close, 1), 20, _deviation)[own],
-        "bb_z_20": np.where(sd20 > 0, _quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": _quotient(price, far := _over(close, 50, _mean)[own], far != 0) - 1,
-        "atr_pct_14": _quotient(mean["atr"], price, there), "rsi_14": (np.where(both > 0, 100 * _quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
-        "macd_hist_pct": _quotient(mean["ema12"] - mean["ema26"] - mean["signal"], price, there),
-        "rel_volume": np.log((volume[own] + 1e-9) / (_over(volume, 20, _mean)[own] + 1e-9)), "rel_trades": np.log((trades[own] + 1) / (_over(trades, 20, _mean)[own] + 1)),
-        "range_pct": _quotient(span, price, there), "body_ratio": np.where(span > 0, _quotient((rows["close"] - rows["open"]).to_numpy(float), span, span > 0), 0.0),
-        "taker_imbalance": np.where(paid > 0, _quotient(rows["taker"].to_numpy(float), paid, paid > 0) - 0.5, 0.0),
+        **{f"ret_{k}": log_ratio(close, k)[own] for k in (1, 5, 15)}, "rvol_20": over(log_ratio(close, 1), 20, deviation)[own],
+        "bb_z_20": np.where(sd20 > 0, quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": quotient(price, far := over(close, 50, mean_of)[own], far != 0) - 1,
+        "atr_pct_14": quotient(mean["atr"], price, there), "rsi_14": (np.where(both > 0, 100 * quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
+        "macd_hist_pct": quotient(mean["ema12"] - mean["ema26"] - mean["signal"], price, there),
+        "rel_volume": np.log((volume[own] + 1e-9) / (over(volume, 20, mean_of)[own] + 1e-9)), "rel_trades": np.log((trades[own] + 1) / (over(trades, 20, mean_of)[own] + 1)),
+        "range_pct": quotient(span, price, there), "body_ratio": np.where(span > 0, quotient((rows["close"] - rows["open"]).to_numpy(float), span, span > 0), 0.0),
+        "taker_imbalance": np.where(paid > 0, quotient(rows["taker"].to_numpy(float), paid, paid > 0) - 0.5, 0.0),
     }
     return np.stack([values[c] for c in FEATURES], axis=1)
 
@@ -152,19 +118,9 @@ def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: i
         if not len(rows):
             return s, []
         closes = np.array([*s["closes"], *rows["close"]], float)
-        own = slice(len(s["closes"]), None)
-        rv = _over(_log_ratio(closes, 1), vol, _deviation) * math.sqrt(bars_per_year)
-        rv[:vol] = np.nan  # the first close has no return
-        past = pd.Series(rv).rolling(history, min_periods=1)
-        share = np.where(past.count() >= enough, past.rank(method="max", pct=True), np.nan)
-        steps = np.abs(np.diff(closes, prepend=closes[0]))
-        moved, net = _over(steps, path, lambda w: w.sum(axis=-1)), closes - np.r_[np.full(min(path, len(closes)), np.nan), closes[:-path]]
-        efficiency = np.where(moved > 0, _quotient(np.abs(net), moved, moved > 0), 0.0)
-        efficiency[:path] = np.nan
-        volatility = np.select([share > 0.8, share < 0.2], ["HIGH", "LOW"], "NORMAL")
-        trend = np.where(efficiency > 0.3, np.where(net > 0, "TREND_UP", "TREND_DOWN"), "RANGE")
+        rv, volatility, efficiency, trend = (x[len(s["closes"]) :] for x in regimes_of(closes, bars_per_year, vol, path, history, enough))
         s = {"closes": closes[-(history + vol) :].tolist(), "last": int(rows["open_time"].iloc[-1])}
-        return s, zip(rows["open_time"].tolist(), _plain(rv[own]), volatility[own].tolist(), _plain(efficiency[own]), trend[own].tolist())
+        return s, zip(rows["open_time"].tolist(), _plain(rv), volatility.tolist(), _plain(efficiency), trend.tolist())
 
     return keyed(bars, "symbol", ["open_time"], fold, "symbol string, open_time long, rv double, vol_regime string, efficiency double, trend_regime string")
 
