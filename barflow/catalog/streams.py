@@ -143,9 +143,9 @@ def _score_sql() -> str:
  stats AS (SELECT {each(lambda c: f'avg({c}) AS mean_{c}, stddev_pop({c}) + 1e-12 AS std_{c}')} FROM parted WHERE split = 'train'),
  zs AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'greatest(-5.0, least(5.0, ({c} - mean_{c}) / std_{c})) AS z_{c}')} FROM parted, stats),
  ms AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'avg(z_{c}) OVER {back(LOOKBACK)} AS m_{c}')}, {', '.join(f'ln(lead(close, {h}) OVER ({W}) / close) AS y_{h}' for h in HORIZONS)} FROM zs),
- known AS (SELECT * FROM ms WHERE place >= {LOOKBACK - 1}), fitted AS (SELECT {', '.join(f'stddev_pop(y_{h}) AS scale_{h}' for h in HORIZONS)}, {slopes} FROM known WHERE split = 'train'),
+ known AS (SELECT * FROM ms WHERE place >= {LOOKBACK - 1}), fitted AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop(y_{h}), 0), 1.0) AS scale_{h}' for h in HORIZONS)}, {slopes} FROM known WHERE split = 'train'),
  made AS (SELECT symbol, open_time, close, split, {', '.join(f'y_{h}' for h in HORIZONS)}, {', '.join(f'({e}) * scale_{h} AS exp_{h}' for h, e in expected.items())} FROM known, fitted),
- spread AS (SELECT {', '.join(f'stddev_pop(y_{h} - exp_{h}) AS sigma_{h}' for h in HORIZONS)} FROM made WHERE split = 'val'),
+ spread AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop(y_{h} - exp_{h}), 0), 1.0) AS sigma_{h}' for h in HORIZONS)} FROM made WHERE split = 'val'),
  best AS (SELECT *, {', '.join(f'{z} AS z{i}' for i, z in enumerate(zs))} FROM made, spread),
  scores AS (SELECT symbol, open_time, close, {', '.join(exps)}, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS j, CASE j WHEN 0 THEN {exps[0]} WHEN 1 THEN {exps[1]} ELSE {exps[2]} END * 1e4 AS edge_bps FROM best)"""
 
