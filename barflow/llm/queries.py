@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, html_text, license_scan, mixing, quality, simhash, sketch, token_counts, url_rules, vector_lsh
+from barflow.llm import bpe, conversation_repair, html_text, license_scan, mixing, quality, simhash, sketch, token_counts, url_rules, vector_lsh
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 ACCEPT = 0.7
@@ -83,6 +83,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), times="times")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_html_main_text": op10_html_main_text,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 
