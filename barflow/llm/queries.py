@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, conversation_repair, html_text, license_scan, mixing, quality, simhash, sketch, token_counts, url_rules, vector_lsh
+from barflow.llm import bpe, conversation_repair, html_text, license_scan, mixing, quality, simhash, sketch, spelling, token_counts, url_rules, vector_lsh
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 ACCEPT = 0.7
@@ -23,6 +23,8 @@ MIX_WEIGHTS = {
     ("web", "en", "src0"): 3, ("books", "en", "src11"): 2,
 }
 MIX_EPOCHS, MIX_SEED = 4, 7
+#: One occurring (document, run) in so many loses a letter before words are counted.
+SPELLING_DAMAGE = 199
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=SPELLING_DAMAGE))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), times="times")
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_html_main_text": op10_html_main_text,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
