@@ -4,23 +4,36 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session, which has one machine only, gets a temporary one;
+    It is the session's ``spark.checkpoint.dir``. Where that is unset a local session, which has one machine only, gets a temporary one;
     a cluster raises RuntimeError, as its executors would write to folders of their own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="barflow-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="barflow-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def table_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that one run writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, conversation_repair, html_text, license_scan, mixing, quality, simhash, sketch, spelling, token_counts, url_rules, vector_lsh
+from barflow.llm import bpe, conversation_repair, html_text, katz, license_scan, mixing, quality, simhash, sketch, spelling, token_counts, url_rules, vector_lsh
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 ACCEPT = 0.7
@@ -93,6 +93,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")), times="times")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score(_table(spark, sf_dir, "documents"), unseen)
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -106,6 +111,7 @@ QUERIES = {
     "op10_html_main_text": op10_html_main_text,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 
