@@ -34,12 +34,18 @@ WEIGHED = "kind string, gram_order int, range long, block long, grams binary, sa
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Eight-byte numbers by the place of their bytes, so that what is zero throughout compresses to nothing."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Eight-byte numbers by the place of their bytes, after the number of places that any of them needs."""
+    places = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
+    used = next((i for i in range(8, 1, -1) if places[i - 1].any()), 1)
+    return bytes([used]) + places[:used].tobytes()
 
 
 def unpack(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    used = data[0]
+    places = np.frombuffer(data, np.uint8, offset=1).reshape(used, -1)
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, :used] = places.T
+    return out.view(kind).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
