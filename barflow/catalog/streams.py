@@ -11,7 +11,7 @@ from barflow.catalog.ledgers import _sql, runs
 from barflow.catalog.market import _BOOK_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
 from barflow.operators.labels import ratio_split
-from barflow.operators.learning import fit_window_model
+from barflow.operators.learning import fit_window_model, lag_spans
 from barflow.plans.blocks import numbered
 from barflow.plans.lineage import checkpointed
 from barflow.sources import adapters as A
@@ -132,19 +132,25 @@ def scored_rows(spark, sf_dir):
 
 
 def _score_sql() -> str:
-    """The fit and the scores of fit_window_model and score: one slope an input and horizon."""
+    """The fit and the scores of fit_window_model and score: one ridge system a horizon, solved by elimination over a list of rows."""
     names, each = X.FEATURES, lambda f: ", ".join(f(c) for c in X.FEATURES)
-    expected = {h: " + ".join(f"m_{c} * (s_{h}_{c} / scale_{h} / {len(names)})" for c in names) for h in HORIZONS}
-    slopes = ", ".join(f"coalesce(regr_slope(y_{h}, m_{c}), 0) AS s_{h}_{c}" for h in HORIZONS for c in names)
-    exps, sigmas = [f"exp_{h}" for h in HORIZONS], [f"sigma_{h}" for h in HORIZONS]
+    spans = lag_spans(LOOKBACK)
+    x = [f"avg(z_{c}) OVER ({W} ROWS BETWEEN {after - 1} PRECEDING AND {first} PRECEDING)" for first, after in spans for c in names]
+    n, exps, sigmas = len(x) + 1, [f"exp_{h}" for h in HORIZONS], [f"sigma_{h}" for h in HORIZONS]
     zs = [f"abs({e}) / greatest({s}, 1e-12)" for e, s in zip(exps, sigmas)]
+    solve = lambda h: f"""sums_{h} AS (SELECT i, j, sum(v[i] * v[j]) AS s FROM (SELECT list_append(v, y_{h}) AS v FROM known WHERE split = 'train' AND y_{h} IS NOT NULL), range(1, {n + 1}) a(i), range(1, {n + 2}) b(j) GROUP BY ALL),
+ size_{h} AS (SELECT count(*) AS n, coalesce(nullif(stddev_pop(y_{h}), 0), 1.0) AS scale_{h} FROM known WHERE split = 'train' AND y_{h} IS NOT NULL),
+ lines_{h} AS (SELECT i, list(s / n / CASE WHEN j = {n + 1} THEN scale_{h} ELSE 1 END + CASE WHEN i <> j THEN 0 WHEN i = 1 THEN 1e-11::DOUBLE ELSE 0.01::DOUBLE END ORDER BY j) AS line FROM sums_{h}, size_{h} GROUP BY i),
+ swept_{h} AS (SELECT 1 AS k, list(line ORDER BY i) AS a FROM lines_{h} UNION ALL
+  SELECT k + 1, list_transform(a, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda v: v / line[k]) ELSE list_transform(line, lambda v, j: v - line[k] / a[k][k] * a[k][j]) END) FROM swept_{h} WHERE k <= {n}),
+ fit_{h} AS (SELECT list_transform(a, lambda line: line[{n + 1}]) AS w_{h}, scale_{h} FROM swept_{h}, size_{h} WHERE k = {n + 1}),"""
     return f"""WITH RECURSIVE {FEATURES_SQL}, v AS (SELECT symbol, open_time, close, {', '.join(names)}, row_number() OVER ({W}) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n FROM features WHERE valid),
  parted AS (SELECT * EXCLUDE ({', '.join(names)}), {each(lambda c: f'coalesce({c}, 0) AS {c}')}, CASE WHEN place < floor(n * 0.65::DOUBLE) THEN 'train' WHEN place < floor(n * (0.65::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM v),
  stats AS (SELECT {each(lambda c: f'avg({c}) AS mean_{c}, stddev_pop({c}) + 1e-12 AS std_{c}')} FROM parted WHERE split = 'train'),
  zs AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'greatest(-5.0, least(5.0, ({c} - mean_{c}) / std_{c})) AS z_{c}')} FROM parted, stats),
- ms AS (SELECT symbol, open_time, close, place, split, {each(lambda c: f'avg(z_{c}) OVER {back(LOOKBACK)} AS m_{c}')}, {', '.join(f'ln(lead(close, {h}) OVER ({W}) / close) AS y_{h}' for h in HORIZONS)} FROM zs),
- known AS (SELECT * FROM ms WHERE place >= {LOOKBACK - 1}), fitted AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop(y_{h}), 0), 1.0) AS scale_{h}' for h in HORIZONS)}, {slopes} FROM known WHERE split = 'train'),
- made AS (SELECT symbol, open_time, close, split, {', '.join(f'y_{h}' for h in HORIZONS)}, {', '.join(f'({e}) * scale_{h} AS exp_{h}' for h, e in expected.items())} FROM known, fitted),
+ ms AS (SELECT symbol, open_time, close, place, split, [1.0::DOUBLE, {', '.join(x)}] AS v, {', '.join(f'ln(lead(close, {h}) OVER ({W}) / close) AS y_{h}' for h in HORIZONS)} FROM zs),
+ known AS MATERIALIZED (SELECT * FROM ms WHERE place >= {LOOKBACK - 1}), {''.join(map(solve, HORIZONS))}
+ made AS (SELECT symbol, open_time, close, split, {', '.join(f'y_{h}' for h in HORIZONS)}, {', '.join(f'coalesce(list_dot_product(v, w_{h}), 0) * scale_{h} AS exp_{h}' for h in HORIZONS)} FROM known, {', '.join(f'fit_{h}' for h in HORIZONS)}),
  spread AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop(y_{h} - exp_{h}), 0), 1.0) AS sigma_{h}' for h in HORIZONS)} FROM made WHERE split = 'val'),
  best AS (SELECT *, {', '.join(f'{z} AS z{i}' for i, z in enumerate(zs))} FROM made, spread),
  scores AS (SELECT symbol, open_time, close, {', '.join(exps)}, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS j, CASE j WHEN 0 THEN {exps[0]} WHEN 1 THEN {exps[1]} ELSE {exps[2]} END * 1e4 AS edge_bps FROM best)"""

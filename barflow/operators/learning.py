@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -13,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.operators.features import FEATURES
-from barflow.plans.blocks import Blocked, blocked
-from barflow.plans.lineage import checkpointed
+from barflow.plans.blocks import blocked
 
 INPUTS = list(FEATURES)
 #: Boosting goes on until the validation rows gain no more, for this many trees at most.
@@ -66,28 +67,70 @@ def expected_moves(model, rows: DataFrame, size: float, names: list[str] | None
     return out.withColumn("pred", (2 * vector_to_array("probability")[1] - 1) * size).drop("raw_", "inputs", "side_", "probability", "rawPrediction")
 
 
-def fit_window_model(rows: DataFrame, names: list[str], horizons: tuple[int, ...], lookback: int) -> dict:
-    """A linear model of the window's mean z-scores, fitted on training rows by one slope an input and horizon; its deviation is taken on validation rows.
+def lag_spans(lookback: int, ratio: int = 4) -> list[tuple[int, int]]:
+    """Lags 0, then spans that grow by ``ratio``, up to ``lookback``: [first, after) of each. What is near in time is seen finely, what is far coarsely."""
+    ends = [1]
+    while ends[-1] < lookback:
+        ends.append(min(lookback, ends[-1] * ratio))
+    return list(zip([0, *ends], ends))
 
-    ``rows``: numbered bars with close, split and the inputs. Three passes, each an aggregate of one row; a constant input has weight 0.
+
+def span_means(z: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """For each row that ends a full window: the mean of each input over each span of lags, spans outermost."""
+    last, total = spans[-1][1] - 1, np.vstack([np.zeros(z.shape[1]), np.cumsum(z, axis=0)])
+    at = np.arange(last, len(z))
+    return np.hstack([(total[at - first + 1] - total[at - after + 1]) / (after - first) for first, after in spans])
+
+
+def fit_window_model(rows: DataFrame, names: list[str], horizons: tuple[int, ...], lookback: int, ridge: float = 0.01) -> dict:
+    """A linear model of a whole window, in the order of its rows: one joint ridge fit of all inputs at all lags, lags in the spans of :func:`lag_spans`.
+
+    ``rows``: numbered bars with close, split and the inputs. Two passes: the inputs' mean and deviation on training rows, then the cross-products of span
+    means and targets, which each block sums for itself and Spark over all; only these sums, whose number the model fixes, come to the driver. The
+    deviation of what is left is that of the validation rows, from their own cross-products. A constant input has weight 0.
     """
-    train, val = F.col("split") == "train", F.col("split") == "val"
-    filled = {c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)) for c in names}
-    stats = rows.where(train).agg(*[F.avg(x).alias(f"mean_{c}") for c, x in filled.items()], *[F.stddev_pop(x).alias(f"std_{c}") for c, x in filled.items()]).first()
-    mean, std = [stats[f"mean_{c}"] or 0.0 for c in names], [(stats[f"std_{c}"] or 0.0) + 1e-12 for c in names]
-    b = blocked(rows, lookback - 1, max(horizons))
-    z = {c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (x - m) / d)) for (c, x), m, d in zip(filled.items(), mean, std)}
-    made = b.rows.withColumns({f"z_{c}": x for c, x in z.items()})
-    means = [F.avg(f"z_{c}").over(b.back(lookback)).alias(f"m_{c}") for c in names]
-    targets = [F.ln(F.try_divide(F.lead("close", h).over(b.window), F.col("close"))).alias(f"y_{h}") for h in horizons]
-    known = checkpointed(Blocked.home(made.select("rn", "split", "home_", "block_", *means, *targets)).where(F.col("rn") >= lookback - 1))
-    slopes = [F.regr_slope(f"y_{h}", f"m_{c}").alias(f"s_{h}_{c}") for h in horizons for c in names]
-    fitted = known.where(train).agg(*[F.stddev_pop(f"y_{h}").alias(f"scale_{h}") for h in horizons], *slopes).first()
-    scale = [fitted[f"scale_{h}"] or 1.0 for h in horizons]
-    weights = [[(fitted[f"s_{h}_{c}"] or 0.0) / d / len(names) for c in names] for h, d in zip(horizons, scale)]
-    expected = [reduce(lambda a, x: a + x, [F.col(f"m_{c}") * w for c, w in zip(names, row)]) * d for row, d in zip(weights, scale)]
-    left = known.where(val).agg(*[F.stddev_pop(F.col(f"y_{h}") - e).alias(f"left_{h}") for h, e in zip(horizons, expected)]).first()
-    return {"inputs": list(names), "lookback": lookback, "horizons": list(horizons), "mean": mean, "std": std, "weights": weights, "scale": scale, "sigma": [left[f"left_{h}"] or 1.0 for h in horizons]}
+    spans = lag_spans(lookback)
+    filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) for c in names}
+    stats = rows.where("split = 'train'").agg(*[F.avg(x).alias(f"mean_{c}") for c, x in filled.items()], *[F.stddev_pop(x).alias(f"std_{c}") for c, x in filled.items()]).first()
+    mean, std = np.array([stats[f"mean_{c}"] or 0.0 for c in names]), np.array([(stats[f"std_{c}"] or 0.0) + 1e-12 for c in names])
+    size = len(spans) * len(names) + 2
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rn")
+        z = np.clip((block[names].to_numpy(float) - mean) / std, -5.0, 5.0)
+        close, last = block["close"].to_numpy(float), lookback - 1
+        if len(z) <= last:
+            return pd.DataFrame({"part": pd.Series([], dtype=object), "horizon": pd.Series([], dtype=int), "sums": pd.Series([], dtype=object)})
+        x, home = span_means(z, spans), (block["home_"] == block["block_"]).to_numpy()[last:]
+        out = []
+        for h in horizons:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                y = np.concatenate([np.log(close[h:] / close[:-h]), np.full(min(h, len(close)), np.nan)])[: len(close)][last:]
+            for part in ("train", "val"):
+                use = home & (block["split"] == part).to_numpy()[last:] & np.isfinite(y)
+                both = np.column_stack([np.ones(use.sum()), x[use], y[use]])
+                out.append((part, h, (both.T @ both).ravel()))
+        return pd.DataFrame(out, columns=["part", "horizon", "sums"])
+
+    kept = rows.select("symbol", "open_time", "rn", "split", "close", *[x.alias(c) for c, x in filled.items()])
+    made = blocked(kept, lookback - 1, max(horizons)).rows.groupBy("symbol", "block_").applyInPandas(products, "part string, horizon int, sums array<double>")
+    summed = made.select("part", "horizon", F.posexplode("sums").alias("at", "x")).groupBy("part", "horizon", "at").agg(F.sum("x").alias("x"))
+    found = {(p, h): np.zeros((size, size)) for p in ("train", "val") for h in horizons}
+    for r in summed.collect():
+        found[r["part"], r["horizon"]].flat[r["at"]] = r["x"]
+    bias, weights, scale, sigma = [], [], [], []
+    for h in horizons:
+        seen, held = found["train", h], found["val", h]
+        n = max(seen[0, 0], 1.0)
+        deviation = float(np.sqrt(max(0.0, seen[-1, -1] / n - (seen[0, -1] / n) ** 2))) or 1.0
+        fitted = np.linalg.solve(seen[:-1, :-1] / n + ridge * np.diag([1e-9, *[1.0] * (size - 2)]), seen[:-1, -1] / n / deviation)
+        bias.append(float(fitted[0]))
+        weights.append(np.repeat(fitted[1:].reshape(len(spans), len(names)) / [[b - a] for a, b in spans], [b - a for a, b in spans], axis=0).tolist())
+        scale.append(deviation)
+        off = np.array([*-fitted * deviation, 1.0])
+        m = max(held[0, 0], 1.0)
+        sigma.append(float(np.sqrt(max(0.0, off @ held @ off / m - (held[0] @ off / m) ** 2))) or 1.0)
+    return {"inputs": list(names), "lookback": lookback, "horizons": list(horizons), "mean": mean.tolist(), "std": std.tolist(), "weights": weights, "bias": bias, "scale": scale, "sigma": sigma}
 
 
 def principal_components(rows: DataFrame, vector: str, train: F.Column, k: int = 8):

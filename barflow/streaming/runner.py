@@ -78,6 +78,12 @@ def drained(stream: DataFrame, mode: str = "append", partition_by: list[str] | N
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a version's folder, where it is there."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def serve_latest(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> None:
     """Keep only the newest row of each key at ``path``: slow readers never see a backlog.
 
@@ -91,8 +97,7 @@ def serve_latest(stream: DataFrame, key: str, order: str, path: str, checkpoint:
         before = f"{path}/version={number - 1}"
         both = newest(batch) if number == 0 else newest(batch).unionByName(spark.read.schema(stream.schema).parquet(before).select(key, *[c for c in stream.columns if c != key]))
         newest(both).write.mode("overwrite").parquet(f"{path}/version={number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - KEPT_VERSIONS}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        forget(spark, f"{path}/version={number - KEPT_VERSIONS}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

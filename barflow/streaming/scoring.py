@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barflow.functions.signals import decide_signal, expected_prices
 from barflow.plans.blocks import blocked, numbered
 from barflow.sources.frames import last_n
+from barflow.streaming.runner import KEPT_VERSIONS, forget
 
 CLIP = 5.0
 
@@ -19,7 +20,7 @@ CLIP = 5.0
 def write_model(spark: SparkSession, path: str, version: int, model: dict) -> None:
     """Add a version to the model table; older ones stay, so running streams and late readers keep theirs.
 
-    A model has inputs, lookback, horizons, mean and std (one an input), weights (a row a horizon, a column an input), scale and sigma (one a horizon).
+    A model has inputs, lookback, horizons, mean and std (one an input), weights (by horizon, lag and input), bias, scale and sigma (one a horizon).
     """
     spark.createDataFrame([(version, json.dumps(model))], "version int, body string").coalesce(1).write.mode("append").parquet(path)
 
@@ -34,11 +35,16 @@ def latest_model(spark: SparkSession, path: str, inputs: list[str]) -> dict | No
 def window_scores(raw: np.ndarray, model: dict) -> np.ndarray:
     """Log returns expected after each row that ends a full window of ``raw`` (a row a bar, a column an input): rows - lookback + 1 by horizons.
 
-    Missing values count as 0 before the clipped z-scores are taken; the weights see their mean over the window.
+    Missing values count as 0 before the clipped z-scores are taken. Every lag of every input has a weight of its own: a causal convolution, one
+    product of all rows with the weights of a lag at a time, so that no window is ever copied.
     """
-    mean, std, weights, scale = (np.array(model[k], float) for k in ("mean", "std", "weights", "scale"))
+    mean, std, weights, bias, scale = (np.array(model[k], float) for k in ("mean", "std", "weights", "bias", "scale"))
     z = np.clip((np.nan_to_num(raw) - mean) / std, -CLIP, CLIP)
-    return np.lib.stride_tricks.sliding_window_view(z, model["lookback"], axis=0).mean(axis=-1) @ weights.T * scale
+    last = model["lookback"] - 1
+    out = np.tile(bias, (len(z) - last, 1))
+    for lag in range(last + 1):
+        out += z[last - lag : len(z) - lag] @ weights[:, lag].T
+    return out * scale
 
 
 def score(rows: DataFrame, model: dict) -> DataFrame:
@@ -67,7 +73,7 @@ def stream_scores(rows: DataFrame, model_path: str, inputs: list[str], out: str,
     """Score a stream of feature rows; every micro-batch reads the newest compatible model, so a new version takes effect without a restart.
 
     The last ``lookback`` - 1 raw rows of each symbol are kept between micro-batches, as a version of the ``state`` folder for each; a broken
-    micro-batch is done again from the version before it.
+    micro-batch is done again from the version before it. Versions that no micro-batch can ask for any more are deleted.
     """
     spark = rows.sparkSession
     columns = ["symbol", "open_time", "close", *inputs]
@@ -80,5 +86,6 @@ def stream_scores(rows: DataFrame, model_path: str, inputs: list[str], out: str,
         if model is not None:
             score(both, model).join(before.select("symbol", "open_time"), ["symbol", "open_time"], "left_anti").write.mode("overwrite").parquet(f"{out}/batch={number}")
         last_n(both, "symbol", ["open_time"], lookback - 1).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        forget(spark, f"{state}/batch={number - KEPT_VERSIONS}")
 
     rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -382,15 +382,34 @@ def test_window_model_scores_as_a_plain_loop(spark, monkeypatch):
     rows = [(s, i * 60_000, float(np.exp(0.01 * rng.normal() + 3)), None if i % 31 == 0 else float(rng.normal()), float(rng.normal() * 3), i, "train" if i < 120 else "val") for s in "ab" for i in range(170)]
     df = spark.createDataFrame(rows, "symbol string, open_time long, close double, f double, g double, rn long, split string")
     model = fit_window_model(df, ["f", "g"], (1, 3), 8)
-    assert model["mean"] == pytest.approx([np.mean([r[k] or 0 for r in rows if r[6] == "train"]) for k in (3, 4)]) and len(model["weights"]) == 2
+    mean, std = np.array(model["mean"]), np.array(model["std"])
+    assert mean == pytest.approx([np.mean([r[k] or 0 for r in rows if r[6] == "train"]) for k in (3, 4)])
+    z = {s: np.clip((np.array([[r[3] or 0, r[4]] for r in rows if r[0] == s]) - mean) / std, -5, 5) for s in "ab"}
+    close = {s: [r[2] for r in rows if r[0] == s] for s in "ab"}
+
+    def line(s, i):  # the newest row, then means over lags 1 to 3 and 4 to 7
+        return [1, *z[s][i], *z[s][i - 3 : i].mean(axis=0), *z[s][i - 7 : i - 3].mean(axis=0)]
+
+    for at, h in enumerate((1, 3)):
+        use = [(s, i) for s in "ab" for i in range(7, 120)]
+        x, y = np.array([line(*u) for u in use]), np.array([np.log(close[s][i + h] / close[s][i]) for s, i in use])
+        scale = y.std()
+        fitted = np.linalg.solve(x.T @ x / len(x) + 0.01 * np.diag([1e-9] + [1] * 6), x.T @ (y / scale) / len(x))
+        weights = np.array(model["weights"][at])
+        assert weights.shape == (8, 2) and model["bias"][at] == pytest.approx(fitted[0]) and model["scale"][at] == pytest.approx(scale)
+        assert weights[0] == pytest.approx(fitted[1:3]) and weights[1:4].sum(axis=0) == pytest.approx(fitted[3:5]) and weights[4:].sum(axis=0) == pytest.approx(fitted[5:])
+        held = [(s, i) for s in "ab" for i in range(120, 170 - h)]
+        left = [np.log(close[s][i + h] / close[s][i]) - scale * float(np.dot(line(s, i), fitted)) for s, i in held]
+        assert model["sigma"][at] == pytest.approx(np.std(left))
+    model["weights"] = [[[0.1 * lag + at, -0.2 * lag] for lag in range(8)] for at in range(2)]  # any weights, each lag its own
     got = {(r.symbol, r.open_time): r for r in C.score(df, model | {"version": 4}).collect()}
     assert len(got) == 2 * (170 - 7)
     for s in "ab":
-        own = [r for r in rows if r[0] == s]
         for i in range(7, 170):
-            z = [np.mean([np.clip(((r[k] or 0) - m) / d, -5, 5) for r in own[i - 7 : i + 1]]) for k, m, d in ((3, model["mean"][0], model["std"][0]), (4, model["mean"][1], model["std"][1]))]
-            exp = [sum(a * b for a, b in zip(z, w)) * c for w, c in zip(model["weights"], model["scale"])]
+            exp = [(b + sum(w[lag][k] * z[s][i - lag][k] for lag in range(8) for k in range(2))) * c for w, b, c in zip(model["weights"], model["bias"], model["scale"])]
             assert got[s, i * 60_000].exp == pytest.approx(exp) and got[s, i * 60_000].model_version == 4
+    raw = np.array([r[3:5] for r in rows[32:40]], float)
+    assert not np.allclose(C.window_scores(raw, model), C.window_scores(raw[::-1], model))
     assert C.score(df.limit(0), model).collect() == []
 
 
