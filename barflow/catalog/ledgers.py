@@ -10,31 +10,33 @@ from barflow.catalog.common import YEAR_BARS, pick, r, rounded
 from barflow.catalog.signals import _FORECAST, decided
 from barflow.operators import evaluation as E
 from barflow.operators import ledger as G
+from barflow.plans.lineage import checkpointed
 from barflow.plans.running import quantiles
 from barflow.sources import adapters as A
 
+#: No position is worth more than ten times the cash at the start: on prices that come back as these do, money would else compound beyond the doubles.
+MOST = 100_000.0
 CONFIGS = {
-    "plain": G.Rules(), "tight": G.Rules(stop_bps=3000, take_bps=6000), "long": G.Rules(allow_short=False, size=0.5), "free": G.Rules(fee_bps=0, slippage_bps=0, stop_bps=5000),
+    "plain": G.Rules(most=MOST), "tight": G.Rules(stop_bps=3000, take_bps=6000, most=MOST), "long": G.Rules(allow_short=False, size=0.5, most=MOST), "free": G.Rules(fee_bps=0, slippage_bps=0, stop_bps=5000, most=MOST),
 }
 
 
-def runs(spark, sf_dir, configs=None):
-    """Bars beside the decisions taken on them, once for each set of rules."""
-    names = F.explode(F.array(*map(F.lit, configs or CONFIGS))).alias("run")
+def fed(spark, sf_dir):
+    """Bars beside the decisions taken on them."""
     bars = A.bars(spark, sf_dir).select("symbol", F.col("open_time").alias("t"), "open", "high", "low", "close")
     signals = decided(spark, sf_dir).select("symbol", F.col("open_time").alias("t"), "signal", F.col("horizon").cast("long").alias("horizon"), "edge_bps")
-    return bars.join(signals, ["symbol", "t"], "left").select("*", names)
+    return bars.join(signals, ["symbol", "t"], "left")
 
 
 def _money(side: str, cash: str, price: str, out: str) -> str:
     """Profit and fees of a position for the SQL: all columns but the last two are inputs."""
-    qty = f"({cash} * k.size / {price})"
+    qty = f"(least({cash} * k.size, k.most) / {price})"
     return f"{side} * {qty} * ({out} - {price}) - {qty} * {price} * k.rate - {qty} * {out} * k.rate"
 
 
 #: The ledger row by row: what waits is done at the open, then stop or take, then the horizon at the close; a bar ends two positions at most.
 LEDGER_SQL = f"""{_FORECAST},
- rules AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {c.fee_bps / 1e4!r}::DOUBLE, {c.slippage_bps}::DOUBLE, {c.size}::DOUBLE, {c.stop_bps}::DOUBLE, {c.take_bps}::DOUBLE, {str(c.allow_short).lower()})" for n, c in CONFIGS.items())}) v(run, rate, slip, size, stop, take, shorts)),
+ rules AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {c.fee_bps / 1e4!r}::DOUBLE, {c.slippage_bps}::DOUBLE, {c.size}::DOUBLE, {c.stop_bps}::DOUBLE, {c.take_bps}::DOUBLE, {str(c.allow_short).lower()}, {c.most!r}::DOUBLE)" for n, c in CONFIGS.items())}) v(run, rate, slip, size, stop, take, shorts, most)),
  feed AS (SELECT b.symbol, b.open_time AS t, b.open, b.high, b.low, b.close, d.signal, CAST(d.horizon AS BIGINT) AS horizon, d.edge_bps, row_number() OVER (PARTITION BY b.symbol ORDER BY b.open_time) - 1 AS n,
    count(*) OVER (PARTITION BY b.symbol) AS total FROM bars b LEFT JOIN decided d USING (symbol, open_time)),
  acts AS (SELECT *, lag(signal) OVER w AS sig, lag(horizon) OVER w AS hor, lag(edge_bps) OVER w AS edge_in FROM feed WINDOW w AS (PARTITION BY symbol ORDER BY n)),
@@ -56,15 +58,15 @@ LEDGER_SQL = f"""{_FORECAST},
    CASE WHEN stopped THEN side1 * least(side1 * a.open, side1 * stop_at) WHEN taken THEN side1 * greatest(side1 * a.open, side1 * take_at) ELSE a.close END * (1 - side1 * k.slip / 1e4) AS b_out,
    cash1 > 0 AND k.size > 0 AND price1 > 0 AS ok1, {_money('side1', 'cash1', 'price1', 'b_out')} AS b_pnl
    FROM steps s JOIN acts a ON a.symbol = s.symbol AND a.n = s.n + 1 JOIN rules k ON k.run = s.run)),
- walked AS (SELECT s.*, f.t, f.close, f.n = f.total - 1 AS last, k.rate, k.slip, k.size FROM steps s JOIN feed f ON f.symbol = s.symbol AND f.n = s.n JOIN rules k USING (run)),
- ended AS (SELECT *, close * (1 - side * slip / 1e4) AS e_exit, last AND side <> 0 AND cash > 0 AND size > 0 AND price > 0 AS e_done FROM walked),
- closed AS (SELECT run, symbol, a_side AS s, a_entry AS entry_time, a_price AS entry_price, t AS exit_time, a_exit AS exit_price, a_cash AS c, a_bars AS bars, 'reverse' AS reason, a_planned AS horizon, a_edge AS edge_bps, rate, size FROM ended WHERE a_done
-  UNION ALL SELECT run, symbol, b_side, b_entry, b_price, t, b_exit, b_cash, b_bars, b_reason, b_planned, b_edge, rate, size FROM ended WHERE b_done
-  UNION ALL SELECT run, symbol, side, entry_t, price, t, e_exit, cash, held, 'end', planned, edge, rate, size FROM ended WHERE e_done),
- ledger AS (SELECT run, symbol, CASE WHEN s > 0 THEN 'LONG' ELSE 'SHORT' END AS side, entry_time, entry_price, exit_time, exit_price, c * size / entry_price AS qty,
+ walked AS (SELECT s.*, f.t, f.close, f.n = f.total - 1 AS last, k.rate, k.slip, k.size, k.most FROM steps s JOIN feed f ON f.symbol = s.symbol AND f.n = s.n JOIN rules k USING (run)),
+ ended AS (SELECT *, least(cash * size, most) AS stake, close * (1 - side * slip / 1e4) AS e_exit, last AND side <> 0 AND cash > 0 AND size > 0 AND price > 0 AS e_done FROM walked),
+ closed AS (SELECT run, symbol, a_side AS s, a_entry AS entry_time, a_price AS entry_price, t AS exit_time, a_exit AS exit_price, a_cash AS c, a_bars AS bars, 'reverse' AS reason, a_planned AS horizon, a_edge AS edge_bps, rate, size, most FROM ended WHERE a_done
+  UNION ALL SELECT run, symbol, b_side, b_entry, b_price, t, b_exit, b_cash, b_bars, b_reason, b_planned, b_edge, rate, size, most FROM ended WHERE b_done
+  UNION ALL SELECT run, symbol, side, entry_t, price, t, e_exit, cash, held, 'end', planned, edge, rate, size, most FROM ended WHERE e_done),
+ ledger AS (SELECT run, symbol, CASE WHEN s > 0 THEN 'LONG' ELSE 'SHORT' END AS side, entry_time, entry_price, exit_time, exit_price, least(c * size, most) / entry_price AS qty,
    s * qty * (exit_price - entry_price) - qty * entry_price * rate - qty * exit_price * rate AS pnl, qty * entry_price * rate + qty * exit_price * rate AS fees, pnl / (qty * entry_price) * 1e4 AS ret_bps, bars, reason, horizon, edge_bps FROM closed),
- curve AS (SELECT run, symbol, t, CASE WHEN e_done THEN cash + side * (cash * size / price) * (e_exit - price) - cash * size * rate - (cash * size / price) * e_exit * rate
-   WHEN side <> 0 AND cash > 0 AND size > 0 AND price > 0 THEN cash - cash * size / price * price * rate + side * (cash * size / price) * (close - price) ELSE cash END AS equity, in_market FROM ended)"""
+ curve AS (SELECT run, symbol, t, CASE WHEN e_done THEN cash + side * (stake / price) * (e_exit - price) - stake * rate - (stake / price) * e_exit * rate
+   WHEN side <> 0 AND cash > 0 AND size > 0 AND price > 0 THEN cash - stake / price * price * rate + side * (stake / price) * (close - price) ELSE cash END AS equity, in_market FROM ended)"""
 LEDGER_COLUMNS = "run symbol side entry_time exit_time bars reason horizon"
 LEDGER_PRICES, LEDGER_VALUES = "entry_price exit_price", "qty pnl fees ret_bps edge_bps"
 #: Prices have up to six digits after the slippage, so four would meet ties.
@@ -79,12 +81,17 @@ def _sql(select: str, more: str = "") -> str:
     return f"WITH RECURSIVE {LEDGER_SQL}{', ' + more if more else ''} {select}"
 
 
+def books(spark, sf_dir):
+    """Trades and equity curves of all sets of rules, folded once and read as often as needed."""
+    return G.parted(checkpointed(G.both(fed(spark, sf_dir), CONFIGS)))
+
+
 def ledger(spark, sf_dir):
-    return G.trades(runs(spark, sf_dir), CONFIGS)
+    return G.parted(G.both(fed(spark, sf_dir), CONFIGS))[0]
 
 
 def curves(spark, sf_dir):
-    return G.equity(runs(spark, sf_dir), CONFIGS)
+    return G.parted(G.both(fed(spark, sf_dir), CONFIGS))[1]
 
 
 @query(_sql(f"SELECT {LEDGER_SQL_COLUMNS} FROM ledger"))
@@ -111,7 +118,7 @@ _COUNTS = "bars trades longs shorts exits_horizon exits_stop exits_take exits_re
  summary AS (SELECT run, symbol, end_equity, max_drawdown_pct, sharpe_ann, bars, exposure_pct, (end_equity / 10000 - 1) * 100 AS total_return_pct, profit_factor,
    {', '.join(f'coalesce({c}, 0) AS {c}' for c in 'trades win_rate_pct avg_trade_bps fees_paid longs shorts exits_horizon exits_stop exits_take exits_reverse exits_end'.split())} FROM c2 LEFT JOIN b2 USING (run, symbol))"""))
 def run_summary(spark, sf_dir):
-    return pick(E.run_summary(ledger(spark, sf_dir), curves(spark, sf_dir), ["run", "symbol"], 10_000.0, YEAR_BARS), f"run symbol {_COUNTS}", _SUMMARY, 4)
+    return pick(E.run_summary(*books(spark, sf_dir), ["run", "symbol"], 10_000.0, YEAR_BARS), f"run symbol {_COUNTS}", _SUMMARY, 4)
 
 
 @query(_sql("SELECT run, symbol, reason, count(*) AS n FROM ledger GROUP BY ALL"))
@@ -139,8 +146,8 @@ def compare_runs(spark, sf_dir):
  FROM curve c JOIN bars b ON b.symbol = c.symbol AND b.open_time = c.t JOIN ledger l ON l.run = c.run AND l.symbol = c.symbol AND c.t BETWEEN l.entry_time AND l.exit_time WHERE c.in_market"""))
 def mark_to_market(spark, sf_dir):
     """Open positions at each bar: cash, unrealised basis points and equity against the start, from the curve and the trade that is open."""
-    trades = ledger(spark, sf_dir).select("run", "symbol", "side", "entry_time", "exit_time", "entry_price")
-    curve = curves(spark, sf_dir).where("in_market")
+    trades, curve = books(spark, sf_dir)
+    trades, curve = trades.select("run", "symbol", "side", "entry_time", "exit_time", "entry_price"), curve.where("in_market")
     bars = A.bars(spark, sf_dir).select("symbol", F.col("open_time").alias("t"), "close")
     day = F.floor(F.col("t") / A.DAY)
     # a position is beside the days that it touches, so the range join is an equi join on run, symbol and day first
@@ -159,8 +166,8 @@ def entry_blocks(spark, sf_dir):
 
     The day's halt is latched at every bar close, also where the loss recovers later.
     """
-    curve = curves(spark, sf_dir)
-    losses = ledger(spark, sf_dir).where("pnl < 0").select("run", "symbol", F.col("exit_time").alias("t")).distinct().withColumn("lost", F.lit(1))
+    trades, curve = books(spark, sf_dir)
+    losses = trades.where("pnl < 0").select("run", "symbol", F.col("exit_time").alias("t")).distinct().withColumn("lost", F.lit(1))
     rows = curve.join(losses, ["run", "symbol", "t"], "left").withColumn("day", F.floor(F.col("t") / A.DAY))
     by = Window.partitionBy("run", "symbol").orderBy("t")
     day = Window.partitionBy("run", "symbol", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)

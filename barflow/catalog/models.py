@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import YEAR_BARS, r
-from barflow.catalog.ledgers import _sql, curves, ledger, runs
+from barflow.catalog.ledgers import CONFIGS, _sql, books, curves, fed
 from barflow.catalog.signals import advice_texts, normalised
 from barflow.functions import signals as S
 from barflow.operators import agent as B
@@ -97,7 +97,7 @@ def embedding_pca(spark, sf_dir):
 
 def advised(spark, sf_dir):
     """Bars of a run beside the model's signal and the last advice at or before the close."""
-    bars = runs(spark, sf_dir, ["plain"]).drop("edge_bps")
+    bars = fed(spark, sf_dir).drop("edge_bps").withColumn("run", F.lit("plain"))
     advice = normalised(spark, sf_dir).where("a IS NOT NULL").select("symbol", "trade_time", "a.*")
     return asof(bars, advice, "t", "trade_time", ["action", "confidence", "size", "horizon_bars", "stop_bps", "take_bps"]).drop("trade_time_asof")
 
@@ -106,14 +106,15 @@ def advised(spark, sf_dir):
 def ask_gate(spark, sf_dir):
     """Calls by reason and what came of them, where the model has a veto and in free mode."""
     rows = checkpointed(advised(spark, sf_dir))
-    modes = [B.followed(rows, B.Gate(veto=veto)).withColumn("mode", F.lit(mode)) for mode, veto in (("veto", True), ("free", False))]
+    modes = [B.followed(rows, B.Gate(veto=veto), CONFIGS["plain"]).withColumn("mode", F.lit(mode)) for mode, veto in (("veto", True), ("free", False))]
     return modes[0].unionByName(modes[1]).groupBy("mode", "symbol", "reason", "action").agg(F.count("*").alias("n"))
 
 
 @query()
 def run_compare(spark, sf_dir):
-    """The run that follows advice beside the model's own and buy-and-hold."""
-    agent = B.followed(advised(spark, sf_dir)).groupBy("symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("agent"), F.count("*").alias("calls"))
+    """The run that follows advice beside the model's own and buy-and-hold, each up to the last bar; a symbol without a call has 0 of them."""
+    followed = B.followed(advised(spark, sf_dir), rules=CONFIGS["plain"], ends=True)
+    agent = followed.groupBy("symbol").agg((F.max(F.when(F.col("reason") == "end", F.col("equity"))) / 10_000.0 - 1).alias("agent"), F.count_if(F.col("reason") != "end").alias("calls"))
     model = curves(spark, sf_dir).where("run = 'plain'").groupBy("symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("model"))
     hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
     return agent.join(model, "symbol").join(hold, "symbol").select("symbol", "calls", r("agent").alias("agent"), r("model").alias("model"), r("buy_hold").alias("buy_hold"))
@@ -122,7 +123,7 @@ def run_compare(spark, sf_dir):
 @query()
 def decision_log_sink(spark, sf_dir):
     folder = shared_folder(spark) + "/decisions"
-    decisions = B.followed(advised(spark, sf_dir))
+    decisions = B.followed(advised(spark, sf_dir), rules=CONFIGS["plain"])
     sinks.append_decisions(decisions, folder)
     return spark.read.schema(decisions.schema).json(folder)
 
@@ -131,7 +132,7 @@ def decision_log_sink(spark, sf_dir):
 def report_sinks(spark, sf_dir):
     """The equity report as written and read again."""
     folder = shared_folder(spark)
-    trades, equity = ledger(spark, sf_dir), curves(spark, sf_dir)
+    trades, equity = books(spark, sf_dir)
     sinks.write_report(trades, equity, E.run_summary(trades, equity, ["run", "symbol"], 10_000.0, YEAR_BARS), folder)
     return sinks.read_report(spark, folder)[1].select("run", "symbol", "time", "equity")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barflow.catalog import query
 from barflow.catalog.bars import X
 from barflow.catalog.common import FEATURES_SQL, HORIZONS, W, YEAR_BARS, back, pick, r, rounded
-from barflow.catalog.ledgers import _sql, runs
+from barflow.catalog.ledgers import CONFIGS, _sql, fed
 from barflow.catalog.market import _BOOK_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
 from barflow.operators.labels import ratio_split
@@ -84,8 +84,8 @@ def stream_snapshot(spark, sf_dir):
 @query(_sql("SELECT symbol, side, entry_time, exit_time, bars, reason, round(pnl, 4) + 0.0 AS pnl FROM ledger WHERE run = 'plain' AND reason <> 'end'"))
 def stream_ledger(spark, sf_dir):
     """The batch ledger's trades but for those that only its end closes."""
-    rows = runs(spark, sf_dir, ["plain"]).select("symbol", "t", "open", "high", "low", "close", "signal", "horizon", "edge_bps")
-    return pick(N.drained(P.stream_ledger(replayed(rows, "t"))), "symbol side entry_time exit_time bars reason", "pnl", 4)
+    rows = fed(spark, sf_dir).select("symbol", "t", "open", "high", "low", "close", "signal", "horizon", "edge_bps")
+    return pick(N.drained(P.stream_ledger(replayed(rows, "t"), CONFIGS["plain"])), "symbol side entry_time exit_time bars reason", "pnl", 4)
 
 
 @query(f"WITH {_MESSAGES} SELECT topic, sent // 86400000 AS day, count(*) AS messages, count(DISTINCT payload) AS payloads FROM messages GROUP BY ALL")

@@ -27,7 +27,10 @@ def _in_blocks(df: DataFrame, by: list[str], order: str, behind: int) -> Blocked
 def spearman(df: DataFrame, by: list[str]) -> DataFrame:
     """Rank correlation of pred and y with average ranks for ties."""
     rows = df.dropna(subset=DROP_NULLS)
-    ranked = rows.join(_ranked(rows, by, "pred"), [*by, "pred"]).join(_ranked(rows, by, "y"), [*by, "y"])
+    ranked = rows
+    for column in ("pred", "y"):  # a null key is a group like any other
+        ranks = _ranked(rows, by, column).select(*[F.col(c).alias(f"{c}_of_") for c in [*by, column]], f"rank_{column}")
+        ranked = ranked.join(ranks, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in [*by, column]]).drop(*[f"{c}_of_" for c in [*by, column]])
     return ranked.groupBy(*by).agg(F.corr("rank_pred", "rank_y").alias("ic"), F.count("*").alias("n"))
 
 

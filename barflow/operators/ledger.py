@@ -15,6 +15,8 @@ EQUITY_SCHEMA = "run string, symbol string, t long, equity double, in_market boo
 
 @dataclass(frozen=True)
 class Rules:
+    """How a run trades. ``most`` bounds what a position is worth at its entry, so that money that compounds grows with the number of trades at most."""
+
     cash: float = 10_000.0
     fee_bps: float = 5.0
     slippage_bps: float = 1.0
@@ -22,6 +24,7 @@ class Rules:
     stop_bps: float = 0.0
     take_bps: float = 0.0
     allow_short: bool = True
+    most: float = float("inf")
 
 
 @dataclass
@@ -90,8 +93,11 @@ class Book:
             return []
         done = self.leave(at, price, "reverse", after) if self.own is not None else []
         rules = self.rules
+        size = either(size, rules.size)
+        if size <= 0:  # an order of no size ends the other side's position and opens none
+            return done
         fill = price * (1 + side * rules.slippage_bps / 1e4)
-        self.own = Holding(side, at, fill, int(horizon), float(edge), either(size, rules.size), either(stop, rules.stop_bps), either(take, rules.take_bps), int(horizon), counts_from=at + after)
+        self.own = Holding(side, at, fill, int(horizon), float(edge), size, either(stop, rules.stop_bps), either(take, rules.take_bps), int(horizon), counts_from=at + after)
         return done
 
     def bar(self, at: int, open_: float, high: float, low: float, close: float) -> list[Holding]:
@@ -133,7 +139,7 @@ def money(h: Holding, cash: float, rules: Rules) -> dict | None:
     """Size, fees and profit of a position opened with ``cash``; None where there is nothing to open it with."""
     if cash <= 0 or h.size <= 0 or h.price <= 0:
         return None
-    qty = cash * h.size / h.price
+    qty = min(cash * h.size, rules.most) / h.price
     rate = rules.fee_bps / 1e4
     entry_fee, exit_fee = qty * h.price * rate, qty * h.exit_price * rate
     pnl = h.side * qty * (h.exit_price - h.price) - entry_fee - exit_fee
@@ -201,3 +207,28 @@ def equity(rows: DataFrame, configs: dict[str, Rules]) -> DataFrame:
         return out
 
     return prepared(rows).groupBy("run", "symbol").applyInPandas(run, EQUITY_SCHEMA)
+
+
+def both(rows: DataFrame, configs: dict[str, Rules]) -> DataFrame:
+    """Trades and equity of every set of rules over the same bars: (kind, then the columns of both), kind ``trade`` or ``bar``.
+
+    ``rows`` as for :func:`trades` without run. Bars are sent once, not once for each set of rules, and each run is folded once for both results.
+    """
+    names = list(dict.fromkeys(["kind", *[f.split()[0] for f in f"{TRADE_SCHEMA}, {EQUITY_SCHEMA}".split(", ")]]))
+    schema = ", ".join(dict.fromkeys(["kind string", *f"{TRADE_SCHEMA}, {EQUITY_SCHEMA}".split(", ")]))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, rules in configs.items():
+            made, curve = fold(rows, rules)
+            parts = [pd.DataFrame(made).assign(kind="trade", run=name), curve.assign(kind="bar", run=name)]
+            out += [p.reindex(columns=names).astype(object) for p in parts if len(p)]
+        return pd.concat(out, ignore_index=True).assign(symbol=rows["symbol"].iloc[0]).replace({np.nan: None})
+
+    return prepared(rows.withColumn("run", F.lit(""))).groupBy("symbol").applyInPandas(run, schema)
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades and equity out of :func:`both`."""
+    take = lambda kind, schema: rows.where(F.col("kind") == kind).select(*[f.split()[0] for f in schema.split(", ")])
+    return take("trade", TRADE_SCHEMA), take("bar", EQUITY_SCHEMA)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from barflow import catalog
 from barflow.functions import signals as S
 from barflow.operators import agent, ledger
+from barflow.operators import evaluation as E
 from barflow.operators import features as X
 from barflow.operators import labels as L
 from barflow.operators import micro as M
@@ -158,6 +160,40 @@ def test_live_orders_fill_at_their_price():
     assert trades[0]["entry_price"] == 105 and trades[0]["exit_price"] == 110 and curve["equity"].tolist()[0] == 1000
 
 
+def test_an_order_of_no_size_opens_nothing_and_blocks_nothing():
+    book = ledger.Book(FLAT)
+    book.signal(0, 10.0, "LONG", 5, 0.0, 0.0, None, None)
+    assert book.own is None
+    book.signal(1, 10.0, "LONG", 5, 0.0, 1.0, None, None)
+    assert book.own.side == 1
+    assert [h.reason for h in book.signal(2, 11.0, "SHORT", 5, 0.0, 0.0, None, None)] == ["reverse"] and book.own is None
+
+
+def test_no_position_is_worth_more_than_the_rules_allow(spark):
+    bars = [(10.0, 10, 10, 10), (10, 20, 10, 20)] * 30
+    rows = spark.createDataFrame([("S", i, *map(float, b), "LONG" if i % 2 == 0 else None, 1, 0.0) for i, b in enumerate(bars)], "symbol string, t long, open double, high double, low double, close double, signal string, horizon long, edge_bps double")
+    rules = ledger.Rules(cash=1000.0, fee_bps=0, slippage_bps=0, most=5000.0)
+    trades, curve = ledger.parted(ledger.both(rows, {"a": rules, "b": FLAT}))
+    found = {r.run: r for r in trades.groupBy("run").agg(F.max(F.col("qty") * F.col("entry_price")).alias("most"), F.sum("pnl").alias("pnl"), F.count("*").alias("n")).collect()}
+    assert found["a"].most == pytest.approx(5000) and found["a"].pnl == pytest.approx(1000 + 2000 + 4000 + 27 * 5000) and found["b"].pnl == pytest.approx(1000 * (2.0**30 - 1))
+    assert {r.run: r["count"] for r in curve.groupBy("run").count().collect()} == {"a": 60, "b": 60}
+    assert ledger.both(rows.limit(0), {"a": rules}).collect() == []
+
+
+def test_ledger_money_is_finite(spark):
+    from barflow.catalog import ledgers
+
+    trades, curve = ledgers.books(spark, "/root/testdata/sf0.1")
+    for df in (trades, curve):
+        wild = [F.isnan(c) | (F.abs(F.col(c)) > 1e13) for c, t in df.dtypes if t == "double"]
+        assert df.count() > 0 and df.where(reduce(lambda a, b: a | b, wild)).count() == 0
+
+
+def test_ranks_keep_a_group_without_name(spark):
+    rows = spark.createDataFrame([(g, float(i), float(i * i)) for g in ("a", None) for i in range(5)], "g string, pred double, y double")
+    assert {(r.g, round(r.ic, 9), r.n) for r in E.spearman(rows, ["g"]).collect()} == {("a", 1.0, 5), (None, 1.0, 5)}
+
+
 def test_stream_ledger_equals_batch(spark, sf_dir):
     batch = catalog.QUERIES["position_ledger"](spark, sf_dir).where("run = 'plain' AND reason <> 'end'")
     stream = catalog.QUERIES["stream_ledger"](spark, sf_dir)
@@ -209,6 +245,16 @@ def test_free_mode_scans_and_needs_no_model(spark):
     assert out["action"].tolist() == ["OPEN_SHORT"]
 
 
+def test_a_loss_closed_on_advice_starts_the_cool_down_and_the_end_closes_what_is_open():
+    rows = advice_rows(40, "OPEN_LONG", prices=[100.0 - 0.05 * i for i in range(40)])
+    rows["horizon_bars"] = 100
+    rows.loc[rows.index == 15, "action"] = "CLOSE"
+    out = agent.follow(rows, agent.Gate(entry_gap=1, review=15, cooldown=10, stops=(9000, 9000, 9000), max_horizon=10_000), FLAT, ends=True)
+    minutes = (out["t"] // 60_000).tolist()
+    assert out["action"].tolist()[minutes.index(15)] == "CLOSE" and not [m for m in minutes if 15 < m < 25]
+    assert out.iloc[-1]["reason"] == "end" and out.iloc[-1]["t"] == rows["t"].iloc[-1]
+
+
 def test_gate_on_spark(spark):
     rows = spark.createDataFrame(advice_rows(30, "OPEN_SHORT", signal="SHORT"))
     assert agent.followed(rows).where("action = 'OPEN_SHORT'").count() > 0
