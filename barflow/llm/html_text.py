@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that never hold text of an article, those that start a new line, and those without an end tag.
-SKIPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe object embed canvas audio video map select option textarea button input nav footer aside menu dialog datalist fieldset".split())
+SKIPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe object embed canvas audio video map select option textarea button input nav footer aside menu dialog datalist".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without a place in BLOCKS that end the line around them where they are left out; others are left out of the middle of it.
 APART = frozenset("nav footer aside menu dialog head title".split())
@@ -19,10 +19,12 @@ CONTENT = frozenset(("article", "main"))
 #: Parts of the site that a region without a container does not grow across.
 FENCES = frozenset("nav footer header menu".split())
 #: Whole words in class, id or role that name a part outside the article, and compounds that do.
-OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments comment-list respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
+OUTSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright sidebar aside comment comments comment-list respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split())
 COMPOUNDS = frozenset("ad-slot ad-unit ad-banner ad-box ad-container ad-wrapper ads-banner google-ad adsbygoogle sponsored-content sponsored-post cookie-banner cookie-bar cookie-consent cookie-notice cookie-law cookie-policy-banner consent-banner gdpr-banner gdpr-notice site-notice site-header site-footer site-nav site-navigation page-footer main-nav main-menu main-navigation nav-menu nav-bar nav-links top-nav side-nav primary-menu primary-nav menu-bar top-bar breadcrumb-nav breadcrumb-trail post-navigation page-navigation comment-body comment-form comment-respond comment-section comments-area comments-section user-comments disqus-thread share-bar share-box share-buttons share-links sharing-buttons social-icons social-links social-media social-share related-articles related-content related-links related-posts recommended-articles recommended-posts newsletter-form newsletter-signup subscribe-form login-form search-bar search-box search-form left-sidebar right-sidebar sidebar-widget widget-area modal-dialog popup-overlay skip-link".split())
-#: Words with a plain meaning too; dense prose overrules them, see :meth:`Lines.finish`.
+#: Words with a plain meaning too; the clusters, or dense prose, overrule them, see :func:`main_text`.
 DOUBTFUL = frozenset("banner header masthead notice notices notification alert share sharing social related recommended search skip promo promotion".split())
+#: Elements that a paragraph, or an item of a list, does not reach out of.
+AROUND_PARAGRAPHS = tuple("article main div section td li blockquote body aside nav footer header form".split())
 PROSE_CHARS, PROSE_RATIO = 200, 80
 #: Of the words, those that rule out an article or main element too, and those that name a part of it.
 OUTSIDE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser widget cookie consent newsletter".split())
@@ -66,6 +68,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, int, int, int]] = []  # tag, opens an outside part (1) or a named one (2), container, innermost named part
+        self.places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
+        self.apart, self.out = [0], [0]  # elements up to each place of the stack that make lines of their own, and that open outside or named parts
         self.parents = [0]  # of each container, the one around it; 0 is the page
         self.outside = self.fences = 0
         self.named: list[Named] = [Named(0, set())]  # 0 is the page
@@ -108,7 +112,10 @@ class Lines(HTMLParser):
         if out == 2:
             self.named.append(Named(named, words))
             named = len(self.named) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, out, home, named))
+        self.apart.append(self.apart[-1] + (tag in BLOCKS or tag in APART or out == 2))
+        self.out.append(self.out[-1] + (out > 0))
         self.outside += out == 1
         self.fences += out == 1 and tag in FENCES
         if parts:
@@ -135,7 +142,7 @@ class Lines(HTMLParser):
         found: set[str] = set()
         if tag in ("html", "body"):
             return found
-        inside = any(t in CONTENT for t, *_ in self.open)
+        inside = any(self.places.get(t) for t in CONTENT)
         if tag == "form":
             if inside:
                 return None
@@ -153,23 +160,29 @@ class Lines(HTMLParser):
         return found
 
     def _find(self, tag, stop=()):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                return at
-            if self.open[at][0] in stop:
-                return None
-        return None
+        """Where the innermost open element of a tag stands, None if there is none or one of ``stop`` is within it."""
+        at = self._last(tag)
+        return None if at < 0 or any(self._last(t) > at for t in stop) else at
 
-    def _pop(self, at) -> None:
-        self._break()
+    def _last(self, tag) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _drop(self, at) -> None:
+        """Take all elements from ``at`` on off the stack; each is looked at once."""
         for tag, out, *_ in self.open[at:]:
+            self.places[tag].pop()
             self.outside -= out == 1
             self.fences -= out == 1 and tag in FENCES
-        del self.open[at:]
+        del self.open[at:], self.apart[at + 1 :], self.out[at + 1 :]
+
+    def _pop(self, at) -> None:
+        self._break()
+        self._drop(at)
         self._place()
 
     def _close_paragraph(self) -> None:
-        at = self._find("p", ("article", "main", "div", "section", "td", "li", "blockquote", "body", "aside", "nav", "footer", "header", "form"))
+        at = self._find("p", AROUND_PARAGRAPHS)
         if at is not None:
             self._pop(at)
 
@@ -178,10 +191,9 @@ class Lines(HTMLParser):
         at = self._find(tag)
         if at is None:
             return
-        if not any(t in BLOCKS or t in APART or out == 2 for t, out, *_ in self.open[at:]):
-            self.outside -= sum(out == 1 for _, out, *_ in self.open[at:])
-            del self.open[at:]  # inline: the line goes on
-        elif tag in BLOCKS or any(out for _, out, *_ in self.open[at:]):
+        if self.apart[-1] == self.apart[at]:
+            self._drop(at)  # inline: the line goes on
+        elif tag in BLOCKS or self.out[-1] > self.out[at]:
             self._pop(at)
 
     def handle_data(self, data):
@@ -194,21 +206,44 @@ class Lines(HTMLParser):
             self.line.linked += n
 
     def finish(self) -> list[Line]:
-        """All lines. A part with doubtful names only is lifted where its lines are dense prose: PROSE_CHARS and more, PROSE_RATIO of them a tag."""
+        """All lines; those of parts with doubtful names only are not outside yet."""
         self.close()
         self._break()
-        plain, tags = [0] * len(self.named), [0] * len(self.named)
-        for x in self.lines:
-            plain[x.named] += x.chars - x.linked
-            tags[x.named] += x.tags if x.chars else 0
+        self._mark([part.doubtful for part in self.named])
+        return self.lines
+
+    def _mark(self, kept: list[bool]) -> None:
         outside = [False] * len(self.named)
         for at in range(1, len(self.named)):
             part = self.named[at]
-            prose = part.doubtful and plain[at] >= PROSE_CHARS and plain[at] >= PROSE_RATIO * max(1, tags[at])
-            outside[at] = outside[part.around] or not (part.lifted or prose)
+            outside[at] = outside[part.around] or not (part.lifted or kept[at])
         for x in self.lines:
             x.outside = x.outside or outside[x.named]
-        return self.lines
+
+    def judge(self, lines: list[Line], level: np.ndarray, content: np.ndarray) -> bool:
+        """Leave out the parts of doubtful name that the clusters do not take for content; whether there are any.
+
+        Such a part stays where most of its plain text stands in clusters and it has at least half as many characters a tag as the clusters' smoothed lines
+        have outside such parts. Dense prose stays in any case: PROSE_CHARS and more, PROSE_RATIO of them a tag.
+        """
+        size = len(self.named)
+        plain, tags, inside = [0] * size, [0] * size, [0] * size
+        doubted = [False] * size
+        for at in range(1, size):
+            part = self.named[at]
+            doubted[at] = doubted[part.around] or part.doubtful and not part.lifted
+        usual = [v for x, v, c in zip(lines, level, content) if c and not doubted[x.named]]
+        for x, c in zip(lines, content):
+            plain[x.named] += x.chars - x.linked
+            tags[x.named] += x.tags if x.chars else 0
+            inside[x.named] += x.chars - x.linked if c else 0
+        kept = [False] * size
+        for at in range(1, size):
+            if self.named[at].doubtful:
+                dense = usual and 2 * inside[at] > plain[at] and 2 * plain[at] >= sum(usual) / len(usual) * max(1, tags[at])
+                kept[at] = bool(dense) or plain[at] >= PROSE_CHARS and plain[at] >= PROSE_RATIO * max(1, tags[at])
+        self._mark(kept)
+        return any(part.doubtful and not part.lifted and not k for part, k in zip(self.named[1:], kept[1:]))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -230,12 +265,21 @@ def _grown(lines: list[Line], at: int, step: int) -> int:
     return end
 
 
+def _clusters(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """The smoothed text-to-tag ratio of each line, and whether it stands in a cluster."""
+    ratios = np.array([0.0 if x.outside else max(0, x.chars - x.linked) / max(1, x.tags) for x in lines])
+    level = smoothed(ratios)
+    content = (level >= max(level.std() / 2, 1e-9)) & (ratios > 0)
+    return level, content if content.any() else ratios > 0
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one newline; empty if there are none.
 
     Lines (blocks of text between block-level tags) get the ratio of their characters to their tags, not counting linked text and parts outside the
     article; the ratios are smoothed, and lines above half of their standard deviation are clusters of content. A short page whose lines all fall below
-    the threshold keeps its region too. The content region is the outermost article or main element that holds most of the characters in clusters,
+    the threshold keeps its region too. Parts whose name may mean content or not are judged by the clusters, see :meth:`Lines.judge`, wherever they stand, and
+    the clusters are then found again without what is left out. The content region is the outermost article or main element that holds most of the characters in clusters,
     whole with what is nested in it, and each other outermost one that holds clusters; where all its plain text stands in one nested element, that one.
     Where none holds most, it is every line from the first to the last cluster, grown over the lines around up to the site's navigation, header or footer
     or a run of links, with the page's h1 where a run of links parts it from its text. Forms are left out, but for one around the page: one that is not
@@ -248,11 +292,9 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.finish() if x.parts or x.outside]
     if not lines:
         return ""
-    ratios = np.array([0.0 if x.outside else max(0, x.chars - x.linked) / max(1, x.tags) for x in lines])
-    level = smoothed(ratios)
-    content = (level >= max(level.std() / 2, 1e-9)) & (ratios > 0)
-    if not content.any():
-        content = ratios > 0
+    level, content = _clusters(lines)
+    if parser.judge(lines, level, content):
+        level, content = _clusters(lines)
     parents = parser.parents
     clustered, plain = [0] * len(parents), [0] * len(parents)
     for x, c in zip(lines, content):

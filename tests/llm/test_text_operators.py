@@ -478,6 +478,36 @@ def test_clusters_decide_the_region(monkeypatch):
     assert any(html_text.main_text(html).split("\n") != (plain_region(blocks) or [""]) for blocks, html in pages)
 
 
+def test_clusters_judge_parts_within_the_articles_of_the_table(spark, sf_dir, monkeypatch):
+    box, section = "<div class='share'><p>Tell a friend</p><p>Like it</p></div>", "<section id='related'><h2>Related work</h2><p>" + LONG + "</p></section>"
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r.html and "</p>" in r.html]
+    assert len(pages) >= 50
+    whole = [html_text.main_text(h) for h in pages]
+    mixed = [h.replace("</article>", box + section + "</article>") for h in pages]
+    want = [w + "\nRelated work\n" + LONG for w in whole]
+    right = [html_text.main_text(h) == w for h, w in zip(mixed, want)]
+    assert all(right), right.count(False)
+    monkeypatch.setattr(html_text, "smoothed", lambda x: np.ones(len(x)))
+    assert all("Tell a friend" in html_text.main_text(h) for h in mixed)
+
+
+def test_parts_of_articles_that_stay_and_lines_beside_them_that_go():
+    assert html_text.main_text(f"<article><p>{LONG}</p><fieldset><legend>Box</legend><p>{LONG}</p></fieldset></article>") == f"{LONG}\nBox\n{LONG}"
+    assert html_text.main_text(f"<article><p>{LONG}</p><div class=search><p>{LONG[:150].strip()}</p></div></article>") == f"{LONG}\n{LONG[:150].strip()}"
+    assert html_text.main_text(f"<div><p>{LONG}</p></div><div class=copyright>All rights</div>") == LONG
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    n = 100_000
+    for html in ("<div>" * n + "<p>text", "<b>" * n + "</i>" * n + "text", "<b><div>" * (n // 2) + "</b>" * n + "text", "<form><section class=search>" * (n // 2) + "text", "<ul><li>" * (n // 2) + "text" + "</li></ul>" * (n // 2)):
+        began = time.process_time()
+        html_text.main_text(html)
+        assert time.process_time() - began < 4
+    assert html_text.main_text("<article><p>" + "word " * 400_000 + "</p></article>") == ("word " * 400_000).strip()
+
+
 def test_main_text_of_rows(spark, sf_dir):
     df = spark.createDataFrame([(1, None, "kept"), (2, PAGES["plain"][0], None)], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in html_text.with_main_text(df).orderBy("page_id").collect()] == [(1, ""), (2, PAGES["plain"][1])]
