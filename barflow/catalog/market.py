@@ -23,9 +23,12 @@ def trade_buckets_1s(spark, sf_dir):
 _FLOW = ("flow_short", "flow_long", "trade_rate", "vwap")
 
 
-@query(f"""WITH {_SEC}, w AS (SELECT symbol, sec, sum(buy) OVER a AS b1, sum(sell) OVER a AS s1, sum(n) OVER a AS n1, sum(buy) OVER b AS b5, sum(sell) OVER b AS s5, sum(notional) OVER b AS x5 FROM sec
+_FLOW_SQL = f"""WITH {_SEC}, w AS (SELECT symbol, sec, sum(buy) OVER a AS b1, sum(sell) OVER a AS s1, sum(n) OVER a AS n1, sum(buy) OVER b AS b5, sum(sell) OVER b AS s5, sum(notional) OVER b AS x5 FROM sec
   WINDOW a AS (PARTITION BY symbol ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY sec RANGE BETWEEN 17999 PRECEDING AND CURRENT ROW))
-SELECT symbol, sec, round((b1 - s1) / (b1 + s1), 6) + 0.0 AS flow_short, round((b5 - s5) / (b5 + s5), 6) + 0.0 AS flow_long, round(n1 / 3600.0, 6) + 0.0 AS trade_rate, round(x5 / (b5 + s5) + 1e-9, 6) AS vwap FROM w""")
+SELECT symbol, sec, round((b1 - s1) / (b1 + s1), 6) + 0.0 AS flow_short, round((b5 - s5) / (b5 + s5), 6) + 0.0 AS flow_long, round(n1 / 3600.0, 6) + 0.0 AS trade_rate, round(x5 / (b5 + s5) + 1e-9, 6) AS vwap FROM w"""
+
+
+@query(_FLOW_SQL)
 def flow_imbalance(spark, sf_dir):
     """Trades are minutes apart here, so the spans are an hour and five hours. vwap is moved off the ties of rounding, which the order of a sum decides."""
     rows = M.flow(M.second_buckets(A.trades(spark, sf_dir)), 3600, 18_000)

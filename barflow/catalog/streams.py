@@ -8,7 +8,7 @@ from barflow.catalog import query
 from barflow.catalog.bars import X
 from barflow.catalog.common import FEATURES_SQL, HORIZONS, W, YEAR_BARS, back, pick, r, rounded
 from barflow.catalog.ledgers import CONFIGS, _sql, fed
-from barflow.catalog.market import _BOOK_SQL, _REGIME
+from barflow.catalog.market import _BOOK_SQL, _FLOW_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
 from barflow.operators.labels import ratio_split
 from barflow.operators.learning import fit_window_model, lag_spans
@@ -18,6 +18,7 @@ from barflow.sources import adapters as A
 from barflow.streaming import runner as N
 from barflow.streaming import scoring as C
 from barflow.streaming import stateful as P
+from barflow.streaming import typed as T
 
 PARTS = 6
 
@@ -29,7 +30,7 @@ def replayed(df, order, parts=PARTS):
 @query(f"WITH RECURSIVE {FEATURES_SQL} SELECT symbol, open_time, valid, " + ", ".join(f"round(CASE WHEN valid THEN {c} END, 6) + 0.0 AS {c}" for c in X.FEATURES) + " FROM features")
 def stream_features(spark, sf_dir):
     """Must equal the batch features."""
-    out = N.drained(P.stream_features(replayed(A.bars(spark, sf_dir), "open_time"), A.MINUTE))
+    out = N.drained(T.stream_features(replayed(A.bars(spark, sf_dir), "open_time"), A.MINUTE))
     return pick(out, "symbol open_time valid", X.FEATURES)
 
 
@@ -37,35 +38,37 @@ def stream_features(spark, sf_dir):
 def stream_dedupe_gap(spark, sf_dir):
     """Every bar is sent twice in a micro-batch; repeats are dropped and gaps counted."""
     bars = A.bars(spark, sf_dir)
-    out = N.drained(P.stream_features(replayed(bars.unionByName(bars), "open_time"), A.MINUTE))
+    out = N.drained(T.stream_features(replayed(bars.unionByName(bars), "open_time"), A.MINUTE))
     return out.groupBy("symbol").agg(F.count("*").alias("bars"), F.max("gaps").alias("gaps"))
 
 
 @query(f"WITH RECURSIVE {FEATURES_SQL}, m AS (SELECT symbol, max(open_time) - {48 * A.HOUR} AS since FROM features GROUP BY symbol) SELECT symbol, open_time, round(rsi_14, 6) + 0.0 AS rsi_14 FROM features JOIN m USING (symbol) WHERE valid AND open_time > since")
 def stream_warm_start(spark, sf_dir):
-    """History is replayed to warm the state; only the last two days are emitted, with the features of a stream that never stopped."""
+    """Only the last two days are streamed: the state begins from the batch of bars before them, and the features are those of a stream that never stopped."""
     bars = A.bars(spark, sf_dir)
     since = bars.groupBy("symbol").agg((F.max("open_time") - 48 * A.HOUR).alias("since"))
-    out = N.drained(P.stream_features(replayed(bars, "open_time"), A.MINUTE))
-    return pick(out.join(since, "symbol").where("valid AND open_time > since"), "symbol open_time", "rsi_14")
+    timed = checkpointed(bars.join(since, "symbol"))
+    history, fresh = timed.where("open_time <= since").drop("since"), timed.where("open_time > since").drop("since")
+    out = N.drained(T.stream_features(replayed(fresh, "open_time"), A.MINUTE, checkpointed(history)))
+    return pick(out.where("valid"), "symbol open_time", "rsi_14")
 
 
 @query(f"WITH RECURSIVE {_BOOK_SQL}, k AS (SELECT symbol, update_id, obi, row_number() OVER (PARTITION BY symbol ORDER BY update_id) - 1 AS rn FROM m), s AS (SELECT symbol, update_id, rn, 0.05::DOUBLE * obi AS e, obi FROM k WHERE rn = 0 UNION ALL SELECT k.symbol, k.update_id, k.rn, s.e + 0.05::DOUBLE * (k.obi - s.e), k.obi FROM s JOIN k ON k.symbol = s.symbol AND k.rn = s.rn + 1) SELECT symbol, update_id, round(obi, 6) + 0.0 AS obi, round(e, 6) + 0.0 AS obi_ewma FROM s")
 def stream_obi(spark, sf_dir):
-    return pick(N.drained(P.stream_obi(replayed(A.books(spark, sf_dir), "update_id"))), "symbol update_id", "obi obi_ewma")
+    return pick(N.drained(T.stream_obi(replayed(A.books(spark, sf_dir), "update_id"))), "symbol update_id", "obi obi_ewma")
 
 
 @query(f"WITH {_REGIME} SELECT symbol, open_time, round(rv, 6) + 0.0 AS rv, CASE WHEN share > 0.8 THEN 'HIGH' WHEN share < 0.2 THEN 'LOW' ELSE 'NORMAL' END AS vol_regime, round(efficiency, 6) + 0.0 AS efficiency, CASE WHEN efficiency > 0.3 THEN CASE WHEN net > 0 THEN 'TREND_UP' ELSE 'TREND_DOWN' END ELSE 'RANGE' END AS trend_regime FROM regimes")
 def stream_regimes(spark, sf_dir):
-    out = N.drained(P.stream_regimes(replayed(A.bars(spark, sf_dir), "open_time"), YEAR_BARS))
+    out = N.drained(T.stream_regimes(replayed(A.bars(spark, sf_dir), "open_time"), YEAR_BARS))
     return out.select("symbol", "open_time", r("rv").alias("rv"), "vol_regime", r("efficiency").alias("efficiency"), "trend_regime")
 
 
-@query(f"""WITH {A.SQL_TRADES}, e AS (SELECT max(trade_time) - 300000 AS until FROM trades), w AS (SELECT symbol, trade_time - trade_time % 3600000 AS start_ms, sum(CASE WHEN NOT is_buyer_maker THEN qty ELSE 0 END) AS buy, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0 END) AS sell, count(*) AS n FROM trades GROUP BY ALL)
-SELECT symbol, start_ms, buy, sell, n FROM w, e WHERE start_ms + 3600000 <= until""")
+@query(_FLOW_SQL.replace("FROM w", f"FROM w WHERE (sec + 1) * 1000 <= (SELECT max(trade_time) - 300000 FROM trades)"))
 def stream_trade_windows(spark, sf_dir):
-    """Hourly windows under a five-minute watermark; windows that the watermark has not passed are not emitted."""
-    return N.drained(P.stream_trade_windows(replayed(A.trades(spark, sf_dir), "trade_time"), "1 hour", "300 seconds")).select("symbol", "start_ms", "buy", "sell", "n")
+    """Sums by second, then over an hour and five hours, under a five-minute watermark: the batch's order flow, but for seconds that the watermark has not passed."""
+    rows = N.drained(T.stream_flow(replayed(A.trades(spark, sf_dir), "trade_time"), 3600, 18_000))
+    return pick(rows.withColumn("vwap", F.col("vwap") + 1e-9), "symbol sec", "flow_short flow_long trade_rate vwap")
 
 
 def tagged(spark, sf_dir):
@@ -78,7 +81,7 @@ def tagged(spark, sf_dir):
 
 @query()
 def stream_snapshot(spark, sf_dir):
-    return N.drained(P.stream_snapshots(replayed(tagged(spark, sf_dir), "sent"), 2 * A.HOUR, 3600, 18_000))
+    return N.drained(T.stream_snapshots(replayed(tagged(spark, sf_dir), "sent"), 2 * A.HOUR, 3600, 18_000))
 
 
 @query(_sql("SELECT symbol, side, entry_time, exit_time, bars, reason, round(pnl, 4) + 0.0 AS pnl FROM ledger WHERE run = 'plain' AND reason <> 'end'"))

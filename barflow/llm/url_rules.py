@@ -14,6 +14,10 @@ BLOCKED = "label=block"
 BROADCAST_RULES = 20_000
 
 
+#: Rows that stand for one list of tokens in one task at most.
+RUN = 100_000
+
+
 def host_of(url: str = "url") -> F.Column:
     """What stands after the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; empty where the URL is null or has no '://'."""
     return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), UPPER, LOWER)
@@ -62,6 +66,13 @@ def tokens_of(url: str = "url", host: str = "host", path: str = "path") -> F.Col
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])))
 
 
+def _repeated(lists: DataFrame) -> DataFrame:
+    """Each list of ``lists`` (items, times) as that many rows: in runs of RUN rows at most, which are dealt out before they are made, so that a list which most URLs have is many tasks' work."""
+    runs = lists.where("times > 0").select("items", "times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long"))).alias("from"))
+    dealt = runs.select("items", "from", F.least(F.lit(RUN).cast("long"), F.col("times") - F.col("from")).cast("int").alias("size")).repartition("items", "from")
+    return dealt.select("items", F.explode(F.array_repeat(F.lit(0), F.col("size"))).alias("one")).select("items")
+
+
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (rule_id, items, confidence, support) whose tokens together speak for blocking.
 
@@ -90,8 +101,8 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     heads = open_.where("item = token").select("item")
     met = lists.select("list", "n", "hits", F.explode("tokens").alias("item")).join(heads, "item").groupBy("list", "n", "hits").agg(F.collect_list("item").alias("items"))
     longer = met.where(F.size("items") > 1)
-    told = longer.select(F.col("items").alias("i"), F.explode(F.array_repeat(F.lit(0), (F.col("n") - F.col("hits")).cast("int")))).select(F.col("i").alias("items"))
-    hits = longer.select(F.col("items").alias("i"), F.explode(F.array_repeat(F.lit(0), F.col("hits").cast("int")))).select(F.concat("i", F.array(F.lit(BLOCKED))).alias("items"))
+    told = _repeated(longer.select("items", (F.col("n") - F.col("hits")).alias("times")))
+    hits = _repeated(longer.select(F.concat("items", F.array(F.lit(BLOCKED))).alias("items"), F.col("hits").alias("times")))
     baskets = cut_lineage(told.unionByName(hits))
     number = baskets.count()
     rules = single

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.plans.blocks import Blocked, Recurrence, blocked, memory, numbered, recurrences
@@ -92,6 +92,15 @@ def with_oscillators(b: Blocked) -> DataFrame:
     }).drop(*[f"{a.name}_" for a in AVERAGES])
 
 
+def with_last_averages(rows: DataFrame) -> DataFrame:
+    """The last of each symbol's numbered rows with means, its averages in the order of AVERAGES: only the rows that these remember are looked at."""
+    ends = rows.groupBy(F.col("symbol").alias("of_")).agg(F.max("rn").alias("end_"))
+    near = rows.join(ends, (F.col("symbol") == F.col("of_")) & (F.col("rn") >= F.col("end_") - HALO - 1)).withColumn("home_", F.lit(0)).withColumn("block_", F.lit(0))
+    w = Window.partitionBy("symbol", "block_").orderBy("open_time")
+    made = with_averages(Blocked(near.withColumn("prev_close", F.lag("close", 1).over(w)), w)).rows
+    return made.where("rn = end_").withColumn("means", F.array(*[f"{a.name}_" for a in AVERAGES])).drop("of_", "end_", "home_", "block_", "prev_close", *[f"{a.name}_" for a in AVERAGES])
+
+
 def features_14(bars: DataFrame) -> DataFrame:
     """All fourteen features with rn and valid, which is true from the 64th bar of a symbol on; the columns of ``bars`` stay.
 

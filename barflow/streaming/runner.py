@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.plans.lineage import shared_root
+from barflow.streaming.state import typed_state
 
 #: Rows of a staged file, and files of a micro-batch: more rows make more micro-batches, not larger ones.
 ROWS_PER_FILE, FILES_PER_TRIGGER = 1_000_000, 1
@@ -74,7 +75,8 @@ def drained(stream: DataFrame, mode: str = "append", partition_by: list[str] | N
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.start().awaitTermination()
+    with typed_state(spark):
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import asdict
 
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from barflow.operators.features import AVERAGES, FEATURES, WARMUP
 from barflow.operators.ledger import Book, Holding, Rules, money
-from barflow.operators.micro import regimes_of
 from barflow.plans.rolling import deviation, exact_deviation, log_ratio, over, quotient
 from barflow.plans.rolling import mean as mean_of
 
@@ -42,14 +40,14 @@ def keyed(stream: DataFrame, key: str, order: list[str], fold: Callable[[dict |
 # --- bars ---------------------------------------------------------------------------------------
 
 
-def _fresh(rows: pd.DataFrame, time: str, last: int | None) -> np.ndarray:
+def fresh_rows(rows: pd.DataFrame, time: str, last: int | None) -> np.ndarray:
     """Which of the sorted rows are newer than ``last`` and than every row before them."""
     at = rows[time].to_numpy(np.int64)
     newest = np.maximum.accumulate(np.r_[-(2**62) if last is None else last, at])[:-1]
     return at > newest
 
 
-def _averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
+def averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
     """The exponential averages after each row, from the list that batches use; ``state`` (n, close, means) is brought up to date."""
     means, out = state["means"], {a.name: np.empty(len(rows)) for a in AVERAGES}
     for i, (high, low, close) in enumerate(zip(rows["high"], rows["low"], rows["close"])):
@@ -62,7 +60,7 @@ def _averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> np.ndarray:
+def look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> np.ndarray:
     """The features of ``rows``, whose WARMUP - 1 rows before are ``kept``; one line for each row."""
     close, volume, trades = np.array([*map(tuple, kept), *zip(rows["close"], rows["volume"], rows["trades"])], float).T
     own = slice(len(kept), None)
@@ -81,122 +79,15 @@ def _look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> n
     return np.stack([values[c] for c in FEATURES], axis=1)
 
 
-def _plain(values: np.ndarray) -> list[float | None]:
+def plain(values: np.ndarray) -> list[float | None]:
     return [None if x != x else float(x) for x in values]
 
 
-def stream_features(bars: DataFrame, interval: int) -> DataFrame:
-    """The fourteen features of each closed bar as it comes, equal to the batch result; a bar no later than the last one is dropped, gaps are counted, not repaired."""
-
-    def fold(s, rows):
-        s = s or {"n": 0, "close": None, "means": {}, "kept": [], "last": None, "gaps": 0, "late": 0}
-        fresh = _fresh(rows, "open_time", s["last"])
-        late = s["late"] + np.cumsum(~fresh)[fresh]
-        s["late"] += int((~fresh).sum())
-        rows = rows[fresh]
-        if not len(rows):
-            return s, []
-        at = rows["open_time"].to_numpy(np.int64)
-        gaps = s["gaps"] + np.cumsum(np.diff(at, prepend=at[0] - interval if s["last"] is None else s["last"]) != interval)
-        valid = s["n"] + np.arange(1, len(rows) + 1) >= WARMUP
-        values = _look_back(s["kept"], rows, _averaged(s, rows))
-        s["kept"] = [*s["kept"], *zip(rows["close"].astype(float), rows["volume"].astype(float), rows["trades"].astype(float))][-(WARMUP - 1) :]
-        s["last"], s["gaps"] = int(at[-1]), int(gaps[-1])
-        out = [(int(t), bool(v), int(g), int(d), *(_plain(x) if v else [None] * len(FEATURES))) for t, v, g, d, x in zip(at, valid, gaps, late, values)]
-        return s, out
-
-    schema = "symbol string, open_time long, valid boolean, gaps long, late long, " + ", ".join(f"{c} double" for c in FEATURES)
-    return keyed(bars, "symbol", ["open_time"], fold, schema)
-
-
-def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30, history: int = 1440, enough: int = 100) -> DataFrame:
-    """Volatility and trend regimes, updated on bar close only. The state is the closes that the next bar looks back on; a micro-batch is worked on as a whole."""
-
-    def fold(s, rows):
-        s = s or {"closes": [], "last": None}
-        rows = rows[_fresh(rows, "open_time", s["last"])]
-        if not len(rows):
-            return s, []
-        closes = np.array([*s["closes"], *rows["close"]], float)
-        rv, volatility, efficiency, trend = (x[len(s["closes"]) :] for x in regimes_of(closes, bars_per_year, vol, path, history, enough))
-        s = {"closes": closes[-(history + vol) :].tolist(), "last": int(rows["open_time"].iloc[-1])}
-        return s, zip(rows["open_time"].tolist(), _plain(rv), volatility.tolist(), _plain(efficiency), trend.tolist())
-
-    return keyed(bars, "symbol", ["open_time"], fold, "symbol string, open_time long, rv double, vol_regime string, efficiency double, trend_regime string")
-
-
-# --- quotes, trades and snapshots ---------------------------------------------------------------
-
-
-def stream_obi(books: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Imbalance and its exponential average after each update, in update order; updates no newer than the last are dropped."""
-
-    def fold(s, rows):
-        s = s or {"ewma": 0.0, "last": -(2**62)}
-        out = []
-        for b in rows.itertuples(index=False):
-            if b.update_id <= s["last"]:
-                continue
-            total = b.bid_qty + b.ask_qty
-            obi = (b.bid_qty - b.ask_qty) / total if total > 0 else 0.0
-            s = {"ewma": s["ewma"] + alpha * (obi - s["ewma"]), "last": int(b.update_id)}
-            out.append((s["last"], obi, s["ewma"]))
-        return s, out
-
-    return keyed(books, "symbol", ["update_id"], fold, "symbol string, update_id long, obi double, obi_ewma double")
-
-
-def stream_snapshots(tagged: DataFrame, every_ms: int, short_s: int, long_s: int) -> DataFrame:
-    """One row per symbol at most every ``every_ms`` of event time, plus one at each bar's close; none before the first quote.
-
-    ``tagged``: symbol, sent, kind (book, trade, bar), bid, ask, bid_qty, ask_qty, price, qty, is_buyer_maker. Trades count while their second is within the long span.
-    """
-
-    def fold(s, rows):
-        s = s or {"book": None, "trades": [], "due": -(2**62)}
-        s["trades"] = deque(s["trades"])
-        out = []
-        for m in rows.itertuples(index=False):
-            now = int(m.sent)
-            if m.kind == "book":
-                s["book"] = [float(m.bid), float(m.ask), float(m.bid_qty), float(m.ask_qty)]
-            elif m.kind == "trade":
-                s["trades"].append([now // 1000, float(m.price), float(m.qty), bool(m.is_buyer_maker)])
-            sec = now // 1000
-            while s["trades"] and s["trades"][0][0] <= sec - long_s:
-                s["trades"].popleft()
-            if s["book"] is None or now < s["due"] and m.kind != "bar":
-                continue
-            s["due"] = now + every_ms
-            bid, ask, bq, aq = s["book"]
-            near = [t for t in s["trades"] if t[0] > sec - short_s]
-            sold = sum(t[2] for t in near if t[3])
-            all_ = sum(t[2] for t in near)
-            volume, notional = sum(t[2] for t in s["trades"]), sum(t[1] * t[2] for t in s["trades"])
-            mid = (bid + ask) / 2
-            out.append((now, m.kind, mid, (bq - aq) / (bq + aq) if bq + aq > 0 else 0.0, (all_ - 2 * sold) / all_ if all_ > 0 else 0.0, len(near) / short_s, notional / volume if volume > 0 else mid))
-        s["trades"] = list(s["trades"])
-        return s, out
-
-    return keyed(tagged, "symbol", ["sent", "kind"], fold, "symbol string, sent long, kind string, mid double, obi double, flow double, trade_rate double, vwap double")
-
-
-def stream_trade_windows(trades: DataFrame, window: str, late: str) -> DataFrame:
-    """Bought, sold and traded amounts of event-time windows; trades later than ``late`` behind the newest are dropped."""
-    maker = F.col("is_buyer_maker")
-    timed = trades.withColumn("at_", F.timestamp_millis("trade_time")).withWatermark("at_", late)
-    grouped = timed.groupBy("symbol", F.window("at_", window).alias("w_")).agg(
-        F.sum(F.when(~maker, F.col("qty")).otherwise(0.0)).alias("buy"), F.sum(F.when(maker, F.col("qty")).otherwise(0.0)).alias("sell"),
-        F.count("*").alias("n"), F.sum(F.col("price") * F.col("qty")).alias("notional"),
-    )
-    return grouped.select("symbol", F.unix_millis("w_.start").alias("start_ms"), "buy", "sell", "n", "notional")
-
-
 # --- scoring and ledgers ------------------------------------------------------------------------
 
 
 def stream_ledger(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Closed trades as they close, from bars and the signals beside them (null for none): the batch ledger's book, remembered between micro-batches."""
+    """Closed trades as they close, from bars and the signals beside them (null for none), which fill at once where they have a price: the batch ledger's book, remembered between micro-batches."""
 
     def fold(s, rows):
         s = s or {"n": 0, "cash": rules.cash, "own": None, "waiting": None, "times": {}, "last": -(2**62)}
@@ -209,7 +100,7 @@ def stream_ledger(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
             s["times"][str(at)] = int(row.t)
             done = book.bar(at, float(row.open), float(row.high), float(row.low), float(row.close))
             if isinstance(row.signal, str):
-                done += book.signal(at, None, row.signal, int(row.horizon), float(row.edge_bps), None, None, None)
+                done += book.signal(at, getattr(row, "price", None), row.signal, int(row.horizon), float(row.edge_bps), None, None, None)
             for h in done:
                 m = money(h, s["cash"], rules)
                 if m:

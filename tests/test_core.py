@@ -382,10 +382,10 @@ def test_staged_files_replay_in_order(spark):
 def test_snapshots_are_those_of_a_plain_scan(spark):
     from barflow.catalog.streams import tagged
     from barflow.streaming import runner as N
-    from barflow.streaming import stateful as P
+    from barflow.streaming import typed as T
 
     rows = tagged(spark, "/root/testdata/sf0.001").where("symbol = 'view'")
-    got = sorted((r.sent, r.kind, round(r.obi, 9), round(r.flow, 9), round(r.vwap, 6)) for r in N.drained(P.stream_snapshots(N.source(spark, N.staged(rows, "sent", 3), rows.schema, 1), 3_600_000, 3600, 18_000)).collect())
+    got = sorted((r.sent, r.kind, round(r.obi, 9), round(r.flow, 9), round(r.vwap, 6)) for r in N.drained(T.stream_snapshots(N.source(spark, N.staged(rows, "sent", 3), rows.schema, 1), 3_600_000, 3600, 18_000)).collect())
     held, due, expected, book = [], -1, [], None
     for m in sorted(rows.collect(), key=lambda m: (m.sent, m.kind)):
         book = m if m.kind == "book" else book
