@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barflow.llm.cluster import table_folder
 
 #: Tokens of a block, but for a longer document, which is one block; grams of one range of a table.
-BLOCK_TOKENS, RANGE_GRAMS = 1 << 21, 1 << 20
+BLOCK_TOKENS, RANGE_GRAMS = 1 << 20, 1 << 20
 #: Counts up to this are discounted, larger ones are taken as they are.
 DISCOUNTED = 5
 #: No word holds a blank, so these stand for nothing else.
