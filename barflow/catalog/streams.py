@@ -121,8 +121,9 @@ def stream_source(spark, sf_dir):
 def conflate_latest(spark, sf_dir):
     """The serving table that a slow reader sees: the newest quote of each symbol."""
     folder = N.shared_folder(spark)
-    N.serve_latest(replayed(A.books(spark, sf_dir).select("symbol", "update_id", "bid"), "update_id"), "symbol", "update_id", f"{folder}/table", f"{folder}/state")
-    return N.latest_version(spark, f"{folder}/table").select("symbol", "update_id", "bid")
+    quotes = A.books(spark, sf_dir).select("symbol", "update_id", "bid")
+    N.serve_latest(replayed(quotes, "update_id"), "symbol", "update_id", f"{folder}/table", f"{folder}/state")
+    return N.latest_version(spark, f"{folder}/table", quotes.schema)
 
 
 LOOKBACK = 128

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.plans.lineage import checkpointed
 from barflow.plans.once import let, with_once
+from barflow.sources.adapters import DAY
 
 BODY = "map<string,string>"
 
@@ -77,17 +79,30 @@ def trim(df: DataFrame, key: str, order: list[str], limits: dict[str, int], usua
     return df.withColumn("k_", F.row_number().over(w)).where((F.col("k_") <= limit) & (F.col("k_") <= max([usual, *limits.values()]))).drop("k_")
 
 
-def upsert(path: str, new: DataFrame, partition: str = "symbol", key: tuple[str, ...] = ("symbol", "open_time")) -> None:
-    """Add the rows of ``new`` that the Parquet table at ``path`` lacks: only new rows are written, as files of their partition."""
+def upsert(path: str, new: DataFrame, partition: str = "symbol", key: tuple[str, ...] = ("symbol", "open_time"), time: str = "open_time", span: int = DAY) -> None:
+    """Add the rows of ``new`` that the Parquet table at ``path`` lacks: only new rows are written, as files of their partition and span of time.
+
+    Of what is stored only the spans that ``new`` touches are read; their numbers, as many as spans, come to the driver and prune the scan.
+    """
     spark = new.sparkSession
+    rows = checkpointed(new.dropDuplicates(list(key)).withColumn("span_", F.floor(F.col(time) / span)))
     try:
-        known = spark.read.parquet(path).select(*key)
+        known = spark.read.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        new.dropDuplicates(list(key)).write.partitionBy(partition).parquet(path)
+        rows.write.partitionBy(partition, "span_").parquet(path)
         return
-    new.dropDuplicates(list(key)).join(known, list(key), "left_anti").write.mode("append").partitionBy(partition).parquet(path)
+    known = known.where(touched(rows)).select(*key)
+    rows.join(known, list(key), "left_anti").write.mode("append").partitionBy(partition, "span_").parquet(path)
+
+
+def touched(rows: DataFrame, most: int = 1000) -> F.Column:
+    """Whether a stored row's span is among those of ``rows``; beyond ``most`` spans, whether it lies between the first and the last."""
+    found = [r["span_"] for r in rows.select("span_").distinct().orderBy("span_").limit(most + 1).collect()]
+    if len(found) <= most:
+        return F.col("span_").isin(found)
+    return F.col("span_").between(*rows.agg(F.min("span_"), F.max("span_")).first())
 
 
 def fixed_point_profile(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:

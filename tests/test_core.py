@@ -1,5 +1,6 @@
 """Shared plans, hand-computed ledgers, causality and leakage, batch and stream parity."""
 
+import json
 import math
 import random
 from functools import reduce
@@ -379,6 +380,73 @@ def test_staged_files_replay_in_order(spark):
     assert N.drained(N.source(spark, N.staged(rows.limit(0), "k", 3), rows.schema, 1)).count() == 0
 
 
+def test_replay_follows_the_manifest_whatever_the_files_are_dated(spark):
+    from barflow.streaming import runner as N
+
+    rows = spark.range(120).withColumnRenamed("id", "k")
+    path = N.staged(rows, "k", 6)
+    for round_ in range(1, 12):  # more stagings than the log keeps apart
+        N.staged(rows.withColumn("k", F.col("k") + 120 * round_), "k", 2, path)
+    system, files = N._files(spark, path)
+    for i, x in enumerate(random.Random(4).sample(list(files), len(files))):
+        system.setTimes(x.getPath(), 1_000_000_000 + 1000 * i, -1)
+    seen = []
+    stream = N.source(spark, path, rows.schema, 1)
+    stream.writeStream.foreachBatch(lambda df, i: seen.append([r.k for r in df.collect()])).trigger(availableNow=True).option("checkpointLocation", N.shared_folder(spark)).start().awaitTermination()
+    assert len(seen) == 6 + 22 and all(max(a) < min(b) for a, b in zip(seen, seen[1:])) and sum(map(len, seen)) == 120 * 12
+
+
+def test_serving_table_writes_only_the_buckets_of_changed_keys(spark):
+    from barflow.streaming import runner as N
+
+    rows = [(k, i, float(i)) for i in range(0, 300) for k in ([i] if i < 200 else [7])] + [(7, 5, -1.0)]
+    df = spark.createDataFrame(rows, "k int, at long, x double")
+    folder = N.shared_folder(spark)
+    N.serve_latest(N.source(spark, N.staged(df, "at", 6), df.schema, 1), "k", "at", f"{folder}/table", f"{folder}/state", buckets=32)
+    want = {k: max((at, x) for k2, at, x in rows if k2 == k) for k in range(200)}
+    assert {r.k: (r["at"], r.x) for r in N.latest_version(spark, f"{folder}/table", df.schema).collect()} == want
+    numbers = N._numbers(spark, f"{folder}/table/manifest")
+    last = json.loads(N._text(spark, f"{folder}/table/manifest/{numbers[-1]}.json"))["buckets"]
+    assert len(numbers) == N.KEPT_VERSIONS and numbers[-1] == 5 and [n for n in last.values()].count(5) == 1 and len(last) > 20
+
+
+def test_warm_start_is_a_stream_that_never_stopped(spark):
+    from barflow.streaming import runner as N
+    from barflow.streaming import typed as T
+
+    rows = spark.createDataFrame([*walk(900, "A", 1, skip=(40, 700)), *walk(300, "B", 2)], BAR)
+    run = lambda df, history=None: {(r.symbol, r.open_time): r for r in N.drained(T.stream_features(N.source(spark, N.staged(df, "open_time", 3), df.schema, 1), 60_000, history)).collect()}
+    cut = 60_000 * 800
+    whole = run(rows)
+    warm = run(rows.where(F.col("open_time") >= cut), rows.where(F.col("open_time") < cut))
+    assert len(warm) == 100 and all(s == "A" for s, _ in warm)
+    for key, r in warm.items():
+        assert (r.valid, r.gaps) == (whole[key].valid, whole[key].gaps) and all(getattr(r, c) == pytest.approx(getattr(whole[key], c), abs=1e-9) for c in X.FEATURES)
+
+
+def test_forecasts_with_a_price_fill_at_once_in_batch_and_stream(spark):
+    from barflow.streaming import runner as N
+    from barflow.streaming import stateful as P
+
+    rng = random.Random(3)
+    rows = [("S", i, *[100.0 + rng.random()] * 4, rng.choice(["LONG", "SHORT", None]), rng.randrange(1, 5), 1.0, 100.5 if i % 2 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, t long, open double, high double, low double, close double, signal string, horizon long, edge_bps double, price double")
+    key = lambda df: sorted((r.side, r.entry_time, r.exit_time, round(r.pnl, 6), r.reason) for r in df.collect())
+    batch = ledger.trades(df.withColumn("run", F.lit("a")), {"a": FLAT}).where("reason <> 'end'")
+    assert key(batch) == key(N.drained(P.stream_ledger(N.source(spark, N.staged(df, "t", 4), df.schema, 1), FLAT))) and batch.where("entry_price = 100.5").count() > 5
+
+
+def test_upsert_reads_only_the_spans_that_new_rows_touch(spark, tmp_path):
+    path, day = str(tmp_path / "table"), 86_400_000
+    made = lambda days: spark.createDataFrame([("S", d * day + i, float(i)) for d in days for i in range(5)], "symbol string, open_time long, x double")
+    R.upsert(path, made(range(10)))
+    R.upsert(path, made([8, 9, 10]))
+    stored = spark.read.parquet(path)
+    assert stored.count() == 55 and stored.select("symbol", "open_time").distinct().count() == 55
+    plan = stored.where(R.touched(made([9, 10]).withColumn("span_", F.floor(F.col("open_time") / day))))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [span_#" in plan and "IN (9,10)" in plan
+
+
 def test_snapshots_are_those_of_a_plain_scan(spark):
     from barflow.catalog.streams import tagged
     from barflow.streaming import runner as N
