@@ -199,11 +199,9 @@ _CONFIG_SQL = f"""WITH {_LONG_SQL}, o AS (SELECT unnest([false, true]) AS long_o
 def _configs(spark, sf_dir):
     scored = forecasts_long(spark, sf_dir).dropna(subset=["pred", "y"])
     qs = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
-    cut = quantiles(scored.withColumn("size", F.abs("pred")), BY, "size", list(qs)).withColumnRenamed("quantiles", "t_")
-    grid_ = cut.select(*BY, F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("t_").alias("threshold"))).alias("x")).select(*BY, "x.*").withColumn("long_only", F.explode(F.array(F.lit(False), F.lit(True))))
-    pos = F.when(F.col("pred") > F.col("threshold"), 1.0).when((F.col("pred") < -F.col("threshold")) & ~F.col("long_only"), -1.0).otherwise(0.0)
-    rows = scored.join(grid_, BY).withColumn("pos", pos)
-    return rows.groupBy(*BY, "q", "long_only").agg(F.sum(F.col("pos") * F.col("y") - F.abs("pos") * 0.001).alias("ret"), F.sum(F.abs("pos")).cast("long").alias("trades")).where("trades >= 15")
+    cuts = quantiles(scored.withColumn("size", F.abs("pred")), BY, "size", list(qs)).withColumnRenamed("quantiles", "thresholds")
+    swept = E.threshold_sweep(scored, BY, cuts, 0.001).where("trades >= 15")
+    return swept.withColumn("q", F.array(*map(F.lit, qs))[F.col("place")]).drop("place")
 
 
 @query(f"{_CONFIG_SQL} SELECT symbol, arg_max(horizon, (round(ret, 9), -horizon, -q, NOT long_only)) AS horizon, arg_max(q, (round(ret, 9), -horizon, -q, NOT long_only)) AS q, arg_max(long_only, (round(ret, 9), -horizon, -q, NOT long_only)) AS long_only, round(max(ret), 6) + 0.0 AS ret FROM t GROUP BY symbol")

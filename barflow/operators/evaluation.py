@@ -46,6 +46,21 @@ def positions(threshold_bps: float | F.Column, pred: str = "pred") -> F.Column:
     return F.when(F.col(pred) * 1e4 > limit, 1.0).when(F.col(pred) * 1e4 < -limit, -1.0).otherwise(0.0)
 
 
+def threshold_sweep(df: DataFrame, by: list[str], cuts: DataFrame, cost: float) -> DataFrame:
+    """(by, place, long_only, ret, trades) of trading pred beyond each of many thresholds, both ways and long only, for a ``cost`` a trade.
+
+    ``cuts`` has one row for each group with ``thresholds``, ascending; place counts from 0. A row is counted once, at the number of thresholds below its
+    strength: what a threshold takes is the sum over all numbers from its own on, so rows are never copied for the thresholds. Null keys are a group.
+    """
+    rows = df.dropna(subset=DROP_NULLS)
+    named = cuts.select(*[F.col(c).alias(f"{c}_of_") for c in by], "thresholds")
+    beside = rows.join(named, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by])
+    level = F.size(F.filter("thresholds", lambda t: F.abs("pred") > t))
+    counted_ = beside.groupBy(*by, level.alias("level_"), (F.col("pred") > 0).alias("up_")).agg(F.sum("y").alias("y_"), F.count("*").alias("n_")).where("level_ > 0")
+    taken = counted_.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("level_") - 1))).withColumn("long_only", F.explode(F.array(F.lit(False), F.lit(True)))).where("up_ OR NOT long_only")
+    return taken.groupBy(*by, "place", "long_only").agg(F.sum(F.when(F.col("up_"), F.col("y_")).otherwise(-F.col("y_")) - F.col("n_") * cost).alias("ret"), F.sum("n_").alias("trades"))
+
+
 def _sharpe(x: str, scale: F.Column) -> F.Column:
     return F.when(F.stddev_pop(x) > 0, F.avg(x) / F.stddev_pop(x) * F.sqrt(scale)).otherwise(0.0)
 

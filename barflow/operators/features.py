@@ -168,12 +168,18 @@ def extra_features(bars: DataFrame, short: int = 60, middle: int = 240, long: in
     w, c = b.window, F.col("close")
     full = lambda n, x: F.when(F.col("rn") >= n - 1, x)
     df = b.rows.withColumn("r1_", F.ln(F.try_divide(c, F.lag("close", 1).over(w)))).withColumn("lr_", F.ln(F.try_divide(F.col("high"), F.col("low")))).withColumn("lv_", F.ln(F.col("volume") + 1))
-    rms = lambda n: full(n + 1, F.sqrt(F.avg(F.col("r1_") * F.col("r1_")).over(b.back(n))))
+    # a long frame would be summed anew for each row; running totals and counts of the block are differenced instead
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    terms = {"sq_": F.col("r1_") * F.col("r1_"), "lr_": F.col("lr_"), "lv_": F.col("lv_")}
+    df = df.withColumns({f"sum_{k}": F.sum(F.coalesce(x, F.lit(0.0))).over(upto) for k, x in terms.items()} | {f"n_{k}": F.count(x).over(upto) for k, x in terms.items()})
+    since = lambda k, n: F.col(k) - F.coalesce(F.lag(k, n).over(w), F.lit(0))
+    mean = lambda k, n: F.try_divide(since(f"sum_{k}", n), since(f"n_{k}", n))
+    rms = lambda n: full(n + 1, F.sqrt(F.greatest(mean("sq_", n), F.lit(0.0))))
     df = df.select(
         "*", F.ln(F.try_divide(c, F.lag("close", short).over(w))).alias("ret_short"), F.ln(F.try_divide(c, F.lag("close", middle).over(w))).alias("ret_middle"), F.ln(F.try_divide(c, F.lag("close", long).over(w))).alias("ret_long"),
-        rms(short).alias("rms_short"), rms(middle).alias("rms_middle"), full(span, F.avg("lr_").over(b.back(span))).alias("mean_range"),
-        full(long, F.col("lv_") - F.avg("lv_").over(b.back(long))).alias("volume_level"),
-    )
+        rms(short).alias("rms_short"), rms(middle).alias("rms_middle"), full(span, mean("lr_", span)).alias("mean_range"),
+        full(long, F.col("lv_") - mean("lv_", long)).alias("volume_level"),
+    ).drop(*[f"{p}_{k}" for k in terms for p in ("sum", "n")])
     df = Blocked.home(df).drop("r1_", "lr_", "lv_").withColumn("rms_ratio", F.col("rms_short") / (F.col("rms_middle") + 1e-12))
     return calendar(df)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.plans.blocks import Blocked, blocked, numbered
+from barflow.plans.lineage import checkpointed
 from barflow.plans.running import quantiles
 
 
@@ -62,7 +63,7 @@ def chrono_split(samples: DataFrame, embargo: int, val: float = 0.15, test: floa
 
     Samples are numbered rows; their places come from counts of spans, not from one ordered task per key.
     """
-    placed = numbered(samples.withColumnRenamed("rn", "bar_"), key).withColumnRenamed("rn", "place_")
+    placed = checkpointed(numbered(samples.withColumnRenamed("rn", "bar_"), key).withColumnRenamed("rn", "place_"))  # read three times
     sizes = placed.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("n_"))
     sizes = sizes.withColumn("test_at_", F.col("n_") - F.floor(F.col("n_") * test)).withColumn("val_at_", F.col("test_at_") - F.floor(F.col("n_") * val))
     known = placed.join(sizes, F.col(key) == F.col("key_"))

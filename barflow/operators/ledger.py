@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,18 +215,25 @@ def both(rows: DataFrame, configs: dict[str, Rules]) -> DataFrame:
 
     ``rows`` as for :func:`trades` without run. Bars are sent once, not once for each set of rules, and each run is folded once for both results.
     """
-    names = list(dict.fromkeys(["kind", *[f.split()[0] for f in f"{TRADE_SCHEMA}, {EQUITY_SCHEMA}".split(", ")]]))
-    schema = ", ".join(dict.fromkeys(["kind string", *f"{TRADE_SCHEMA}, {EQUITY_SCHEMA}".split(", ")]))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    fields = dict(f.split() for f in f"kind string, {TRADE_SCHEMA}, {EQUITY_SCHEMA}".split(", "))
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def table(frame: pd.DataFrame, **same: str) -> pa.Table:
+        """A frame in the schema of both: columns of one value and absent ones are made here."""
+        n = len(frame)
+        cells = [pa.array([same[c]] * n, pa.string()) if c in same else pa.array(frame[c], kinds[k]) if c in frame else pa.nulls(n, kinds[k]) for c, k in fields.items()]
+        return pa.Table.from_arrays(cells, names=list(fields))
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pandas()
+        out, symbol = [], rows["symbol"].iloc[0]
         for name, rules in configs.items():
             made, curve = fold(rows, rules)
-            parts = [pd.DataFrame(made).assign(kind="trade", run=name), curve.assign(kind="bar", run=name)]
-            out += [p.reindex(columns=names).astype(object) for p in parts if len(p)]
-        return pd.concat(out, ignore_index=True).assign(symbol=rows["symbol"].iloc[0]).replace({np.nan: None})
+            out += [table(pd.DataFrame(made), kind="trade", run=name, symbol=symbol), table(curve, kind="bar", run=name, symbol=symbol)]
+        return pa.concat_tables(out)
 
-    return prepared(rows.withColumn("run", F.lit(""))).groupBy("symbol").applyInPandas(run, schema)
+    spread = prepared(rows.withColumn("run", F.lit(""))).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")  # a fold is long for its few bytes
+    return spread.groupBy("symbol").applyInArrow(run, ", ".join(f"{c} {k}" for c, k in fields.items()))
 
 
 def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
