@@ -542,6 +542,29 @@ def test_fits_find_a_plain_relation(spark, fit):
     assert len(out) == 100 and np.corrcoef(out["pred"], out["y"])[0, 1] > 0.8 and (np.sign(out["pred"]) == np.sign(out["y"])).mean() > 0.8
 
 
+def test_agent_queries_give_what_a_plain_run_of_each_symbol_gives(spark, sf_dir):
+    from barflow.catalog import ledgers, models
+
+    rows = models.advised(spark, sf_dir).toPandas()
+    filled = rows.fillna({c: 0.0 for c in ("confidence", "size", "stop_bps", "take_bps", "horizon", "horizon_bars")}).astype(object)
+    filled = filled.where(filled.notna(), None)
+    runs = {s: agent.follow(part, agent.Gate(), ledgers.CONFIGS["plain"], ends=True) for s, part in filled.groupby("symbol")}
+    compared = {r.symbol: r for r in catalog.QUERIES["run_compare"](spark, sf_dir).collect()}
+    assert set(compared) == set(runs)
+    for s, out in runs.items():
+        assert compared[s].calls == len(out) - 1 and compared[s].agent == pytest.approx(out.iloc[-1]["equity"] / 10_000 - 1, abs=1e-6)
+    logged = sorted((r.symbol, r.t, r.reason, r.action, r.vetoes) for r in catalog.QUERIES["decision_log_sink"](spark, sf_dir).collect())
+    assert logged == sorted((s, *x) for s, out in runs.items() for x in out.loc[out["reason"] != "end", ["t", "reason", "action", "vetoes"]].itertuples(index=False))
+
+
+def test_report_of_a_fit_has_its_parts_and_counts(spark, sf_dir):
+    from barflow.catalog import models
+
+    parts = {r.split: r["count"] for r in models.samples(spark, sf_dir).where("y_5 IS NOT NULL").groupBy("split").count().collect()}
+    found = catalog.QUERIES["artifact_report"](spark, sf_dir).collect()
+    assert {r.split: r.n for r in found} == parts and all(0 <= r.hit_rate <= 1 and len(r.version) == 12 and r.sigma > 0 for r in found if r.n > 1)
+
+
 def test_clusters_need_a_shared_folder(monkeypatch):
     from types import SimpleNamespace
 
