@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
-from barflow.catalog.common import YEAR_BARS, pick, r, rounded
+from barflow.catalog.common import HORIZONS, NUMBERED, W, YEAR_BARS, pick, r, rounded
 from barflow.catalog.signals import _FORECAST, decided
 from barflow.operators import evaluation as E
 from barflow.operators import ledger as G
+from barflow.operators.labels import past_returns
 from barflow.plans.lineage import checkpointed
 from barflow.plans.running import quantiles
 from barflow.sources import adapters as A
@@ -177,26 +178,57 @@ def entry_blocks(spark, sf_dir):
     return rows.withColumn("hit_", hit.cast("int")).withColumn("halted", F.max("hit_").over(day) == 1).select("run", "symbol", "t", "cooling", "halted")
 
 
-@query()
+SWEPT = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
+SWEPT_KINDS = ("plain", "long")
+
+
+def _sweep_sql() -> str:
+    """Every run of the sweep row by row: no rules of it stop or take, so a bar ends a position at its open by the other side or at its close, where time is up or the part ends."""
+    w, of, k = "(PARTITION BY symbol, part ORDER BY rn)", ", ".join, CONFIGS["plain"]
+    slip, rate = f"{k.slippage_bps / 1e4!r}::DOUBLE", f"{k.fee_bps / 1e4!r}::DOUBLE"
+    profit = lambda side, cash, price, out: f"(least({cash} * size, {k.most!r}::DOUBLE) / {price}) * ({side} * ({out} - {price}) - {rate} * {price} - {rate} * {out})"
+    return f"""WITH RECURSIVE {A.sql_bars()}, {NUMBERED},
+ made AS (SELECT symbol, rn, open, close, {of(f'ln(close / lag(close, {h}) OVER ({W})) AS p{h}' for h in HORIZONS)}, CASE WHEN rn < count(*) OVER (PARTITION BY symbol) * 0.6::DOUBLE THEN 'val' ELSE 'test' END AS part FROM numbered),
+ acts AS (SELECT symbol, part, open, close, row_number() OVER {w} - 1 AS n, count(*) OVER (PARTITION BY symbol, part) AS total, {of(f'lag(p{h}) OVER {w} AS s{h}' for h in HORIZONS)} FROM made),
+ known AS ({' UNION ALL '.join(f'SELECT symbol, {h} AS horizon, abs(p{h}) AS strength FROM made WHERE part = $$val$$ AND p{h} IS NOT NULL' for h in HORIZONS)}),
+ lists AS (SELECT symbol, horizon, quantile_cont(strength, {list(SWEPT)}) AS t FROM known GROUP BY ALL),
+ cuts AS (SELECT symbol, horizon, unnest(range({len(SWEPT)})) AS q, unnest(t) AS lim FROM lists),
+ walk AS (SELECT symbol, part, kind, horizon, q, lim, shorts, size, CAST(-1 AS BIGINT) AS n, false AS done, 0 AS side, 1.0::DOUBLE AS price, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS held, 0.0::DOUBLE AS won, CAST(0 AS BIGINT) AS trades
+   FROM cuts, (VALUES {of(f"('{n}', {str(CONFIGS[n].allow_short).lower()}, {CONFIGS[n].size!r}::DOUBLE)" for n in SWEPT_KINDS)}) r(kind, shorts, size), (VALUES ('val'), ('test')) p(part)
+  UNION ALL
+  SELECT symbol, part, kind, horizon, q, lim, shorts, size, n, final, CASE WHEN ends THEN 0 ELSE side1 END, price1, until1, held2, won1 + CASE WHEN ends AND won1 > -10000 THEN b_pnl ELSE 0 END, trades1 + CAST(ends AND won1 > -10000 AS BIGINT)
+  FROM (SELECT v.symbol, v.part, kind, horizon, q, lim, shorts, size, a.n, a.n = a.total - 1 AS final, CASE horizon {' '.join(f'WHEN {h} THEN s{h}' for h in HORIZONS)} END AS pred,
+   CASE WHEN pred > lim THEN 1 WHEN pred < -lim AND shorts THEN -1 ELSE 0 END AS want, want <> 0 AND side <> want AS opens, opens AND side <> 0 AND won > -10000 AS turns, a.open * (1 - side * {slip}) AS a_out,
+   {profit('side', '(10000 + won)', 'price', 'a_out')} AS a_pnl, won + CASE WHEN turns THEN a_pnl ELSE 0 END AS won1, trades + CAST(turns AS BIGINT) AS trades1,
+   CASE WHEN opens THEN want ELSE side END AS side1, CASE WHEN opens THEN a.open * (1 + want * {slip}) ELSE price END AS price1, CASE WHEN opens THEN horizon WHEN want <> 0 THEN held + horizon ELSE until END AS until1,
+   CASE WHEN opens THEN 0 ELSE held END + CAST(side1 <> 0 AS BIGINT) AS held2, side1 <> 0 AND (held2 >= until1 OR final) AS ends, a.close * (1 - side1 * {slip}) AS b_out, {profit('side1', '(10000 + won1)', 'price1', 'b_out')} AS b_pnl
+   FROM walk v JOIN acts a ON a.symbol = v.symbol AND a.part = v.part AND a.n = v.n + 1)),
+ swept AS (SELECT symbol, part, kind, horizon, q, trades, won / 10000 AS ret FROM walk WHERE done),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(ret, 9) DESC, horizon, q, kind = 'plain' DESC) AS place FROM swept WHERE part = 'val' AND trades >= 15) WHERE place = 1)"""
+
+
+@query(f"{_sweep_sql()} SELECT b.symbol, b.kind, CAST(b.horizon AS BIGINT) AS horizon, CAST(b.q AS INTEGER) AS q, b.trades AS val_trades, round(b.ret, 6) + 0.0 AS val_ret, t.trades AS test_trades, round(t.ret, 6) + 0.0 AS test_ret FROM best b LEFT JOIN (SELECT * FROM swept WHERE part = 'test') t USING (symbol, kind, horizon, q)")
 def ledger_sweep(spark, sf_dir):
-    """Every horizon, quantile and choice of sides on the first 60 % of the bars; the best with 15 trades or more is run on the rest."""
-    from barflow.catalog.evaluation import HORIZONS
-    from barflow.operators.labels import past_returns
+    """Every horizon, quantile and choice of sides on the first 60 % of the bars; the best with 15 trades or more beside what it does on the rest."""
+    scored = swept(spark, sf_dir)
+    order = F.struct(F.round("ret", 9), -F.col("horizon"), -F.col("q"), F.col("kind") == "plain")
+    best = scored.where("part = 'val' AND trades >= 15").groupBy("symbol").agg(F.max_by(F.struct("kind", "horizon", "q", "trades", "ret"), order).alias("b"))
+    picked = best.select("symbol", "b.kind", "b.horizon", "b.q", F.col("b.trades").alias("val_trades"), r("b.ret").alias("val_ret"))
+    test = scored.where("part = 'test'").select("symbol", "kind", "horizon", "q", F.col("trades").alias("test_trades"), r("ret").alias("test_ret"))
+    return picked.join(test, ["symbol", "kind", "horizon", "q"], "left")
 
+
+def swept(spark, sf_dir):
+    """Trades and return of every run of the grid, on both parts of the bars."""
+    return checkpointed(G.sweep(*sweep_inputs(spark, sf_dir), HORIZONS, {n: CONFIGS[n] for n in SWEPT_KINDS}, ("val", "test")))
+
+
+def sweep_inputs(spark, sf_dir):
+    """Bars with their part and momentum, and the thresholds of each symbol and horizon."""
     rows = past_returns(A.bars(spark, sf_dir), HORIZONS)
     sizes = rows.groupBy("symbol").agg((F.count("*") * 0.6).alias("cut_"))
-    parts = rows.join(sizes, "symbol").withColumn("part", F.when(F.col("rn") < F.col("cut_"), "val").otherwise("test"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"momentum_{h}").alias("pred")) for h in HORIZONS])).alias("x")
-    long_ = parts.select("symbol", F.col("open_time").alias("t"), "open", "high", "low", "close", "part", pairs).select("*", "x.*").drop("x")
-    qs = (0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
-    cuts = quantiles(long_.where("part = 'val'").withColumn("strength", F.abs("pred")), ["symbol", "horizon"], "strength", list(qs)).withColumnRenamed("quantiles", "c_")
-    grid = cuts.select("symbol", "horizon", F.posexplode("c_").alias("q", "limit_")).withColumn("kind", F.explode(F.array(F.lit("plain"), F.lit("long"))))
-    rows = long_.join(grid, ["symbol", "horizon"])
-    signal = F.when(F.col("pred") > F.col("limit_"), "LONG").when(F.col("pred") < -F.col("limit_"), "SHORT")
-    named = rows.withColumn("run", F.concat_ws("|", "kind", "part", F.col("horizon").cast("string"), F.col("q").cast("string"))).withColumn("signal", signal).withColumn("horizon", F.col("horizon").cast("long")).withColumn("edge_bps", F.col("pred") * 1e4)
-    book = G.trades(named, CONFIGS).groupBy("run", "symbol").agg(F.count("*").alias("trades"), (F.sum("pnl") / 10_000.0).alias("ret"))
-    scored = book.withColumn("p", F.split("run", r"\|")).select("symbol", F.col("p")[0].alias("kind"), F.col("p")[1].alias("part"), F.col("p")[2].cast("int").alias("horizon"), F.col("p")[3].cast("int").alias("q"), "trades", "ret")
-    best = scored.where("part = 'val' AND trades >= 15").groupBy("symbol").agg(F.max_by(F.struct("kind", "horizon", "q", "trades", "ret"), F.struct(F.round("ret", 9), -F.col("horizon"), -F.col("q"), F.col("kind") == "plain")).alias("b"))
-    picked = best.select("symbol", "b.kind", "b.horizon", "b.q", F.col("b.trades").alias("val_trades"), F.col("b.ret").alias("val_ret"))
-    test = scored.where("part = 'test'").select("symbol", "kind", "horizon", "q", F.col("trades").alias("test_trades"), F.col("ret").alias("test_ret"))
-    return picked.join(test, ["symbol", "kind", "horizon", "q"], "left")
+    parts = rows.join(sizes, "symbol").select("symbol", F.col("open_time").alias("t"), "open", "high", "low", "close", F.when(F.col("rn") < F.col("cut_"), "val").otherwise("test").alias("part"), *[F.col(f"momentum_{h}").alias(f"pred_{h}") for h in HORIZONS])
+    parts = checkpointed(parts)
+    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(f"pred_{h}").alias("strength")) for h in HORIZONS])).alias("x")
+    strengths = parts.where("part = 'val'").select("symbol", pairs).select("symbol", "x.*").where("strength IS NOT NULL")
+    return parts, quantiles(strengths, ["symbol", "horizon"], "strength", list(SWEPT)).withColumnRenamed("quantiles", "limits")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,3 +241,79 @@ def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trades and equity out of :func:`both`."""
     take = lambda kind, schema: rows.where(F.col("kind") == kind).select(*[f.split()[0] for f in schema.split(", ")])
     return take("trade", TRADE_SCHEMA), take("bar", EQUITY_SCHEMA)
+
+
+SWEEP_SCHEMA = "symbol string, part string, kind string, horizon long, q int, trades long, ret double"
+
+
+def folded_together(bars: pd.DataFrame, preds: Iterable[np.ndarray], limits: np.ndarray, horizons: np.ndarray, rules: list[Rules]) -> tuple[np.ndarray, np.ndarray]:
+    """Trades and return on cash of many runs over the same ordered bars, in one pass: what a run holds is a place in each array.
+
+    Run i is long above ``limits[i]`` and short below its opposite, by the i-th number of a bar's ``preds`` once it has closed, and trades by ``rules[i]`` as
+    :func:`fold` does.
+    """
+    of = lambda name: np.array([getattr(r, name) for r in rules], float)
+    size, stop, take, slip, rate, most, start = of("size"), of("stop_bps") / 1e4, of("take_bps") / 1e4, of("slippage_bps") / 1e4, of("fee_bps") / 1e4, of("most"), of("cash")
+    shorts, halts = np.array([r.allow_short for r in rules]), bool((stop > 0).any() or (take > 0).any())
+    side, held, until, trades = (np.zeros(len(rules), int) for _ in range(4))
+    price, won = np.ones(len(rules)), np.zeros(len(rules))
+
+    def leave(who: np.ndarray, raw) -> None:
+        nonlocal won, trades, side
+        cash, out = start + won, raw * (1 - side * slip)
+        qty = np.minimum(cash * size, most) / price
+        paid = who & (cash > 0) & (size > 0) & (price > 0)
+        won = won + np.where(paid, side * qty * (out - price) - qty * price * rate - qty * out * rate, 0.0)
+        trades, side = trades + paid, np.where(who, 0, side)
+
+    want = np.zeros(len(rules), int)
+    for (open_, high, low, close), pred in zip(bars[["open", "high", "low", "close"]].to_numpy(float), preds):
+        if want.any():
+            longer, opens = (want != 0) & (want == side), (want != 0) & (want != side)
+            until = np.where(longer, held + horizons, until)
+            if opens.any():
+                leave(opens & (side != 0), open_)
+                opens &= size > 0
+                side, price = np.where(opens, want, side), np.where(opens, open_ * (1 + want * slip), price)
+                held, until = np.where(opens, 0, held), np.where(opens, horizons, until)
+        if halts and side.any():
+            worst, best = np.where(side > 0, low, high), np.where(side > 0, high, low)
+            floor, ceiling = price * (1 - side * stop), price * (1 + side * take)
+            stopped = (side != 0) & (stop > 0) & (floor * side >= worst * side)
+            taken = (side != 0) & ~stopped & (take > 0) & (ceiling * side <= best * side)
+            if (hit := stopped | taken).any():
+                leave(hit, np.where(stopped, side * np.minimum(side * open_, side * floor), side * np.maximum(side * open_, side * ceiling)))
+        held = held + (side != 0)
+        if (due := (side != 0) & (held >= until)).any():
+            leave(due, close)
+        want = (pred > limits).astype(int) - ((pred < -limits) & shorts)
+    if side.any():
+        leave(side != 0, bars["close"].iloc[-1])
+    return trades, won / start
+
+
+def sweep(rows: DataFrame, cuts: DataFrame, horizons: tuple[int, ...], kinds: dict[str, Rules], parts: tuple[str, ...]) -> DataFrame:
+    """(symbol, part, kind, horizon, q, trades, ret) of a run for every set of rules, horizon and threshold over the bars of each part.
+
+    ``rows``: bars with part, t and pred_h for each horizon; ``cuts``: symbol, horizon and limits, ARRAY<DOUBLE>, where q is the place of a threshold. Bars are
+    sent once however many runs there are, and a task passes once over the bars of one part of a symbol. A null pred is no signal; without limits there is no run, without trades ret is 0.
+    """
+    columns = [f"pred_{h}" for h in horizons]
+
+    def run(key, bars: pd.DataFrame, limits: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("t", kind="stable")
+        points = [(kind, h, q, x) for h, xs in zip(limits["horizon"], limits["limits"]) for q, x in enumerate(xs) for kind in kinds]
+        if not len(bars) or not points:
+            return pd.DataFrame([], columns=[c.split()[0] for c in SWEEP_SCHEMA.split(", ")])
+        at = [horizons.index(h) for _, h, _, _ in points]
+        known = bars[columns].to_numpy(float)
+        with np.errstate(invalid="ignore"):
+            trades, ret = folded_together(bars, (line[at] for line in known), np.array([p[3] for p in points], float), np.array([p[1] for p in points]), [kinds[p[0]] for p in points])
+        made = pd.DataFrame([p[:3] for p in points], columns=["kind", "horizon", "q"]).assign(trades=trades, ret=ret)
+        made.insert(0, "part", key[1])
+        made.insert(0, "symbol", key[0])
+        return made
+
+    known = cuts.where("limits IS NOT NULL").select(F.col("symbol").alias("of_"), F.explode(F.array(*map(F.lit, parts))).alias("in_"), F.col("horizon").cast("long").alias("horizon"), "limits")
+    sent = rows.select("symbol", "part", "t", "open", "high", "low", "close", *columns)
+    return sent.groupBy("symbol", "part").cogroup(known.groupBy("of_", "in_")).applyInPandas(run, SWEEP_SCHEMA)

@@ -307,18 +307,34 @@ def test_frames_that_do_not_parse(spark):
     assert [(r.kind, r.symbol, r.place, r.price, r.qty, r.flag) for r in got] == [("trade", "X", 7, None, 2.0, True)]
 
 
-def test_sweep_tries_the_whole_grid(spark, sf_dir, monkeypatch):
+def test_sweep_tries_the_whole_grid(spark, sf_dir):
     from barflow.catalog import ledgers
 
-    grid, trades = [], ledger.trades
-
-    def seen(rows, configs):
-        grid.append({tuple(r[0].split("|")) for r in rows.select("run").distinct().collect()})
-        return trades(rows, configs)
-
-    monkeypatch.setattr(ledgers.G, "trades", seen)
-    ledgers.ledger_sweep(spark, sf_dir)
-    assert {int(q) for *_, q in grid[0]} == set(range(7)) and len(grid[0]) == 2 * 2 * 7 * len({h for _, _, h, _ in grid[0]})
+    found = {(r.symbol, r.part, r.kind, r.horizon, r.q) for r in ledgers.swept(spark, sf_dir).collect()}
+    symbols = {r.symbol for r in ledgers.sweep_inputs(spark, sf_dir)[0].select("symbol").distinct().collect()}
+    assert symbols and found == {(s, p, k, h, q) for s in symbols for p in ("val", "test") for k in ("plain", "long") for h in ledgers.HORIZONS for q in range(7)}
+
+
+def test_a_sweep_is_one_fold_for_each_of_its_runs(spark):
+    kinds = {
+        "plain": ledger.Rules(most=20_000.0), "stops": ledger.Rules(stop_bps=4, take_bps=9), "takes": ledger.Rules(take_bps=3, allow_short=False, size=0.5), "none": ledger.Rules(size=0.0), "ruin": ledger.Rules(fee_bps=9000.0),
+    }
+    rng = random.Random(5)
+    rows = [(s, p, t, o, h, low, c, rng.choice([None, rng.gauss(0, 1), rng.gauss(0, 1)]), rng.gauss(0, 1)) for s in "AB" for p in ("val", "test") for _, t, o, h, low, c, *_ in walk(150, s, seed=ord(s))]
+    bars = spark.createDataFrame(rows, "symbol string, part string, t long, open double, high double, low double, close double, pred_3 double, pred_8 double")
+    cuts = spark.createDataFrame([("A", 3, [0.2, 1.0]), ("A", 8, [0.1, 0.9]), ("B", 3, [0.0, 5.0]), ("B", 8, None), ("C", 3, [0.1])], "symbol string, horizon int, limits array<double>")
+    found = {(r.symbol, r.part, r.kind, r.horizon, r.q): (r.trades, r.ret) for r in ledger.sweep(bars, cuts, (3, 8), kinds, ("val", "test")).collect()}
+    assert {k[:1] + k[3:] for k in found} == {("A", 3, 0), ("A", 3, 1), ("A", 8, 0), ("A", 8, 1), ("B", 3, 0), ("B", 3, 1)} and len(found) == 6 * 2 * len(kinds)
+    limits = {(r.symbol, r.horizon): r.limits for r in cuts.collect()}
+    for (symbol, part, kind, h, q), (trades, ret) in found.items():
+        own = pd.DataFrame([r for r in rows if r[:2] == (symbol, part)], columns=bars.columns)
+        pred = own[f"pred_{h}"].astype(float)
+        own["signal"] = [("LONG" if x > limits[symbol, h][q] else "SHORT" if x < -limits[symbol, h][q] else None) for x in pred]
+        for c, x in {"horizon": h, "edge_bps": 0.0, "price": None, "size": None, "stop_bps": None, "take_bps": None}.items():
+            own[c] = x
+        made, _ = ledger.fold(own, kinds[kind])
+        assert trades == len(made) and ret == pytest.approx(sum(x["pnl"] for x in made) / 10_000.0, abs=1e-9)
+    assert max(n for n, _ in found.values()) > 20 and ledger.sweep(bars.limit(0), cuts, (3, 8), kinds, ("val",)).count() == 0
 
 
 # --- ranks, quantiles, resamples ------------------------------------------------------------------
