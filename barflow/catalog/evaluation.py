@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, NUMBERED, W, YEAR_BARS, pick, r, rounded
-from barflow.functions.signals import bucket_upper
 from barflow.functions.signals import log_linear_bucket as bucket_of
 from barflow.operators import evaluation as E
 from barflow.operators import labels as L
@@ -146,17 +145,15 @@ def latency_histogram(spark, sf_dir):
     return _buckets(spark, sf_dir).groupBy("service", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
+PERCENTILES = (50.0, 90.0, 99.0, 99.9)
+
+
 @query(f"""{_BUCKET_SQL}, h AS (SELECT service, metric, bucket, count(*) AS n FROM b GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY service, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY service, metric) AS total FROM h),
  m AS (SELECT service, metric, max(ns) AS top FROM services GROUP BY ALL), q AS (SELECT unnest([50.0, 90.0, 99.0, 99.9]) AS q), p AS (SELECT service, metric, q, min(bucket) AS bucket FROM c, q WHERE upto >= q / 100 * total GROUP BY ALL)
 SELECT service, metric, CAST(q AS DOUBLE) AS q, round(least(pow(2.0, bucket // 16 + 6) * (1 + (bucket % 16 + 1) / 16.0), top), 6) + 0.0 AS value FROM p JOIN m USING (service, metric)""")
 def latency_percentile(spark, sf_dir):
-    rows = _buckets(spark, sf_dir)
-    counts = rows.groupBy("service", "metric", "bucket").agg(F.count("*").alias("n"), F.max("ns").alias("most"))
-    w = Window.partitionBy("service", "metric")
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w)).withColumn("top", F.max("most").over(w))
-    asked = run.withColumn("q", F.explode(F.array(*[F.lit(q) for q in (50.0, 90.0, 99.0, 99.9)]))).where(F.col("upto") >= F.col("q") / 100 * F.col("total"))
-    found = asked.groupBy("service", "metric", "q").agg(F.min("bucket").alias("bucket"), F.max("top").alias("top"))
-    return found.select("service", "metric", "q", r(F.least(bucket_upper(F.col("bucket")), F.col("top").cast("double"))).alias("value"))
+    counts = _buckets(spark, sf_dir).groupBy("service", "metric", "bucket").agg(F.count("*").alias("n"), F.max("ns").alias("top"))
+    return pick(E.bucket_percentiles(counts, ["service", "metric"], PERCENTILES), "service metric q", "value")
 
 
 @query(f"WITH {A.SQL_SERVICES} SELECT service, round(quantile_cont(ns, 0.5), 6) + 0.0 AS p50, round(quantile_cont(ns, 0.99), 6) + 0.0 AS p99 FROM services GROUP BY service")

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from barflow.catalog import query
 from barflow.catalog.bars import X
 from barflow.catalog.common import FEATURES_SQL, HORIZONS, W, YEAR_BARS, back, pick, r, rounded
+from barflow.catalog.evaluation import _BUCKET_SQL, PERCENTILES
 from barflow.catalog.ledgers import CONFIGS, _sql, fed
 from barflow.catalog.market import _BOOK_SQL, _FLOW_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
+from barflow.operators import evaluation as E
 from barflow.operators.labels import ratio_split
 from barflow.operators.learning import fit_window_model, lag_spans
 from barflow.plans.blocks import numbered
 from barflow.plans.lineage import checkpointed
 from barflow.sources import adapters as A
+from barflow.streaming import metrics as K
 from barflow.streaming import runner as N
 from barflow.streaming import scoring as C
 from barflow.streaming import stateful as P
@@ -206,8 +209,36 @@ def model_refresh(spark, sf_dir):
     return out.groupBy("model_version").agg(F.count("*").alias("n"), *[r(F.sum(F.col("exp")[i]), 5).alias(f"total_{h}") for i, h in enumerate(HORIZONS)])
 
 
-@query(f"WITH {A.SQL_TRADES}, s AS (SELECT count(*) AS rows, CAST(sum(CAST(is_buyer_maker AS INTEGER)) AS BIGINT) AS sales FROM trades) SELECT rows, sales FROM s")
+def recorded(spark, sf_dir):
+    """The metrics table of all samples: half of them recorded, then the rest by a stream started anew on the same table and checkpoint."""
+    folder, rows = N.shared_folder(spark), A.services(spark, sf_dir)
+    cut = rows.agg(F.floor((F.max("ts") + F.min("ts")) / 2).alias("cut")).first()["cut"]
+    path = f"{folder}/staged"
+    for part in (F.col("ts") <= cut, F.col("ts") > cut):
+        N.staged(rows.where(part), "ts", 3, path)
+        K.record(N.source(spark, path, rows.schema, N.FILES_PER_TRIGGER), f"{folder}/table", f"{folder}/state", merged=4)
+    return K.table(spark, f"{folder}/table")
+
+
+@query(f"""{_BUCKET_SQL}, h AS (SELECT service, metric, bucket, count(*) AS n, max(ns) AS most FROM b GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY service, metric ORDER BY bucket) AS upto, sum(n) OVER w AS whole, max(most) OVER w AS top FROM h WINDOW w AS (PARTITION BY service, metric)),
+ p AS (SELECT service, metric, top, {', '.join(f'min(bucket) FILTER (upto >= {q} / 100 * whole) AS at{i}' for i, q in enumerate(PERCENTILES))} FROM c GROUP BY ALL),
+ t AS (SELECT service, metric, count(*) AS counter, CAST(sum(ns) AS BIGINT) AS total, arg_max(ns, (ts, seq)) AS gauge FROM services GROUP BY ALL)
+SELECT service, metric, counter, total, top, gauge, {', '.join(f'round(least(pow(2.0, at{i} // 16 + 6) * (1 + (at{i} % 16 + 1) / 16.0), top), 6) + 0.0 AS p{str(q).replace(".", "_")}' for i, q in enumerate(PERCENTILES))} FROM p JOIN t USING (service, metric)""")
 def stream_metrics(spark, sf_dir):
+    """Counters, gauges and latency percentiles of a stream that was stopped half way, read from its metrics table."""
+    rows = recorded(spark, sf_dir)
+    wide = E.bucket_percentiles(rows, K.KEYS, PERCENTILES).groupBy(*K.KEYS).agg(*[r(F.max(F.when(F.col("q") == q, F.col("value")))).alias(f"p{str(q).replace('.', '_')}") for q in PERCENTILES])
+    return K.totals(rows).join(wide, K.KEYS)
+
+
+@query(f"WITH {A.SQL_SERVICES}, b AS (SELECT service, metric, ts // {K.BEAT} * {K.BEAT} AS beat, count(*) AS n, sum(ns) AS s, arg_max(ns, (ts, seq)) AS gauge FROM services GROUP BY ALL) SELECT service, metric, beat, CAST(sum(n) OVER w AS BIGINT) AS counter, CAST(sum(s) OVER w AS BIGINT) AS total, gauge FROM b WINDOW w AS (PARTITION BY service, metric ORDER BY beat)")
+def stream_heartbeat(spark, sf_dir):
+    """What each service reports every five seconds, over a stop of the stream."""
+    return K.heartbeat(recorded(spark, sf_dir))
+
+
+@query(f"WITH {A.SQL_TRADES}, s AS (SELECT count(*) AS rows, CAST(sum(CAST(is_buyer_maker AS INTEGER)) AS BIGINT) AS sales FROM trades) SELECT rows, sales FROM s")
+def stream_observed(spark, sf_dir):
     """Counters that a stream observes beside its work, one row of each micro-batch, summed."""
     from pyspark.sql.streaming import StreamingQueryListener
 

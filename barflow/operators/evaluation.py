@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.signals import bucket_upper
 from barflow.operators.micro import asof
 from barflow.plans.blocks import BLOCK_ROWS, Blocked, blocked, numbered
 from barflow.plans.running import counted, quantiles, running
@@ -112,6 +113,16 @@ def equity_path(df: DataFrame, by: list[str], order: str, cash: float) -> DataFr
     return rows.withColumns(made).select(*df.columns, *made)
 
 
+def bucket_percentiles(counts: DataFrame, by: list[str], qs: tuple[float, ...]) -> DataFrame:
+    """(by, q, value) from histogram rows (by, bucket, n, top) that add up: the upper end of the first bucket with q percent of all at or below it, at most the largest value."""
+    merged = counts.groupBy(*by, "bucket").agg(F.sum("n").alias("n_"), F.max("top").alias("most_"))
+    w = Window.partitionBy(*by)
+    run = merged.withColumns({"upto_": F.sum("n_").over(w.orderBy("bucket")), "all_": F.sum("n_").over(w), "top_": F.max("most_").over(w)})
+    asked = run.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).where(F.col("upto_") >= F.col("q") / 100 * F.col("all_"))
+    found = asked.groupBy(*by, "q").agg(F.min("bucket").alias("bucket"), F.max("top_").alias("top_"))
+    return found.select(*by, "q", F.least(bucket_upper(F.col("bucket")), F.col("top_").cast("double")).alias("value"))
+
+
 def bootstrap_medians(df: DataFrame, by: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """(by, draw, median): medians of ``draws`` resamples of each group, drawn with replacement, without making a resample.
 

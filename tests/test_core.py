@@ -412,6 +412,35 @@ def test_replay_follows_the_manifest_whatever_the_files_are_dated(spark):
     assert len(seen) == 6 + 22 and all(max(a) < min(b) for a, b in zip(seen, seen[1:])) and sum(map(len, seen)) == 120 * 12
 
 
+def test_metrics_go_on_after_a_broken_run_without_doubles(spark):
+    from barflow.streaming import metrics as K
+    from barflow.streaming import runner as N
+
+    rng = random.Random(8)
+    made = [(rng.choice(["a", "b", None]), "m", rng.choice([None, *[int(rng.lognormvariate(9, 3)) for _ in range(20)]]), rng.choice([None, *range(0, 60_000, 7)]), i) for i in range(2000)]
+    rows = spark.createDataFrame(made, "service string, metric string, ns long, ts long, seq long")
+    path, folder = N.staged(rows, "ts", 5), N.shared_folder(spark)
+    run = lambda: K.record(N.source(spark, path, rows.schema, 1), f"{folder}/table", f"{folder}/state", merged=3)
+    run()
+    first = sorted(map(str, K.table(spark, f"{folder}/table").collect()))
+    commits = f"{folder}/state/commits"
+    last = N._numbers(spark, commits)[-1]
+    N.forget(spark, f"{commits}/{last}")  # as if the run had ended before the micro-batch was known to be done
+    run()
+    assert sorted(map(str, K.table(spark, f"{folder}/table").collect())) == first
+    N.staged(rows.withColumn("seq", F.col("seq") + 2000), "ts", 5, path)
+    run()
+    known = pd.DataFrame([x for x in made if x[2] is not None and x[3] is not None], columns=rows.columns)
+    found = {x.service: x for x in K.totals(K.table(spark, f"{folder}/table")).collect()}
+    for service in ("a", "b", None):
+        own = known[known.service.isna() if service is None else known.service == service]
+        x, newest = found[service], own.sort_values(["ts", "seq"]).iloc[-1]
+        assert (x.counter, x.total, x.top, x.gauge) == (2 * len(own), 2 * own.ns.sum(), own.ns.max(), newest.ns)
+        beats = [b for b in K.heartbeat(K.table(spark, f"{folder}/table")).collect() if b.service == service]
+        assert {b.beat: (b.counter, b.total) for b in beats} == {b: (2 * (own.ts < b + 5000).sum(), 2 * own.ns[own.ts < b + 5000].sum()) for b in {t // 5000 * 5000 for t in own.ts}}
+    assert K.table(spark, f"{folder}/none").count() == 0
+
+
 def test_serving_table_writes_only_the_buckets_of_changed_keys(spark):
     from barflow.streaming import runner as N
 
