@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
@@ -58,7 +55,7 @@ def fit_gbt_cls(spark, sf_dir):
     return _scores(M.expected_moves(model, rows, size))
 
 
-SCORES, COMPONENTS, SEEDS, COMPARED_TREES = 12, 8, (0, 1, 2), 20
+SCORES, COMPONENTS, SEEDS, COMPARED_TREES = 12, 8, (0, 1, 2), 300
 
 
 def enriched(spark, sf_dir):
@@ -80,8 +77,7 @@ def feature_set_compare(spark, sf_dir):
     scores, components = [f"score_{i}" for i in range(SCORES)], [f"component_{i}" for i in range(COMPONENTS)]
     base = list(X.FEATURES)
     sets = {"features": base, "features, scores": base + scores, "features, scores, embedding": base + scores + components, "scores, embedding": scores + components}
-    made = reduce(DataFrame.unionByName, [M.averaged(rows, "y_5", columns, SEEDS, COMPARED_TREES).withColumn("set", F.lit(name)) for name, columns in sets.items()])
-    made = checkpointed(made)
+    made = checkpointed(M.averaged(rows, "y_5", sets, SEEDS, COMPARED_TREES))
     limits = quantiles(made.where("split = 'train'").withColumn("strength", F.abs("pred")), ["set"], "strength", [0.7]).select("set", F.col("quantiles")[0].alias("limit_"))
     test = made.where("split = 'test'").join(F.broadcast(limits), "set")
     traded = E.threshold_strategy(test, ["set"], F.col("limit_"), 10)

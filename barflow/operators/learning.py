@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -18,14 +20,19 @@ from barflow.operators.features import FEATURES
 from barflow.plans.blocks import blocked
 
 INPUTS = list(FEATURES)
-#: Boosting goes on until the validation rows gain no more, for this many trees at most.
-MAX_TREES, TREE_DEPTH = 2000, 4
+#: Boosting goes on until a further tree gains less than this share on the validation rows, for so many trees at most. Models are fitted so many at a time.
+VALIDATION_GAIN, MAX_TREES, TREE_DEPTH, FITS_AT_ONCE = 1e-3, 2000, 4, 4
 
 
 def assembled(names: list[str]) -> list:
     return [VectorAssembler(inputCols=names, outputCol="raw_", handleInvalid="skip"), StandardScaler(inputCol="raw_", outputCol="inputs", withMean=True, withStd=True)]
 
 
+def gathered(names: list[str]) -> VectorAssembler:
+    """Inputs as trees take them: their order counts, not their scale."""
+    return VectorAssembler(inputCols=names, outputCol="inputs", handleInvalid="skip")
+
+
 def scaled_target(rows: DataFrame, target: str) -> tuple[DataFrame, float]:
     """Add label, the target over its deviation on the training rows, which is returned (1.0 for a constant one)."""
     scale = rows.where("split = 'train'").agg(F.stddev_pop(target)).first()[0] or 1.0
@@ -44,8 +51,8 @@ def fit_gbt_reg(rows: DataFrame, target: str, names: list[str] | None = None, ma
     """Boosted regression trees that stop on the validation rows."""
     known, scale = scaled_target(rows.dropna(subset=[target, *(names or INPUTS)]), target)
     marked = known.where("split IN ('train', 'val')").withColumn("held_", F.col("split") == "val")
-    trees = GBTRegressor(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, validationIndicatorCol="held_", predictionCol="pred_")
-    return Pipeline(stages=[*assembled(names or INPUTS), trees]).fit(marked), scale
+    trees = GBTRegressor(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, validationIndicatorCol="held_", validationTol=VALIDATION_GAIN, predictionCol="pred_")
+    return Pipeline(stages=[gathered(names or INPUTS), trees]).fit(marked), scale
 
 
 def fit_gbt_cls(rows: DataFrame, target: str, names: list[str] | None = None, max_iter: int = MAX_TREES, seed: int = 3):
@@ -53,8 +60,8 @@ def fit_gbt_cls(rows: DataFrame, target: str, names: list[str] | None = None, ma
     known, scale = scaled_target(rows.dropna(subset=[target, *(names or INPUTS)]), target)
     marked = known.where("split IN ('train', 'val')").withColumn("held_", F.col("split") == "val").withColumn("label", (F.col(target) > 0).cast("double")).withColumn("weight_", F.abs(target) / scale)
     size = marked.where("split = 'train'").agg(F.avg(F.abs(target))).first()[0] or 0.0
-    trees = GBTClassifier(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, weightCol="weight_", validationIndicatorCol="held_", predictionCol="side_")
-    return Pipeline(stages=[*assembled(names or INPUTS), trees]).fit(marked), float(size)
+    trees = GBTClassifier(featuresCol="inputs", maxIter=max_iter, maxDepth=TREE_DEPTH, subsamplingRate=0.8, seed=seed, weightCol="weight_", validationIndicatorCol="held_", validationTol=VALIDATION_GAIN, predictionCol="side_")
+    return Pipeline(stages=[gathered(names or INPUTS), trees]).fit(marked), float(size)
 
 
 def predicted(model, rows: DataFrame, scale: float, names: list[str] | None = None) -> DataFrame:
@@ -145,8 +152,14 @@ def principal_components(rows: DataFrame, vector: str, train: F.Column, k: int =
     return model.transform(centred).withColumn("components", vector_to_array("p_")).drop("v_", "c_", "p_", "train_"), model.explainedVariance.toArray().tolist()
 
 
-def averaged(rows: DataFrame, target: str, names: list[str], seeds: tuple[int, ...], max_iter: int = MAX_TREES) -> DataFrame:
-    """Mean prediction of one boosted model for each seed."""
-    fitted = [fit_gbt_reg(rows, target, names, max_iter, s) for s in seeds]
-    parts = [predicted(m, rows, scale, names).select("symbol", "open_time", "split", F.col(target).alias("y"), F.col("pred")) for m, scale in fitted]
-    return reduce(DataFrame.unionByName, parts).groupBy("symbol", "open_time", "split").agg(F.first("y").alias("y"), F.avg("pred").alias("pred"))
+def averaged(rows: DataFrame, target: str, sets: dict[str, list[str]], seeds: tuple[int, ...], max_iter: int = MAX_TREES) -> DataFrame:
+    """(set, symbol, open_time, split, y, pred) for each named set of inputs: the mean prediction of one boosted model for each seed.
+
+    A model's jobs are short and follow one another, so several models are fitted at a time. A row without one of a set's inputs has no prediction of that set.
+    """
+    asked = [(name, names, seed) for name, names in sets.items() for seed in seeds]
+    fit = inheritable_thread_target(rows.sparkSession)(lambda x: fit_gbt_reg(rows, target, x[1], max_iter, x[2]))
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fitted = list(pool.map(fit, asked))
+    parts = [predicted(m, rows, scale, names).select(F.lit(name).alias("set"), "symbol", "open_time", "split", F.col(target).alias("y"), "pred") for (name, names, _), (m, scale) in zip(asked, fitted)]
+    return reduce(DataFrame.unionByName, parts).groupBy("set", "symbol", "open_time", "split").agg(F.first("y").alias("y"), F.avg("pred").alias("pred"))

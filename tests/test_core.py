@@ -587,6 +587,27 @@ def test_fits_find_a_plain_relation(spark, fit):
     assert len(out) == 100 and np.corrcoef(out["pred"], out["y"])[0, 1] > 0.8 and (np.sign(out["pred"]) == np.sign(out["y"])).mean() > 0.8
 
 
+def test_compared_sets_find_a_relation_only_where_its_input_is(spark, monkeypatch):
+    from barflow.catalog import models
+
+    rng = np.random.default_rng(3)
+    inputs = [*X.FEATURES, *[f"score_{i}" for i in range(models.SCORES)], *[f"component_{i}" for i in range(models.COMPONENTS)]]
+    rows = pd.DataFrame(rng.normal(size=(2000, len(inputs))), columns=inputs)
+    rows.insert(0, "y_5", 0.01 * (np.where(rows["score_2"] > 0, 1.0, -1.0) + 0.5 * rows["ret_1"] + rng.normal(size=2000)))
+    rows.insert(0, "split", np.repeat(["train", "val", "test"], [1200, 400, 400]))
+    rows.insert(0, "open_time", np.arange(2000))
+    rows.insert(0, "symbol", "S")
+    rows = spark.createDataFrame(rows)
+    monkeypatch.setattr(models, "enriched", lambda *a: rows)
+    monkeypatch.setattr(models, "SEEDS", (0,))
+    found = {r["set"]: r for r in models.feature_set_compare(spark, "").collect()}
+    plain, both, all_, other = (found[s] for s in ("features", "features, scores", "features, scores, embedding", "scores, embedding"))
+    assert len(found) == 4 and all(r.n == 400 and 0 < r.trades < 400 for r in found.values())
+    assert min(both.ic, all_.ic) > other.ic > 0.5 > plain.ic > 0.1
+    assert min(both.r2_zero, all_.r2_zero) > other.r2_zero > 0.2 > plain.r2_zero
+    assert min(both.net_bps_total, all_.net_bps_total, other.net_bps_total) > 0 and both.hit_rate > 0.75
+
+
 def test_agent_queries_give_what_a_plain_run_of_each_symbol_gives(spark, sf_dir):
     from barflow.catalog import ledgers, models
 
