@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
-from barflow.catalog.common import YEAR_BARS, r
+from barflow.catalog.common import HORIZONS, YEAR_BARS, r
 from barflow.catalog.ledgers import CONFIGS, _sql, books, curves, fed
 from barflow.catalog.signals import advice_texts, normalised
 from barflow.functions import signals as S
@@ -24,14 +27,14 @@ from barflow.sources import sinks
 from barflow.streaming.runner import shared_folder
 
 
-def samples(spark, sf_dir):
-    rows = L.forward_returns(X.features_14(A.bars(spark, sf_dir)).where("valid").drop("rn"), (5,))
-    return checkpointed(L.ratio_split(rows).select("symbol", "open_time", "split", "y_5", *X.FEATURES))
+def samples(spark, sf_dir, horizons=(5,)):
+    rows = L.forward_returns(X.features_14(A.bars(spark, sf_dir)).where("valid").drop("rn"), horizons)
+    return checkpointed(L.ratio_split(rows).select("symbol", "open_time", "split", *[f"y_{h}" for h in horizons], *X.FEATURES))
 
 
-def _scores(rows):
+def _scores(rows, by=("split",)):
     long_ = rows.withColumnRenamed("y_5", "y") if "y_5" in rows.columns else rows
-    return E.quality(long_, ["split"]).join(E.spearman(long_, ["split"]).drop("n"), "split").select("split", "n", r("hit_rate").alias("hit_rate"), r("r2_zero").alias("r2_zero"), r("ic").alias("ic"))
+    return E.quality(long_, list(by)).join(E.spearman(long_, list(by)).drop("n"), list(by)).select(*by, "n", r("hit_rate").alias("hit_rate"), r("r2_zero").alias("r2_zero"), r("ic").alias("ic"))
 
 
 @query()
@@ -133,13 +136,31 @@ def report_sinks(spark, sf_dir):
     return sinks.read_report(spark, folder)[1].select("run", "symbol", "time", "equity")
 
 
+#: What the report's strategy trades beyond, and pays for a trade, in basis points.
+REPORT_BPS, REPORT_COST = 8.0, 10.0
+
+
+def report_rows(spark, sf_dir):
+    """Forecasts of every horizon beside what came: horizon, split, place (a sample's number in its symbol), y, pred, y_scale, sigma."""
+    rows = checkpointed(numbered(samples(spark, sf_dir, HORIZONS)))
+    parts = []
+    for h in HORIZONS:
+        model, scale, left = M.fit_forecaster(rows, f"y_{h}")
+        known = M.predicted(model, rows.dropna(subset=[f"y_{h}"]), scale)
+        parts.append(known.select(F.lit(h).alias("horizon"), "split", F.col("rn").alias("place"), F.col(f"y_{h}").alias("y"), "pred", F.lit(scale).alias("y_scale"), F.lit(left).alias("sigma")))
+    return checkpointed(reduce(DataFrame.unionByName, parts))
+
+
 @query()
 def artifact_report(spark, sf_dir):
-    """Counts and scores of a fit as a report table, with a version from its contents."""
-    rows = samples(spark, sf_dir)
-    model, scale, left = M.fit_forecaster(rows, "y_5")
-    scores = _scores(M.predicted(model, rows, scale))
-    return scores.withColumn("version", F.substring(F.sha2(F.concat_ws("|", "split", "n", F.lit(str(round(scale, 9)))), 256), 1, 12)).withColumn("sigma", F.lit(left))
+    """Counts, scores and the strategy's trades, returns and Sharpe ratios of a fit by horizon and part, with the report's version from its contents."""
+    rows, by = report_rows(spark, sf_dir), ["horizon", "split"]
+    fits = rows.groupBy(*by).agg(F.first("y_scale").alias("y_scale"), F.first("sigma").alias("sigma"))
+    money = E.strategy(rows, by, REPORT_BPS, REPORT_COST, YEAR_BARS)
+    report = checkpointed(_scores(rows, by).join(fits, by).join(money, by, "left"))
+    line = F.format_string("%d|%s|%d|%.9f|%.9f", "horizon", "split", "n", "y_scale", "hit_rate")
+    version = report.agg(F.substring(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256), 1, 12).alias("version"))
+    return report.crossJoin(F.broadcast(version))
 
 
 @query(f"WITH {A.sql_bars()} SELECT symbol, count(*) AS bars, max(open_time) AS last_open FROM bars GROUP BY symbol")

@@ -623,12 +623,26 @@ def test_agent_queries_give_what_a_plain_run_of_each_symbol_gives(spark, sf_dir)
     assert logged == sorted((s, *x) for s, out in runs.items() for x in out.loc[out["reason"] != "end", ["t", "reason", "action", "vetoes"]].itertuples(index=False))
 
 
-def test_report_of_a_fit_has_its_parts_and_counts(spark, sf_dir):
+def test_report_of_a_fit_has_its_parts_and_counts(spark, sf_dir, monkeypatch):
     from barflow.catalog import models
 
-    parts = {r.split: r["count"] for r in models.samples(spark, sf_dir).where("y_5 IS NOT NULL").groupBy("split").count().collect()}
-    found = catalog.QUERIES["artifact_report"](spark, sf_dir).collect()
-    assert {r.split: r.n for r in found} == parts and all(0 <= r.hit_rate <= 1 and len(r.version) == 12 and r.sigma > 0 for r in found if r.n > 1)
+    known = models.samples(spark, sf_dir, models.HORIZONS)
+    rows = models.report_rows(spark, sf_dir)
+    parts = {(h, r.split): r["count"] for h in models.HORIZONS for r in known.where(f"y_{h} IS NOT NULL").groupBy("split").count().collect()}
+    monkeypatch.setattr(models, "report_rows", lambda *a: rows)
+    found = {(r.horizon, r.split): r for r in models.artifact_report(spark, sf_dir).collect()}
+    assert {k: r.n for k, r in found.items()} == parts and len({r.version for r in found.values()}) == 1
+    for (h, split), own in rows.toPandas().groupby(["horizon", "split"]):
+        r = found[h, split]
+        assert len(r.version) == 12 and r.sigma > 0 and r.y_scale == pytest.approx(known.where("split = 'train'").toPandas()[f"y_{h}"].std(ddof=0))
+        moved = own[own.y != 0]
+        assert r.hit_rate == pytest.approx((np.sign(moved.pred) == np.sign(moved.y)).mean(), abs=1e-6)
+        assert r.r2_zero == pytest.approx(1 - ((own.y - own.pred) ** 2).mean() / (own.y**2).mean(), abs=1e-6) and r.ic == pytest.approx(own.pred.rank().corr(own.y.rank()), abs=1e-6)
+        taken = own[own.place % h == 0]
+        side = np.where(taken.pred * 1e4 > models.REPORT_BPS, 1, np.where(taken.pred * 1e4 < -models.REPORT_BPS, -1, 0))
+        net = side * taken.y - abs(side) * models.REPORT_COST / 1e4
+        assert (r.trades, r.periods) == (abs(side).sum(), len(taken)) and r.net_return == pytest.approx(net.sum()) and r.gross_return == pytest.approx((side * taken.y).sum())
+        assert r.net_sharpe == pytest.approx(net.mean() / net.std(ddof=0) * math.sqrt(models.YEAR_BARS / h) if net.std(ddof=0) > 0 else 0.0)
 
 
 def test_clusters_need_a_shared_folder(monkeypatch):
