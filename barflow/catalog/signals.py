@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, W, pick, r
 from barflow.functions import signals as S
+from barflow.functions.ratios import ratio
 from barflow.operators import labels as L
 from barflow.plans.once import with_once
 from barflow.sources import adapters as A
@@ -65,7 +66,7 @@ def broadcast_meta(spark, sf_dir):
     """Every row beside the one row of model metadata."""
     rows = forecasts(spark, sf_dir).withColumn("x", F.col("exp")[1])
     meta = rows.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return rows.crossJoin(F.broadcast(meta)).select("symbol", "open_time", r(F.try_divide(F.col("x") - F.col("mean"), F.col("std"))).alias("z"))
+    return rows.crossJoin(F.broadcast(meta)).select("symbol", "open_time", r(ratio(F.col("x") - F.col("mean"), F.col("std"))).alias("z"))
 
 
 @query(f"WITH {_FORECAST}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k FROM decided) SELECT symbol, open_time, signal FROM k WHERE k <= 20")

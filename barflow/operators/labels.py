@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.functions.ratios import log_ratio
 from barflow.plans.blocks import Blocked, blocked, numbered
 from barflow.plans.lineage import checkpointed
 from barflow.plans.running import quantiles
@@ -13,27 +14,27 @@ from barflow.plans.running import quantiles
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """y_h = ln(close h bars on / close), null at the end of a symbol."""
     b = blocked(numbered(bars), 0, max(horizons))
-    return Blocked.home(b.rows.select("*", *[F.ln(F.try_divide(F.lead("close", h).over(b.window), F.col("close"))).alias(f"y_{h}") for h in horizons]))
+    return Blocked.home(b.rows.select("*", *[log_ratio(F.lead("close", h).over(b.window), F.col("close")).alias(f"y_{h}") for h in horizons]))
 
 
 def tradable_returns(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """ln(close h bars on / open of the next bar): what an order filled at the next open earns."""
     b = blocked(numbered(bars), 0, max(horizons))
     entry = F.lead("open", 1).over(b.window)
-    return Blocked.home(b.rows.select("*", *[F.ln(F.try_divide(F.lead("close", h).over(b.window), entry)).alias(f"tradable_{h}") for h in horizons]))
+    return Blocked.home(b.rows.select("*", *[log_ratio(F.lead("close", h).over(b.window), entry).alias(f"tradable_{h}") for h in horizons]))
 
 
 def past_returns(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """momentum_h = ln(close / close h bars before) and reversal_h, its opposite."""
     b = blocked(numbered(bars), max(horizons))
-    back = {h: F.ln(F.try_divide(F.col("close"), F.lag("close", h).over(b.window))) for h in horizons}
+    back = {h: log_ratio(F.col("close"), F.lag("close", h).over(b.window)) for h in horizons}
     return Blocked.home(b.rows.select("*", *[x.alias(f"momentum_{h}") for h, x in back.items()], *[(-x).alias(f"reversal_{h}") for h, x in back.items()]))
 
 
 def future_steps(bars: DataFrame, steps: int) -> DataFrame:
     """path: the next ``steps`` one-bar log returns as an array; rows with fewer have null."""
     b = blocked(numbered(bars), 1, steps)
-    df = b.rows.withColumn("r1_", F.ln(F.try_divide(F.lead("close", 1).over(b.window), F.col("close"))))
+    df = b.rows.withColumn("r1_", log_ratio(F.lead("close", 1).over(b.window), F.col("close")))
     path = F.collect_list("r1_").over(b.window.rowsBetween(0, steps - 1))
     return Blocked.home(df.withColumn("path", F.when(F.size(path) == steps, path))).drop("r1_")
 

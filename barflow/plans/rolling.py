@@ -12,7 +12,7 @@ def quotient(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.full(len(a), np.nan), where=where)
 
 
-def log_ratio(close: np.ndarray, lag: int) -> np.ndarray:
+def log_change(close: np.ndarray, lag: int) -> np.ndarray:
     """ln(close / close ``lag`` rows before); NaN where a price is 0 and at the start."""
     out = np.full(len(close), np.nan)
     if len(close) > lag:
