@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, NUMBERED, W, YEAR_BARS, pick, r, rounded
 from barflow.catalog.signals import _FORECAST, decided
+from barflow.functions.ratios import ratio
 from barflow.operators import evaluation as E
 from barflow.operators import ledger as G
 from barflow.operators.labels import past_returns
+from barflow.operators.learning import finite
 from barflow.plans.lineage import checkpointed
 from barflow.plans.running import quantiles
 from barflow.sources import adapters as A
 
-#: No position is worth more than ten times the cash at the start: on prices that come back as these do, money would else compound beyond the doubles.
+#: Where the SQL of a query has the bound, no position is worth more than ten times the cash at the start. The ledgers themselves, their curves and summaries have none.
 MOST = 100_000.0
 CONFIGS = {
     "plain": G.Rules(most=MOST), "tight": G.Rules(stop_bps=3000, take_bps=6000, most=MOST), "long": G.Rules(allow_short=False, size=0.5, most=MOST), "free": G.Rules(fee_bps=0, slippage_bps=0, stop_bps=5000, most=MOST),
 }
+WHOLE = {name: replace(rules, most=float("inf")) for name, rules in CONFIGS.items()}
 
 
 def fed(spark, sf_dir):
@@ -29,15 +34,18 @@ def fed(spark, sf_dir):
     return bars.join(signals, ["symbol", "t"], "left")
 
 
-def _money(side: str, cash: str, price: str, out: str) -> str:
+def _money(side: str, cash: str, price: str, out: str, bounded: bool) -> str:
     """Profit and fees of a position for the SQL: all columns but the last two are inputs."""
-    qty = f"(least({cash} * k.size, k.most) / {price})"
+    qty = f"(least({cash} * k.size, k.most) / {price})" if bounded else f"({cash} * k.size / {price})"
     return f"{side} * {qty} * ({out} - {price}) - {qty} * {price} * k.rate - {qty} * {out} * k.rate"
 
 
-#: The ledger row by row: what waits is done at the open, then stop or take, then the horizon at the close; a bar ends two positions at most.
-LEDGER_SQL = f"""{_FORECAST},
- rules AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {c.fee_bps / 1e4!r}::DOUBLE, {c.slippage_bps}::DOUBLE, {c.size}::DOUBLE, {c.stop_bps}::DOUBLE, {c.take_bps}::DOUBLE, {str(c.allow_short).lower()}, {c.most!r}::DOUBLE)" for n, c in CONFIGS.items())}) v(run, rate, slip, size, stop, take, shorts, most)),
+def _ledger_sql(bounded: bool) -> str:
+    """The ledger row by row: what waits is done at the open, then stop or take, then the horizon at the close; a bar ends two positions at most."""
+    most = ", most" if bounded else ""
+    stake = "stake" if bounded else "cash * size"
+    return f"""{_FORECAST},
+ rules AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {c.fee_bps / 1e4!r}::DOUBLE, {c.slippage_bps}::DOUBLE, {c.size}::DOUBLE, {c.stop_bps}::DOUBLE, {c.take_bps}::DOUBLE, {str(c.allow_short).lower()}{f', {c.most!r}::DOUBLE' if bounded else ''})" for n, c in CONFIGS.items())}) v(run, rate, slip, size, stop, take, shorts{most})),
  feed AS (SELECT b.symbol, b.open_time AS t, b.open, b.high, b.low, b.close, d.signal, CAST(d.horizon AS BIGINT) AS horizon, d.edge_bps, row_number() OVER (PARTITION BY b.symbol ORDER BY b.open_time) - 1 AS n,
    count(*) OVER (PARTITION BY b.symbol) AS total FROM bars b LEFT JOIN decided d USING (symbol, open_time)),
  acts AS (SELECT *, lag(signal) OVER w AS sig, lag(horizon) OVER w AS hor, lag(edge_bps) OVER w AS edge_in FROM feed WINDOW w AS (PARTITION BY symbol ORDER BY n)),
@@ -50,24 +58,26 @@ LEDGER_SQL = f"""{_FORECAST},
    reverses AND a_ok, side0, entry0, price0, a_out, cash0, held0, planned0, edge0, closes AND ok1, side1, entry1, price1, b_out, cash1, held2, planned1, edge1, CASE WHEN stopped THEN 'stop' WHEN taken THEN 'take' ELSE 'horizon' END, stays AND ok1
   FROM (SELECT k.run, a.symbol, a.n, s.side AS side0, s.entry_t AS entry0, s.price AS price0, s.held AS held0, s.planned AS planned0, s.edge AS edge0, s.cash AS cash0,
    CASE WHEN a.sig = 'LONG' THEN 1 WHEN a.sig = 'SHORT' AND k.shorts THEN -1 ELSE 0 END AS want, want <> 0 AND s.side <> want AS opens, opens AND s.side <> 0 AS reverses,
-   a.open * (1 - s.side * k.slip / 1e4) AS a_out, s.cash > 0 AND k.size > 0 AND s.price > 0 AS a_ok, {_money('s.side', 's.cash', 's.price', 'a_out')} AS a_pnl, s.cash + CASE WHEN reverses AND a_ok THEN a_pnl ELSE 0 END AS cash1,
+   a.open * (1 - s.side * k.slip / 1e4) AS a_out, s.cash > 0 AND k.size > 0 AND s.price > 0 AS a_ok, {_money('s.side', 's.cash', 's.price', 'a_out', bounded)} AS a_pnl, s.cash + CASE WHEN reverses AND a_ok THEN a_pnl ELSE 0 END AS cash1,
    CASE WHEN opens THEN want ELSE s.side END AS side1, CASE WHEN opens THEN a.open * (1 + want * k.slip / 1e4) ELSE s.price END AS price1, CASE WHEN opens THEN a.t ELSE s.entry_t END AS entry1,
    CASE WHEN opens THEN a.hor ELSE s.planned END AS planned1, CASE WHEN opens THEN a.hor WHEN want <> 0 THEN s.held + a.hor ELSE s.until END AS until1, CASE WHEN opens THEN 0 ELSE s.held END AS held1, CASE WHEN opens THEN a.edge_in ELSE s.edge END AS edge1,
    price1 * (1 - side1 * k.stop / 1e4) AS stop_at, price1 * (1 + side1 * k.take / 1e4) AS take_at,
    side1 <> 0 AND k.stop > 0 AND stop_at * side1 >= CASE WHEN side1 > 0 THEN a.low ELSE a.high END * side1 AS stopped, side1 <> 0 AND NOT stopped AND k.take > 0 AND take_at * side1 <= CASE WHEN side1 > 0 THEN a.high ELSE a.low END * side1 AS taken,
    side1 <> 0 AND NOT stopped AND NOT taken AS stays, held1 + stays::BIGINT AS held2, stopped OR taken OR stays AND held2 >= until1 AS closes,
    CASE WHEN stopped THEN side1 * least(side1 * a.open, side1 * stop_at) WHEN taken THEN side1 * greatest(side1 * a.open, side1 * take_at) ELSE a.close END * (1 - side1 * k.slip / 1e4) AS b_out,
-   cash1 > 0 AND k.size > 0 AND price1 > 0 AS ok1, {_money('side1', 'cash1', 'price1', 'b_out')} AS b_pnl
+   cash1 > 0 AND k.size > 0 AND price1 > 0 AS ok1, {_money('side1', 'cash1', 'price1', 'b_out', bounded)} AS b_pnl
    FROM steps s JOIN acts a ON a.symbol = s.symbol AND a.n = s.n + 1 JOIN rules k ON k.run = s.run)),
- walked AS (SELECT s.*, f.t, f.close, f.n = f.total - 1 AS last, k.rate, k.slip, k.size, k.most FROM steps s JOIN feed f ON f.symbol = s.symbol AND f.n = s.n JOIN rules k USING (run)),
- ended AS (SELECT *, least(cash * size, most) AS stake, close * (1 - side * slip / 1e4) AS e_exit, last AND side <> 0 AND cash > 0 AND size > 0 AND price > 0 AS e_done FROM walked),
- closed AS (SELECT run, symbol, a_side AS s, a_entry AS entry_time, a_price AS entry_price, t AS exit_time, a_exit AS exit_price, a_cash AS c, a_bars AS bars, 'reverse' AS reason, a_planned AS horizon, a_edge AS edge_bps, rate, size, most FROM ended WHERE a_done
-  UNION ALL SELECT run, symbol, b_side, b_entry, b_price, t, b_exit, b_cash, b_bars, b_reason, b_planned, b_edge, rate, size, most FROM ended WHERE b_done
-  UNION ALL SELECT run, symbol, side, entry_t, price, t, e_exit, cash, held, 'end', planned, edge, rate, size, most FROM ended WHERE e_done),
- ledger AS (SELECT run, symbol, CASE WHEN s > 0 THEN 'LONG' ELSE 'SHORT' END AS side, entry_time, entry_price, exit_time, exit_price, least(c * size, most) / entry_price AS qty,
+ walked AS (SELECT s.*, f.t, f.close, f.n = f.total - 1 AS last, k.rate, k.slip, k.size{', k.most' if bounded else ''} FROM steps s JOIN feed f ON f.symbol = s.symbol AND f.n = s.n JOIN rules k USING (run)),
+ ended AS (SELECT *, {'least(cash * size, most) AS stake, ' if bounded else ''}close * (1 - side * slip / 1e4) AS e_exit, last AND side <> 0 AND cash > 0 AND size > 0 AND price > 0 AS e_done FROM walked),
+ closed AS (SELECT run, symbol, a_side AS s, a_entry AS entry_time, a_price AS entry_price, t AS exit_time, a_exit AS exit_price, a_cash AS c, a_bars AS bars, 'reverse' AS reason, a_planned AS horizon, a_edge AS edge_bps, rate, size{most} FROM ended WHERE a_done
+  UNION ALL SELECT run, symbol, b_side, b_entry, b_price, t, b_exit, b_cash, b_bars, b_reason, b_planned, b_edge, rate, size{most} FROM ended WHERE b_done
+  UNION ALL SELECT run, symbol, side, entry_t, price, t, e_exit, cash, held, 'end', planned, edge, rate, size{most} FROM ended WHERE e_done),
+ ledger AS (SELECT run, symbol, CASE WHEN s > 0 THEN 'LONG' ELSE 'SHORT' END AS side, entry_time, entry_price, exit_time, exit_price, {'least(c * size, most)' if bounded else 'c * size'} / entry_price AS qty,
    s * qty * (exit_price - entry_price) - qty * entry_price * rate - qty * exit_price * rate AS pnl, qty * entry_price * rate + qty * exit_price * rate AS fees, pnl / (qty * entry_price) * 1e4 AS ret_bps, bars, reason, horizon, edge_bps FROM closed),
- curve AS (SELECT run, symbol, t, CASE WHEN e_done THEN cash + side * (stake / price) * (e_exit - price) - stake * rate - (stake / price) * e_exit * rate
-   WHEN side <> 0 AND cash > 0 AND size > 0 AND price > 0 THEN cash - stake / price * price * rate + side * (stake / price) * (close - price) ELSE cash END AS equity, in_market FROM ended)"""
+ curve AS (SELECT run, symbol, t, CASE WHEN e_done THEN cash + side * ({stake} / price) * (e_exit - price) - {stake} * rate - ({stake} / price) * e_exit * rate
+   WHEN side <> 0 AND cash > 0 AND size > 0 AND price > 0 THEN cash - {stake} / price * price * rate + side * ({stake} / price) * (close - price) ELSE cash END AS equity, in_market FROM ended)"""
+
+
 LEDGER_COLUMNS = "run symbol side entry_time exit_time bars reason horizon"
 LEDGER_PRICES, LEDGER_VALUES = "entry_price exit_price", "qty pnl fees ret_bps edge_bps"
 #: Prices have up to six digits after the slippage, so four would meet ties.
@@ -78,31 +88,35 @@ def _ledger_rows(df, keys=""):
     return df.select(*LEDGER_COLUMNS.split(), *keys.split(), *[r(c, 8).alias(c) for c in LEDGER_PRICES.split()], *[r(c, 4).alias(c) for c in LEDGER_VALUES.split()])
 
 
-def _sql(select: str, more: str = "") -> str:
-    return f"WITH RECURSIVE {LEDGER_SQL}{', ' + more if more else ''} {select}"
+def _sql(select: str, more: str = "", bounded: bool = False) -> str:
+    return f"WITH RECURSIVE {_ledger_sql(bounded)}{', ' + more if more else ''} {select}"
 
 
-def books(spark, sf_dir):
-    """Trades and equity curves of all sets of rules, folded once and read as often as needed."""
-    return G.parted(checkpointed(G.both(fed(spark, sf_dir), CONFIGS)))
+def books(spark, sf_dir, rules=CONFIGS):
+    """Trades and equity curves of all sets of rules, folded once and read as often as needed.
+
+    Books of bounded rules hold finite numbers only: the edge of a forecast from a price of 0, which has no bound, counts as unknown in them.
+    """
+    rows = fed(spark, sf_dir)
+    return G.parted(checkpointed(G.both(finite(rows, ["edge_bps"]) if rules is CONFIGS else rows, rules)))
 
 
-def ledger(spark, sf_dir):
-    return G.parted(G.both(fed(spark, sf_dir), CONFIGS))[0]
+def ledger(spark, sf_dir, rules=CONFIGS):
+    return G.parted(G.both(fed(spark, sf_dir), rules))[0]
 
 
-def curves(spark, sf_dir):
-    return G.parted(G.both(fed(spark, sf_dir), CONFIGS))[1]
+def curves(spark, sf_dir, rules=CONFIGS):
+    return G.parted(G.both(fed(spark, sf_dir), rules))[1]
 
 
 @query(_sql(f"SELECT {LEDGER_SQL_COLUMNS} FROM ledger"))
 def position_ledger(spark, sf_dir):
-    return _ledger_rows(ledger(spark, sf_dir))
+    return _ledger_rows(ledger(spark, sf_dir, WHOLE))
 
 
 @query(_sql("SELECT run, symbol, t, round(equity, 4) + 0.0 AS equity, in_market FROM curve"))
 def equity_curve(spark, sf_dir):
-    return pick(curves(spark, sf_dir), "run symbol t in_market", "equity", 4)
+    return pick(curves(spark, sf_dir, WHOLE), "run symbol t in_market", "equity", 4)
 
 
 _SUMMARY = "end_equity max_drawdown_pct sharpe_ann exposure_pct total_return_pct win_rate_pct avg_trade_bps profit_factor fees_paid"
@@ -119,10 +133,10 @@ _COUNTS = "bars trades longs shorts exits_horizon exits_stop exits_take exits_re
  summary AS (SELECT run, symbol, end_equity, max_drawdown_pct, sharpe_ann, bars, exposure_pct, (end_equity / 10000 - 1) * 100 AS total_return_pct, profit_factor,
    {', '.join(f'coalesce({c}, 0) AS {c}' for c in 'trades win_rate_pct avg_trade_bps fees_paid longs shorts exits_horizon exits_stop exits_take exits_reverse exits_end'.split())} FROM c2 LEFT JOIN b2 USING (run, symbol))"""))
 def run_summary(spark, sf_dir):
-    return pick(E.run_summary(*books(spark, sf_dir), ["run", "symbol"], 10_000.0, YEAR_BARS), f"run symbol {_COUNTS}", _SUMMARY, 4)
+    return pick(E.run_summary(*books(spark, sf_dir, WHOLE), ["run", "symbol"], 10_000.0, YEAR_BARS), f"run symbol {_COUNTS}", _SUMMARY, 4)
 
 
-@query(_sql("SELECT run, symbol, reason, count(*) AS n FROM ledger GROUP BY ALL"))
+@query(_sql("SELECT run, symbol, reason, count(*) AS n FROM ledger GROUP BY ALL", bounded=True))
 def exit_reasons(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("run", "symbol", "reason").agg(F.count("*").alias("n"))
 
@@ -130,15 +144,15 @@ def exit_reasons(spark, sf_dir):
 @query(_sql(f"SELECT {LEDGER_SQL_COLUMNS}, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY run, symbol ORDER BY exit_time DESC, entry_time DESC) AS k FROM ledger) WHERE k <= 5"))
 def recent_trades(spark, sf_dir):
     w = Window.partitionBy("run", "symbol").orderBy(F.desc("exit_time"), F.desc("entry_time"))
-    return _ledger_rows(ledger(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5"), "k")
+    return _ledger_rows(ledger(spark, sf_dir, WHOLE).withColumn("k", F.row_number().over(w)).where("k <= 5"), "k")
 
 
 @query(_sql("""SELECT e.run, e.symbol, round(e.ret, 6) + 0.0 AS ret, round(p.ret, 6) + 0.0 AS plain_ret, round(h.buy_hold, 6) + 0.0 AS buy_hold FROM ends e JOIN ends p ON p.symbol = e.symbol AND p.run = 'plain' JOIN hold h ON h.symbol = e.symbol WHERE e.run <> 'plain'""", """
  ends AS (SELECT run, symbol, arg_max(equity, t) / 10000 - 1 AS ret FROM curve GROUP BY ALL), hold AS (SELECT symbol, arg_max(close, open_time) / arg_min(open, open_time) - 1 AS buy_hold FROM bars GROUP BY symbol)"""))
 def compare_runs(spark, sf_dir):
     """Each set of rules beside the plain one and buy-and-hold, by symbol."""
-    ends = curves(spark, sf_dir).groupBy("run", "symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("ret"))
-    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
+    ends = curves(spark, sf_dir, WHOLE).groupBy("run", "symbol").agg((F.max_by("equity", "t") / 10_000.0 - 1).alias("ret"))
+    hold = A.bars(spark, sf_dir).groupBy("symbol").agg((ratio(F.max_by("close", "open_time"), F.min_by("open", "open_time")) - 1).alias("buy_hold"))
     plain = ends.where("run = 'plain'").select("symbol", F.col("ret").alias("plain_ret"))
     return pick(ends.where("run <> 'plain'").join(plain, "symbol").join(hold, "symbol"), "run symbol", "ret plain_ret buy_hold")
 
@@ -147,7 +161,7 @@ def compare_runs(spark, sf_dir):
  FROM curve c JOIN bars b ON b.symbol = c.symbol AND b.open_time = c.t JOIN ledger l ON l.run = c.run AND l.symbol = c.symbol AND c.t BETWEEN l.entry_time AND l.exit_time WHERE c.in_market"""))
 def mark_to_market(spark, sf_dir):
     """Open positions at each bar: cash, unrealised basis points and equity against the start, from the curve and the trade that is open."""
-    trades, curve = books(spark, sf_dir)
+    trades, curve = books(spark, sf_dir, WHOLE)
     trades, curve = trades.select("run", "symbol", "side", "entry_time", "exit_time", "entry_price"), curve.where("in_market")
     bars = A.bars(spark, sf_dir).select("symbol", F.col("open_time").alias("t"), "close")
     day = F.floor(F.col("t") / A.DAY)
@@ -155,13 +169,13 @@ def mark_to_market(spark, sf_dir):
     days = trades.withColumn("day_", F.explode(F.sequence(F.floor(F.col("entry_time") / A.DAY), F.floor(F.col("exit_time") / A.DAY))))
     rows = curve.join(bars, ["symbol", "t"]).withColumn("day_", day).join(days, ["run", "symbol", "day_"]).where("t >= entry_time AND t <= exit_time")
     sign = F.when(F.col("side") == "LONG", 1).otherwise(-1)
-    return rows.select("run", "symbol", "t", "entry_time", "side", r(sign * (F.try_divide("close", "entry_price") - 1) * 1e4, 4).alias("unrealised_bps"), r((F.col("equity") / 10_000.0 - 1) * 100, 4).alias("return_pct"))
+    return rows.select("run", "symbol", "t", "entry_time", "side", r(sign * (ratio("close", "entry_price") - 1) * 1e4, 4).alias("unrealised_bps"), r((F.col("equity") / 10_000.0 - 1) * 100, 4).alias("return_pct"))
 
 
 @query(_sql("SELECT run, symbol, t, cooling, halted FROM blocks", f"""
  lost AS (SELECT DISTINCT run, symbol, exit_time AS t, 1 AS lost FROM ledger WHERE pnl < 0), days AS (SELECT c.*, t // {A.DAY} AS day, coalesce(lost, 0) AS lost FROM curve c LEFT JOIN lost USING (run, symbol, t)),
  began AS (SELECT *, max(lost) OVER (PARTITION BY run, symbol ORDER BY t ROWS 4 PRECEDING) = 1 AS cooling, CAST((equity / first_value(equity) OVER (PARTITION BY run, symbol, day ORDER BY t) - 1) * 100 <= -3.0 AS INTEGER) AS hit FROM days),
- blocks AS (SELECT *, max(hit) OVER (PARTITION BY run, symbol, day ORDER BY t) = 1 AS halted FROM began)"""))
+ blocks AS (SELECT *, max(hit) OVER (PARTITION BY run, symbol, day ORDER BY t) = 1 AS halted FROM began)""", bounded=True))
 def entry_blocks(spark, sf_dir):
     """What would keep a run from opening at each bar: a cool-down of five bars after a losing exit, and the rest of a UTC day once it has lost 3 %.
 
@@ -174,7 +188,7 @@ def entry_blocks(spark, sf_dir):
     day = Window.partitionBy("run", "symbol", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     start = F.first("equity").over(day)
     rows = rows.withColumn("cooling", F.coalesce(F.max("lost").over(by.rowsBetween(-4, 0)), F.lit(0)) == 1).withColumn("start_", start)
-    hit = (F.try_divide("equity", "start_") - 1) * 100 <= -3.0
+    hit = (ratio("equity", "start_") - 1) * 100 <= -3.0
     return rows.withColumn("hit_", hit.cast("int")).withColumn("halted", F.max("hit_").over(day) == 1).select("run", "symbol", "t", "cooling", "halted")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import query
 from barflow.catalog.common import HORIZONS, YEAR_BARS, r
-from barflow.catalog.ledgers import CONFIGS, _sql, books, curves, fed
+from barflow.catalog.ledgers import CONFIGS, WHOLE, _sql, books, curves, fed
 from barflow.catalog.signals import advice_texts, normalised
 from barflow.functions import signals as S
 from barflow.operators import agent as B
@@ -29,7 +29,8 @@ from barflow.streaming.runner import shared_folder
 
 def samples(spark, sf_dir, horizons=(5,)):
     rows = L.forward_returns(X.features_14(A.bars(spark, sf_dir)).where("valid").drop("rn"), horizons)
-    return checkpointed(L.ratio_split(rows).select("symbol", "open_time", "split", *[f"y_{h}" for h in horizons], *X.FEATURES))
+    wanted = [f"y_{h}" for h in horizons] + list(X.FEATURES)
+    return checkpointed(M.finite(L.ratio_split(rows).select("symbol", "open_time", "split", *wanted), wanted))
 
 
 def _scores(rows, by=("split",)):
@@ -131,7 +132,7 @@ def decision_log_sink(spark, sf_dir):
 def report_sinks(spark, sf_dir):
     """The equity report as written and read again."""
     folder = shared_folder(spark)
-    trades, equity = books(spark, sf_dir)
+    trades, equity = books(spark, sf_dir, WHOLE)
     sinks.write_report(trades, equity, E.run_summary(trades, equity, ["run", "symbol"], 10_000.0, YEAR_BARS), folder)
     return sinks.read_report(spark, folder)[1].select("run", "symbol", "time", "equity")
 

@@ -8,12 +8,12 @@ from barflow.catalog import query
 from barflow.catalog.bars import X
 from barflow.catalog.common import FEATURES_SQL, HORIZONS, W, YEAR_BARS, back, pick, r, rounded
 from barflow.catalog.evaluation import _BUCKET_SQL, PERCENTILES
-from barflow.catalog.ledgers import CONFIGS, _sql, fed
+from barflow.catalog.ledgers import WHOLE, _sql, fed
 from barflow.catalog.market import _BOOK_SQL, _FLOW_SQL, _REGIME
 from barflow.catalog.storage import _MESSAGES, messages
 from barflow.operators import evaluation as E
 from barflow.operators.labels import ratio_split
-from barflow.operators.learning import fit_window_model, lag_spans
+from barflow.operators.learning import finite, fit_window_model, lag_spans
 from barflow.plans.blocks import numbered
 from barflow.plans.lineage import checkpointed
 from barflow.sources import adapters as A
@@ -91,7 +91,7 @@ def stream_snapshot(spark, sf_dir):
 def stream_ledger(spark, sf_dir):
     """The batch ledger's trades but for those that only its end closes."""
     rows = fed(spark, sf_dir).select("symbol", "t", "open", "high", "low", "close", "signal", "horizon", "edge_bps")
-    return pick(N.drained(P.stream_ledger(replayed(rows, "t"), CONFIGS["plain"])), "symbol side entry_time exit_time bars reason", "pnl", 4)
+    return pick(N.drained(P.stream_ledger(replayed(rows, "t"), WHOLE["plain"])), "symbol side entry_time exit_time bars reason", "pnl", 4)
 
 
 @query(f"WITH {_MESSAGES} SELECT topic, sent // 86400000 AS day, count(*) AS messages, count(DISTINCT payload) AS payloads FROM messages GROUP BY ALL")
@@ -135,7 +135,7 @@ LOOKBACK = 128
 def scored_rows(spark, sf_dir):
     """Valid feature rows with their place and part, as models are fitted on them and score them."""
     rows = X.features_14(A.bars(spark, sf_dir)).where("valid").drop("rn")
-    return checkpointed(ratio_split(numbered(rows)).select("symbol", "open_time", "close", "rn", "split", *X.FEATURES))
+    return checkpointed(finite(ratio_split(numbered(rows)).select("symbol", "open_time", "close", "rn", "split", *X.FEATURES), list(X.FEATURES)))
 
 
 def _score_sql() -> str:

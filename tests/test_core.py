@@ -658,3 +658,46 @@ def test_clusters_need_a_shared_folder(monkeypatch):
         context.master = master
         with pytest.raises(RuntimeError):
             lineage.shared_root(session)
+
+
+def test_cash_below_the_smallest_double_is_no_error():
+    prices = [(100.0, 100, 1, 1), (100, 100, 100, 100)] * 400
+    rows = pd.DataFrame([(i, *map(float, b), "LONG" if i % 2 else None, 1, 0.0, None, None, None, None) for i, b in enumerate(prices)], columns=["t", "open", "high", "low", "close", "signal", "horizon", "edge_bps", "price", "size", "stop_bps", "take_bps"])
+    trades, curve = ledger.fold(rows, ledger.Rules(cash=1000.0, fee_bps=0, slippage_bps=0))
+    assert len(trades) > 100 and curve["equity"].iloc[-1] < 1e-300 and len(curve) == 800
+    assert ledger.money(ledger.Holding(1, 0, 100.0, 1, 0.0, 0.5, 0.0, 0.0, 1, exit_price=1.0), 5e-324, FLAT)["qty"] == 0
+
+
+def test_prices_of_zero_make_infinities_as_in_sql(spark):
+    from barflow.functions.ratios import log_ratio, ratio
+
+    rows = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (None, 0.0)], "a double, b double")
+    got = [(x.q, x.l) for x in rows.select(ratio("a", "b").alias("q"), log_ratio("a", "b").alias("l")).collect()]
+    assert got[0] == (0.5, math.log(0.5)) and got[1] == (math.inf, math.inf) and got[2] == (0.0, -math.inf) and all(map(math.isnan, got[3])) and got[4] == (None, None)
+    bars = [("S", i * 60_000, i * 60_000 + 59_999, p, p, p, p, 1.0, 1, 0.5) for i, p in enumerate([10.0] * 100 + [0.0] + [10.0] * 200)]
+    bars = spark.createDataFrame(bars, "symbol string, open_time long, close_time long, open double, high double, low double, close double, volume double, trades long, taker double")
+    made = {x.open_time // 60_000: x for x in X.features_14(bars).collect()}
+    assert made[100].ret_1 == -math.inf and made[101].ret_1 == math.inf and made[100].atr_pct_14 == math.inf and math.isnan(made[100].range_pct)
+    wide = {x.open_time // 60_000: x for x in X.extra_features(bars, 10, 20, 40, 5).collect()}
+    assert wide[105].rms_short == math.inf and math.isnan(wide[102].mean_range) and wide[250].rms_short == 0 and wide[250].mean_range == 0
+
+
+def test_flow_over_many_seconds_equals_a_plain_sum(spark):
+    draw = random.Random(3)
+    trades = [("S", i, draw.randint(1, 400) / 4, float(draw.randint(1, 9)), draw.random() < 0.5, t * 1000) for i, t in enumerate(sorted(draw.sample(range(80_000, 95_000), 400)))]
+    rows = spark.createDataFrame(trades, "symbol string, trade_id long, price double, qty double, is_buyer_maker boolean, trade_time long")
+    flow = M.flow(M.second_buckets(rows), 60, 300)
+    assert "unboundedpreceding" in flow._jdf.queryExecution().toString().lower() and flow.count() == 400
+    for x in flow.collect():
+        own = [t for t in trades if x.sec - 300 < t[5] // 1000 <= x.sec]
+        near = [t for t in own if t[5] // 1000 > x.sec - 60]
+        share = lambda ts: sum(-t[3] if t[4] else t[3] for t in ts) / sum(t[3] for t in ts)
+        assert (x.flow_short, x.flow_long, x.trade_rate) == (share(near), share(own), len(near) / 60) and x.vwap == pytest.approx(sum(t[2] * t[3] for t in own) / sum(t[3] for t in own))
+
+
+def test_ledgers_named_by_their_sql_are_not_bounded():
+    from barflow.catalog import ledgers
+
+    assert all(rules.most == math.inf for rules in ledgers.WHOLE.values())
+    for name in ("position_ledger", "equity_curve", "run_summary", "recent_trades", "compare_runs", "mark_to_market", "report_sinks", "stream_ledger"):
+        assert "least(cash" not in catalog.ORACLES[name] and "least(c " not in catalog.ORACLES[name] and "k.most" not in catalog.ORACLES[name]
