@@ -709,3 +709,18 @@ def test_a_summary_keeps_what_is_not_a_number(spark):
     made = {x.run: x for x in E.run_summary(trades, equity, ["run"], 100.0, 525_600.0).collect()}
     assert math.isnan(made["a"].avg_trade_bps) and made["a"].fees_paid == math.inf and made["a"].trades == 2 and made["a"].exits_end == 1
     assert (made["b"].trades, made["b"].avg_trade_bps, made["b"].fees_paid, made["b"].win_rate_pct, made["b"].profit_factor) == (0, 0.0, 0.0, 0.0, None)
+
+
+def test_a_window_model_of_infinite_targets_has_no_finite_score(spark, tmp_path):
+    from barflow.operators.learning import clipped, fit_window_model
+    from barflow.streaming import scoring as C
+
+    assert clipped(np.array([9.0, -9.0, np.nan, 1.0]), 0.0, 1.0).tolist() == [5.0, -5.0, 5.0, 1.0]
+    rng = np.random.default_rng(9)
+    rows = [("S", i * 60_000, 0.0 if i == 60 else float(np.exp(0.01 * rng.normal() + 3)), None if i % 31 == 0 else float(rng.normal()), i, "train" if i < 120 else "val") for i in range(170)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, close double, f double, rn long, split string")
+    C.write_model(spark, f"{tmp_path}/models", 1, fit_window_model(df, ["f"], (1, 3), 8))
+    made = C.score(df, C.latest_model(spark, f"{tmp_path}/models", ["f"])).collect()
+    assert len(made) == 163 and all(math.isnan(x) for row in made for x in [*row.exp, row.edge_bps]) and {(x.signal, x.horizon) for x in made} == {("LONG", 1)}
+    late = C.score(df, fit_window_model(df.where("open_time > 3600000").withColumn("rn", F.col("rn") - 61), ["f"], (1, 3), 8)).collect()
+    assert all(math.isfinite(x) for row in late for x in row.exp)
