@@ -158,54 +158,62 @@ def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: i
     return bars.groupBy("symbol").transformWithStateInPandas(Regimes(bars_per_year, vol, path, history, enough), schema, "Append", "None")
 
 
-class Seconds:
-    """Sums over the last ``span`` seconds out of sums by second, each second taken in once and left out once."""
+#: Seconds of a block of state: a call for each block, not for each second, since a call costs as much as thousands of sums.
+BLOCK = 600
+SUMS = "sec array<long>, buy array<double>, sell array<double>, n array<double>, notional array<double>"
 
-    def __init__(self, span: int) -> None:
-        self.span, self.total, self.first = span, [0.0] * 4, 0
 
-    def upto(self, now: int, order: list[int], sums: dict[int, list[float]]) -> list[float]:
-        """The sums after all seconds up to ``now`` have been taken in by :meth:`take`."""
-        while self.first < len(order) and order[self.first] <= now - self.span:
-            self.total = [a - b for a, b in zip(self.total, sums[order[self.first]])]
-            self.first += 1
-        return self.total
+def kept_sums(blocks) -> tuple[np.ndarray, np.ndarray]:
+    """Seconds, ascending, and their four sums, out of a map of blocks."""
+    rows = np.array(sorted(row for _, block in blocks.iterator() for row in zip(*block)), float).reshape(-1, 5)
+    return rows[:, 0].astype(np.int64), rows[:, 1:]
 
-    def take(self, row: list[float]) -> None:
-        self.total = [a + b for a, b in zip(self.total, row)]
+
+def keep_sums(blocks, before: np.ndarray, secs: np.ndarray, sums: np.ndarray, touched: np.ndarray) -> None:
+    """Let the map have ``sums`` of the ascending ``secs``: only the blocks of seconds that were touched, or are gone since ``before``, are written."""
+    had = set((before // BLOCK).tolist())
+    for b in set((np.intersect1d(touched, secs) // BLOCK).tolist()) | set((np.setdiff1d(before, secs) // BLOCK).tolist()):
+        own = slice(*np.searchsorted(secs, [b * BLOCK, (b + 1) * BLOCK]))
+        if own.start < own.stop:
+            blocks.updateValue((b,), (secs[own].tolist(), *sums[own].T.tolist()))
+        elif b in had:
+            blocks.removeKey((b,))
+
+
+def running(parts: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, .. rows, with digits to spare, since windows are differences of them."""
+    return np.concatenate([np.zeros((1, parts.shape[1]), np.longdouble), np.cumsum(parts, axis=0, dtype=np.longdouble)])
+
+
+def flow_of(buy: np.ndarray, sell: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(buy + sell > 0, (buy - sell) / (buy + sell), 0.0)
+
+
+def vwap_of(notional: np.ndarray, volume: np.ndarray, default) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(volume > 0, notional / volume, default)
 
 
 class Rolled(StatefulProcessor):
-    """Buckets of one second in a map; each new one gives the sums over two spans that end with it, and those that no later one can ask for are removed."""
+    """Buckets of one second in blocks of a map; each new one gives the sums over two spans that end with it, and those that no later one can ask for are removed."""
 
     def __init__(self, short_s: int, long_s: int) -> None:
         self.short_s, self.long_s = short_s, long_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seconds = handle.getMapState("seconds", "sec long", "buy double, sell double, n double, notional double")
+        self.blocks = handle.getMapState("blocks", "block long", SUMS)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         rows = _sorted(rows, "sec")
-        sums = {k[0]: list(v) for k, v in self.seconds.iterator()}
-        spans = [Seconds(self.short_s), Seconds(self.long_s)]
-        order, out = sorted(sums), []
-        for row in (sums[s] for s in order):
-            for span in spans:
-                span.take(row)
-        for x in rows.itertuples(index=False):
-            sums[x.sec] = [float(x.buy), float(x.sell), float(x.n), float(x.notional)]
-            order.append(int(x.sec))
-            for span in spans:
-                span.take(sums[x.sec])
-            (b1, s1, n1, _), (b2, s2, _, x2) = (span.upto(int(x.sec), order, sums) for span in spans)
-            out.append((key[0], int(x.sec), (b1 - s1) / (b1 + s1) if b1 + s1 > 0 else 0.0, (b2 - s2) / (b2 + s2) if b2 + s2 > 0 else 0.0, n1 / self.short_s, x2 / (b2 + s2) if b2 + s2 > 0 else None))
-        last = order[-1]
-        for s in order[: spans[1].first]:
-            self.seconds.removeKey((s,))
-        for s in map(int, rows["sec"]):
-            if s > last - self.long_s:
-                self.seconds.updateValue((s,), tuple(sums[s]))
-        yield pd.DataFrame(out, columns=["symbol", "sec", "flow_short", "flow_long", "trade_rate", "vwap"])
+        before, sums = kept_sums(self.blocks)
+        secs, sums = np.concatenate([before, rows["sec"].to_numpy(np.int64)]), np.concatenate([sums, rows[["buy", "sell", "n", "notional"]].to_numpy(float)])
+        upto, new = running(sums), np.arange(len(before), len(secs))
+        starts = [np.searchsorted(secs, secs[new] - span, "right") for span in (self.short_s, self.long_s)]
+        (b1, s1, n1, _), (b2, s2, _, x2) = ((upto[new + 1] - upto[start]).astype(float).T for start in starts)
+        first = starts[1][-1]  # no later second asks for those before it
+        keep_sums(self.blocks, before, secs[first:], sums[first:], secs[new])
+        yield pd.DataFrame({"symbol": key[0], "sec": secs[new], "flow_short": flow_of(b1, s1), "flow_long": flow_of(b2, s2), "trade_rate": n1 / self.short_s, "vwap": plain(vwap_of(x2, b2 + s2, np.nan))})
 
     def close(self) -> None:
         pass
@@ -228,51 +236,54 @@ def stream_flow(trades: DataFrame, short_s: int, long_s: int, late: str = "300 s
 
 
 class Snapshots(StatefulProcessor):
-    """The last quote and the next due time as a value, trades as sums by second in a map; only seconds that a micro-batch touched or outlived are written."""
+    """The last quote and the next due time as a value, trades as sums by second in blocks of a map; only blocks whose seconds a micro-batch touched or outlived are written."""
 
     def __init__(self, every_ms: int, short_s: int, long_s: int) -> None:
         self.every_ms, self.short_s, self.long_s = every_ms, short_s, long_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.so_far = handle.getValueState("so_far", "bid double, ask double, bid_qty double, ask_qty double, due long")
-        self.seconds = handle.getMapState("seconds", "sec long", "buy double, sell double, n double, notional double")
+        self.blocks = handle.getMapState("blocks", "block long", SUMS)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         *book, due = self.so_far.get() if self.so_far.exists() else (None, None, None, None, BEFORE_ALL)
-        sums = {k[0]: list(v) for k, v in self.seconds.iterator()}
-        order, before, touched, out = sorted(sums), set(sums), set(), []
-        short, long_ = Seconds(self.short_s), Seconds(self.long_s)
-        for row in (sums[s] for s in order):
-            short.take(row)
-            long_.take(row)
-        for m in _sorted(rows, "sent", "kind").itertuples(index=False):
-            now, sec = int(m.sent), int(m.sent) // 1000
-            if m.kind == "book":
-                book = [float(m.bid), float(m.ask), float(m.bid_qty), float(m.ask_qty)]
-            elif m.kind == "trade":
-                new = [0.0 if m.is_buyer_maker else float(m.qty), float(m.qty) if m.is_buyer_maker else 0.0, 1.0, float(m.price) * float(m.qty)]
-                if sec not in sums:
-                    sums[sec] = [0.0] * 4
-                    order.append(sec)
-                sums[sec] = [a + b for a, b in zip(sums[sec], new)]
-                touched.add(sec)
-                short.take(new)
-                long_.take(new)
-            if book[0] is None or now < due and m.kind != "bar":
-                continue
-            due = now + self.every_ms
-            bid, ask, bq, aq = book
-            (b1, s1, n1, _), (b2, s2, _, x2) = (span.upto(sec, order, sums) for span in (short, long_))
+        rows = _sorted(rows, "sent", "kind")
+        sent, kind = rows["sent"].to_numpy(np.int64), rows["kind"].to_numpy()
+        quotes = np.concatenate([np.array([book], float), rows.loc[kind == "book", ["bid", "ask", "bid_qty", "ask_qty"]].to_numpy(float)])
+        quoted = np.cumsum(kind == "book")  # place in quotes of the last one at each message; 0 is that of the state
+        at = self.places(sent, kind, 0 if book[0] is not None else int(np.searchsorted(quoted, 1)), due)
+
+        dealt = rows[kind == "trade"]
+        sold, qty = dealt["is_buyer_maker"].to_numpy(bool), dealt["qty"].to_numpy(float)
+        new = np.column_stack([np.where(sold, 0.0, qty), np.where(sold, qty, 0.0), np.ones(len(dealt)), dealt["price"].to_numpy(float) * qty])
+        own, (before, sums) = dealt["sent"].to_numpy(np.int64) // 1000, kept_sums(self.blocks)
+        upto, old, now = running(new), running(sums), sent[at] // 1000
+        ends = np.cumsum(kind == "trade")[at]
+        (b1, s1, n1, _), (b2, s2, _, x2) = ((upto[ends] - upto[np.searchsorted(own, now - span, "right")] + old[-1] - old[np.searchsorted(before, now - span, "right")]).astype(float).T for span in (self.short_s, self.long_s))
+
+        secs, place = np.unique(np.concatenate([before, own]), return_inverse=True)
+        whole = np.column_stack([np.bincount(place, x, len(secs)) for x in np.concatenate([sums, new]).T])
+        first = np.searchsorted(secs, now[-1] - self.long_s, "right") if len(at) else 0
+        keep_sums(self.blocks, before, secs[first:], whole[first:], own)
+        if len(at):
+            due = int(sent[at[-1]]) + self.every_ms
+        self.so_far.update((*(quotes[-1].tolist() if len(quotes) > 1 else book), due))
+        if len(at):
+            bid, ask, bq, aq = quotes[quoted[at]].T
             mid = (bid + ask) / 2
-            out.append((key[0], now, m.kind, mid, (bq - aq) / (bq + aq) if bq + aq > 0 else 0.0, (b1 - s1) / (b1 + s1) if b1 + s1 > 0 else 0.0, n1 / self.short_s, x2 / (b2 + s2) if b2 + s2 > 0 else mid))
-        gone = set(order[: long_.first])
-        for s in gone & before:
-            self.seconds.removeKey((s,))
-        for s in touched - gone:
-            self.seconds.updateValue((s,), tuple(sums[s]))
-        self.so_far.update((*book, due))
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "sent", "kind", "mid", "obi", "flow", "trade_rate", "vwap"])
+            yield pd.DataFrame({"symbol": key[0], "sent": sent[at], "kind": kind[at], "mid": mid, "obi": flow_of(bq, aq), "flow": flow_of(b1, s1), "trade_rate": n1 / self.short_s, "vwap": vwap_of(x2, b2 + s2, mid)})
+
+    def places(self, sent: np.ndarray, kind: np.ndarray, first: int, due: int) -> np.ndarray:
+        """Messages that give a row, from ``first`` on: bars, and the first one that is due after each row."""
+        bars = np.flatnonzero(kind == "bar")
+        found, at = [], first
+        while at < len(sent):
+            bar = np.searchsorted(bars, at)
+            at = min(max(at, int(np.searchsorted(sent, due))), int(bars[bar]) if bar < len(bars) else len(sent))
+            if at < len(sent):
+                found.append(at)
+                due, at = int(sent[at]) + self.every_ms, at + 1
+        return np.array(found, np.int64)
 
     def close(self) -> None:
         pass

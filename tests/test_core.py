@@ -724,3 +724,80 @@ def test_a_window_model_of_infinite_targets_has_no_finite_score(spark, tmp_path)
     assert len(made) == 163 and all(math.isnan(x) for row in made for x in [*row.exp, row.edge_bps]) and {(x.signal, x.horizon) for x in made} == {("LONG", 1)}
     late = C.score(df, fit_window_model(df.where("open_time > 3600000").withColumn("rn", F.col("rn") - 61), ["f"], (1, 3), 8)).collect()
     assert all(math.isfinite(x) for row in late for x in row.exp)
+
+
+class _Kept(dict):
+    """State as a processor sees it, which counts the calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls, self[key] = self.calls + 1, value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        self.pop(key, None)
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self["x"]
+
+    def update(self, value):
+        self["x"] = value
+
+
+def _started(processor):
+    """A processor and its map, without a stream."""
+    kept = _Kept()
+    processor.init(type("Handle", (), {"getMapState": lambda *_: kept, "getValueState": lambda *_: _Kept()})())
+    return lambda rows: pd.concat([pd.DataFrame(), *processor.handleInputRows(("A",), iter([rows]), None)], ignore_index=True), kept
+
+
+def test_rolled_seconds_take_few_state_calls_and_are_those_of_one_pass():
+    from barflow.streaming import typed as T
+
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.choice(60_000, 20_000, replace=False))
+    rows = pd.DataFrame({"symbol": "A", "sec": at, "buy": rng.integers(0, 9, 20_000) * 0.1, "sell": 0.5, "n": 1, "notional": rng.random(20_000) * 100})
+    run, kept = _started(T.Rolled(600, 3000))
+    got = pd.concat([run(rows[i : i + 5000]) for i in range(0, 20_000, 5000)], ignore_index=True)
+    assert kept.calls < 100 and sum(len(v[0]) for v in kept.values()) == (at > at[-1] - 3000).sum()
+    for i in (0, 7, 4999, 5000, 5001, 12_345, 19_999):
+        near, wide = (rows[(rows.sec > at[i] - span) & (rows.sec <= at[i])] for span in (600, 3000))
+        assert (got.flow_short[i], got.trade_rate[i]) == pytest.approx(((near.buy.sum() - near.sell.sum()) / (near.buy.sum() + near.sell.sum()), len(near) / 600))
+        assert got.vwap[i] == pytest.approx(wide.notional.sum() / (wide.buy.sum() + wide.sell.sum()))
+
+
+def test_snapshots_take_few_state_calls_and_are_those_of_a_plain_scan_over_micro_batches():
+    from barflow.streaming import typed as T
+
+    rng = np.random.default_rng(6)
+    n = 40_000
+    rows = pd.DataFrame({"symbol": "A", "sent": np.sort(rng.integers(0, 60_000_000, n)), "kind": rng.choice(["bar", "book", "trade"], n, p=[0.02, 0.18, 0.8])})
+    for c in ("bid", "ask", "bid_qty", "ask_qty", "price", "qty"):
+        rows[c] = np.where((rows.kind == "trade") == (c in ("price", "qty")), rng.integers(1, 99, n), np.nan)
+    rows["is_buyer_maker"] = [None if k != "trade" else bool(x) for k, x in zip(rows.kind, rng.integers(0, 2, n))]
+    rows = rows.sort_values(["sent", "kind"], kind="stable", ignore_index=True)
+    run, kept = _started(T.Snapshots(20_000, 600, 3000))
+    got = pd.concat([run(rows[i : i + 8000]) for i in range(0, n, 8000)], ignore_index=True)
+    assert kept.calls < 100
+    expected, due, book = [], -1, None
+    trades = rows[rows.kind == "trade"]
+    for m in rows.itertuples():
+        book = m if m.kind == "book" else book
+        if book is not None and (m.sent >= due or m.kind == "bar"):
+            due = m.sent + 20_000
+            expected.append((m.Index, m.sent, m.kind, (book.bid + book.ask) / 2))
+    assert [tuple(x) for x in got[["sent", "kind", "mid"]].to_numpy()] == [x[1:] for x in expected] and len(expected) > 2000
+    for i in range(0, len(expected), 97):
+        index, sent = expected[i][:2]
+        near, wide = (trades[(trades.index <= index) & (trades.sent // 1000 > sent // 1000 - span)] for span in (600, 3000))
+        sold = near.qty[near.is_buyer_maker.astype(bool)].sum()
+        assert (got.flow[i], got.trade_rate[i], got.vwap[i]) == pytest.approx(((near.qty.sum() - 2 * sold) / near.qty.sum() if len(near) else 0.0, len(near) / 600, (wide.price * wide.qty).sum() / wide.qty.sum() if len(wide) else expected[i][3]))
