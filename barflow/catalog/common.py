@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.plans.once import let
+from barflow.functions.ratios import nearest
 from barflow.sources import adapters as A
 
 M15 = 15 * A.MINUTE
@@ -14,9 +14,8 @@ YEAR_BARS = 525_600.0
 
 
 def r(column, digits: int = 6) -> F.Column:
-    """Rounded as the SQL does: scaled, to the nearest whole number, and back; what scaling takes beyond the doubles stays. -0.0 is 0.0."""
-    scale = 10.0**digits
-    return let(F.col(column) if isinstance(column, str) else column, lambda x: F.when(F.abs(x * scale) < float("inf"), F.round(x * scale) / scale).otherwise(x.cast("double"))) + F.lit(0.0)
+    """Rounded as the SQL does."""
+    return nearest(F.col(column) if isinstance(column, str) else column, digits)
 
 
 def pick(df: DataFrame, keys: str, values, digits: int = 6) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.ratios import nearest
 from barflow.sources.adapters import DAY, HOUR, MINUTE
 
 
@@ -24,7 +25,7 @@ def write_report(trades: DataFrame, equity: DataFrame, summary: DataFrame, path:
     """trades and equity as CSV with readable times, equity rounded to four digits, summary as JSON; the folders are replaced."""
     timed = trades.withColumn("entry_time", minute_text(F.col("entry_time"))).withColumn("exit_time", minute_text(F.col("exit_time")))
     timed.write.mode("overwrite").option("header", True).csv(f"{path}/trades")
-    equity.select("run", "symbol", minute_text(F.col("t")).alias("time"), F.round("equity", 4).alias("equity")).write.mode("overwrite").option("header", True).csv(f"{path}/equity")
+    equity.select("run", "symbol", minute_text(F.col("t")).alias("time"), nearest(F.col("equity"), 4).alias("equity")).write.mode("overwrite").option("header", True).csv(f"{path}/equity")
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 

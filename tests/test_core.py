@@ -668,6 +668,19 @@ def test_cash_below_the_smallest_double_is_no_error():
     assert ledger.money(ledger.Holding(1, 0, 100.0, 1, 0.0, 0.5, 0.0, 0.0, 1, exit_price=1.0), 5e-324, FLAT)["qty"] == 0
 
 
+def test_reports_round_large_equity_as_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    values = [10 ** rng.uniform(9, 12) for _ in range(3000)] + [1e291, 5e-324, -0.0]
+    equity = spark.createDataFrame([("plain", "S", i * 60_000, x) for i, x in enumerate(values)], "run string, symbol string, t long, equity double")
+    trades = spark.createDataFrame([("plain", "S", 0, 60_000)], "run string, symbol string, entry_time long, exit_time long")
+    sinks.write_report(trades, equity, trades.select("run"), str(tmp_path))
+    made = [x.equity for x in sinks.read_report(spark, str(tmp_path))[1].orderBy("time").collect()]
+    frame = pd.DataFrame({"i": range(len(values)), "x": values})  # noqa: F841
+    assert made == [x for (x,) in duckdb.sql("SELECT round(x, 4) + 0.0 FROM frame ORDER BY i").fetchall()]
+
+
 def test_prices_of_zero_make_infinities_as_in_sql(spark):
     from barflow.functions.ratios import log_ratio, ratio
 
