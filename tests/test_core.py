@@ -681,6 +681,12 @@ def test_reports_round_large_equity_as_sql(spark, tmp_path):
     assert made == [x for (x,) in duckdb.sql("SELECT round(x, 4) + 0.0 FROM frame ORDER BY i").fetchall()]
 
 
+def test_agents_whose_position_is_of_no_worth_are_no_error():
+    account = agent.Account(agent.Gate(), ledger.Book(FLAT), 5e-324)
+    traded = account.settle([ledger.Holding(1, 0, 100.0, 1, 0.0, 0.5, 0.0, 0.0, 1, exit_price=1.0)])
+    assert [t["pnl"] for t in traded] == [0] and account.cash == 5e-324
+
+
 def test_prices_of_zero_make_infinities_as_in_sql(spark):
     from barflow.functions.ratios import log_ratio, ratio
 
