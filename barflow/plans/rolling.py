@@ -12,13 +12,21 @@ def quotient(a: np.ndarray, b: np.ndarray, where: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.full(len(a), np.nan), where=where)
 
 
-def log_change(close: np.ndarray, lag: int) -> np.ndarray:
-    """ln(close / close ``lag`` rows before); NaN where a price is 0 and at the start."""
-    out = np.full(len(close), np.nan)
+def ratio(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a / b by the rules of floating point, and where it is 0 / 0: NaN too, but not for want of an input, which is NaN itself."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.divide(a, b)
+    return out, np.isnan(out) & ~np.isnan(a) & ~np.isnan(b)
+
+
+def log_change(close: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """ln(close / close ``lag`` rows before), and where it is no number though both are there; NaN at the start. A price of 0 makes infinities."""
+    out, lost = np.full(len(close), np.nan), np.zeros(len(close), bool)
     if len(close) > lag:
-        now, then = close[lag:], close[:-lag]
-        out[lag:] = np.log(quotient(now, then, (now > 0) & (then > 0)))
-    return out
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[lag:] = np.log(ratio(close[lag:], close[:-lag])[0])
+        lost[lag:] = np.isnan(out[lag:]) & ~np.isnan(close[lag:]) & ~np.isnan(close[:-lag])
+    return out, lost
 
 
 def over(x: np.ndarray, n: int, measure: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -37,6 +45,13 @@ def deviation(windows: np.ndarray) -> np.ndarray:
     return np.sqrt(quotient(square, np.maximum(n - 1, 1).astype(float), n > 1))
 
 
+def volatility(change: np.ndarray, lost: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`deviation` of the last ``n`` changes, and where it is no number because one of them is not finite, as in SQL."""
+    wild = lost | np.isinf(change)
+    hit = over(wild, n, lambda windows: windows.any(axis=-1)) == 1
+    return np.where(hit, np.nan, over(np.where(wild, np.nan, change), n, deviation)), hit
+
+
 def exact_deviation(windows: np.ndarray) -> np.ndarray:
     return windows.std(axis=-1, ddof=1)
 

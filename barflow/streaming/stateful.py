@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators.features import AVERAGES, FEATURES, WARMUP
 from barflow.operators.ledger import Book, Holding, Rules, money
-from barflow.plans.rolling import deviation, exact_deviation, log_change, over, quotient
+from barflow.plans.rolling import exact_deviation, log_change, over, quotient, volatility
 from barflow.plans.rolling import mean as mean_of
 
 
@@ -68,7 +68,7 @@ def look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> np
     span, paid = (rows["high"] - rows["low"]).to_numpy(float), rows["volume"].to_numpy(float)
     both, there = mean["gain"] + mean["loss"], price != 0
     values = {
-        **{f"ret_{k}": log_change(close, k)[own] for k in (1, 5, 15)}, "rvol_20": over(log_change(close, 1), 20, deviation)[own],
+        **{f"ret_{k}": log_change(close, k)[0][own] for k in (1, 5, 15)}, "rvol_20": volatility(*log_change(close, 1), 20)[0][own],
         "bb_z_20": np.where(sd20 > 0, quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": quotient(price, far := over(close, 50, mean_of)[own], far != 0) - 1,
         "atr_pct_14": quotient(mean["atr"], price, there), "rsi_14": (np.where(both > 0, 100 * quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
         "macd_hist_pct": quotient(mean["ema12"] - mean["ema26"] - mean["signal"], price, there),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barflow.operators.features import AVERAGES, FEATURES, WARMUP, with_last_averages
-from barflow.operators.micro import regimes_of
+from barflow.operators.micro import REGIMES, regimes_of, with_lost
 from barflow.plans.blocks import numbered
 from barflow.sources.frames import last_n
 from barflow.streaming.stateful import averaged, fresh_rows, look_back, plain
@@ -138,7 +138,7 @@ class Regimes(StatefulProcessor):
             return
         before = sorted((k[0], v[0]) for k, v in self.closes.iterator()) if n else []
         closes = np.array([*[x for _, x in before], *rows["close"]], float)
-        rv, volatility, efficiency, trend = (x[len(before) :] for x in regimes_of(closes, self.bars_per_year, self.vol, self.path, self.history, self.enough))
+        made = {name: x[len(before) :] for name, x in zip(REGIMES, regimes_of(closes, self.bars_per_year, self.vol, self.path, self.history, self.enough))}
         after, reach = n + len(rows), self.history + self.vol
         for place, _ in before:
             if place < after - reach:
@@ -146,7 +146,7 @@ class Regimes(StatefulProcessor):
         for place, close in list(enumerate(rows["close"], n))[-reach:]:
             self.closes.updateValue((place,), (float(close),))
         self.so_far.update((after, int(rows["open_time"].iloc[-1])))
-        yield pd.DataFrame({"symbol": key[0], "open_time": rows["open_time"].to_numpy(), "rv": plain(rv), "vol_regime": list(volatility), "efficiency": plain(efficiency), "trend_regime": list(trend)})
+        yield pd.DataFrame({"symbol": key[0], "open_time": rows["open_time"].to_numpy(), **made, "rv": plain(made["rv"]), "efficiency": plain(made["efficiency"])})
 
     def close(self) -> None:
         pass
@@ -154,8 +154,8 @@ class Regimes(StatefulProcessor):
 
 def stream_regimes(bars: DataFrame, bars_per_year: float, vol: int = 60, path: int = 30, history: int = 1440, enough: int = 100) -> DataFrame:
     """Volatility and trend regimes, updated on bar close only; a micro-batch is worked on as a whole."""
-    schema = "symbol string, open_time long, rv double, vol_regime string, efficiency double, trend_regime string"
-    return bars.groupBy("symbol").transformWithStateInPandas(Regimes(bars_per_year, vol, path, history, enough), schema, "Append", "None")
+    schema = "symbol string, open_time long, rv double, lost boolean, vol_regime string, efficiency double, trend_regime string"
+    return with_lost(bars.groupBy("symbol").transformWithStateInPandas(Regimes(bars_per_year, vol, path, history, enough), schema, "Append", "None"))
 
 
 #: Seconds of a block of state: a call for each block, not for each second, since a call costs as much as thousands of sums.

@@ -739,6 +739,13 @@ def test_cleaned_features_keep_what_the_sql_keeps(spark, tmp_path):
     assert sorted(tuple(x) for x in cleaned.collect()) == [(0.0, 3.0), (1.0, 2.0)]
 
 
+@pytest.mark.parametrize("name", ["rv_annualised", "vol_regime", "stream_regimes"])
+def test_regimes_after_a_price_of_zero_are_those_of_the_sql(spark, tmp_path, name):
+    con = events_of(spark, tmp_path, zero_prices(400))
+    rows, different = as_in_sql(spark, con, str(tmp_path), name)
+    assert len(rows) == 400 and different == 0 and any(x in row for row in rows for x in ("NaN", "HIGH"))
+
+
 def test_flow_over_many_seconds_equals_a_plain_sum(spark):
     draw = random.Random(3)
     trades = [("S", i, draw.randint(1, 400) / 4, float(draw.randint(1, 9)), draw.random() < 0.5, t * 1000) for i, t in enumerate(sorted(draw.sample(range(80_000, 95_000), 400)))]
