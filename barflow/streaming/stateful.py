@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators.features import AVERAGES, FEATURES, WARMUP
 from barflow.operators.ledger import Book, Holding, Rules, money
-from barflow.plans.rolling import exact_deviation, log_change, over, quotient, volatility
+from barflow.plans.rolling import exact_deviation, log_change, over, quotient, ratio, volatility
 from barflow.plans.rolling import mean as mean_of
 
 
@@ -60,23 +60,28 @@ def averaged(state: dict, rows: pd.DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> np.ndarray:
-    """The features of ``rows``, whose WARMUP - 1 rows before are ``kept``; one line for each row."""
+def look_back(kept: list, rows: pd.DataFrame, mean: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of ``rows``, whose WARMUP - 1 rows before are ``kept``, one line for each row, and where a feature is no number rather than missing, as 0 / 0 is."""
     close, volume, trades = np.array([*map(tuple, kept), *zip(rows["close"], rows["volume"], rows["trades"])], float).T
     own = slice(len(kept), None)
     price, ma20, sd20 = close[own], over(close, 20, mean_of)[own], over(close, 20, exact_deviation)[own]
     span, paid = (rows["high"] - rows["low"]).to_numpy(float), rows["volume"].to_numpy(float)
-    both, there = mean["gain"] + mean["loss"], price != 0
-    values = {
-        **{f"ret_{k}": log_change(close, k)[0][own] for k in (1, 5, 15)}, "rvol_20": volatility(*log_change(close, 1), 20)[0][own],
-        "bb_z_20": np.where(sd20 > 0, quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": quotient(price, far := over(close, 50, mean_of)[own], far != 0) - 1,
-        "atr_pct_14": quotient(mean["atr"], price, there), "rsi_14": (np.where(both > 0, 100 * quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
-        "macd_hist_pct": quotient(mean["ema12"] - mean["ema26"] - mean["signal"], price, there),
+    both, changes = mean["gain"] + mean["loss"], {k: log_change(close, k) for k in (1, 5, 15)}
+    # of prices, which may be 0: values and where they are no number
+    priced = {
+        **{f"ret_{k}": (x[own], lost[own]) for k, (x, lost) in changes.items()}, "rvol_20": tuple(x[own] for x in volatility(*changes[1], 20)),
+        "dist_ma_50": ratio(price, over(close, 50, mean_of)[own]), "atr_pct_14": ratio(mean["atr"], price),
+        "macd_hist_pct": ratio(mean["ema12"] - mean["ema26"] - mean["signal"], price), "range_pct": ratio(span, price),
+    }
+    values = {c: x for c, (x, _) in priced.items()} | {
+        "bb_z_20": np.where(sd20 > 0, quotient(price - ma20, sd20, sd20 > 0), 0.0), "dist_ma_50": priced["dist_ma_50"][0] - 1,
+        "rsi_14": (np.where(both > 0, 100 * quotient(mean["gain"], both, both > 0), 50.0) - 50) / 50,
         "rel_volume": np.log((volume[own] + 1e-9) / (over(volume, 20, mean_of)[own] + 1e-9)), "rel_trades": np.log((trades[own] + 1) / (over(trades, 20, mean_of)[own] + 1)),
-        "range_pct": quotient(span, price, there), "body_ratio": np.where(span > 0, quotient((rows["close"] - rows["open"]).to_numpy(float), span, span > 0), 0.0),
+        "body_ratio": np.where(span > 0, quotient((rows["close"] - rows["open"]).to_numpy(float), span, span > 0), 0.0),
         "taker_imbalance": np.where(paid > 0, quotient(rows["taker"].to_numpy(float), paid, paid > 0) - 0.5, 0.0),
     }
-    return np.stack([values[c] for c in FEATURES], axis=1)
+    never = np.zeros(len(rows), bool)
+    return np.stack([values[c] for c in FEATURES], axis=1), np.stack([priced[c][1] if c in priced else never for c in FEATURES], axis=1)
 
 
 def plain(values: np.ndarray) -> list[float | None]:

@@ -49,12 +49,12 @@ class Features(StatefulProcessor):
             valid = n + np.arange(1, len(rows) + 1) >= WARMUP
             state = {"n": n, "close": close, "means": dict(zip([a.name for a in AVERAGES], means or []))}
             kept = [tuple(x) for x in self.kept.get()] if self.kept.exists() else []
-            values = look_back(kept, rows, averaged(state, rows))
+            values, lost = look_back(kept, rows, averaged(state, rows))
             own = list(zip(rows["close"].astype(float), rows["volume"].astype(float), rows["trades"].astype(float)))
             self.kept.put([*kept, *own][-(WARMUP - 1) :])
             n, close, last, gaps, means = state["n"], state["close"], int(at[-1]), int(counted[-1]), [float(state["means"][a.name]) for a in AVERAGES]
-            out = [(key[0], int(t), bool(v), int(g), int(d), *(plain(x) if v else [None] * len(FEATURES))) for t, v, g, d, x in zip(at, valid, counted, lates, values)]
-            yield pd.DataFrame(out, columns=["symbol", "open_time", "valid", "gaps", "late", *FEATURES])
+            out = [(key[0], int(t), bool(v), int(g), int(d), *(plain(x) if v else [None] * len(FEATURES)), [FEATURES[i] for i in np.flatnonzero(nan & v)]) for t, v, g, d, x, nan in zip(at, valid, counted, lates, values, lost)]
+            yield pd.DataFrame(out, columns=["symbol", "open_time", "valid", "gaps", "late", *FEATURES, "lost"])
         self.so_far.update((n, close, last, gaps, late, means))
 
     def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
@@ -83,9 +83,11 @@ def stream_features(bars: DataFrame, interval: int, history: DataFrame | None =
 
     With ``history``, a batch of earlier bars, the state begins as if these had streamed before: see :func:`feature_state`.
     """
-    schema = "symbol string, open_time long, valid boolean, gaps long, late long, " + ", ".join(f"{c} double" for c in FEATURES)
+    schema = "symbol string, open_time long, valid boolean, gaps long, late long, " + ", ".join(f"{c} double" for c in FEATURES) + ", lost array<string>"
     start = None if history is None else feature_state(history, interval).groupBy("symbol")
-    return bars.groupBy("symbol").transformWithStateInPandas(Features(interval), schema, "Append", "None", initialState=start)
+    rows = bars.groupBy("symbol").transformWithStateInPandas(Features(interval), schema, "Append", "None", initialState=start)
+    # pandas has one mark for null and NaN, so the features that are NaN come by name
+    return rows.withColumns({c: F.when(F.array_contains("lost", c), float("nan")).otherwise(F.col(c)) for c in FEATURES}).drop("lost")
 
 
 class Imbalance(StatefulProcessor):

@@ -746,6 +746,12 @@ def test_regimes_after_a_price_of_zero_are_those_of_the_sql(spark, tmp_path, nam
     assert len(rows) == 400 and different == 0 and any(x in row for row in rows for x in ("NaN", "HIGH"))
 
 
+def test_streamed_features_after_a_price_of_zero_are_those_of_the_sql(spark, tmp_path):
+    con = events_of(spark, tmp_path, zero_prices(200))
+    rows, different = as_in_sql(spark, con, str(tmp_path), "stream_features")
+    assert len(rows) == 200 and different == 0 and any(math.inf in x for x in rows) and any("NaN" in x for x in rows)
+
+
 def test_flow_over_many_seconds_equals_a_plain_sum(spark):
     draw = random.Random(3)
     trades = [("S", i, draw.randint(1, 400) / 4, float(draw.randint(1, 9)), draw.random() < 0.5, t * 1000) for i, t in enumerate(sorted(draw.sample(range(80_000, 95_000), 400)))]
